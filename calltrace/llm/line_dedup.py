@@ -91,9 +91,8 @@ def drop_frequent_lines(
     row = docs.withColumn("_ld_id", F.col(doc_id)).withColumn("_ld_h", F.xxhash64(F.col(text)))
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     seen = materialize(
-        row.select(
-            "_ld_id", "_ld_h", F.monotonically_increasing_id().alias("_ld_row"), F.posexplode(lines).alias("pos", "line")
-        )
+        row.withColumn("_ld_row", F.monotonically_increasing_id())  # before the explode, so that it numbers documents
+        .select("_ld_id", "_ld_h", "_ld_row", F.posexplode(lines).alias("pos", "line"))
         .select("_ld_id", "_ld_h", "_ld_row", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_key)
         .select(
