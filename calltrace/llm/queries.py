@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from calltrace.llm import exact_dedup, line_dedup
+from calltrace.llm import exact_dedup, line_dedup, pii, token_counts, token_output
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_token_output": token_output.op7_token_output,
+    "op9_pii": pii.op9_pii,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,

@@ -73,8 +73,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Word bounds of a block: byte ``start`` and ``end`` of each word, and ``first``: each text's first word, then the end."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, bounds: bool = True):
         self.data, self.offs = raw(column)
+        self._sums: np.ndarray | None = None
+        if not bounds:
+            return
         gap = SPACE[self.data]
         lead = ~gap
         tail = lead.copy()
@@ -87,7 +90,6 @@ class Words:
         self.start = np.flatnonzero(lead)
         self.end = np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.start, self.offs)
-        self._sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
