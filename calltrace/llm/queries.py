@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from calltrace.llm import exact_dedup, line_dedup, pii, token_counts, token_output
+from calltrace.llm import exact_dedup, line_dedup, pii, token_counts, token_output, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_output": token_output.op7_token_output,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_token_counts": token_counts.op10_token_counts,
 }
