@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from calltrace.llm import exact_dedup, line_dedup, pii, token_counts, token_output, toxicity
+from calltrace.llm import exact_dedup, line_dedup, mixing, pii, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_mixing": mixing.op3_mixing,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_output": token_output.op7_token_output,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
 }

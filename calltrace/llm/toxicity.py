@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from calltrace.llm.text import Words, blocks, runs
 
@@ -277,7 +278,7 @@ def score_documents(docs: DataFrame, model: tuple[TextCnn | None, dict, float],
                 score = net.score(features(words), words.first)
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(score, pa.float64())], names=[*names, "score"])
 
-    return given.mapInArrow(run, docs.schema.add("score", "double"))
+    return given.mapInArrow(run, StructType(docs.schema.fields[:]).add("score", "double"))
 
 
 def rejects(scored: DataFrame, thresholds: dict, lang: str = "lang"):
