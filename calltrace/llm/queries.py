@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from calltrace.llm import exact_dedup, line_dedup, mixing, ngram_join, pii, substring_dedup, token_counts, token_output, toxicity
+from calltrace.llm import decontamination, exact_dedup, line_dedup, mixing, ngram_join, pii, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_output": token_output.op7_token_output,

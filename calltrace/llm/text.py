@@ -133,3 +133,25 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     at = np.cumsum(count) - count
     return np.repeat(start - at, count) + np.arange(total)
+
+
+def plain_bounds(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block's bytes in lower case (A-Z and the two-byte capitals of Latin-1), and word bounds without up to three outer ASCII marks a side."""
+    data = words.data.copy()
+    data[(data >= 65) & (data <= 90)] += 32
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    high = data[after]
+    data[after] = np.where((high >= 0x80) & (high <= 0x9E) & (high != 0x97), high + 32, high)
+    inner = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+    start, end = words.start.copy(), words.end.copy()
+    if len(start):
+        for _ in range(3):
+            start += (end - start > 1) & ~inner[start]
+            end -= (end - start > 1) & ~inner[end - 1]
+    return data, start, end
+
+
+def plain_hashes(words: Words) -> np.ndarray:
+    """Hashes of the words in that form."""
+    data, start, end = plain_bounds(words)
+    return words.hashes(start, end, data)
