@@ -31,7 +31,7 @@ from calltrace.llm.text import Words, blocks, mix, plain_hashes, ranges
 
 ITEM_WORDS, WINDOW, STRIDE = 40, 64, 24
 SKETCH, RANK = 192, 96
-COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.5, 0.8
+COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.8, 0.5, 0.8
 STOP = 0.02
 ITEMS = 1000
 KEY_TERMS = 4
@@ -112,12 +112,9 @@ def _document_frequencies(terms):
 
 
 def _weighted(row, term, weight, n):
-    """Hits that carry weight, their values in rows of length one, and the hits of each row."""
-    live = weight[term] > 0
-    row, term = row[live], term[live]
+    """Each hit's value in rows of length one."""
     value = weight[term]
-    norm = np.sqrt(np.bincount(row, value * value, n))
-    return row, term, value / norm[row], np.bincount(row, minlength=n)
+    return value / np.sqrt(np.bincount(row, value * value, n))[row]
 
 
 def _sketch(shared):
@@ -127,9 +124,9 @@ def _sketch(shared):
         out = np.zeros(SKETCH * len(terms))
         for block in blocks(batches):
             _, _, start, _, row, term = _window_hits(Words(block.column("text")), finder)
-            row, term, value, _ = _weighted(row, term, weight, len(start))
             if not len(row):
                 continue
+            value = _weighted(row, term, weight, len(start))
             # the window's random row and sign depend on its terms alone
             key = np.zeros(len(start), np.uint64)
             np.add.at(key, row, terms[term])
@@ -175,6 +172,8 @@ def _search(shared):
         project = (basis * weight[:, None]).astype(np.float32)
         items = found["words"]
         masks = []
+        # a subsequence of a share of the passage's words holds at least so many of its distinct words
+        need = [PARAPHRASE * len(w) - (len(w) - len(np.unique(w))) for w in items]
         for w in items:
             m: dict[int, int] = {}
             for k, x in enumerate(w.tolist()):
@@ -183,8 +182,6 @@ def _search(shared):
         for block in blocks(batches):
             words = Words(block.column("text"))
             h, doc, start, end, row, term = _window_hits(words, finder)
-            live = weight[term] > 0
-            row, term = row[live], term[live]
             count = np.bincount(row, minlength=len(start))
             keep = np.flatnonzero(count >= least)
             out: dict[tuple[int, int], tuple] = {}
@@ -200,15 +197,19 @@ def _search(shared):
                     e = np.add.reduceat(project[term[a:b]], cuts[lo:hi] - a, axis=0)
                     e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
                     cos = e @ latent.T
-                    for x, p in zip(*np.nonzero(cos >= COSINE), strict=True):
+                    seen = -1
+                    for x, p in zip(*(c.tolist() for c in np.nonzero(cos >= COSINE)), strict=True):
                         k = keep[lo + x]
+                        if k != seen:
+                            seen = k
+                            a0, b0 = max(words.first[doc[k]], start[k] - 8), min(words.first[doc[k] + 1], end[k] + 8)
+                            text = h[a0:b0].tolist()
+                            here = set(text)
+                        if len(here & masks[p].keys()) < need[p]:
+                            continue
                         self_cos = float(cos[x, p])
                         n = len(items[p])
-                        a0, b0 = max(words.first[doc[k]], start[k] - 8), min(words.first[doc[k] + 1], end[k] + 8)
                         size, step = n + n // 2 + 2, max(1, n // 4)
-                        text = h[a0:b0].tolist()
-                        if sum(map(masks[p].__contains__, text)) < PARAPHRASE * n:
-                            continue
                         best, where = 0, 0
                         for s in range(0, max(1, len(text) - size + step), step):
                             got = lcs(masks[p], n, text[s : s + size])
@@ -273,23 +274,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         rare = [t[np.argsort(df[t], kind="stable")[:KEY_TERMS]] for t in numbers]
         active = df <= STOP * total
         active[np.concatenate(rare)] = True
-        weight = np.where(active, np.maximum(weight, 1e-3), 0.0)
-        q = np.zeros((len(p.words), len(p.terms)))
+        keys = [a if a is not None and len(a) else p.terms[r] for a, r in zip(p.answers, rare, strict=True)]
+        terms, weight = p.terms[active], np.maximum(weight[active], 1e-3)
+        numbers = [np.flatnonzero(np.isin(terms, w)) for w in p.words]
+        q = np.zeros((len(p.words), len(terms)))
         for k, t in enumerate(numbers):
             q[k, t] = weight[t]
         q /= np.linalg.norm(q, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((p.terms, weight))
+        shared = spark.sparkContext.broadcast((terms, weight))
         lines = rows.mapInArrow(_sketch(shared), "r int, line binary").repartition("r").mapInArrow(_summed, "r int, line binary").collect()  # SKETCH rows
-        sketch = np.stack([np.frombuffer(r.line, np.float32) for r in lines]) if lines else np.zeros((0, len(p.terms)), np.float32)
+        sketch = np.stack([np.frombuffer(r.line, np.float32) for r in lines]) if lines else np.zeros((0, len(terms)), np.float32)
         scale = np.linalg.norm(sketch) / max(1.0, np.sqrt(len(sketch)))  # items weigh as much as the sketch's rows
         _, _, right = np.linalg.svd(np.vstack([sketch, q * max(scale, 1.0)]), full_matrices=False)
         basis = right[:RANK].T
         latent = q @ basis
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        least = max(1, min(int(np.ceil(PARAPHRASE * 0.8 * active[t].sum())) for t in numbers))
-        keys = [a if a is not None and len(a) else p.terms[r] for a, r in zip(p.answers, rare, strict=True)]
+        least = max(1, min(int(np.ceil(PARAPHRASE * 0.8 * len(t))) for t in numbers))
         # everything here is bounded by ITEMS, ITEM_WORDS and RANK
-        shared = spark.sparkContext.broadcast((p.terms, weight, basis, {"latent": latent.astype(np.float32), "least": least, "words": p.words, "item": p.item}, keys))
+        shared = spark.sparkContext.broadcast((terms, weight, basis, {"latent": latent.astype(np.float32), "least": least, "words": p.words, "item": p.item}, keys))
         part = materialize(rows.mapInArrow(_search(shared), schema), "contaminated")
         found = part if found is None else found.unionByName(part)
     if found is None:
