@@ -37,6 +37,9 @@ TOLERANCE = 1e-6
 #: Texts of a block, and texts that small groups are gathered to for one task.
 BLOCK, BIN = 384, 1500
 
+#: Up to so many members (about 40 MB) their ids go to every executor and no text moves; beyond, texts and ids meet in a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -233,8 +236,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
         ),
         "members",
     )
-    bins = max(1, members.count() // BIN)
-    held = rows.join(members, (rows.id == members.m_id) & (rows.tid == members.m_tid)).select("id", "tid", "text", "copies", "group", "blk", "n_blk")
+    n_members = members.count()
+    bins = max(1, n_members // BIN)
+    held = rows.join(F.broadcast(members) if n_members <= BROADCAST_ROWS else members, (rows.id == members.m_id) & (rows.tid == members.m_tid)).select("id", "tid", "text", "copies", "group", "blk", "n_blk")
     sets = held.dropDuplicates(["id", "tid"]).mapInArrow(_sets(n), "id long, tid long, copies long, group long, blk int, n_blk int, sig binary, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("o")
     sets = sets.select("*", other).withColumns({"low": F.least("blk", "o"), "high": F.greatest("blk", "o")})
