@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltrace.functions.work import materialize
-from calltrace.llm.text import Words, blocks, mix, plain_hashes, ranges
+from calltrace.llm.text import Words, blocks, bounded_batches, mix, plain_hashes, ranges
 
 ITEM_WORDS, WINDOW, STRIDE = 40, 64, 24
 SKETCH, RANK = 192, 96
@@ -133,7 +133,7 @@ def _sketch(shared):
             key = mix(key)
             to = (key % np.uint64(SKETCH)).astype(np.int64)[row]
             sign = np.where((key >> np.uint64(60)) & np.uint64(1), 1.0, -1.0)[row]
-            out += np.bincount(to * len(terms) + term, value * sign, len(out))
+            np.add.at(out, to * len(terms) + term, value * sign)
         for r, line in enumerate(out.reshape(SKETCH, -1).astype(np.float32)):
             if line.any():
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([line.tobytes()], pa.binary())], names=["r", "line"])
@@ -245,6 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     ``at``: first word of the stretch; ``kind``: copy or paraphrase; ``tid``: xxhash64 of the text.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     given = benchmark.select("item_id", F.col("text").alias("t"), answer.alias("a")).where("item_id IS NOT NULL AND t IS NOT NULL")

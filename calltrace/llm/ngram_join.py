@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltrace.functions.work import materialize
-from calltrace.llm.text import Words, blocks, mix, powers, ranges, runs, spans_hash
+from calltrace.llm.text import Words, blocks, bounded_batches, mix, powers, ranges, runs, spans_hash
 from calltrace.operators.components import connected_components
 
 BANDS, ROWS = 32, 6
@@ -218,6 +218,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     at least ``threshold`` similar; ``n_link_docs``: documents with those texts; ``class_id``: smallest id of the class;
     ``tid``: xxhash64 of the text.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
     signed = materialize(rows.where("id IS NOT NULL").mapInArrow(_sign(n), "id long, tid long, t1 long, t2 long, bands array<long>"), "signed")
     node = F.struct("id", "tid")

@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from calltrace.functions.work import materialize, release
-from calltrace.llm.text import Words, blocks, ranges, runs, spans_hash
+from calltrace.llm.text import Words, blocks, bounded_batches, ranges, runs, spans_hash
 
 GRAM = 5
 #: Seeds a task holds to find repeats among its own; more are dealt with in several such groups.
-HELD = 1_000_000
+HELD = 400_000
 
 
 def seeds(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -159,6 +159,7 @@ def covered(rows: DataFrame, window: int = 20, gram: int = GRAM) -> DataFrame:
     """Repeated stretches of ``rows (id, tid, text)``: ``(id, tid, pos)``, ``pos`` = first window's word << 8 | number of windows."""
     if not gram < window <= 255:
         raise ValueError("gram < window <= 255 is needed")
+    bounded_batches(rows.sparkSession)
     found = materialize(rows.mapInArrow(_seed_rows(window, gram), "id long, tid long, pos long, anchor long, ext long, known boolean"), "seeds")
     fresh = found.where("NOT known").drop("known")
     anchors = materialize(fresh.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")

@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Rows of an Arrow batch; long texts make Spark's usual 10,000 too large.
+BATCH_ROWS = 512
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -45,6 +47,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def bounded_batches(spark) -> None:
+    """Let the session's Arrow batches hold at most ``BATCH_ROWS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of whole rows whose texts hold about ``size`` bytes."""
     for batch in batches:

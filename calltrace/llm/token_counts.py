@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltrace.functions.work import new_path
-from calltrace.llm.text import blocks
+from calltrace.llm.text import blocks, bounded_batches
 from calltrace.llm.tokens import Encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -25,6 +25,7 @@ KEYS = ["source", "lang", "tokenizer"]
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_tokens`` by a public tokenizer (no special tokens)."""
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
 
     def count(batches):

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from calltrace.functions.work import new_path
 from calltrace.llm import pfor
-from calltrace.llm.text import blocks
+from calltrace.llm.text import blocks, bounded_batches
 from calltrace.llm.tokens import Encoder
 
 TOKENIZER = "byte_bpe_50k.json"
-SHARD_IDS = 1 << 21
+SHARD_IDS = 1 << 20
 
 
 def _put(path: str, data: bytes) -> None:
@@ -77,6 +77,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
         if docs:
             yield flush()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = rows.mapInArrow(write, "path string, n_ids long, n_docs long")

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from calltrace.llm.text import Words, ranges
 
 #: Distinct pieces a worker keeps; beyond that it starts anew. Bounds memory, changes no result.
-CACHE = 600_000
+CACHE = 400_000
 
 
 class Encoder:

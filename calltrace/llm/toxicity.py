@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from calltrace.llm.text import Words, blocks, runs
+from calltrace.llm.text import Words, blocks, bounded_batches
 
 BUCKETS = 1 << 17
 DIM = 4
@@ -264,13 +264,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_by
 
 def score_documents(docs: DataFrame, model: tuple[TextCnn | None, dict, float], text: str = "text") -> DataFrame:
     """``docs`` with ``score``; the model is of fixed size and goes along as a broadcast variable."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     given = docs.withColumn("_tox_text", F.col(text))
 
     def run(batches):
         net, _, share = shared.value
-        for block in blocks(batches, 1 << 19, "_tox_text"):
+        for block in blocks(batches, column="_tox_text"):
             if net is None:
                 score = np.full(block.num_rows, share)
             else:
