@@ -59,7 +59,7 @@ def sdl_timestamp(time: Column, base_date: Column, offset: Column, fallback_date
     day = F.when(clean.rlike(full), own).otherwise(date)
     clock = F.when(clean.rlike(full), _padded(F.regexp_extract(clean, full, 4))).when(clean.rlike("^\\d{2}:\\d{2}:\\d{2}"), _padded(clean)).otherwise(F.lit("00:00:00.000000"))
     local = F.coalesce(F.try_to_timestamp(F.concat_ws(" ", day, clock), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")), F.try_to_timestamp(F.concat(F.lit(f"{fallback_date} "), clock), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")), F.lit(f"{fallback_date} 00:00:00").cast("timestamp"))
-    return F.timestampadd("MINUTE", -offset, local)
+    return F.timestamp_add("MINUTE", -offset, local)
 
 
 def trace_timestamp(raw: Column, reference_year: int = 2026, reference_date: Column | None = None) -> Column:

@@ -22,6 +22,7 @@ VOICE_PROTOCOLS = ("SIP", "Q931", "MGCP", "SCCP")
 def key_rows(events: DataFrame, keys: dict[str, str], node: str = "event_id") -> DataFrame:
     """``(node, kind, value)`` of non-empty keys; an AppCorr of 0 is none."""
     values = [F.struct(F.lit(k).alias("kind"), F.btrim(F.col(c).cast("string")).alias("value")) for k, c in keys.items() if c in events.columns]
+    values = values or [F.struct(F.lit("").alias("kind"), F.lit("").alias("value"))]
     rows = events.select(F.col(node).alias("node"), F.explode(F.array(*values)).alias("k")).select("node", "k.kind", "k.value")
     return rows.where("value <> '' AND NOT (kind = 'AppCorr' AND value = '0')")
 

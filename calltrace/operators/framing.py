@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from calltrace.functions import patterns as P
 from calltrace.functions.columns import capture, offset_minutes
 
-FILE = Window.partitionBy("file_name").orderBy("line_no")
-_TEXT = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+
+def _file():
+    return Window.partitionBy("file_name").orderBy("line_no")
+
+
+def _text() -> Column:
+    """The lines of a group, in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
 
 
 def _running(lines: DataFrame, chunk: int | None, sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
     """Running sums, and last non-null values, over each file's lines; in chunks of ``chunk`` lines if given."""
     if chunk is None:
-        return lines.withColumns({k: F.sum(c.cast("int")).over(FILE) for k, c in sums.items()} | {k: F.last(c, True).over(FILE) for k, c in lasts.items()})
+        return lines.withColumns({k: F.sum(c.cast("int")).over(_file()) for k, c in sums.items()} | {k: F.last(c, True).over(_file()) for k, c in lasts.items()})
     rows = lines.withColumn("_chunk", F.floor((F.col("line_no") - 1) / chunk)).withColumns({f"_s_{k}": c.cast("int") for k, c in sums.items()} | {f"_l_{k}": c for k, c in lasts.items()})
     # one row a chunk: what the chunks before it come to
     heads = rows.groupBy("file_name", "_chunk").agg(*[F.sum(f"_s_{k}").alias(f"_s_{k}") for k in sums], *[F.max_by(f"_l_{k}", F.when(F.col(f"_l_{k}").isNotNull(), F.col("line_no"))).alias(f"_l_{k}") for k in lasts])
@@ -55,7 +61,7 @@ def frame_sdl(lines: DataFrame, node: str | None = None, base_date: str | None =
     x = _sdl_lines(lines, chunk).where("rec > 0")
     first = F.col("head")
     out = x.groupBy("file_name", "rec").agg(
-        F.min("line_no").alias("source_line"), F.max(F.when(first, F.col("line"))).alias("header_line"), _TEXT.alias("raw_text"),
+        F.min("line_no").alias("source_line"), F.max(F.when(first, F.col("line"))).alias("header_line"), _text().alias("raw_text"),
         F.max(F.when(first, F.col("base_date"))).alias("base_date"), F.max(F.when(first, F.col("offset"))).alias("offset"), F.max(F.when(first, F.col("node"))).alias("node"),
     )
     part = lambda i: F.regexp_extract("header_line", P.SDL_HEADER, i)
@@ -74,8 +80,8 @@ def malformed_sdl(lines: DataFrame, chunk: int | None = None) -> DataFrame:
 def frame_isdn(lines: DataFrame) -> DataFrame:
     """``(file_name, block, source_line, header_line, raw)``: a block runs to the next ISDN header or the file's end."""
     s = F.btrim("line")
-    x = lines.withColumn("head", s.rlike(P.ISDN_STRICT) | s.rlike(P.ISDN_FLEXIBLE)).withColumn("block", F.sum(F.col("head").cast("int")).over(FILE)).where("block > 0")
-    return x.groupBy("file_name", "block").agg(F.min("line_no").alias("source_line"), F.min_by(F.btrim("line"), "line_no").alias("header_line"), _TEXT.alias("raw"))
+    x = lines.withColumn("head", s.rlike(P.ISDN_STRICT) | s.rlike(P.ISDN_FLEXIBLE)).withColumn("block", F.sum(F.col("head").cast("int")).over(_file())).where("block > 0")
+    return x.groupBy("file_name", "block").agg(F.min("line_no").alias("source_line"), F.min_by(F.btrim("line"), "line_no").alias("header_line"), _text().alias("raw"))
 
 
 def frame_sip(lines: DataFrame) -> DataFrame:
@@ -85,16 +91,16 @@ def frame_sip(lines: DataFrame) -> DataFrame:
     the last marker, which a closing delimiter resets.
     """
     s = F.btrim("line")
-    x = lines.withColumn("s", s).withColumn("head", s.rlike(P.SIP_REQUEST) | s.rlike(P.SIP_STATUS)).withColumn("block", F.sum(F.col("head").cast("int")).over(FILE))
+    x = lines.withColumn("s", s).withColumn("head", s.rlike(P.SIP_REQUEST) | s.rlike(P.SIP_STATUS)).withColumn("block", F.sum(F.col("head").cast("int")).over(_file()))
     x = x.withColumn("cut", (F.col("block") > 0) & ~F.col("head") & (F.col("s").startswith("<---") | F.col("s").startswith("---")))
     inside = Window.partitionBy("file_name", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("live", (F.col("block") > 0) & ~F.coalesce(F.max("cut").over(inside), F.lit(False)))
     marker = F.when(F.col("s").startswith("Received:") | F.col("s").contains("RX"), "INBOUND").when(F.col("s").startswith("Sent:") | F.col("s").contains("TX"), "OUTBOUND")
     x = x.withColumn("mark", F.when(F.col("cut") & F.col("live"), "UNKNOWN").otherwise(marker))
-    x = x.withColumns({"direction": F.coalesce(F.last("mark", True).over(FILE), F.lit("UNKNOWN")), "stamp": F.last(F.when(F.col("line").rlike(P.SIP_BANNER), capture(F.col("line"), P.SIP_BANNER)), True).over(FILE)})
+    x = x.withColumns({"direction": F.coalesce(F.last("mark", True).over(_file()), F.lit("UNKNOWN")), "stamp": F.last(F.when(F.col("line").rlike(P.SIP_BANNER), capture(F.col("line"), P.SIP_BANNER)), True).over(_file())})
     # a start line's own direction is that before any reset, which only a delimiter makes
     return x.where("live").groupBy("file_name", "block").agg(
-        F.min("line_no").alias("source_line"), F.min_by("s", "line_no").alias("header_line"), F.min_by("stamp", "line_no").alias("timestamp_raw"), F.min_by("direction", "line_no").alias("direction"), _TEXT.alias("raw")
+        F.min("line_no").alias("source_line"), F.min_by("s", "line_no").alias("header_line"), F.min_by("stamp", "line_no").alias("timestamp_raw"), F.min_by("direction", "line_no").alias("direction"), _text().alias("raw")
     )
 
 
@@ -106,12 +112,12 @@ def frame_mgcp(lines: DataFrame) -> DataFrame:
     """
     x = lines.withColumns({"banner": F.col("line").rlike(P.MGCP_BANNER), "verb": (F.btrim("line").rlike(P.MGCP_COMMAND) | F.btrim("line").rlike(P.MGCP_RESPONSE))})
     x = x.withColumn("verb", F.col("verb") & ~F.col("banner"))
-    after = F.coalesce(F.lag(F.btrim("line").startswith("<---")).over(FILE), F.lit(False))
-    x = x.withColumn("segment", F.sum((F.col("banner") | after).cast("int")).over(FILE))
+    after = F.coalesce(F.lag(F.btrim("line").startswith("<---")).over(_file()), F.lit(False))
+    x = x.withColumn("segment", F.sum((F.col("banner") | after).cast("int")).over(_file()))
     inside = Window.partitionBy("file_name", "segment").orderBy("line_no")
     x = x.withColumns({"k": F.sum(F.col("verb").cast("int")).over(inside), "led": F.max("banner").over(Window.partitionBy("file_name", "segment"))}).where("k > 0 OR led")
     block = F.struct("segment", F.greatest("k", F.lit(1)).alias("k"))
-    out = x.groupBy("file_name", block.alias("b")).agg(F.min("line_no").alias("source_line"), F.max(F.when(F.col("banner"), F.col("line"))).alias("banner"), F.max("verb").alias("some"), _TEXT.alias("raw")).where("some")
+    out = x.groupBy("file_name", block.alias("b")).agg(F.min("line_no").alias("source_line"), F.max(F.when(F.col("banner"), F.col("line"))).alias("banner"), F.max("verb").alias("some"), _text().alias("raw")).where("some")
     text = F.col("banner")
     return out.select(
         "file_name", (F.col("b.segment") * 1000000 + F.col("b.k")).alias("block"), "source_line", capture(text, P.MGCP_BANNER).alias("timestamp_raw"),
