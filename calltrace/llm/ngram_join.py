@@ -225,7 +225,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     texts = materialize(signed.groupBy("t1", "t2").agg(F.min(node).alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
     bands = texts.select("node", F.explode("bands").alias("band"))
     shared = materialize(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m"), "bands-shared")
-    edges = bands.join(shared, "band").where("node <> pivot").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
+    stars = bands.join(shared, "band").where("node <> pivot").groupBy("node").agg(F.collect_set("pivot").alias("pivots"))  # at most BANDS
+    # a text needs one edge, to its smallest pivot; its other pivots are tied to that one, mostly alike for all texts of a group
+    low = F.array_min("pivots").alias("dst")
+    edges = stars.select(F.col("node").alias("src"), low).unionByName(stars.select(F.explode("pivots").alias("src"), low).where("src <> dst").distinct())
     groups = connected_components(edges)
     size = groups.groupBy("component").agg(F.count("*").alias("m"))
     size = materialize(size.select("component", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_blk")), "group-sizes")
