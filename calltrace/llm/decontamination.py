@@ -12,7 +12,7 @@ read whole in overlapping windows of ``WINDOW`` words, so that every stretch of
    length. At ``COPY`` of the passage's words it is a copy. From ``PARAPHRASE`` on it is a paraphrase if the answer's words are
    there too: those of the column ``answer``, or the passage's rarest terms where items have no answer.
 
-Words are compared in lower case without outer punctuation. Terms in more than ``STOP`` of the windows carry no weight,
+Words are compared in lower case without outer punctuation. Terms in more than ``STOP`` of the windows, and in more than ``RARE``, carry no weight,
 except the rarest of each passage. Null and empty texts and items match nothing; rows repeated with one id are read one by
 one and give equal rows once. What grows with the corpus stays in Spark; only term counts and the sketch reach the driver.
 """
@@ -32,7 +32,7 @@ from calltrace.llm.text import Words, blocks, bounded_batches, mix, plain_hashes
 ITEM_WORDS, WINDOW, STRIDE = 40, 64, 24
 SKETCH, RANK = 192, 96
 COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.8, 0.5, 0.8
-STOP = 0.02
+STOP, RARE = 0.02, 20
 ITEMS = 1000
 KEY_TERMS = 4
 
@@ -273,7 +273,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         weight = np.log((total + 1) / (df + 1))
         numbers = [np.unique(np.searchsorted(p.terms, w)) for w in p.words]
         rare = [t[np.argsort(df[t], kind="stable")[:KEY_TERMS]] for t in numbers]
-        active = df <= STOP * total
+        active = df <= max(STOP * total, RARE)
         active[np.concatenate(rare)] = True
         keys = [a if a is not None and len(a) else p.terms[r] for a, r in zip(p.answers, rare, strict=True)]
         terms, weight = p.terms[active], np.maximum(weight[active], 1e-3)

@@ -185,9 +185,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = GRAM, doc_id:
     document, earlier start).
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
-    spans = covered(rows, window, gram).groupBy("id", "tid").agg(F.collect_list("pos").alias("_ss_at"))
+    spans = covered(rows, window, gram).groupBy(F.col("id").alias("_ss_i"), F.col("tid").alias("_ss_t")).agg(F.collect_list("pos").alias("_ss_at"))
     given = docs.withColumn("_ss_text", F.col(text)).withColumn("_ss_tid", F.xxhash64(text)).withColumn("_ss_id", F.col(doc_id).cast("long"))
-    joined = given.join(spans, given._ss_id.eqNullSafe(spans.id) & (given._ss_tid == spans.tid), "left").select(*docs.columns, "_ss_text", "_ss_at")
+    joined = given.join(spans, F.col("_ss_id").eqNullSafe(F.col("_ss_i")) & (F.col("_ss_tid") == F.col("_ss_t")), "left").select(*docs.columns, "_ss_text", "_ss_at")
     schema = StructType(docs.schema.fields[:]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return joined.mapInArrow(_cut_rows(window, docs.columns), schema)
 
