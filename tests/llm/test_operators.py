@@ -157,7 +157,8 @@ def test_answer_check(spark):
     text = " ".join(f"a{i}" for i in range(20))
     part = " ".join(f"a{i}" for i in range(20) if i % 3)
     bench = spark.createDataFrame([(1, text, "a1 a2"), (2, text, "missing answer")], "item_id long, text string, answer string")
-    got = decontamination.contaminated(spark.createDataFrame([(1, "x y z " + part), (2, "nothing of it")], "doc_id long, text string"), bench).collect()
+    rows = [(1, "x y z " + part), *[(i, f"nothing of it {i}") for i in range(2, 200)]]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert [(r.doc_id, r.item_id, r.kind) for r in got] == [(1, 1, "paraphrase")]
 
 
