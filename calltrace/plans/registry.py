@@ -129,17 +129,6 @@ def q_pair_score(spark, sf_dir):
     return pairs.select(F.col("x.event_id").alias("a"), F.col("y.event_id").alias("b"), F.round(scored.pair_score("x", "y"), 6).alias("score"))
 
 
-@query()
-def q_scored_sessions(spark, sf_dir):
-    """Greedy scored correlation, exact within independent blocks; sessions with confidence and architecture.
-
-    Calls are cut at ten minutes, as calls of a day would all overlap in time.
-    """
-    v = _voice(spark, sf_dir).withColumns({"event_id": F.lpad(F.col("event_id").cast("string"), 12, "0"), "call_id": F.concat_ws("-", "calling_number", F.substring("ci", 4, 20))})
-    s = scored.build_sessions(v, scored.correlate_scored(v))
-    return s.select("session_id", "architecture", "calling_number", "called_number", "event_count", "correlation_confidence", "confidence_level", "duration_seconds")
-
-
 def _links(e: DataFrame) -> DataFrame:
     """INVITE and BYE events belong to their call, the others to none."""
     own = e.where("message_type IN ('INVITE', 'BYE')")
