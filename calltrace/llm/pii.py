@@ -4,17 +4,19 @@ Base entities (e-mail, IPv4, card, phone) come from fixed patterns and are seeds
 kind with the word before it, and its kind with the word after it. Other identifier-like tokens (those with a digit or an
 ``@`` that no base span covers) are candidates and meet the same contexts. Spark scores the bipartite graph of patterns
 and instances for ``rounds`` rounds: a pattern's confidence is the share of its occurrences that known instances hold,
-a candidate is known once a confident pattern with enough support extracts it and it fits the kind. Confident patterns
-then add the spans of the candidates they extract.
+an instance is known once a confident pattern with enough support extracts one of its mentions and it fits the kind, and
+is then known in all its contexts, which can make further patterns confident. Confident patterns add the spans of the
+candidates they extract; a known instance's mention that no confident pattern extracts is evidence only.
 
-The graph holds one row per (pattern, kinds the instance fits) with a count, made by partial aggregation in each task, and
-candidate spans meet confident patterns in a join, so nothing grows with a hot context in one task. Texts are read whole;
+The graph holds one row per (pattern, instance) with a count, made by partial aggregation in each task; candidates that fit no
+kind are one row per pattern. Instances and patterns meet in joins, so nothing grows with a hot context in one task. Texts are read whole;
 null counts as empty; a text without entities returns one row with no spans. All base patterns are searched with anchors
 that make them linear in the text's length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -92,6 +94,14 @@ def fits(token: str) -> str:
     return ",".join(k for k in KINDS if could[k])
 
 
+def instance(token: str, could: str) -> bytes | None:
+    """Key of the identifier that a token names: in lower case, numbers but addresses by their digits; null where it could be of no kind."""
+    if not could:
+        return None
+    plain = "".join(c for c in token if c.isdigit()) if could in ("card", "phone", "card,phone") else token.lower()
+    return hashlib.blake2b(f"{could}:{plain}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def contexts(text: str, start: int, end: int) -> tuple[str, str]:
     """The word before and the word after a span, in lower case; empty at a text's ends."""
     before = _BEFORE.search(text, max(0, start - _CONTEXT), start)
@@ -116,55 +126,62 @@ def candidate_spans(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tu
             yield s, e
 
 
-_MENTIONS = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string()), ("fits", pa.string())])
+_MENTIONS = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string()), ("fits", pa.string()), ("instance", pa.binary())])
 
 
 def _mentions(batches):
-    """Base spans with their kind, and candidates with a null kind, each with contexts and the kinds it fits; one row without a span for a text that has none."""
+    """Base spans with their kind, and candidates with a null kind, each with contexts, the kinds it fits and its instance; one row without a span for a text that has none."""
     for block in blocks(batches):
         rows = []
         for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
             text = text or ""
             base = base_spans(text)
             for kind, s, e in base:
-                rows.append((doc_id, kind, s, e, *contexts(text, s, e), fits(text[s:e])))
-            extra = [(doc_id, None, s, e, *contexts(text, s, e), fits(text[s:e])) for s, e in candidate_spans(text, base)]
+                could = fits(text[s:e])
+                rows.append((doc_id, kind, s, e, *contexts(text, s, e), could, instance(text[s:e], could)))
+            extra = [(doc_id, None, s, e, *contexts(text, s, e), could, instance(text[s:e], could)) for s, e in candidate_spans(text, base) for could in (fits(text[s:e]),)]
             rows += extra
             if not base and not extra:
-                rows.append((doc_id, "", 0, 0, "", "", ""))
+                rows.append((doc_id, "", 0, 0, "", "", "", None))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MENTIONS, strict=True)], schema=_MENTIONS)
 
 
 def mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _mentions, "doc_id long, kind string, start int, end int, before string, after string, fits string"
+        _mentions, "doc_id long, kind string, start int, end int, before string, after string, fits string, instance binary"
     )
 
 
 def confident_patterns(found: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
-    """``(side, word, fits, kind)``: contexts whose occurrences are known instances of one kind, for tokens that fit that kind.
+    """``(side, word, kind)``: contexts whose occurrences are known instances of one kind.
 
     ``found`` comes from :func:`mentions`. A pattern is a context word on one side. In each round its confidence for a
     kind is known occurrences / all occurrences; those with at least ``support`` known occurrences and at least
-    ``confidence`` make every candidate in them that fits the kind an instance of it, which counts as known from then on.
+    ``confidence`` make every candidate in them that fits the kind an instance of it, which counts as known in all its
+    contexts from then on. Rounds end early when one adds no instance.
     """
     sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word"))))
     graph = materialize(
-        found.where("kind IS NULL OR kind <> ''").select(sides.alias("c"), "fits", "kind").select("c.side", "c.word", "fits", "kind")
-        .where("word <> ''").groupBy("side", "word", "fits", "kind").agg(F.count("*").alias("n")),
+        found.where("kind IS NULL OR kind <> ''").select(sides.alias("c"), "instance", "fits", "kind").select("c.side", "c.word", "instance", "fits", "kind")
+        .where("word <> ''").groupBy("side", "word", "instance", "fits", "kind").agg(F.count("*").alias("n")),
         "pii-graph",
     )
-    seeds = graph.where("kind IS NOT NULL")
-    totals = graph.groupBy("side", "word").agg(F.sum("n").alias("all"))
-    loose = graph.where("kind IS NULL").drop("kind")
-    taken = None
+    totals = materialize(graph.groupBy("side", "word").agg(F.sum("n").alias("all")), "pii-totals")
+    seeds = graph.where("kind IS NOT NULL").select("side", "word", "kind", "n")
+    loose = graph.where("kind IS NULL AND instance IS NOT NULL").select("side", "word", "instance", "fits", "n")
+    fit = F.array_contains(F.split("fits", ","), F.col("kind"))
+    known = materialize(found.where("kind <> '' AND instance IS NOT NULL").where(fit).select("instance", "kind").distinct(), "pii-known")
+    size = known.count()
     for _ in range(rounds):
-        known = seeds if taken is None else seeds.unionByName(taken)
-        good = known.groupBy("side", "word", "kind").agg(F.sum("n").alias("known")).join(totals, ["side", "word"])
-        good = good.where((F.col("known") >= support) & (F.col("known") >= confidence * F.col("all"))).select("side", "word", "kind")
-        taken = materialize(loose.join(good, ["side", "word"]).where(F.array_contains(F.split("fits", ","), F.col("kind"))).select("side", "word", "fits", "kind", "n"), "pii-taken")
-    return taken.select("side", "word", "fits", "kind").distinct()
+        held = seeds.unionByName(loose.join(known, "instance").select("side", "word", "kind", "n"))
+        good = held.groupBy("side", "word", "kind").agg(F.sum("n").alias("known")).join(totals, ["side", "word"])
+        good = materialize(good.where((F.col("known") >= support) & (F.col("known") >= confidence * F.col("all"))).select("side", "word", "kind"), "pii-good")
+        known = materialize(known.unionByName(loose.join(good, ["side", "word"]).where(fit).select("instance", "kind")).distinct(), "pii-known")
+        size, before = known.count(), size
+        if size == before:
+            break
+    return good
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **scoring) -> DataFrame:
@@ -174,8 +191,8 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     found = materialize(mentions(docs, doc_id, text), "pii-mentions")
     patterns = confident_patterns(found, **scoring)
-    loose = found.where("kind IS NULL").select("doc_id", "start", "end", "fits", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))).alias("c"))
-    added = loose.select("doc_id", "start", "end", "fits", "c.side", "c.word").join(materialize(patterns, "pii-patterns"), ["side", "word", "fits"])
+    loose = found.where("kind IS NULL AND instance IS NOT NULL").select("doc_id", "start", "end", "fits", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))).alias("c"))
+    added = loose.select("doc_id", "start", "end", "fits", "c.side", "c.word").join(patterns, ["side", "word"]).where(F.array_contains(F.split("fits", ","), F.col("kind")))
     added = added.groupBy("doc_id", "start", "end").agg(F.min("kind").alias("kind"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct(rank.alias("rank"), "start", "end", "kind")

@@ -299,6 +299,19 @@ def test_pii_bootstraps(spark, empty):
 
 
 # --- 10 ------------------------------------------------------------------------------------------------------------------
+def test_pii_later_rounds(spark):
+    """Identifiers known from one context make their other context confident, which gives one that no seed's context extracts."""
+    rows = [(50 + i, f"x mail person{i}@site.org {'y' * i}z") for i in range(30)]
+    rows += [(20 + i, f"x mail u{i}@host z{chr(97 + i)}") for i in range(6)]
+    rows += [(30 + i, f"x write U{i}@host v{chr(97 + i)}") for i in range(6)]
+    rows += [(40, "x write last9@host w"), (41, "elsewhere last9@host again"), (42, "never other9@host here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.doc_id: r.spans for r in pii.find_personal_data(docs, rounds=n).collect()} for n in (1, 2, 3)]
+    assert all(got[0][20 + i] and not got[0][30 + i] for i in range(6)) and not got[0][40]
+    for later in got[1:]:
+        assert all(later[30 + i] for i in range(6)) and [tuple(x) for x in later[40]] == [(1, 8, 18, "email")] and not later[41] and not later[42]
+
+
 def test_token_counts(spark, docs, corpus, empty):
     rollup = token_counts.TokenRollup(spark, new_path(spark, "t"))
     assert rollup.totals().count() == 0
