@@ -231,7 +231,7 @@ def _search(shared):
                 names = ["share", "cosine", "told", "at"]
                 cols = [pa.array(c, t) for c, t in zip(zip(*out.values(), strict=True), (pa.float64(), pa.float64(), pa.float64(), pa.int32()), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("id").take(take), block.column("tid").take(take), pa.array([found["item"][p] for _, p in out], pa.int64()), pa.array([p for _, p in out], pa.int32()), *cols],
+                    [block.column("id").take(take), block.column("tid").take(take), pa.array([found["item"][p] for _, p in out], pa.int64()), pa.array([p for _, p in out], pa.int64()), *cols],
                     names=["id", "tid", "item_id", "passage", *names],
                 )
 
@@ -248,16 +248,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    given = benchmark.select("item_id", F.col("text").alias("t"), answer.alias("a")).where("item_id IS NOT NULL AND t IS NOT NULL")
-    schema = "id long, tid long, item_id long, passage int, share double, cosine double, told double, at int"
+    given = materialize(benchmark.select(F.col("item_id"), F.col("text").alias("t"), F.coalesce(answer, F.lit("")).alias("a")).where("item_id IS NOT NULL AND t IS NOT NULL").distinct(), "benchmark-items")
+    schema = "id long, tid long, item_id long, passage long, share double, cosine double, told double, at int"
     found = None
-    last = None
+    last, n_passages = None, 0
     while True:  # the stated query set against all rows, in blocks
-        block = given if last is None else given.where(F.col("item_id") > last)
-        taken = block.orderBy("item_id", "t").limit(ITEMS).collect()
+        block = given
+        if last is not None:  # rows are distinct, so the whole row is the cursor
+            i, t, a = (F.col(c) for c in ("item_id", "t", "a"))
+            block = given.where((i > last.item_id) | ((i == last.item_id) & ((t > last.t) | ((t == last.t) & (a > last.a)))))
+        taken = block.orderBy("item_id", "t", "a").limit(ITEMS).collect()
         if not taken:
             break
-        last = taken[-1].item_id
+        last = taken[-1]
         p = passages([(r.item_id, r.t, r.a) for r in taken])
         if not len(p.terms):
             continue
@@ -293,7 +296,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         least = max(1, min(int(np.ceil(PARAPHRASE * 0.8 * len(t))) for t in numbers))
         # everything here is bounded by ITEMS, ITEM_WORDS and RANK
         shared = spark.sparkContext.broadcast((terms, weight, basis, {"latent": latent.astype(np.float32), "least": least, "words": p.words, "item": p.item}, keys))
-        part = materialize(rows.mapInArrow(_search(shared), schema), "contaminated")
+        part = materialize(rows.mapInArrow(_search(shared), schema).withColumn("passage", F.col("passage") + n_passages), "contaminated")
+        n_passages += len(p.words)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)

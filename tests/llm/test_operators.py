@@ -153,6 +153,17 @@ def test_decontamination(spark, docs, corpus, empty):
     assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.contaminated(docs, bench.where("item_id = 3")).count() == 0
 
 
+def test_benchmark_pages(spark, monkeypatch):
+    """Items of more rows than a page, rows repeated whole, and items that cross a page's border: each row is searched."""
+    monkeypatch.setattr(decontamination, "ITEMS", 2)
+    text = lambda k: " ".join(f"{w}{k}" for w in "ab cd ef gh ij kl mn op qr st".split())
+    items = [(1, text(0)), *[(2, text(k)) for k in range(1, 6)], (2, text(1)), (2, text(1)), (3, text(6))]
+    rows = [(k, f"before {text(k)} after") for k in range(7)] + [(100, " ".join(text(k) for k in range(1, 6)))] + [(i, f"nothing of it {i}") for i in range(200, 300)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_passages for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1): 1, (6, 3): 1, (100, 2): 5} | {(k, 2): 1 for k in range(1, 6)}
+
+
 def test_answer_check(spark):
     text = " ".join(f"a{i}" for i in range(20))
     part = " ".join(f"a{i}" for i in range(20) if i % 3)
