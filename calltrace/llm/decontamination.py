@@ -9,8 +9,9 @@ read whole in overlapping windows of ``WINDOW`` words, so that every stretch of
    is decomposed, and its ``RANK`` leading right singular vectors span the latent space.
 3. Every window is projected and compared with all item passages; those with a cosine of at least ``COSINE`` are candidates.
 4. A candidate is verified on its words: the longest common subsequence with a stretch of the window of about the passage's
-   length. At ``COPY`` of the passage's words it is a copy. From ``PARAPHRASE`` on it is a paraphrase if the answer's words are
-   there too: those of the column ``answer``, or the passage's rarest terms where items have no answer.
+   length. At ``COPY`` of the passage's words it is a copy. From ``PARAPHRASE`` on it is a paraphrase if ``ANSWER`` of the
+   words of the column ``answer`` are there too, or, where an item has no answer, words that hold ``PARAPHRASE`` of the passage's
+   weight: the sum over its distinct words of their inverse document frequency.
 
 Words are compared in lower case without outer punctuation. Terms in more than ``STOP`` of the windows, and in more than ``RARE``, carry no weight,
 except the rarest of each passage. Null and empty texts and items match nothing; rows repeated with one id are read one by
@@ -167,6 +168,7 @@ def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
 def _search(shared):
     def run(batches):
         terms, weight, basis, found, keys = shared.value
+        keys = [(a.tolist(), w.tolist(), max(float(w.sum()), 1e-9), enough) for a, w, enough in keys]
         finder = Finder(terms)
         latent, least = found["latent"], found["least"]
         project = (basis * weight[:, None]).astype(np.float32)
@@ -219,9 +221,9 @@ def _search(shared):
                         if share < PARAPHRASE:
                             continue
                         part = set(text[where : where + size])
-                        answer = keys[p]
-                        told = sum(int(w) in part for w in answer.tolist()) / len(answer)
-                        if share >= COPY or told >= ANSWER:
+                        answer, worth, whole, enough = keys[p]
+                        told = sum(v for w, v in zip(answer, worth, strict=True) if w in part) / whole
+                        if share >= COPY or told >= enough:
                             key = (int(doc[k]), int(p))
                             new = (share, self_cos, told, int(a0 + where - words.first[doc[k]]))
                             if key not in out or new > out[key]:
@@ -278,7 +280,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         rare = [t[np.argsort(df[t], kind="stable")[:KEY_TERMS]] for t in numbers]
         active = df <= max(STOP * total, RARE)
         active[np.concatenate(rare)] = True
-        keys = [a if a is not None and len(a) else p.terms[r] for a, r in zip(p.answers, rare, strict=True)]
+        # words that tell a paraphrase, what each is worth, and the share that is enough
+        keys = [(a, np.ones(len(a)), ANSWER) if a is not None and len(a) else (p.terms[t], np.maximum(weight[t], 1e-3), PARAPHRASE) for a, t in zip(p.answers, numbers, strict=True)]
         terms, weight = p.terms[active], np.maximum(weight[active], 1e-3)
         numbers = [np.flatnonzero(np.isin(terms, w)) for w in p.words]
         q = np.zeros((len(p.words), len(terms)))

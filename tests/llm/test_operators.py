@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -153,6 +154,20 @@ def test_decontamination(spark, docs, corpus, empty):
     assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.contaminated(docs, bench.where("item_id = 3")).count() == 0
 
 
+def test_paraphrases_without_answers(spark, docs, corpus):
+    """A paraphrase is found though some of the rarest words are missing; common words in the same order are none."""
+    rnd, clean = random.Random(3), corpus[12][1].split()
+    item = [f"bench{i // 2}" if i % 2 == 0 else clean[i // 2] for i in range(36)]
+    rows = [*corpus, (1002, " ".join(["start", *(w for i, w in enumerate(item) if i % 4), "end"]), *corpus[0][2:])]
+    for k in range(20):
+        gone = set(rnd.sample(range(36), 9))
+        rows.append((1100 + k, " ".join(f"new{k}x{i}" if i in gone else w for i, w in enumerate(item)), *corpus[0][2:]))
+    rows.append((1200, " ".join(f"other{i}" if i % 2 == 0 else w for i, w in enumerate(item)), *corpus[0][2:]))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.kind for r in decontamination.contaminated(spark.createDataFrame(rows, docs.schema), bench).collect()}
+    assert got == {i: "paraphrase" for i in (1002, *range(1100, 1120))}
+
+
 def test_benchmark_pages(spark, monkeypatch):
     """Items of more rows than a page, rows repeated whole, and items that cross a page's border: each row is searched."""
     monkeypatch.setattr(decontamination, "ITEMS", 2)
