@@ -8,6 +8,8 @@ read whole in overlapping windows of ``WINDOW`` words, so that every stretch of
    random sums (a sparse random projection of the rows); the summed sketch, of fixed size, together with the items' own rows
    is decomposed, and its ``RANK`` leading right singular vectors span the latent space.
 3. Every window is projected and compared with all item passages; those with a cosine of at least ``COSINE`` are candidates.
+   Beside them, by exact sums over the terms that both hold, so are windows that share ``CUE`` of a passage's weight, or less
+   where its words without weight could make up for the rest; what the rank cuts off is found by these.
 4. A candidate is verified on its words: the longest common subsequence with a stretch of the window of about the passage's
    length. At ``COPY`` of the passage's words it is a copy. From ``PARAPHRASE`` on it is a paraphrase if ``ANSWER`` of the
    words of the column ``answer`` are there too, or, where an item has no answer, words that hold ``PARAPHRASE`` of the passage's
@@ -35,6 +37,8 @@ SKETCH, RANK = 192, 96
 COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.8, 0.5, 0.8
 STOP, RARE = 0.02, 20
 ITEMS = 1000
+#: Share of a passage's weight that makes a window a candidate whatever the cosine.
+CUE = 0.25
 KEY_TERMS = 4
 
 
@@ -171,6 +175,8 @@ def _search(shared):
         keys = [(a.tolist(), w.tolist(), max(float(w.sum()), 1e-9), enough) for a, w, enough in keys]
         finder = Finder(terms)
         latent, least = found["latent"], found["least"]
+        # passages of each term, and the weight that a window must share with each passage
+        first, holders, cue = found["first"], found["holders"], found["cue"]
         project = (basis * weight[:, None]).astype(np.float32)
         items = found["words"]
         masks = []
@@ -185,7 +191,7 @@ def _search(shared):
             words = Words(block.column("text"))
             h, doc, start, end, row, term = _window_hits(words, finder)
             count = np.bincount(row, minlength=len(start))
-            keep = np.flatnonzero(count >= least)
+            keep = np.flatnonzero((count >= least) | (np.bincount(row, weight[term], len(start)) >= cue.min()))
             out: dict[tuple[int, int], tuple] = {}
             if len(keep):
                 slot = np.full(len(start), -1, np.int64)
@@ -199,8 +205,11 @@ def _search(shared):
                     e = np.add.reduceat(project[term[a:b]], cuts[lo:hi] - a, axis=0)
                     e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
                     cos = e @ latent.T
+                    some = first[term[a:b] + 1] - first[term[a:b]]
+                    pair = np.repeat((np.cumsum(np.bincount(cuts[lo:hi] - a, minlength=b - a)) - 1) * len(items), some) + holders[ranges(first[term[a:b]], some)]
+                    shared_weight = np.bincount(pair, np.repeat(weight[term[a:b]], some), (hi - lo) * len(items)).reshape(hi - lo, -1)
                     seen = -1
-                    for x, p in zip(*(c.tolist() for c in np.nonzero(cos >= COSINE)), strict=True):
+                    for x, p in zip(*(c.tolist() for c in np.nonzero((cos >= COSINE) | (shared_weight >= cue))), strict=True):
                         k = keep[lo + x]
                         if k != seen:
                             seen = k
@@ -283,7 +292,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         # words that tell a paraphrase, what each is worth, and the share that is enough
         keys = [(a, np.ones(len(a)), ANSWER) if a is not None and len(a) else (p.terms[t], np.maximum(weight[t], 1e-3), PARAPHRASE) for a, t in zip(p.answers, numbers, strict=True)]
         terms, weight = p.terms[active], np.maximum(weight[active], 1e-3)
+        whole = np.array([w.sum() for _, w, _ in keys])
         numbers = [np.flatnonzero(np.isin(terms, w)) for w in p.words]
+        own = np.array([weight[t].sum() for t in numbers])
+        # what a paraphrase must share, if it holds all words without weight; one term at least
+        cue = np.minimum(CUE * own, [(PARAPHRASE * all_ - (all_ - mine)) if enough == PARAPHRASE else np.inf for all_, mine, (_, _, enough) in zip(whole, own, keys, strict=True)])
+        cue = np.maximum(cue, [weight[t].min() for t in numbers]) * (1 - 1e-9)
+        holders = np.repeat(np.arange(len(numbers)), [len(t) for t in numbers])
+        flat = np.concatenate(numbers)
+        order = np.argsort(flat, kind="stable")
+        postings = {"first": np.searchsorted(flat[order], np.arange(len(terms) + 1)), "holders": holders[order], "cue": cue}
         q = np.zeros((len(p.words), len(terms)))
         for k, t in enumerate(numbers):
             q[k, t] = weight[t]
@@ -298,7 +316,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         least = max(1, min(int(np.ceil(PARAPHRASE * 0.8 * len(t))) for t in numbers))
         # everything here is bounded by ITEMS, ITEM_WORDS and RANK
-        shared = spark.sparkContext.broadcast((terms, weight, basis, {"latent": latent.astype(np.float32), "least": least, "words": p.words, "item": p.item}, keys))
+        shared = spark.sparkContext.broadcast((terms, weight, basis, {"latent": latent.astype(np.float32), "least": least, "words": p.words, "item": p.item, **postings}, keys))
         part = materialize(rows.mapInArrow(_search(shared), schema).withColumn("passage", F.col("passage") + n_passages), "contaminated")
         n_passages += len(p.words)
         found = part if found is None else found.unionByName(part)

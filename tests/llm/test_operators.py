@@ -168,6 +168,18 @@ def test_paraphrases_without_answers(spark, docs, corpus):
     assert got == {i: "paraphrase" for i in (1002, *range(1100, 1120))}
 
 
+def test_copies_beyond_the_latent_space(spark, monkeypatch):
+    """Copies are found where the latent space is too small for the block's passages."""
+    monkeypatch.setattr(decontamination, "RANK", 8)
+    items = [" ".join(f"i{k}w{j}" for j in range(24)) for k in range(40)]
+    rows = [(k, f"{t} {' '.join(items[k % 4].split()[:16])}") for k, t in enumerate(items) if k > 3]
+    rows += [(100 + i, items[i % 4]) for i in range(40)] + [(1000 + i, f"nothing of it {i}") for i in range(200)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(k, i) for k in range(4, 40) for i in (k, k % 4)} | {(100 + i, i % 4) for i in range(40)}
+    assert min(got[k, k].cosine for k in range(4, 40)) < decontamination.COSINE and all(got[k, k].lcs == 1.0 for k in range(4, 40))
+
+
 def test_benchmark_pages(spark, monkeypatch):
     """Items of more rows than a page, rows repeated whole, and items that cross a page's border: each row is searched."""
     monkeypatch.setattr(decontamination, "ITEMS", 2)
