@@ -17,8 +17,9 @@ def labels(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(p), F.lit(name)) for p, name in table]), lambda x: x.isNotNull())
 
 
-def device_ip(text: Column) -> Column:
-    head = lambda n: F.substring(text, 1, n)
+def device_ip(text: Column, compat: bool = False) -> Column:
+    """``compat``: only the beginning is read, as far as the reference does."""
+    head = lambda n: F.substring(text, 1, n) if compat else text
     return F.coalesce(
         capture(head(10000), r"HostIPAddress:\s*(?:::ffff:)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"),
         capture(head(50000), r"(?:Sent:|Received:).*?to\s+(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}):\d+"),
@@ -26,21 +27,21 @@ def device_ip(text: Column) -> Column:
     )
 
 
-def device_name(text: Column) -> Column:
-    head = lambda n: F.substring(text, 1, n)
+def device_name(text: Column, compat: bool = False) -> Column:
+    head = lambda n: F.substring(text, 1, n) if compat else text
     return F.coalesce(
         capture(head(10000), r"HostName:\s*([^\s,]+)"), capture(head(30000), r"@([A-Za-z0-9_-]+)\.[A-Za-z0-9_.-]+\.cisco\.com"), capture(head(20000), r"\n([A-Za-z0-9_-]{3,15})[#>]")
     )
 
 
-def classify(files: DataFrame, text: str = "content", name: str = "file_name", as_of: str = "20260920_000000", tables: dict | None = None) -> DataFrame:
+def classify(files: DataFrame, text: str = "content", name: str = "file_name", as_of: str = "20260920_000000", tables: dict | None = None, compat: bool = False) -> DataFrame:
     """``(file_name, trace_type, device_type, device_name, device_ip, confidence, evidence, recommended_filename)`` per file.
 
-    Content decides: labels of five families are counted over the first 150,000 characters and met by an ordered list of
+    Content decides: labels of five families are counted over the whole text (``compat``: its first 150,000 characters) and met by an ordered list of
     rules; a file without enough marks falls back on its name. Null and blank texts are UNKNOWN at 0.
     """
     tables = tables or P.CLASSES
-    sample = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE)
+    sample = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE) if compat else F.coalesce(F.col(text), F.lit(""))
     x = files.select(F.col(name).alias("file_name"), F.col(text).alias("_text"), sample.alias("_sample")).withColumns({f"_{k.lower()}": labels(F.col("_sample"), t) for k, t in tables.items()})
     sdl, isdn, sip, mgcp, ccapi = (F.col(f"_{k}") for k in ("cucm_sdl", "isdn_q931", "sip", "mgcp", "ccapi"))
     some = lambda found, marks: F.exists(found, lambda e: e.rlike("|".join(marks)))
@@ -64,7 +65,7 @@ def classify(files: DataFrame, text: str = "content", name: str = "file_name", a
         (low.contains("sip"), "SIP", F.lit("VOICE_GATEWAY"), None, F.lit(0.60), weak("sip"), None),
         (F.lit(True), "UNKNOWN", F.lit("UNKNOWN"), None, F.lit(0.20), F.array(F.lit("No recognizable Cisco voice signaling markers found")), None),
     ]
-    ip, host = device_ip(F.col("_text")), device_name(F.col("_text"))
+    ip, host = device_ip(F.col("_text"), compat), device_name(F.col("_text"), compat)
     null = F.lit(None).cast("string")
 
     def case(pick):
@@ -86,15 +87,17 @@ def classify(files: DataFrame, text: str = "content", name: str = "file_name", a
     )
 
 
-def pattern_counts(text: Column, table: dict[str, tuple[str, ...]] | None = None, sample: int = 100_000) -> dict[str, Column]:
-    """By protocol, how many of its patterns the text's beginning holds."""
-    head = F.substring(F.coalesce(text, F.lit("")), 1, sample)
+def pattern_counts(text: Column, table: dict[str, tuple[str, ...]] | None = None, sample: int | None = None) -> dict[str, Column]:
+    """By protocol, how many of its patterns the text holds, or its first ``sample`` characters."""
+    head = F.coalesce(text, F.lit(""))
+    if sample is not None:
+        head = F.substring(head, 1, sample)
     return {k: sum((head.rlike(p).cast("int") for p in ps), F.lit(0)) for k, ps in (table or P.PRIMARY).items()}
 
 
-def primary_protocol(text: Column, table: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """The protocol with most patterns, the first of equals; UNKNOWN without any."""
-    counts = pattern_counts(text, table)
+def primary_protocol(text: Column, table: dict[str, tuple[str, ...]] | None = None, sample: int | None = None) -> Column:
+    """The protocol with most patterns, the first of equals; UNKNOWN without any. The reference's ``sample`` is 100,000."""
+    counts = pattern_counts(text, table, sample)
     best = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
     out = F.when(best < 1, "UNKNOWN")
     for k, c in counts.items():
@@ -109,8 +112,9 @@ def segment_protocol(block: Column) -> Column:
     return out.otherwise("UNKNOWN")
 
 
-def protocols_present(text: Column, table: dict[str, tuple[str, ...]] | None = None) -> Column:
-    counts = pattern_counts(text, table, 200_000)
+def protocols_present(text: Column, table: dict[str, tuple[str, ...]] | None = None, sample: int | None = None) -> Column:
+    """The protocols with any pattern. The reference's ``sample`` is 200,000."""
+    counts = pattern_counts(text, table, sample)
     return F.filter(F.array(*[F.when(c > 0, k) for k, c in counts.items()]), lambda x: x.isNotNull())
 
 

@@ -145,6 +145,17 @@ def test_classification(spark):
     assert got["x1.txt"]["device_name"] == "UCM15-HQ-PUB" and got["x5.txt"]["confidence"] == 0.0 and got["sip_weak.txt"]["confidence"] == 0.6
 
 
+def test_classification_reads_whole_texts(spark):
+    """Marks behind a long beginning count; the reference's limits are an option."""
+    late = "x\n" * 110_000
+    df = spark.createDataFrame([("x1.txt", late + SIP + "\nHostName: LATE-01,\nHostIPAddress: 10.9.8.7\n")], "file_name string, content string")
+    c, table = F.col("content"), {"SIP": ("INVITE",)}
+    got = df.select(classify.primary_protocol(c, table).alias("a"), classify.primary_protocol(c, table, 100_000).alias("b"), classify.protocols_present(c, table).alias("c"), classify.protocols_present(c, table, 200_000).alias("d")).first()
+    assert tuple(got) == ("SIP", "UNKNOWN", ["SIP"], [])
+    whole, cut = (classify.classify(df, compat=x).first() for x in (False, True))
+    assert (whole.trace_type, whole.device_name, whole.device_ip) == ("SIP", "LATE-01", "10.9.8.7") and cut.trace_type == "UNKNOWN"
+
+
 def test_components_and_numbers(spark):
     from calltrace.operators.components import connected_components
 
