@@ -1,7 +1,8 @@
 """Token ids of texts by a public tokenizer, with each distinct piece encoded once a worker.
 
 A text is cut before spaces. Where the pre-tokenizer breaks there anyway, the pieces' ids end to end are the text's ids;
-a text with a space between two pieces of which the first ends in white space and the next starts with it is encoded whole.
+a text with a space between two pieces of which the first ends in white space and the next starts with it is encoded whole,
+as is a text that holds an added token's content, such as ``<|endoftext|>``.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ class Encoder:
         return cls._made[name]
 
     def __init__(self, name: str):
-        self.model = Tokenizer.from_file(public_tokenizers.path(name))
-        self.model.encode_special_tokens = True
+        self.model = Tokenizer.from_file(public_tokenizers.path(name))  # as it is, for whole texts
+        self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.plain = Tokenizer.from_file(public_tokenizers.path(name))  # for pieces
+        self.plain.encode_special_tokens = True
         self._clear()
 
     def _clear(self) -> None:
@@ -78,13 +81,13 @@ class Encoder:
         plain &= np.fromiter((p[:1] == " " for p in pieces), bool, n)
         rest = np.flatnonzero(~plain)
         if len(rest):
-            got = [e.ids for e in self.model.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+            got = [e.ids for e in self.plain.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
             self._keep(first + rest, np.fromiter(map(len, got), np.int64, len(got)), np.fromiter((i for g in got for i in g), np.int64))
         plain = np.flatnonzero(plain)
         for lo in range(0, len(plain), 4000):
             which = plain[lo : lo + 4000]
             part = [pieces[i] for i in which]
-            got = self.model.encode("".join(part), add_special_tokens=False)
+            got = self.plain.encode("".join(part), add_special_tokens=False)
             starts = np.cumsum([0] + [len(p) for p in part])
             at = np.fromiter((s for s, _ in got.offsets), np.int64, len(got))
             self._keep(first + which, np.diff(np.searchsorted(at, starts)), np.array(got.ids, np.int64))
@@ -98,6 +101,20 @@ class Encoder:
         self.count[at] = sizes
         self.used += len(ids)
 
+    def _with_added(self, data: np.ndarray, offs: np.ndarray) -> set[int]:
+        """The texts that hold an added token's content."""
+        out, body = set(), data.tobytes()
+        for token in self.added:
+            at = body.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(offs, at, "right")) - 1
+                if at + len(token) <= offs[i + 1]:
+                    out.add(i)
+                    at = body.find(token, int(offs[i + 1]))
+                else:
+                    at = body.find(token, at + 1)
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, ends)``: all ids of a block of texts end to end, and where each text's ids end; null counts as empty."""
         if self.known > CACHE:
@@ -126,9 +143,10 @@ class Encoder:
         bad = self.shut[which[:-1]] & self.open[which[1:]]
         inner = first[(first > 0) & (first < len(which))]
         bad[inner - 1] = False
-        if not bad.any():
+        odd = self._with_added(data, offs)
+        if not bad.any() and not odd:
             return ids, tops[1:]
-        odd = set((np.searchsorted(first, np.flatnonzero(bad), "right") - 1).tolist())
+        odd |= set((np.searchsorted(first, np.flatnonzero(bad), "right") - 1).tolist())
         parts = [
             np.array(self.model.encode(texts[i].as_py(), add_special_tokens=False).ids, ids.dtype) if i in odd else ids[tops[i] : tops[i + 1]]
             for i in range(len(texts))

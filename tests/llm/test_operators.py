@@ -296,6 +296,20 @@ def test_encoder_matches_whole_texts():
 
 
 # --- 8 -------------------------------------------------------------------------------------------------------------------
+def test_encoder_keeps_added_tokens():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from calltrace.llm.tokens import Encoder
+
+    texts = ["a<|endoftext|>b c", "plain text", None, "", "<|endof", "text|> x", " <|endoftext|> <|endoftext|>", "x <|endoftext|", "again plain text"]
+    model, encoder = Tokenizer.from_file(path("byte_bpe_50k.json")), Encoder("byte_bpe_50k.json")
+    for _ in range(2):
+        ids, ends = encoder.encode(pa.array(texts))
+        assert [p.tolist() for p in np.split(ids, ends[:-1])] == [model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 50256 in ids
+
+
 def test_toxicity(spark, corpus, empty):
     bad = ["vilexx", "nastyqq", "horridzz"]
     rows, labels = [], []
