@@ -1,7 +1,8 @@
 """Words and word hashes of Arrow text columns, vectorised over bytes.
 
 A word is a run of ``[^\\x20\\x09-\\x0D]``. A block is a stretch of whole texts laid end to end; every function works on
-one block, so memory is bounded by the block size or the longest text.
+one block, so memory is bounded by the block size or the longest text. Bytes are hashed in pieces of ``PIECE``, so a very long
+text costs a few numbers per word, not per byte.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 18
+#: Bytes whose hash sums are held at once.
+PIECE = 1 << 18
 #: Rows of an Arrow batch; long texts make Spark's usual 10,000 too large.
 BATCH_ROWS = 512
 SPACE = np.zeros(256, bool)
@@ -26,7 +29,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64 and of its inverse, at least ``n`` of each."""
     have = _TABLES.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, BLOCK_BYTES + 4096)
+        size = max(n, PIECE + 4096)
         base = _BASE[which]
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
@@ -34,6 +37,8 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             out.append(np.multiply.accumulate(a))
         have = _TABLES[which] = (out[0], out[1])
+    if n > 4 * PIECE:  # for one very long text; kept no longer than that
+        del _TABLES[which]
     return have
 
 
@@ -54,6 +59,14 @@ def bounded_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores at its end where ``taken`` has it already (Spark ignores case)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of whole rows whose texts hold about ``size`` bytes."""
     for batch in batches:
@@ -79,41 +92,59 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def _bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words of texts with the given offsets, found piece by piece."""
+    starts, ends = [], []
+    for a in range(0, len(data), 4 * PIECE):
+        b = min(a + 4 * PIECE, len(data))
+        full = ~SPACE[data[a:b]]
+        before, after = np.empty_like(full), np.empty_like(full)
+        before[1:], before[0] = full[:-1], a > 0 and not SPACE[data[a - 1]]
+        after[:-1], after[-1] = full[1:], b < len(data) and not SPACE[data[b]]
+        cut = offs[np.searchsorted(offs, a) : np.searchsorted(offs, b, "right")]
+        before[cut[cut < b] - a] = False
+        after[cut[cut > a] - a - 1] = False
+        starts.append(np.flatnonzero(full & ~before) + a)
+        ends.append(np.flatnonzero(full & ~after) + a + 1)
+    none = np.zeros(0, np.int64)
+    return np.concatenate(starts or [none]), np.concatenate(ends or [none])
+
+
 class Words:
     """Word bounds of a block: byte ``start`` and ``end`` of each word, and ``first``: each text's first word, then the end."""
 
     def __init__(self, column: pa.Array, bounds: bool = True):
         self.data, self.offs = raw(column)
-        self._sums: np.ndarray | None = None
-        if not bounds:
-            return
-        gap = SPACE[self.data]
-        lead = ~gap
-        tail = lead.copy()
-        if len(gap):
-            cut = self.offs[(self.offs > 0) & (self.offs < len(gap))]
-            lead[1:] &= gap[:-1]
-            lead[cut] = ~gap[cut]
-            tail[:-1] &= gap[1:]
-            tail[cut - 1] = ~gap[cut - 1]
-        self.start = np.flatnonzero(lead)
-        self.end = np.flatnonzero(tail) + 1
-        self.first = np.searchsorted(self.start, self.offs)
+        if bounds:
+            self.start, self.end = _bounds(self.data, self.offs)
+            self.first = np.searchsorted(self.start, self.offs)
 
     def __len__(self) -> int:
         return len(self.start)
 
     def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None, data: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of the words, or of other byte ranges of the block."""
+        """64-bit hashes of the words, or of other byte ranges of the block, whose starts and ends must ascend."""
         start, end = self.start if start is None else start, self.end if end is None else end
-        up, down = powers(0, len(self.data) + 1)
-        if self._sums is None or data is not None:
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data if data is None else data).astype(np.uint64) * up[: len(self.data)] + up[: len(self.data)], out=sums[1:])
-            if data is not None:
-                return mix((sums[end] - sums[start]) * down[start])
-            self._sums = sums
-        return mix((self._sums[end] - self._sums[start]) * down[start])
+        return byte_hashes(self.data if data is None else data, start, end)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ascending byte ranges: sums of (byte + 1) times powers of an odd base, finalised."""
+    up, down = powers(0, PIECE + 1)
+    out = np.zeros(len(start), np.uint64)
+    sums = np.zeros(min(PIECE, len(data)) + 1, np.uint64)
+    for a in range(0, len(data), PIECE):
+        b = min(a + PIECE, len(data))
+        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=sums[1 : b - a + 1])
+        lo, hi = np.searchsorted(end, a, "right"), np.searchsorted(start, b)  # ranges that meet this piece
+        if lo >= hi:
+            continue
+        s, e = np.maximum(start[lo:hi], a) - a, np.minimum(end[lo:hi], b) - a
+        part = (sums[np.maximum(e, s)] - sums[s]) * down[s]
+        for k in np.flatnonzero(start[lo:hi] < a).tolist():  # begun in an earlier piece
+            part[k] = int(part[k]) * pow(_BASE[0], a - int(start[lo + k]), 1 << 64) & (1 << 64) - 1
+        out[lo:hi] += part
+    return mix(out)
 
 
 def runs(h: np.ndarray, n: int, which: int = 1) -> np.ndarray:

@@ -1,35 +1,48 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-A word's embedding is the sum of hashed embeddings of the word and of its first and last bytes, so that it also knows
-parts of words. Filters of several widths slide over the words of the whole text; each filter's maximum (and so any length
+A word's embedding is the sum of hashed embeddings of the word, of its beginnings (4, 6 and 8 bytes) and of its last 4 bytes,
+so that it also knows parts of words. Filters of several widths slide over the words of the whole text; each filter's maximum (and so any length
 of text) goes to a logistic unit. Training takes at most ``max_train`` labelled rows (a bounded, documented sample: those
 with the lowest hash of the id, half of it toxic rows at most) and minimises the weighted logistic loss by Adam, each
 step touching only the words that won a maximum. Embeddings start from smoothed log odds of the training rows.
 
+The sample meets in one task, not in the driver, and passes through it twice: once for the log odds, which count every word,
+once for the features, held as integers. Of a training text of more than ``MAX_WORDS`` words the ``MAX_WORDS`` that the log
+odds tell most about are held, each with its neighbours in the width of the filters, wherever in the text they are. So the
+task holds at most ``max_train * MAX_WORDS`` words, and no labelled text is left out or cut off.
+
 Scores are calibrated on a held-out fifth of the training rows. A threshold per language is chosen there as well: the one
 with the best F-beta of that language's rows, or the common one where a language has too few toxic rows. Language, source
 and id are never inputs of a score.
 
 Null text counts as empty and is scored by the bias alone; texts of any length are read whole, in pieces whose maxima are
-merged. Labels that are null, or whose document is missing, are left out. Without both classes the score is the share of
-toxic labels (0 without any label).
+merged. Labels that are null, or whose document is missing, are left out; a document with several labels trains
+with each, an id with several rows with one of them. Without both classes the score is the share of toxic labels (0 without any label). Columns of the input
+keep their names and values; where one has the name of an output column, that gets underscores at its end.
 """
 
 from __future__ import annotations
 
+import pickle
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from calltrace.llm.text import Words, blocks, bounded_batches
+from calltrace.llm.text import Words, blocks, bounded_batches, byte_hashes, free_name, plain_bounds
 
 BUCKETS = 1 << 17
 DIM = 4
 WIDTHS = {1: 8, 2: 4, 3: 4}
 PARTS = 5
 MAX_TRAIN = 12_000
+#: Words held of a training text.
+MAX_WORDS = 1024
+#: Words whose responses are held at once when texts are scored.
+PIECE_WORDS = 1 << 16
 #: The score at which all languages together are best divided.
 CUT = 0.7
 #: A reject threshold should seldom hit clean documents.
@@ -37,29 +50,28 @@ BETA = 0.7
 
 
 def features(words: Words) -> np.ndarray:
-    """``(words, PARTS)`` embedding rows: the word, its first 4 and 6 bytes, its last 4 bytes, all in lower ASCII case, and its form."""
-    lower = words.data.copy()
-    upper = (lower >= 65) & (lower <= 90)
-    lower[upper] += 32
-    # outer punctuation doesn't belong to the word
-    letter = (lower >= 128) | ((lower >= 97) & (lower <= 122)) | ((lower >= 48) & (lower <= 57))
-    start, end = words.start.copy(), words.end.copy()
-    for _ in range(3):
-        long = end - start > 1
-        start += long & ~letter[np.minimum(start, len(letter) - 1)] if len(letter) else 0
-        long = end - start > 1
-        end -= long & ~letter[np.maximum(end - 1, 0)] if len(letter) else 0
+    """``(words, PARTS)`` embedding rows: the word, its first 4, 6 and 8 bytes and its last 4 bytes, in lower case without outer punctuation."""
+    lower, start, end = plain_bounds(words)
     out = np.empty((len(start), PARTS), np.int32)
     seeds = (0, 0x5BD1, 0x7F4A, 0x1B87, 0x3C6E)
     bounds = ((start, end), (start, np.minimum(end, start + 4)), (start, np.minimum(end, start + 6)), (np.maximum(start, end - 4), end), (start, np.minimum(end, start + 8)))
-    once = Words.__new__(Words)
-    once.data, once.offs, once._sums = lower, words.offs, None
     for k, (s, e) in enumerate(bounds):
-        h = once.hashes(s, e) ^ np.uint64(seeds[k] * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = byte_hashes(lower, s, e) ^ np.uint64(seeds[k] * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         out[:, k] = (h >> np.uint64(20)) % np.uint64(BUCKETS)
     return out
 
 
+def told_most(feats: np.ndarray, odds: np.ndarray, most: int) -> np.ndarray:
+    """The rows of ``feats`` to hold for training: all, or those of the ``most`` words with the largest log odds either way and their neighbours."""
+    if len(feats) <= most:
+        return feats
+    reach = max(WIDTHS) - 1
+    strength = np.abs(odds[feats].sum(axis=1))
+    best = np.argsort(-strength, kind="stable")[: most // (2 * reach + 1)]
+    near = (best[:, None] + np.arange(-reach, reach + 1)).ravel()
+    return feats[np.unique(near[(near >= 0) & (near < len(feats))])]
+
+
 class TextCnn:
     """The network: ``emb`` (BUCKETS, DIM); per width ``w`` a filter bank (w, DIM, n) and bias; output weights and bias."""
 
@@ -108,28 +120,30 @@ class TextCnn:
         return (pooled @ self.out + self.base) * self.scale + self.shift
 
     def score(self, feats: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(feats, first)[0]).astype(np.float64), -30, 30)))
+        if len(first) == 2 and len(feats) > PIECE_WORDS:  # one long text: the maxima of its pieces
+            over = max(WIDTHS) - 1
+            parts = [feats[a : a + PIECE_WORDS + over] for a in range(0, len(feats), PIECE_WORDS)]
+            top = np.max([self.pooled(p, np.array([0, len(p)]))[0] for p in parts], axis=0)
+        else:
+            top = self.pooled(feats, first)[0]
+        return 1 / (1 + np.exp(-np.clip(self.logits(top).astype(np.float64), -30, 30)))
+
+
+def log_odds(have: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of each bucket; ``have``: (2, BUCKETS) texts of each class that hold it, ``rows``: texts of each class."""
+    neg, pos = np.maximum(rows, 1)
+    odds = np.log((have[1] + 0.5) / (pos + 1)) - np.log((have[0] + 0.5) / (neg + 1))
+    seen = have.sum(axis=0)
+    return (odds * (seen / (seen + 2))).astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], epochs: int = 6, rate: float = 0.02, batch: int = 32, seed: int = 7) -> tuple[TextCnn, dict]:
-    """The trained network and thresholds ``{language or None: threshold}``."""
+def fit(feats: list[np.ndarray], labels: np.ndarray, langs: list[str | None], held: np.ndarray, odds: np.ndarray, epochs: int = 6, rate: float = 0.02, batch: int = 32, seed: int = 7) -> tuple[TextCnn, dict]:
+    """The trained network and thresholds ``{language or None: threshold}``. ``feats``: each text's :func:`features`; ``held``: rows
+    to calibrate with; ``odds``: log odds of the other rows."""
     net, rng = TextCnn(seed), np.random.default_rng(seed)
-    feats, first = [], []
-    for lo in range(0, len(texts), 200):
-        words = Words(pa.array(texts[lo : lo + 200], pa.string()))
-        f = features(words)
-        feats += [f[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-    order = rng.permutation(len(texts))
-    hold, train = order[: len(order) // 5], order[len(order) // 5 :]
+    hold, train = np.flatnonzero(held), np.flatnonzero(~held)
     y = labels.astype(np.float32)
     pos, neg = max(1, int(y[train].sum())), max(1, int((1 - y[train]).sum()))
-    # smoothed log odds of each bucket, by documents
-    have = np.zeros((2, BUCKETS), np.float32)
-    for i in train:
-        have[int(y[i]), np.unique(feats[i])] += 1
-    odds = np.log((have[1] + 0.5) / (pos + 1)) - np.log((have[0] + 0.5) / (neg + 1))
-    seen = have.sum(axis=0)
-    odds *= seen / (seen + 2)
     net.emb = net.noise * 0.2
     net.emb[:, 0] = np.clip(odds, -3, 5) / PARTS
     del net.noise
@@ -237,63 +251,105 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
     half = max_train // 2
     picked = known.where("y = 1").orderBy("_h", "doc_id").limit(half).unionByName(known.where("y = 0").orderBy("_h", "doc_id").limit(half))
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").select("text", "lang", "y", "_h", "doc_id")
-
-
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = 48 << 20, **options) -> tuple[TextCnn | None, dict, float]:
-    """``(network, thresholds, share of toxic labels)``. The sample of at most ``max_train`` rows meets the driver; of those, rows
-    whose texts exceed ``max_bytes`` together are left out, the longest last in hash order."""
-    rows = training_rows(docs, labels, max_train)
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    budget = max_bytes // max(1, max_train) * 4
-    got = rows.where(size <= budget).orderBy("_h", "doc_id", "text").toLocalIterator()
-    texts, y, langs, held = [], [], [], 0
-    for r in got:
-        if held > max_bytes:
-            break
-        held += len(r.text or "")
-        texts.append(r.text or "")
-        y.append(r.y)
-        langs.append(r.lang)
-    y = np.array(y, np.int64)
-    if not len(y) or y.min() == y.max():
-        return None, {None: 0.7}, float(y.mean()) if len(y) else 0.0
-    net, thresholds = fit(texts, y, langs, **options)
-    return net, thresholds, float(y.mean())
-
-
-def score_documents(docs: DataFrame, model: tuple[TextCnn | None, dict, float], text: str = "text") -> DataFrame:
+    found = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")
+    one = F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("d")  # rows repeated with one id train as one
+    return found.groupBy("doc_id", "y", "_h").agg(one).select("d.text", "d.lang", "y", "_h", "doc_id")
+
+
+@dataclass
+class Model:
+    """A network (None without both classes), thresholds by language (None: all others) and the share of toxic labels."""
+
+    net: TextCnn | None
+    thresholds: dict[str | None, float]
+    share: float
+
+
+def _fit_rows(options: dict):
+    """One task's fit: rows come twice, first all of pass 0, then all of pass 1; gives the pickled :class:`Model`."""
+
+    def run(batches):
+        have, rows, odds = np.zeros((2, BUCKETS), np.float32), np.zeros(2), None
+        feats, y, langs, held = [], [], [], []
+        for block in blocks(batches):
+            words = Words(block.column("text"))
+            f = features(words)
+            cuts = words.first.tolist()
+            columns = (block.column(c).to_pylist() for c in ("pass", "y", "lang", "held"))
+            for k, (second, label, lang, hold) in enumerate(zip(*columns, strict=True)):
+                own = f[cuts[k] : cuts[k + 1]]
+                if not second:
+                    if not hold:
+                        have[label, np.unique(own)] += 1
+                        rows[label] += 1
+                    continue
+                if odds is None:
+                    odds = log_odds(have, rows)
+                feats.append(told_most(own, odds, MAX_WORDS).copy())
+                y.append(label)
+                langs.append(lang)
+                held.append(hold)
+        y, held = np.array(y, np.int64), np.array(held, bool)
+        if not len(y) or y.min() == y.max():
+            model = Model(None, {None: CUT}, float(y.mean()) if len(y) else 0.0)
+        else:
+            model = Model(*fit(feats, y, langs, held, odds, **options), float(y.mean()))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]}, pa.schema([("model", pa.binary())]))
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **options) -> Model:
+    """Fit on at most ``max_train`` labelled rows, in one task; the driver gets the weights alone."""
+    bounded_batches(docs.sparkSession)
+    rows = training_rows(docs, labels, max_train).withColumn("held", F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(5)) == 0)
+    rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass")).repartition(1).sortWithinPartitions("pass", "_h", "doc_id", "y", "text")
+    got = rows.select("pass", "y", "lang", "held", "text").mapInArrow(_fit_rows(options), "model binary").collect()
+    return pickle.loads(got[0].model) if got else Model(None, {None: CUT}, 0.0)
+
+
+def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score``; the model is of fixed size and goes along as a broadcast variable."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     names = docs.columns
-    given = docs.withColumn("_tox_text", F.col(text))
+    own, out = free_name("_tox_text", names), free_name("score", names)
+    given = docs.withColumn(own, F.col(text))
 
     def run(batches):
-        net, _, share = shared.value
-        for block in blocks(batches, column="_tox_text"):
-            if net is None:
-                score = np.full(block.num_rows, share)
+        model = pickle.loads(shared.value)
+        for block in blocks(batches, column=own):
+            if model.net is None:
+                score = np.full(block.num_rows, model.share)
             else:
-                words = Words(block.column("_tox_text"))
-                score = net.score(features(words), words.first)
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(score, pa.float64())], names=[*names, "score"])
+                words = Words(block.column(own))
+                score = model.net.score(features(words), words.first)
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(score, pa.float64())], names=[*names, out])
 
-    return given.mapInArrow(run, StructType(docs.schema.fields[:]).add("score", "double"))
+    return given.mapInArrow(run, StructType(docs.schema.fields[:]).add(out, "double"))
 
 
-def rejects(scored: DataFrame, thresholds: dict, lang: str = "lang"):
-    """The condition that a scored row is toxic by its language's threshold."""
+def threshold(thresholds: dict[str | None, float], lang: Column) -> Column:
+    """The threshold of a row's language."""
     limit = F.lit(thresholds[None])
     for name, value in thresholds.items():
         if name is not None:
-            limit = F.when(F.col(lang) == name, F.lit(value)).otherwise(limit)
-    return F.col("score") >= limit
+            limit = F.when(lang == name, F.lit(value)).otherwise(limit)
+    return limit
+
+
+def without_toxic(docs: DataFrame, model: Model, lang: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` whose score is below their language's threshold."""
+    scored = score_documents(docs, model, **options)
+    return scored.where(F.col(scored.columns[-1]) < threshold(model.thresholds, F.col(lang))).select(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``threshold`` and ``rejected`` tell what the calibrated threshold of a document's language says; ``predicted`` uses 0.7 for all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(part != 1)
-    out = score_documents(docs.select("doc_id", "text"), train(docs, labels))
-    return out.select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    model = train(docs, labels)
+    limit = threshold(model.thresholds, F.col("lang"))
+    out = score_documents(docs, model)
+    return out.select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))

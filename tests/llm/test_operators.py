@@ -227,6 +227,15 @@ def test_substring_dedup_repeated(repeated, corpus):
     assert got == {(None if d < 0 else d, *v) for d, v in want.items()}
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_substring_dedup_equal_rows(spark, parts):
+    """Rows repeated whole keep the words of their first occurrence, however the rows are dealt."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, f"x {long} y"), (2, f"x {long} y"), (None, f"{long} z"), (None, f"{long} z"), (3, " ".join(["r"] * 50)), (3, " ".join(["r"] * 50))]
+    got = {(r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(parts)).collect()}
+    assert got == {(None, 0), (1, 60), (2, 60), (3, 49)}
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------------
 def brute_lines(rows, least=10):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
@@ -329,9 +338,53 @@ def test_toxicity(spark, corpus, empty):
     assert ((s >= 0.7) == y).mean() > 0.97 and 0 <= s.min() and s.max() <= 1
     assert toxicity.score_documents(empty, model).count() == 0
     none = toxicity.train(d, lab.where("toxic = 0"))
-    assert none[0] is None and toxicity.score_documents(d, none).where("score <> 0").count() == 0
+    assert none.net is None and toxicity.score_documents(d, none).where("score <> 0").count() == 0
     odd = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "word " * 30000, "en")], "doc_id long, text string, lang string")
     assert toxicity.score_documents(odd, model).count() == 3
+    clash = d.limit(20).withColumns({"score": F.lit("given"), "_tox_text": F.lit(1), "y": F.lit(2), "_h": F.lit(3)})
+    assert {(r.score, r._tox_text, 0 <= r.score_ <= 1) for r in toxicity.score_documents(clash, model).collect()} == {("given", 1, True)}
+    assert toxicity.without_toxic(clash, model).columns == clash.columns
+    again = toxicity.train(d.where("doc_id < 600").repartition(5), lab.where("doc_id < 600").repartition(3))
+    assert {r.doc_id: r.score for r in toxicity.score_documents(d, again).collect()} == got
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Every training text is long, and what makes it toxic lies anywhere in it; rows are repeated."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(300):
+        w = [f"w{rnd.randrange(3000)}" for _ in range(3000)]
+        if i % 3 == 0:
+            w[rnd.randrange(3000)] = rnd.choice(["vilexx", "nastyqq"])
+        rows.append((i, " ".join(w), "en"))
+    d = spark.createDataFrame([*rows, *rows[:40]], "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] * 2, "doc_id long, toxic long")
+    got = toxicity.score_documents(d.where("doc_id >= 200"), toxicity.train(d, lab)).collect()
+    assert np.mean([(r.score >= 0.7) == (r.doc_id % 3 == 0) for r in got]) > 0.95
+
+
+def test_toxicity_pieces(monkeypatch):
+    """A long text's score is that of its whole."""
+    words = Words(pa.array([" ".join(f"w{i * 7919 % 1000}" for i in range(5000))]))
+    net = toxicity.TextCnn()
+    net.emb = np.random.default_rng(1).normal(0, 1, net.emb.shape).astype(np.float32)
+    feats = toxicity.features(words)
+    whole = net.score(feats, words.first)
+    monkeypatch.setattr(toxicity, "PIECE_WORDS", 64)
+    assert np.allclose(net.score(feats, words.first), whole, atol=1e-5)
+
+
+def test_hashes_in_pieces(monkeypatch):
+    """Bounds and hashes don't depend on the pieces in which bytes are read."""
+    import calltrace.llm.text as text
+
+    rnd = random.Random(4)
+    column = pa.array(["".join(rnd.choice("ab \n\u00e9") for _ in range(rnd.randrange(0, 400))) for _ in range(50)] + [None, "", "x" * 1000])
+    one = Words(column)
+    want = (one.start.tolist(), one.end.tolist(), one.first.tolist(), one.hashes().tolist())
+    monkeypatch.setattr(text, "PIECE", 16)
+    two = Words(column)
+    assert (two.start.tolist(), two.end.tolist(), two.first.tolist(), two.hashes().tolist()) == want
 
 
 # --- 9 -------------------------------------------------------------------------------------------------------------------
