@@ -15,9 +15,7 @@ from calltrace.llm import decontamination, mixing, ngram_join, token_output, tox
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects by the threshold of their language go. Trained on the labels of ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(docs, labels)
-    scored = toxicity.score_documents(docs, model)
-    return scored.where(~toxicity.rejects(scored, model[1])).select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
