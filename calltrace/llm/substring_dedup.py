@@ -68,11 +68,12 @@ def _seed_rows(window: int, gram: int):
             ids, tids, pos, anchor, ext = (np.concatenate(c) for c in zip(*[x[:5] for x in held], strict=True))
             null = np.concatenate([x[5] for x in held])
             order = np.lexsort((pos, tids, ids, ~null, ext, anchor))
-            same = np.zeros(len(order), bool)
             a, e = anchor[order], ext[order]
-            same[1:] = (a[1:] == a[:-1]) & (e[1:] == e[:-1])
+            lead = np.concatenate([[True], (a[1:] != a[:-1]) | (e[1:] != e[:-1])])
+            first = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+            # the earliest seed itself may be there more than once: its row is repeated
             known = np.empty(len(order), bool)
-            known[order] = same
+            known[order] = (ids[order] != ids[first]) | (null[order] != null[first]) | (tids[order] != tids[first]) | (pos[order] != pos[first])
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=null), pa.array(tids), pa.array(pos), pa.array(anchor.view(np.int64)), pa.array(ext.view(np.int64)), pa.array(known)],
                 names=["id", "tid", "pos", "anchor", "ext", "known"],
