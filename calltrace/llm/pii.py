@@ -10,14 +10,17 @@ candidates they extract; a known instance's mention that no confident pattern ex
 
 The graph holds one row per (pattern, instance) with a count, made by partial aggregation in each task; candidates that fit no
 kind are one row per pattern. Instances and patterns meet in joins, so nothing grows with a hot context in one task. Texts are read whole;
-null counts as empty; a text without entities returns one row with no spans. All base patterns are searched with anchors
-that make them linear in the text's length.
+null counts as empty; a text without entities returns one row with no spans. Every input row is a row of the result, whether its
+id is null or repeated. A candidate that confident patterns give several kinds has the first of them in the order of ``KINDS``.
+All base patterns are searched with anchors that make them linear in the text's length, and a context word ends where the
+neighbouring identifier begins, so that all contexts of a text together are read in linear time too.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,10 +39,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])(?:[(]?[0-9][0-9().-]*(?:\x20[(]?[0-9][0-9().-]*)+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*)")
-_CORE = re.compile(r"[0-9A-Za-z+(@].*[0-9A-Za-z]", re.S)
-_BEFORE = re.compile(r"[^\x20\x09-\x0D]+(?=[\x20\x09-\x0D]*\Z)")
-_AFTER = re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)")
-_CONTEXT = 64
+_OPENS = re.compile("[0-9A-Za-z+(@]")
+_CLOSES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+_GAP = frozenset("\x20\x09\x0a\x0b\x0c\x0d")
+#: Longer context words are named by their hash.
+_NAMED = 32
 
 
 def luhn(digits: str) -> bool:
@@ -67,7 +71,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in code points, by kind as in :data:`KINDS`, then start."""
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) < 3 or len(p) == 3 and p <= "255" for p in (q.lstrip("0") for q in m.group().split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -102,11 +106,34 @@ def instance(token: str, could: str) -> bytes | None:
     return hashlib.blake2b(f"{could}:{plain}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def contexts(text: str, start: int, end: int) -> tuple[str, str]:
-    """The word before and the word after a span, in lower case; empty at a text's ends."""
-    before = _BEFORE.search(text, max(0, start - _CONTEXT), start)
-    after = _AFTER.match(text, end, end + _CONTEXT)
-    return before.group().lower()[-32:] if before else "", after.group(1).lower()[:32] if after else ""
+def _named(word: str) -> str:
+    word = word.lower()
+    return word if len(word) <= _NAMED else "#" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """For each span the word before and the word after it, in lower case; empty at a text's ends and where another span comes first."""
+    starts, ends = sorted(s for s, _ in spans), sorted(e for _, e in spans)
+    out = []
+    for s, e in spans:
+        at = bisect_right(ends, s)
+        low = ends[at - 1] if at else 0
+        b = s
+        while b > low and text[b - 1] in _GAP:
+            b -= 1
+        a = b
+        while a > low and text[a - 1] not in _GAP:
+            a -= 1
+        at = bisect_left(starts, e)
+        high = starts[at] if at < len(starts) else len(text)
+        c = e
+        while c < high and text[c] in _GAP:
+            c += 1
+        d = c
+        while d < high and text[d] not in _GAP:
+            d += 1
+        out.append((_named(text[a:b]), _named(text[c:d])))
+    return out
 
 
 def candidate_spans(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
@@ -114,10 +141,14 @@ def candidate_spans(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tu
     bounds = sorted((s, e) for _, s, e in taken)
     at = 0
     for m in _CANDIDATE.finditer(text):
-        core = _CORE.search(text, *m.span())
-        if not core:
+        first, e = _OPENS.search(text, *m.span()), m.end()
+        if not first:
+            continue
+        s = first.start()
+        while e > s and text[e - 1] not in _CLOSES:
+            e -= 1
+        if e < s + 2:
             continue
-        s, e = core.span()
         while at < len(bounds) and bounds[at][1] <= s:
             at += 1
         if at < len(bounds) and bounds[at][0] < e:
@@ -126,30 +157,32 @@ def candidate_spans(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tu
             yield s, e
 
 
-_MENTIONS = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string()), ("fits", pa.string()), ("instance", pa.binary())])
+_MENTIONS = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string()), ("fits", pa.string()), ("instance", pa.binary())]
+)
 
 
 def _mentions(batches):
     """Base spans with their kind, and candidates with a null kind, each with contexts, the kinds it fits and its instance; one row without a span for a text that has none."""
     for block in blocks(batches):
         rows = []
-        for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
+        for row, doc_id, text in zip(*(block.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
             text = text or ""
             base = base_spans(text)
-            for kind, s, e in base:
+            found = [*base, *((None, s, e) for s, e in candidate_spans(text, base))]
+            for (kind, s, e), around in zip(found, contexts(text, [x[1:] for x in found]), strict=True):
                 could = fits(text[s:e])
-                rows.append((doc_id, kind, s, e, *contexts(text, s, e), could, instance(text[s:e], could)))
-            extra = [(doc_id, None, s, e, *contexts(text, s, e), could, instance(text[s:e], could)) for s, e in candidate_spans(text, base) for could in (fits(text[s:e]),)]
-            rows += extra
-            if not base and not extra:
-                rows.append((doc_id, "", 0, 0, "", "", "", None))
+                rows.append((row, doc_id, kind, s, e, *around, could, instance(text[s:e], could)))
+            if not found:
+                rows.append((row, doc_id, "", 0, 0, "", "", "", None))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MENTIONS, strict=True)], schema=_MENTIONS)
 
 
 def mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All mentions, with the number ``row`` of the input row that holds them; write it before it is read twice."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _mentions, "doc_id long, kind string, start int, end int, before string, after string, fits string, instance binary"
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        _mentions, "row long, doc_id long, kind string, start int, end int, before string, after string, fits string, instance binary"
     )
 
 
@@ -185,21 +218,19 @@ def confident_patterns(found: DataFrame, rounds: int = 3, support: int = 5, conf
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **scoring) -> DataFrame:
-    """``(doc_id, base, spans)`` per document: arrays of ``(rank, start, end, kind)``, sorted; ``spans`` holds base spans and those the patterns add.
-
-    Rows repeated with one id are one document: their spans are pooled.
-    """
+    """``(doc_id, base, spans)`` per input row: arrays of ``(rank, start, end, kind)``, sorted; ``spans`` holds base spans and those the patterns add."""
     found = materialize(mentions(docs, doc_id, text), "pii-mentions")
     patterns = confident_patterns(found, **scoring)
-    loose = found.where("kind IS NULL AND instance IS NOT NULL").select("doc_id", "start", "end", "fits", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))).alias("c"))
-    added = loose.select("doc_id", "start", "end", "fits", "c.side", "c.word").join(patterns, ["side", "word"]).where(F.array_contains(F.split("fits", ","), F.col("kind")))
-    added = added.groupBy("doc_id", "start", "end").agg(F.min("kind").alias("kind"))
+    sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))).alias("c")
+    loose = found.where("kind IS NULL AND instance IS NOT NULL").select("row", "doc_id", "start", "end", "fits", sides)
+    added = loose.select("row", "doc_id", "start", "end", "fits", "c.side", "c.word").join(patterns, ["side", "word"]).where(F.array_contains(F.split("fits", ","), F.col("kind")))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    added = added.groupBy("row", "doc_id", "start", "end").agg(F.min_by("kind", rank).alias("kind"))
     span = F.struct(rank.alias("rank"), "start", "end", "kind")
-    all_rows = found.select("doc_id", F.when(F.col("kind") != "", span).alias("base"), F.lit(None).cast("struct<rank:bigint,start:int,end:int,kind:string>").alias("extra")).union(
-        added.select("doc_id", F.lit(None).cast("struct<rank:bigint,start:int,end:int,kind:string>"), span)
-    )
-    return all_rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("base")).alias("base"), F.array_sort(F.array_union(F.collect_set("base"), F.collect_set("extra"))).alias("spans"))
+    none = F.lit(None).cast("struct<rank:bigint,start:int,end:int,kind:string>")
+    every = found.select("row", "doc_id", F.when(F.col("kind") != "", span).alias("base"), none.alias("extra")).union(added.select("row", "doc_id", none, span))
+    out = every.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set("base")).alias("base"), F.array_sort(F.array_union(F.collect_set("base"), F.collect_set("extra"))).alias("spans"))
+    return out.drop("row")
 
 
 def _joined(spans):

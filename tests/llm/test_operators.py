@@ -395,6 +395,54 @@ def test_pii_base():
     assert pii.base_spans("9" * 100_000) == [] and pii.base_spans("a" * 100_000) == []
 
 
+def contract_spans(text):
+    """The contract's expressions as they stand."""
+    digits = lambda t: [int(c) for c in t if c.isdigit()]
+
+    def luhn(d):
+        return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+
+    rules = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(p) <= 255 for p in t.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda t: 16 <= len(digits(t)) <= 19 and luhn(digits(t))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 8 <= len(digits(t)) <= 15),
+    )
+    return [(kind, *m.span()) for kind, rule, good in rules for m in re.finditer(rule, text) if good(m.group())]
+
+
+def test_pii_base_matches_the_contract():
+    rnd = random.Random(6)
+    for alphabet in ("a1.@ ", "0123456789. -", "+0123456789 ().-", "a@b.c-_ %", "1.2é@\n+("):
+        for _ in range(1500):
+            text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 60)))
+            assert pii.base_spans(text) == contract_spans(text), text
+    for _ in range(500):
+        d = [rnd.randrange(10) for _ in range(rnd.randrange(15, 19))]
+        number = "".join(map(str, d)) + str(-sum(x if k % 2 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10)
+        text = f"x {''.join(c + rnd.choice(['', '', ' ', '-']) for c in number)}y {rnd.randrange(300)}.{rnd.randrange(300)}.1.1 +{number[:9]}"
+        assert pii.base_spans(text) == contract_spans(text)
+
+
+def test_pii_odd_texts():
+    """Long runs neither fail nor take quadratic time; long context words are told apart by their whole."""
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and pii.base_spans("1" * 5000 + ".1.1.1") == []
+    for text in ("(" * 300_000 + "@", "a@b.cc," * 30_000, " " * 300_000 + "1@" + "x" * 300_000, "9 " * 100_000, "+1" * 100_000):
+        base = pii.base_spans(text)
+        spans = [x[1:] for x in base] + list(pii.candidate_spans(text, base))
+        assert len(pii.contexts(text, spans)) == len(spans)
+    one, two = (pii.contexts(f"{'w' * 100}{c} a@b.cc", [(102, 108)])[0][0] for c in "xy")
+    assert one != two and len(one) == 33
+    assert pii.contexts("to a@b.cc c@d.ee on", [(3, 9), (10, 16)]) == [("to", ""), ("", "on")]
+
+
+def test_pii_rows(spark):
+    """Null and repeated ids: each input row gives one row."""
+    rows = [(None, "x@y.zz"), (None, "p@q.rrr"), (1, "a@b.cc"), (1, "a@b.cc"), (1, "other 1.2.3.4"), (2, None)]
+    got = sorted((r.doc_id or 0, [tuple(s)[1:] for s in r.spans]) for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, [(0, 6, "email")]), (0, [(0, 7, "email")]), (1, [(0, 6, "email")]), (1, [(0, 6, "email")]), (1, [(6, 13, "ip")]), (2, [])]
+
+
 def test_pii_bootstraps(spark, empty):
     rows = [(i, f"word{i} phone: +1 (487) 555-{7000 + i} thanks") for i in range(10)] + [(20, "my phone: 030 123 4567 thanks"), (21, "order 030 123 4567 boxes"), (22, None), (23, "")]
     got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
