@@ -466,20 +466,58 @@ def test_pii_later_rounds(spark):
 
 
 def test_token_counts(spark, docs, corpus, empty):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    n_tokens = {r[0]: len(model.encode(r[1] or "", add_special_tokens=False).ids) for r in corpus}
     rollup = token_counts.TokenRollup(spark, new_path(spark, "t"))
-    assert rollup.totals().count() == 0
+    read = lambda: {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+    assert not read() and not rollup.compact()
     n = token_counts.count_tokens(docs.select("doc_id", "source", "lang", "text")).withColumn("tokenizer", F.lit("v1"))
+    assert {r.doc_id: r.n_tokens for r in n.collect()} == n_tokens
     assert rollup.commit("a", token_counts.inserts(n)) and not rollup.commit("a", token_counts.inserts(n))
-    gone = n.where("doc_id % 2 = 0")
-    rollup.commit("b", token_counts.deletes(gone))
+
+    def want(version, rows):
+        out = collections.defaultdict(lambda: (0, 0))
+        for r in rows:
+            d, t = out[r[3], r[2], version]
+            out[r[3], r[2], version] = d + 1, t + n_tokens[r[0]]
+        return dict(out)
+
+    odd = [r for r in corpus if r[0] % 2]
+    assert read() == want("v1", corpus)
+    assert rollup.commit("b", token_counts.deletes(n.where("doc_id % 2 = 0"))) and read() == want("v1", odd)
     moved = n.where("doc_id % 2 = 1").withColumns({"old_tokens": F.col("n_tokens"), "old_tokenizer": F.lit("v1"), "tokenizer": F.lit("v2")})
-    rollup.commit("c", token_counts.revisions(moved))
-    want = {(r.source, r.lang, "v2"): (r.n, r.t) for r in n.where("doc_id % 2 = 1").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
-    read = lambda: {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
-    assert read() == want
-    rollup.compact("all")
-    assert read() == want and not rollup.commit("a", token_counts.inserts(n)) and read() == want
+    assert rollup.commit("c", token_counts.revisions(moved)) and read() == want("v2", odd)
+    for _ in range(3):  # folding again changes nothing
+        rollup.compact()
+        assert read() == want("v2", odd) and len(rollup.live(rollup.entries())) == 1
+    assert not rollup.commit("a", token_counts.inserts(n)) and not rollup.commit("c", token_counts.revisions(moved)) and read() == want("v2", odd)
+    rollup.clean()
+    assert read() == want("v2", odd)
+    again = token_counts.inserts(n.where("doc_id % 2 = 1").withColumn("tokenizer", F.lit("v2")))
+    assert rollup.commit("d", again) and rollup.commit("e", token_counts.deletes(n.where("doc_id % 2 = 1").withColumn("tokenizer", F.lit("v2"))))
+    assert rollup.compact() and read() == want("v2", odd)
     assert token_counts.count_tokens(empty).count() == 0
+    clash = token_counts.count_tokens(docs.select("text", F.lit("given").alias("n_tokens")))
+    assert clash.columns == ["n_tokens", "n_tokens_"]
+
+
+def test_token_counts_writers(spark):
+    """Writers that meet: one of two commits of an id holds, a compaction that comes second is given up, what a lost one leaves is not read."""
+    row = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], "source string, lang string, tokenizer string, d_docs long, d_tokens long")
+    rollup = token_counts.TokenRollup(spark, new_path(spark, "t"))
+    total = lambda: [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()]
+    rollup.commit("a", row(1))
+    lost = rollup._write(row(50))  # written, but its writer was lost before the log entry
+    assert total() == [(1, 1)]
+    assert rollup._publish(lost, "b", []) and not rollup._publish(rollup._write(row(70)), "b", []) and total() == [(2, 51)]
+    old = rollup.live(rollup.entries())
+    folded = [rollup._write(rollup._read(old).groupBy(*token_counts.KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))) for _ in range(2)]
+    rollup.commit("c", row(3))  # between a compaction's reading and its entry
+    assert rollup._publish(folded[0], None, old) and not rollup._publish(folded[1], None, old) and total() == [(3, 54)]
+    assert not rollup._append({"number": 1, "batch": "z", "delta": lost, "replaces": []}) and total() == [(3, 54)]
 
 
 # --- pipeline ------------------------------------------------------------------------------------------------------------
