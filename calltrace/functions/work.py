@@ -16,7 +16,14 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return qualified(spark, found)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and authority: one without a scheme is in the cluster's default file system, for Python code too."""
+    sc = spark.sparkContext
+    given = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return given.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(given).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -35,9 +42,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    given = sc._jvm.org.apache.hadoop.fs.Path(path)
+    given.getFileSystem(sc._jsc.hadoopConfiguration()).delete(given, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of frames made by :func:`materialize`; nothing lazy may still read them."""
     for df in frames:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._work_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._work_path)
