@@ -257,14 +257,53 @@ def test_line_dedup(docs, corpus, empty, batches):
     assert line_dedup.drop_frequent_lines(empty).count() == 0
 
 
+def test_line_dedup_repeated(spark, repeated, corpus):
+    """Rows repeated with one id and text, or without an id, are documents of their own."""
+    rows = [*((r[0], r[1]) for r in corpus[:30]), *((r[0], r[1]) for r in corpus[:5]), (None, "a row without an id")]
+    rows += [(None, "a\nshared line")] * 6 + [(1000, "b\nShared line ")] * 4 + [(2000, None)] * 12
+    got = line_dedup.drop_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string"), fanout=2).collect()
+    want = []
+    n = collections.Counter(k for _, t in rows for k in {x.strip().lower() for x in (t or "").split("\n")})
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not x.strip() or n[x.strip().lower()] < 10]
+        want.append((d or -1, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    assert n["shared line"] == 10 and sorted((r.doc_id or -1, r.n_lines, r.n_dropped, r.kept_text) for r in got) == sorted(want)
+    clash = repeated.withColumns({"kept_text": F.lit(1), "n_lines": F.lit("x"), "c0": F.lit(2)})
+    out = line_dedup.drop_frequent_lines(clash)
+    assert out.columns == [*clash.columns, "kept_text_", "n_lines_", "n_dropped"] and {(r.kept_text, r.n_lines, r.c0) for r in out.collect()} == {(1, "x", 2)}
+
+
 def test_line_runs(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
+    assert runs.compact() is None
     for k in range(5):
         runs.add(spark.createDataFrame([(i, i, 1) for i in range(k, k + 3)], "h1 long, h2 long, n_docs long"))
-    total = {r.h1: r.n_docs for r in runs.totals().collect()}
-    assert total == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3, 5: 2, 6: 1} and len(runs.runs()) == 2
-    fresh = runs.union().groupBy("h1").agg(F.sum(F.col("fresh").cast("int")).alias("n")).collect()
-    assert {r.n for r in fresh} == {1}
+    assert len(runs.runs()) == 2
+    latest = {r.h1: r.n_docs for r in runs.runs()[0].collect()}
+    assert latest == {4: 3, 5: 2, 6: 1}  # a batch's own run carries the counts of earlier ones on
+    total = {r.h1: r.n_docs for r in runs.compact().collect()}
+    assert total == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3, 5: 2, 6: 1} and len(runs.runs()) == 1
+    runs.close()
+    assert not runs.runs() and not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_runs_stay_where_they_are(spark):
+    """Neither the merge of a batch nor that of a level shuffles a run."""
+    runs = line_dedup.LineRuns(spark, fanout=9)
+    batch = spark.range(3000).select("id", (F.col("id") * 7).alias("h2")).selectExpr("id AS h1", "h2", "1L AS n_docs")
+    for _ in range(2):
+        runs.add(batch)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = batch.join(runs.runs()[0].withColumnRenamed("n_docs", "before"), ["h1", "h2"], "left")
+        merged = runs._latest(runs.levels[0])
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (joined, merged)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plans[0].count("Exchange hashpartitioning") == 1 and "Exchange" not in plans[1]
+    runs.close()
 
 
 # --- 7 -------------------------------------------------------------------------------------------------------------------
