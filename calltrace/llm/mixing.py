@@ -6,15 +6,24 @@ at cost 1, and so on (convex costs of repetition), and may send them to any of i
 The flow says how many words of each pattern the mix takes. Documents of a pattern are then ordered by a seeded hash and
 taken in that order, the order starting anew for repetitions, until the pattern's flow is used up.
 
+All paths of the flow's graph have one edge with a cost, that from the start to a pattern, so successive shortest paths are
+maximum flows over first uses, then over second uses, and so on; each is found by blocking flows.
+
+Up to ``MAX_PATTERNS`` patterns, those with the most words, are routed freely. The words of any others go to the one of their
+sources that is shortest of words for its target: each such pattern joins the pattern of that source alone. No document is left
+out by it, and the graph stays bounded by ``MAX_PATTERNS`` and the number of sources.
+
 Sizes are words ``[^\\x20\\x09-\\x0D]+`` of whole texts; null and empty texts have size 0 and are taken as 0 words. A null
 source is a source of its own, last in order. The running sums of the seeded order are two-level (sums of hash ranges, then
 rows within a range), so a source that holds a third of all rows is spread over its ranges. Rows repeated with one id are
-documents of their own. The number of patterns is checked before they are collected.
+documents of their own. A document without any source (an empty
+array) is in no mix. Columns of the input keep their names and values in :func:`mixed_documents`, which needs ``source`` only where
+``sources`` is not given.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,92 +55,107 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = (3, 1, 2),
 
 
 def min_cost_flow(supply: dict[str, int], members: dict[str, list[str | None]], want: dict[str | None, int], repeats: int = 2) -> dict[tuple[str, str | None], int]:
-    """Words each pattern sends to each source. Successive shortest paths with potentials; costs of a pattern's k-th use are k."""
+    """Words each pattern sends to each source, at the least cost, where a pattern's k-th use costs k."""
     patterns, sources = list(supply), list(want)
-    node = {("p", p): 1 + i for i, p in enumerate(patterns)} | {("s", s): 1 + len(patterns) + i for i, s in enumerate(sources)}
-    sink = 1 + len(node)
-    graph: list[list[list]] = [[] for _ in range(sink + 1)]
-
-    def edge(u, v, capacity, cost):
-        graph[u].append([v, capacity, cost, len(graph[v])])
-        graph[v].append([u, 0, -cost, len(graph[u]) - 1])
-
-    for p in patterns:
-        for k in range(repeats):
-            edge(0, node["p", p], supply[p], k)
-        for s in members[p]:
-            edge(node["p", p], node["s", s], sum(want.values()) + 1, 0)
-    for s in sources:
-        edge(node["s", s], sink, want[s], 0)
-    height = [0] * (sink + 1)
-    while True:
-        dist, back = [float("inf")] * (sink + 1), [None] * (sink + 1)
-        dist[0] = 0
-        heap = [(0, 0)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > dist[u]:
-                continue
-            for i, (v, capacity, cost, _) in enumerate(graph[u]):
-                if capacity > 0 and (nd := d + cost + height[u] - height[v]) < dist[v]:
-                    dist[v], back[v] = nd, (u, i)
-                    heapq.heappush(heap, (nd, v))
-        if back[sink] is None:
-            break
-        height = [h + (d if d < float("inf") else 0) for h, d in zip(height, dist, strict=True)]
-        push, v = float("inf"), sink
-        while v:
-            u, i = back[v]
-            push, v = min(push, graph[u][i][1]), u
-        v = sink
-        while v:
-            u, i = back[v]
-            graph[u][i][1] -= push
-            graph[v][graph[u][i][3]][1] += push
-            v = u
-    out = {}
-    for p in patterns:
-        for v, _, _, i in graph[node["p", p]]:
-            if v > len(patterns) and v != sink and (flow := graph[v][i][1]):
-                out[p, sources[v - 1 - len(patterns)]] = flow
-    return out
+    number = {s: len(patterns) + i for i, s in enumerate(sources)}
+    out_of = [[number[s] for s in members[p] if s in number] for p in patterns]
+    into: list[dict[int, int]] = [{} for _ in sources]  # flow by pattern
+    room = [want[s] for s in sources]
+    for _ in range(repeats):
+        left = [supply[p] for p in patterns]
+        while True:
+            # levels from the patterns that have words left: forward over memberships, back over flow
+            level = {p: 0 for p, n in enumerate(left) if n > 0}
+            queue, reached = deque(level), False
+            while queue:
+                u = queue.popleft()
+                if u < len(patterns):
+                    nexts = out_of[u]
+                else:
+                    reached |= room[u - len(patterns)] > 0
+                    nexts = [p for p, f in into[u - len(patterns)].items() if f > 0]
+                for v in nexts:
+                    if v not in level:
+                        level[v] = level[u] + 1
+                        queue.append(v)
+            if not reached:
+                break
+            ways = {u: iter(out_of[u] if u < len(patterns) else list(into[u - len(patterns)])) for u in level}
+            for start in [p for p, n in enumerate(left) if n > 0]:
+                path = [start]
+                while path and left[start] > 0:
+                    u = path[-1]
+                    if u >= len(patterns) and room[u - len(patterns)] > 0:
+                        push = min(left[start], room[u - len(patterns)], *(into[a - len(patterns)].get(b, 0) for a, b in zip(path[1:-1:2], path[2:-1:2], strict=True)))
+                        for a, b in zip(path, path[1:], strict=False):
+                            if a < len(patterns):
+                                into[b - len(patterns)][a] = into[b - len(patterns)].get(a, 0) + push
+                            else:
+                                into[a - len(patterns)][b] -= push
+                        left[start] -= push
+                        room[u - len(patterns)] -= push
+                        path = [start]
+                        continue
+                    for v in ways[u]:
+                        if level.get(v) == level[u] + 1 and (u < len(patterns) or into[u - len(patterns)].get(v, 0) > 0):
+                            path.append(v)
+                            break
+                    else:
+                        path.pop()
+    return {(patterns[p], sources[i]): f for i, flows in enumerate(into) for p, f in flows.items() if f > 0}
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def _memberships(sources: Column | None) -> Column:
+    return F.array_sort(F.array_distinct(F.array("source") if sources is None else F.coalesce(sources, F.array().cast("array<string>"))))
+
+
+def _pattern(given: Column) -> Column:
+    return F.to_json(given)
+
+
 def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, tid, pattern, size, source_size, target, taken, copies)`` for every row.
+    """``(doc_id, tid, given, pattern, size, source_size, target, taken, copies)`` for every row.
 
-    ``sources``: an array column, by default of the column ``source`` alone; ``source_size`` and ``target`` are those of its
+    ``sources``: an array column, by default of the column ``source`` alone; ``given``: its pattern, ``pattern``: that by which it
+    is routed; ``source_size`` and ``target`` are those of its
     first source. ``taken``: words the mix takes, the last document of a flow in part; ``copies``: whole documents nearest to it.
     """
     spark = docs.sparkSession
-    given = F.array_sort(F.array_distinct(F.array("source") if sources is None else sources))
-    key = F.array_join(F.transform(given, lambda s: F.when(s.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), s))), "\x01")
+    given = _memberships(sources)
     tid = F.xxhash64(text)
     rows = materialize(
-        docs.select(F.col(doc_id).alias("doc_id"), tid.alias("tid"), given.alias("sources"), key.alias("pattern"), words(F.col(text)).alias("size"))
+        docs.select(F.col(doc_id).alias("doc_id"), tid.alias("tid"), given.alias("sources"), _pattern(given).alias("pattern"), _pattern(given).alias("given"), words(F.col(text)).alias("size"))
         .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "tid")),
         "mix-rows",
     )
-    groups = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"))
+    groups = materialize(rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")), "mix-patterns")
+    by_source = groups.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    if by_source.count() > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sources to set targets for")
+    sizes = {r.source: r["size"] for r in by_source.collect()}  # at most MAX_PATTERNS
+    want = targets(sizes, weights, share, float(repeats))
     if groups.count() > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    found = groups.collect()
+        # the smaller patterns join the pattern of one source each
+        free = groups.orderBy(F.desc("size"), "pattern").limit(MAX_PATTERNS).select("pattern", F.lit(True).alias("free"))
+        scarce = [(s, want[s] / max(1, sizes[s])) for s in sizes]
+        need = F.broadcast(spark.createDataFrame(scarce, "name string, need double"))  # a row per source
+        each = groups.join(free, "pattern", "left_anti").select("pattern", F.explode("sources").alias("s")).join(need, F.col("s").eqNullSafe(F.col("name")))
+        only = each.groupBy("pattern").agg(F.max_by(F.struct("s"), F.struct("need", "s")).alias("one")).select("pattern", F.array("one.s").alias("only"))
+        rows = rows.join(only, "pattern", "left").withColumn("sources", F.coalesce("only", "sources")).drop("only")
+        rows = materialize(rows.withColumn("pattern", _pattern(F.col("sources"))), "mix-rows")
+        groups = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"))
+    found = groups.collect()  # at most MAX_PATTERNS and one per source
     supply, members = {r.pattern: r["size"] for r in found}, {r.pattern: list(r.sources) for r in found}
-    sizes: dict[str | None, int] = {}
-    for p, names in members.items():
-        for s in names:
-            sizes[s] = sizes.get(s, 0) + supply[p]
-    want = targets(sizes, weights, share, float(repeats))
     flow = min_cost_flow(supply, members, {s: int(t) for s, t in want.items()}, repeats)
-    total = {p: sum(f for (q, _), f in flow.items() if q == p) for p in supply}
-    first = {p: names[0] if names else None for p, names in members.items()}
-    plan = spark.createDataFrame(
-        [(p, supply[p], total[p], sizes.get(first[p], 0), want.get(first[p], 0.0)) for p in supply], "pattern string, supply long, flow long, source_size long, target double"
-    )
+    total = dict.fromkeys(supply, 0)
+    for (p, _), f in flow.items():
+        total[p] += f
+    of = {p: (sizes[names[0]], want[names[0]]) if names else (0, 0.0) for p, names in members.items()}
+    plan = spark.createDataFrame([(p, supply[p], total[p], *of[p]) for p in supply], "pattern string, supply long, flow long, source_size long, target double")
     part = F.shiftright("h", 52)
     rows = rows.withColumn("part", part)
     sums = rows.groupBy("pattern", "part").agg(F.sum("size").alias("n"))
@@ -143,22 +167,23 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
         left = F.col("flow") - k * F.col("supply") - F.col("at")
         taken = taken + F.greatest(F.lit(0), F.least(left, F.col("size")))
         copies = copies + (2 * left >= F.col("size")).cast("int") * ((F.col("flow") > k * F.col("supply")) | (F.lit(k) == 0)).cast("int")
-    return at.select("doc_id", "tid", "pattern", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return at.select("doc_id", "tid", "given", "pattern", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, sources: Column | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, a row for each copy; the last document of a flow is kept or left as a whole.
 
-    Rows that agree in id, text and source are merged and their copies added up.
+    Rows that agree in id, text and sources are merged and their copies added up.
     """
-    keys = ["doc_id", "_mix_tid", "_mix_pattern"]
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("_mix_id"), F.col("tid").alias("_mix_tid"), F.col("pattern").alias("_mix_pattern")).agg(F.sum("copies").alias("_mix_n"))
-    plan = materialize(plan.where("_mix_n > 0"), "mix-plan")
-    source = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
-    keyed = docs.withColumn("_mix_tid", F.xxhash64("text")).withColumn("_mix_pattern", source).dropDuplicates(keys)
-    out = keyed.join(plan, keyed.doc_id.eqNullSafe(plan._mix_id) & (keyed._mix_tid == plan._mix_tid) & (keyed._mix_pattern == plan._mix_pattern))
-    out = out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))))
-    return out.select(*[keyed[c] for c in docs.columns])
+    plan = mix(docs, sources=sources, doc_id=doc_id, text=text, **options)
+    plan = plan.groupBy(F.col("doc_id").alias("p_id"), F.col("tid").alias("p_tid"), F.col("given").alias("p_given")).agg(F.sum("copies").alias("p_n"))
+    plan = materialize(plan.where("p_n > 0"), "mix-plan")
+    names = docs.columns
+    keyed = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], F.col(doc_id).alias("k_id"), F.xxhash64(text).alias("k_tid"), _pattern(_memberships(sources)).alias("k_given"))
+    keyed = keyed.dropDuplicates(["k_id", "k_tid", "k_given"])
+    out = keyed.join(plan, keyed.k_id.eqNullSafe(plan.p_id) & (keyed.k_tid == plan.p_tid) & (keyed.k_given == plan.p_given))
+    out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("p_n").cast("int"))).alias("copy"))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ member by partial aggregation, and rows meet their group in joins of written tab
 neither thousands of copies nor a passage shared by a third of all documents gathers in one task, and no pairs are made.
 
 Null text holds no words. Texts with fewer words than a window lose none. Rows with equal id and text are one document and
-come out alike; rows with equal id and different texts are ordered by a hash of the text. A null id orders first.
+come out alike; rows with equal id and different texts are ordered by a hash of the text. A null id orders first. Columns of the
+input keep their names and values; where one has the name of an output column, that gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from calltrace.functions.work import materialize, release
-from calltrace.llm.text import Words, blocks, bounded_batches, ranges, runs, spans_hash
+from calltrace.llm.text import Words, blocks, bounded_batches, free_name, ranges, runs, spans_hash
 
 GRAM = 5
 #: Seeds a task holds to find repeats among its own; more are dealt with in several such groups.
@@ -123,7 +124,7 @@ def _window_rows(window: int):
     return run
 
 
-def _cut_rows(window: int, names: list[str]):
+def _cut_rows(window: int, names: list[str], added: list[str]):
     """Texts without the words covered by ``_ss_at`` (first window and number of windows, packed)."""
 
     def run(batches):
@@ -146,7 +147,7 @@ def _cut_rows(window: int, names: list[str]):
             texts = [raw[a : b - 1] if b > a else b"" for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             removed = n - np.diff(np.searchsorted(keep, words.first))
             yield pa.RecordBatch.from_arrays(
-                [*(block.column(c) for c in names), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept_text"]
+                [*(block.column(c) for c in names), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, *added]
             )
 
     return run
@@ -187,10 +188,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = GRAM, doc_id:
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
     spans = covered(rows, window, gram).groupBy(F.col("id").alias("_ss_i"), F.col("tid").alias("_ss_t")).agg(F.collect_list("pos").alias("_ss_at"))
-    given = docs.withColumn("_ss_text", F.col(text)).withColumn("_ss_tid", F.xxhash64(text)).withColumn("_ss_id", F.col(doc_id).cast("long"))
-    joined = given.join(spans, F.col("_ss_id").eqNullSafe(F.col("_ss_i")) & (F.col("_ss_tid") == F.col("_ss_t")), "left").select(*docs.columns, "_ss_text", "_ss_at")
-    schema = StructType(docs.schema.fields[:]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
-    return joined.mapInArrow(_cut_rows(window, docs.columns), schema)
+    names, inner = docs.columns, [f"c{k}" for k in range(len(docs.columns))]
+    added = [free_name(c, names) for c in ("n_words", "n_removed", "kept_text")]
+    given = docs.select(*[F.col(c).alias(k) for c, k in zip(names, inner, strict=True)], F.col(text).alias("_ss_text"), F.xxhash64(text).alias("_ss_tid"), F.col(doc_id).cast("long").alias("_ss_id"))
+    joined = given.join(spans, F.col("_ss_id").eqNullSafe(F.col("_ss_i")) & (F.col("_ss_tid") == F.col("_ss_t")), "left").select(*inner, "_ss_text", "_ss_at")
+    schema = StructType([StructField(k, f.dataType) for k, f in zip(inner, docs.schema, strict=True)]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    return joined.mapInArrow(_cut_rows(window, inner, ["n_words", "n_removed", "kept_text"]), schema).toDF(*names, *added)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Token ids of a table, written as shards of patched frame-of-reference blocks (:mod:`calltrace.llm.pfor`) and read back.
 
-Rows are dealt into ranges of ascending document id and sorted (a null id first, rows of one id by text); each task
+Rows are dealt into ranges of ascending document id and sorted (a null id first, rows of one id by a hash of the text), and the
+ranges may cut an id that holds many rows; each task
 tokenizes its range, appends the end id to each document and writes shards of about ``shard_ids`` ids. A shard is written
 under a temporary name and renamed, and a task that runs again writes the same bytes under the same names, so a lost
 executor leaves no partial or doubled shard. Null texts count as empty: such a document is its end id alone. Rows repeated
-with one id are documents of their own. The folder must be one that all executors share.
+with one id are documents of their own. The folder must be one that all executors share; one without a scheme is in the
+cluster's default file system.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calltrace.functions.work import new_path
+from calltrace.functions.work import new_path, qualified
 from calltrace.llm import pfor
 from calltrace.llm.text import blocks, bounded_batches
 from calltrace.llm.tokens import Encoder
@@ -78,8 +80,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
             yield flush()
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    folder = qualified(docs.sparkSession, folder)
+    # the row's number parts rows that are equal, so that no id and no text makes a range that can't be cut
+    order = [F.xxhash64("text").alias("tid"), F.monotonically_increasing_id().alias("row")]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", *order)
+    rows = rows.repartitionByRange("doc_id", "tid", "row").sortWithinPartitions("doc_id", "tid", "row")
     manifest = rows.mapInArrow(write, "path string, n_ids long, n_docs long")
     manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")

@@ -137,6 +137,52 @@ def test_mixing(docs, corpus, empty, repeated):
     assert all(r["count"] <= 2 for r in kept)
 
 
+def test_flow_costs_least():
+    """The flow against the least cost that any routing has, found by trying all."""
+    import itertools
+
+    rnd = random.Random(2)
+    for _ in range(40):
+        sources = ["A", "B", "C"][: rnd.randrange(1, 4)]
+        members = {f"p{k}": sorted(rnd.sample(sources, rnd.randrange(1, len(sources) + 1))) for k in range(rnd.randrange(1, 4))}
+        supply, want = {p: rnd.randrange(0, 4) for p in members}, {s: rnd.randrange(0, 5) for s in sources}
+        flow = mixing.min_cost_flow(supply, members, want)
+        edges = [(p, s) for p in members for s in members[p]]
+        assert set(flow) <= set(edges)
+        value = lambda f: (
+            None if any(sum(f.get((p, s), 0) for p in members) > want[s] for s in sources) or any(sum(f.get((p, s), 0) for s in sources) > 2 * supply[p] for p in members)
+            else (sum(f.values()), -sum(max(0, sum(f.get((p, s), 0) for s in sources) - supply[p]) for p in members))
+        )
+        best = max(v for n in itertools.product(range(5), repeat=len(edges)) if (v := value(dict(zip(edges, n, strict=True)))) is not None) if len(edges) < 6 else None
+        assert value(flow) is not None and (best is None or value(flow) == best)
+    many = {f"p{k}": [f"s{k % 50}", f"s{k * 7 % 50}"] for k in range(20_000)}
+    got = mixing.min_cost_flow(dict.fromkeys(many, 10), many, {f"s{k}": 5000 for k in range(50)})
+    assert sum(got.values()) == 250_000
+
+
+def test_mixing_overlapping_sources(spark, docs, corpus, repeated, monkeypatch):
+    """Documents of several sources reach the mix, with every pattern free and with most patterns bound to one source."""
+    both = F.when(F.col("doc_id") % 3 == 0, F.array("source", F.concat(F.lit("t"), (F.col("doc_id") % 5).cast("string")))).when(F.col("doc_id") % 50 == 1, F.array().cast("array<string>")).otherwise(F.array("source"))
+    member = {r[0]: {r[3], f"t{r[0] % 5}"} if r[0] % 3 == 0 else set() if r[0] % 50 == 1 else {r[3]} for r in corpus}
+    size = {r[0]: len(words(r[1])) for r in corpus}
+    by_source = collections.Counter()
+    for d, names in member.items():
+        for s in names:
+            by_source[s] += size[d]
+    want = mixing.targets(by_source)
+    for most in (50_000, 12):
+        monkeypatch.setattr(mixing, "MAX_PATTERNS", most)
+        rows = mixing.mix(docs, sources=both).collect()
+        assert len(rows) == len(corpus) and all(r.taken <= 2 * r.size for r in rows) and all(r.taken == 0 for r in rows if not member[r.doc_id])
+        assert sum(r.taken for r in rows) > 0.8 * min(sum(want.values()), 2 * sum(size.values())) and len({r.pattern for r in rows}) <= 40
+        kept = mixing.mixed_documents(docs, sources=both).collect()
+        copies = collections.Counter(r.doc_id for r in kept)
+        assert {r.doc_id: r.copies for r in rows if r.copies} == dict(copies) and any(len(member[d]) == 2 for d in copies)
+    odd = repeated.withColumns({"p_n": F.lit("x"), "copy": F.lit("y")}).drop("source")
+    out = mixing.mixed_documents(odd, sources=F.array(F.lit("one")))
+    assert out.columns == odd.columns and {(r.p_n, r.copy) for r in out.collect()} == {("x", "y")}
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------------
 def test_decontamination(spark, docs, corpus, empty):
     clean = corpus[12][1].split()
@@ -236,6 +282,12 @@ def test_substring_dedup_equal_rows(spark, parts):
     assert got == {(None, 0), (1, 60), (2, 60), (3, 49)}
 
 
+def test_substring_dedup_clashing_columns(repeated):
+    clash = repeated.withColumns({"n_words": F.lit("a"), "kept_text": F.lit(1), "_ss_at": F.lit(2), "c0": F.lit(3)})
+    out = substring_dedup.remove_repeats(clash)
+    assert out.columns == [*clash.columns, "n_words_", "n_removed", "kept_text_"] and {(r.n_words, r.kept_text, r._ss_at, r.c0) for r in out.collect()} == {("a", 1, 2, 3)}
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------------
 def brute_lines(rows, least=10):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
@@ -331,6 +383,25 @@ def test_token_output(docs, corpus, empty, repeated):
     assert token_output.token_output(empty).count() == 0 and token_output.token_output(repeated).count() == 36
 
 
+def test_token_output_hot_id(spark):
+    """An id that holds nearly all rows, and rows that are equal, are dealt into several ranges."""
+    rows = [(None, f"text {i % 50}") for i in range(400)] + [(1, "same")] * 400 + [(2, "last")]
+    folder = new_path(spark, "hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = token_output.token_output(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 801 and sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got) and len({r.start for r in got}) == 801
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == [None] * 400 + [1] * 400 + [2]
+    assert min(r.n_docs for r in spark.read.parquet(f"{folder}/manifest").collect()) < 400 and spark.read.parquet(f"{folder}/manifest").where("n_docs > 350").count() == 0
+
+
+def test_paths_without_a_scheme(spark, tmp_path):
+    from calltrace.functions.work import qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}" == qualified(spark, f"file://{tmp_path}/")
+
+
 def test_encoder_matches_whole_texts():
     import random
 
