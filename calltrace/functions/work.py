@@ -48,6 +48,13 @@ def delete(spark: SparkSession, path: str) -> None:
     given.getFileSystem(sc._jsc.hadoopConfiguration()).delete(given, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    sc = spark.sparkContext
+    given, to = (sc._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    if not given.getFileSystem(sc._jsc.hadoopConfiguration()).rename(given, to):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of frames made by :func:`materialize`; nothing lazy may still read them."""
     for df in frames:

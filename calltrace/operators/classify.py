@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calltrace.functions import patterns as P
 from calltrace.functions.columns import capture
 
+#: Characters that the reference reads, and its private addresses. Fixed values.
 SAMPLE = 150_000
 PRIVATE_IP = r"\b(10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[0-1])\.\d{1,3}\.\d{1,3})\b"
 
@@ -34,24 +35,28 @@ def device_name(text: Column, compat: bool = False) -> Column:
     )
 
 
-def classify(files: DataFrame, text: str = "content", name: str = "file_name", as_of: str = "20260920_000000", tables: dict | None = None, compat: bool = False) -> DataFrame:
+def _key(files: DataFrame) -> str:
+    return "path" if "path" in files.columns else "file_name"
+
+
+def classify(files: DataFrame, text: str = "content", name: str | None = None, as_of: str = "20260920_000000", tables: dict | None = None, compat: bool = False) -> DataFrame:
     """``(file_name, trace_type, device_type, device_name, device_ip, confidence, evidence, recommended_filename)`` per file.
 
     Content decides: labels of five families are counted over the whole text (``compat``: its first 150,000 characters) and met by an ordered list of
-    rules; a file without enough marks falls back on its name. Null and blank texts are UNKNOWN at 0.
+    rules; a file without enough marks falls back on its base name. ``file_name`` is the column ``name``, else the path where there is one. Null and blank texts are UNKNOWN at 0.
     """
     tables = tables or P.CLASSES
     sample = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE) if compat else F.coalesce(F.col(text), F.lit(""))
-    x = files.select(F.col(name).alias("file_name"), F.col(text).alias("_text"), sample.alias("_sample")).withColumns({f"_{k.lower()}": labels(F.col("_sample"), t) for k, t in tables.items()})
+    x = files.select(F.col(name or _key(files)).alias("file_name"), F.col(text).alias("_text"), sample.alias("_sample")).withColumns({f"_{k.lower()}": labels(F.col("_sample"), t) for k, t in tables.items()})
     sdl, isdn, sip, mgcp, ccapi = (F.col(f"_{k}") for k in ("cucm_sdl", "isdn_q931", "sip", "mgcp", "ccapi"))
     some = lambda found, marks: F.exists(found, lambda e: e.rlike("|".join(marks)))
-    low = F.lower("file_name")
+    low = F.lower(F.element_at(F.split("file_name", r"[/\\\\]"), -1))
     active = sum(((F.size(c) >= 2).cast("int") for c in (isdn, sip, mgcp)), F.lit(0))
     blank = F.btrim(F.coalesce("_text", F.lit(""))) == ""
     cube = low.contains("cube") | F.lower("_sample").contains("cube")
     graded = lambda found: F.least(F.lit(0.99), F.round(0.85 + 0.03 * F.size(found), 2))
     weak = lambda words: F.array(F.lit(f"Weak content indicator; matched filename token '{words}'"))
-    # condition, trace type, device type, default name, confidence, evidence, name and address for the suggested file name
+    # Condition, trace type, device type, default name, confidence, evidence, name and address for the suggested file name
     rules = [
         (blank, "UNKNOWN", F.lit("UNKNOWN"), F.lit(None), F.lit(0.0), F.array(F.lit("Empty file content")), None),
         ((F.size(sdl) >= 2) | some(sdl, ["FileHead", "SdlSig"]), "CUCM_SDL", F.lit("CUCM"), F.lit("CUCM-PUB"), graded(sdl), sdl, ("CUCM", "10.197.206.141", "SDL")),
@@ -121,5 +126,5 @@ def protocols_present(text: Column, table: dict[str, tuple[str, ...]] | None = N
 def inventory(files: DataFrame, classes: DataFrame, events: DataFrame, text: str = "content") -> DataFrame:
     """One row per file: class, first and last stamp, first event's protocol, size and hash."""
     bounds = events.groupBy(F.col("source").alias("file_name")).agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.min_by("protocol", "seq_in_source").alias("protocol"), F.count("*").alias("event_count"))
-    sizes = files.select("file_name", F.octet_length(text).cast("long").alias("size_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"))
+    sizes = files.select(F.col(_key(files)).alias("file_name"), F.octet_length(text).cast("long").alias("size_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"))
     return sizes.join(classes, "file_name", "left").join(bounds, "file_name", "left")

@@ -1,7 +1,7 @@
 """From ordered lines to multi-line records.
 
-Every function takes lines ``(file_name, line_no, line)`` and works in windows over a file's lines. :func:`frame_sdl` also
-works in chunks of a file, so that one huge file does not end in one task.
+Every function takes lines ``(file_name, line_no, line)`` and works in windows over chunks of ``chunk`` lines of a file, whose
+running values are carried from chunk to chunk, so that one huge file does not end in one task. ``chunk=None`` takes whole files.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from calltrace.functions import patterns as P
 from calltrace.functions.columns import capture, offset_minutes
 
+CHUNK = 100_000
+
 
 def _file():
     return Window.partitionBy("file_name").orderBy("line_no")
@@ -39,6 +41,20 @@ def _running(lines: DataFrame, chunk: int | None, sums: dict[str, Column], lasts
     return rows.select(*lines.columns, *sums, *lasts)
 
 
+def _previous(lines: DataFrame, chunk: int | None, flag: Column) -> DataFrame:
+    """``lines`` with ``previous``: the flag of the line before; false at a file's first line."""
+    x = lines.withColumn("_flag", flag)
+    if chunk is None:
+        return x.withColumn("previous", F.coalesce(F.lag("_flag").over(_file()), F.lit(False))).drop("_flag")
+    x = x.withColumn("_chunk", F.floor((F.col("line_no") - 1) / chunk))
+    ends = x.groupBy("file_name", "_chunk").agg(F.max_by("_flag", "line_no").alias("_end"))
+    ends = ends.select("file_name", "_chunk", F.lag("_end").over(Window.partitionBy("file_name").orderBy("_chunk")).alias("_end"))
+    inside = F.lag("_flag").over(Window.partitionBy("file_name", "_chunk").orderBy("line_no"))
+    first = F.row_number().over(Window.partitionBy("file_name", "_chunk").orderBy("line_no")) == 1
+    x = x.join(ends, ["file_name", "_chunk"]).withColumn("previous", F.coalesce(F.when(first, F.col("_end")).otherwise(inside), F.lit(False)))
+    return x.select(*lines.columns, "previous")
+
+
 def _sdl_lines(lines: DataFrame, chunk: int | None) -> DataFrame:
     line = F.regexp_replace("line", r"[\r\n]+$", "")
     x = lines.withColumn("line", line).withColumn("head", F.col("line").rlike(P.SDL_HEADER))
@@ -52,7 +68,7 @@ def _sdl_lines(lines: DataFrame, chunk: int | None) -> DataFrame:
     return _running(x, chunk, {"rec": F.col("head")}, lasts)
 
 
-def frame_sdl(lines: DataFrame, node: str | None = None, base_date: str | None = None, chunk: int | None = None) -> DataFrame:
+def frame_sdl(lines: DataFrame, node: str | None = None, base_date: str | None = None, chunk: int | None = CHUNK) -> DataFrame:
     """``(file_name, rec, source_line, seq, time, type, rest, header_line, raw_text, base_date, offset, node)`` per record.
 
     A header line opens a record, other lines continue it. Date, zone and node come from the last FileHead, from its own
@@ -71,40 +87,42 @@ def frame_sdl(lines: DataFrame, node: str | None = None, base_date: str | None =
     )
 
 
-def malformed_sdl(lines: DataFrame, chunk: int | None = None) -> DataFrame:
+def malformed_sdl(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """``(file_name, line_no, text, reason)``: non-blank lines before a file's first header."""
     x = _sdl_lines(lines, chunk).where("rec = 0").where(F.btrim("line") != "")
     return x.select("file_name", "line_no", F.col("line").alias("text"), F.lit("Line before first trace header").alias("reason"))
 
 
-def frame_isdn(lines: DataFrame) -> DataFrame:
+def frame_isdn(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """``(file_name, block, source_line, header_line, raw)``: a block runs to the next ISDN header or the file's end."""
     s = F.btrim("line")
-    x = lines.withColumn("head", s.rlike(P.ISDN_STRICT) | s.rlike(P.ISDN_FLEXIBLE)).withColumn("block", F.sum(F.col("head").cast("int")).over(_file())).where("block > 0")
+    x = _running(lines, chunk, {"block": s.rlike(P.ISDN_STRICT) | s.rlike(P.ISDN_FLEXIBLE)}, {}).where("block > 0")
     return x.groupBy("file_name", "block").agg(F.min("line_no").alias("source_line"), F.min_by(F.btrim("line"), "line_no").alias("header_line"), _text().alias("raw"))
 
 
-def frame_sip(lines: DataFrame) -> DataFrame:
+def frame_sip(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """``(file_name, block, source_line, header_line, timestamp_raw, direction, raw)``.
 
     A request or status line opens a block, a delimiter closes it. The stamp is that of the last banner, the direction that of
     the last marker, which a closing delimiter resets.
     """
     s = F.btrim("line")
-    x = lines.withColumn("s", s).withColumn("head", s.rlike(P.SIP_REQUEST) | s.rlike(P.SIP_STATUS)).withColumn("block", F.sum(F.col("head").cast("int")).over(_file()))
+    x = lines.withColumn("s", s).withColumn("head", s.rlike(P.SIP_REQUEST) | s.rlike(P.SIP_STATUS))
+    x = _running(x, chunk, {"block": F.col("head")}, {})
     x = x.withColumn("cut", (F.col("block") > 0) & ~F.col("head") & (F.col("s").startswith("<---") | F.col("s").startswith("---")))
     inside = Window.partitionBy("file_name", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("live", (F.col("block") > 0) & ~F.coalesce(F.max("cut").over(inside), F.lit(False)))
     marker = F.when(F.col("s").startswith("Received:") | F.col("s").contains("RX"), "INBOUND").when(F.col("s").startswith("Sent:") | F.col("s").contains("TX"), "OUTBOUND")
-    x = x.withColumn("mark", F.when(F.col("cut") & F.col("live"), "UNKNOWN").otherwise(marker))
-    x = x.withColumns({"direction": F.coalesce(F.last("mark", True).over(_file()), F.lit("UNKNOWN")), "stamp": F.last(F.when(F.col("line").rlike(P.SIP_BANNER), capture(F.col("line"), P.SIP_BANNER)), True).over(_file())})
+    mark = F.when(F.col("cut") & F.col("live"), "UNKNOWN").otherwise(marker)
+    x = _running(x, chunk, {}, {"direction": mark, "stamp": F.when(F.col("line").rlike(P.SIP_BANNER), capture(F.col("line"), P.SIP_BANNER))})
+    x = x.withColumn("direction", F.coalesce("direction", F.lit("UNKNOWN")))
     # a start line's own direction is that before any reset, which only a delimiter makes
     return x.where("live").groupBy("file_name", "block").agg(
         F.min("line_no").alias("source_line"), F.min_by("s", "line_no").alias("header_line"), F.min_by("stamp", "line_no").alias("timestamp_raw"), F.min_by("direction", "line_no").alias("direction"), _text().alias("raw")
     )
 
 
-def frame_mgcp(lines: DataFrame) -> DataFrame:
+def frame_mgcp(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """``(file_name, block, source_line, timestamp_raw, direction, peer_ip, peer_port, raw)``.
 
     A banner, or the line after a closing delimiter, begins a segment; each further command or response line in a segment
@@ -112,10 +130,11 @@ def frame_mgcp(lines: DataFrame) -> DataFrame:
     """
     x = lines.withColumns({"banner": F.col("line").rlike(P.MGCP_BANNER), "verb": (F.btrim("line").rlike(P.MGCP_COMMAND) | F.btrim("line").rlike(P.MGCP_RESPONSE))})
     x = x.withColumn("verb", F.col("verb") & ~F.col("banner"))
-    after = F.coalesce(F.lag(F.btrim("line").startswith("<---")).over(_file()), F.lit(False))
-    x = x.withColumn("segment", F.sum((F.col("banner") | after).cast("int")).over(_file()))
-    inside = Window.partitionBy("file_name", "segment").orderBy("line_no")
-    x = x.withColumns({"k": F.sum(F.col("verb").cast("int")).over(inside), "led": F.max("banner").over(Window.partitionBy("file_name", "segment"))}).where("k > 0 OR led")
+    x = _previous(x, chunk, F.btrim("line").startswith("<---")).withColumn("opens", F.col("banner") | F.col("previous"))
+    # a banner always opens a segment, so a segment has one if its first line is one
+    x = _running(x, chunk, {"segment": F.col("opens"), "v": F.col("verb")}, {"led": F.when(F.col("opens"), F.col("banner"))})
+    x = _running(x, chunk, {}, {"before": F.when(F.col("opens"), F.col("v") - F.col("verb").cast("int"))})
+    x = x.withColumn("k", F.col("v") - F.coalesce("before", F.lit(0))).where("k > 0 OR led")
     block = F.struct("segment", F.greatest("k", F.lit(1)).alias("k"))
     out = x.groupBy("file_name", block.alias("b")).agg(F.min("line_no").alias("source_line"), F.max(F.when(F.col("banner"), F.col("line"))).alias("banner"), F.max("verb").alias("some"), _text().alias("raw")).where("some")
     text = F.col("banner")

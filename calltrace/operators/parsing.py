@@ -117,8 +117,8 @@ def _voice(rows: DataFrame, protocol: str, columns: dict[str, Column], metadata:
     return rows.select(*[given[c].alias(c) if c in given else F.lit(None).cast("int" if c in _INTS else "string").alias(c) for c in VOICE_COLUMNS])
 
 
-def isdn_events(lines: DataFrame, year: int = 2026) -> DataFrame:
-    rows = framing.frame_isdn(lines)
+def isdn_events(lines: DataFrame, year: int = 2026, **options) -> DataFrame:
+    rows = framing.frame_isdn(lines, **options)
     head, raw = F.col("header_line"), F.col("raw")
     strict = head.rlike(P.ISDN_STRICT)
     pick = lambda i, j: F.when(strict, capture(head, P.ISDN_STRICT, i)).otherwise(capture(head, P.ISDN_FLEXIBLE, j)) if j else F.when(strict, capture(head, P.ISDN_STRICT, i))
@@ -136,8 +136,8 @@ def isdn_events(lines: DataFrame, year: int = 2026) -> DataFrame:
     )
 
 
-def sip_events(lines: DataFrame, year: int = 2026) -> DataFrame:
-    rows = framing.frame_sip(lines)
+def sip_events(lines: DataFrame, year: int = 2026, **options) -> DataFrame:
+    rows = framing.frame_sip(lines, **options)
     head, raw = F.col("header_line"), F.col("raw")
     request = head.rlike(P.SIP_REQUEST)
     code, reason = capture(head, P.SIP_STATUS), F.btrim(F.coalesce(capture(head, P.SIP_STATUS, 2), F.lit("")))
@@ -157,8 +157,8 @@ def sip_events(lines: DataFrame, year: int = 2026) -> DataFrame:
     )
 
 
-def mgcp_events(lines: DataFrame, year: int = 2026) -> DataFrame:
-    rows = framing.frame_mgcp(lines)
+def mgcp_events(lines: DataFrame, year: int = 2026, **options) -> DataFrame:
+    rows = framing.frame_mgcp(lines, **options)
     raw = F.col("raw")
     # the first command or response line decides
     lead = F.get(F.filter(split_lines(raw), lambda x: (x.rlike(P.MGCP_COMMAND) | x.rlike(P.MGCP_RESPONSE)) & ~x.rlike(P.MGCP_BANNER)), F.lit(0))

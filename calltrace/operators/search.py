@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calltrace.functions.work import materialize
+
 
 def _contains(column: Column, word: str) -> Column:
     return F.coalesce(F.lower(column.cast("string")).contains(word.lower()), F.lit(False))
@@ -75,30 +77,59 @@ def newest(files: DataFrame, modified: str = "modified") -> DataFrame:
     return files.agg(F.max_by(F.struct(*files.columns), modified).alias("f")).select("f.*")
 
 
+#: Tokens are words of at least so many characters, and the index holds pieces of words up to so many.
+TOKEN, PIECE = 3, 32
+#: Up to so many index rows go to every executor; a larger index meets the tokens in a shuffle.
+INDEX_ROWS = 500_000
+_WORDS = r"(?U)(\w+)"
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORDS), F.lit(1)), lambda t: F.length(t) >= TOKEN)
+
+
+def token_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(token, id, item_order, s)``: what each token scores with each item whose text contains it; and the long words, ``(head, word, id,
+    item_order, field, w)``, for tokens that are longer than the index's pieces.
+
+    A token holds word characters only, so a text contains it where one of the text's words does: the index holds all pieces of
+    ``TOKEN`` to ``PIECE`` characters of the items' words, about ``PIECE`` per character.
+    """
+    tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "\n")
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(w).alias("w"), F.array_distinct(_words(c)).alias("words")) for k, w, c in (("title", 5.0, F.col("title")), ("tags", 3.0, tags), ("description", 2.0, F.col("description")), ("details", 1.0, F.col("details")))])
+    words = items.select("id", "item_order", F.explode(fields).alias("f")).select("id", "item_order", "f.field", "f.w", F.explode("f.words").alias("word"))
+    size = F.length("word")
+    at = words.withColumn("at", F.explode(F.sequence(F.lit(1), size - TOKEN + 1)))
+    pieces = at.withColumn("n", F.explode(F.sequence(F.lit(TOKEN), F.least(F.lit(PIECE), size - F.col("at") + 1)))).select("id", "item_order", "field", "w", F.substring("word", F.col("at"), F.col("n")).alias("token"))
+    index = pieces.groupBy("token", "id", "item_order", "field").agg(F.first("w").alias("w")).groupBy("token", "id", "item_order").agg(F.sum("w").alias("s"))
+    long = at.where(size - F.col("at") + 1 > PIECE).select(F.substring("word", F.col("at"), F.lit(PIECE)).alias("head"), "word", "id", "item_order", "field", "w").distinct()
+    return index, long
+
+
 def search_items(queries: DataFrame, items: DataFrame, k: int = 5, query_id: str = "query_id", text: str = "query", category: str | None = None, confidence: str | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: the best ``k`` items of each query.
 
     Tokens are words of more than two characters; each adds 5 where the title contains it, 3 for any tag, 2 for the description
-    and 1 for the details. Ties keep the items' order; a query without tokens gets the first ``k`` items. Items are the small
-    side: a knowledge base, joined to the queries' tokens.
+    and 1 for the details. Ties keep the items' order; a query without tokens gets the first ``k`` items. Tokens meet the items in
+    equi joins with :func:`token_index`.
     """
-    tokens = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1)), lambda t: F.length(t) > 2)
-    q = queries.select(F.col(query_id), tokens.alias("tokens"))
     scored = items
     if category:
         scored = scored.where(F.lower("category") == category.lower())
     if confidence:
         scored = scored.where(F.lower("confidence") == confidence.lower())
-    low = scored.select("id", "item_order", F.lower("title").alias("t"), F.lower("description").alias("d"), F.lower(F.coalesce("details", F.lit(""))).alias("x"), F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower).alias("g"))
-    one = lambda c, w: F.when(F.coalesce(c, F.lit(False)), F.lit(w)).otherwise(F.lit(0.0))
-    tok = F.col("token")
-    # one row per (query, distinct token): a token is scored against the items once, times how often the query has it
+    index, long = token_index(scored)
+    index = materialize(index, "token-index")
+    small = index.count() <= INDEX_ROWS
+    near = F.broadcast if small else lambda df: df
+    q = queries.select(F.col(query_id), _words(F.col(text)).alias("tokens"))
+    # one row per (query, distinct token), with how often the query has it
     each = q.select(query_id, F.explode("tokens").alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("n"))
-    words = each.select("token").distinct()
-    score = one(F.col("t").contains(tok), 5.0) + one(F.exists("g", lambda v: v.contains(tok)), 3.0) + one(F.col("d").contains(tok), 2.0) + one(F.col("x").contains(tok), 1.0)
-    hits = words.join(low, F.col("t").contains(tok) | F.col("d").contains(tok) | F.col("x").contains(tok) | F.exists("g", lambda v: v.contains(tok))).select("token", "id", "item_order", score.alias("s"))
-    found = each.join(hits, "token").groupBy(query_id, "id", "item_order").agg(F.sum(F.col("n") * F.col("s")).alias("score"))
-    first = q.where(F.size("tokens") == 0).select(query_id).join(items.orderBy("item_order").limit(k).select("id", "item_order")).withColumn("score", F.lit(0.0))
+    hits = each.where(F.length("token") <= PIECE).join(near(index), "token").select(query_id, "id", "item_order", (F.col("n") * F.col("s")).alias("s"))
+    over = each.where(F.length("token") > PIECE).withColumn("head", F.substring("token", 1, PIECE)).join(long, "head").where(F.col("word").contains(F.col("token")))
+    over = over.select(query_id, "token", "n", "id", "item_order", "field", "w").distinct().select(query_id, "id", "item_order", (F.col("n") * F.col("w")).alias("s"))
+    found = hits.unionByName(over).groupBy(query_id, "id", "item_order").agg(F.sum("s").alias("score"))
+    first = q.where(F.size("tokens") == 0).select(query_id).join(F.broadcast(scored.orderBy("item_order").limit(k).select("id", "item_order"))).withColumn("score", F.lit(0.0))  # k rows
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), "item_order")
     return found.unionByName(first).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "id", "score", "rank")
 

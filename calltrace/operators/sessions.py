@@ -87,11 +87,12 @@ def bye_confirmed(events: DataFrame, key: str, order: str, name: str = "message_
 
 def files_in_window(files: DataFrame, start, end, modified: str = "modified", node: str | None = None, tie: str = "filename") -> DataFrame:
     """Files modified inside the window, and the last file before it whose successor is not before it, newest first."""
-    w = (Window.partitionBy(node) if node else Window.partitionBy(F.lit(0))).orderBy(modified, tie)
-    x = files.withColumn("_next", F.lead(modified).over(w))
     m = F.col(modified)
-    kept = m.between(F.lit(start), F.lit(end)) | ((m < F.lit(start)) & (F.col("_next") >= F.lit(start)))
-    return x.where(kept).drop("_next").orderBy(F.desc(modified), tie)
+    # per node (or in all) one row: the last file before the window, and whether any file follows it
+    edge = files.groupBy(*([node] if node else [])).agg(F.max(F.when(m < F.lit(start), F.struct(modified, tie))).alias("_last"), F.max(m).alias("_newest"))
+    x = files.join(edge.withColumnRenamed(node, "_node"), F.col(node).eqNullSafe(F.col("_node"))) if node else files.join(F.broadcast(edge))  # one row
+    before = F.coalesce((F.struct(modified, tie) == F.col("_last")) & (F.col("_newest") >= F.lit(start)), F.lit(False))
+    return x.where(m.between(F.lit(start), F.lit(end)) | before).select(*files.columns).orderBy(F.desc(modified), tie)
 
 
 #: Relative windows by name, in minutes. Fixed values.

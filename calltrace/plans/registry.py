@@ -64,11 +64,11 @@ def q_filehead_ffill(spark, sf_dir):
 TEXT_PATTERNS = {"CONTACT": (r"[a-z0-9.]+@[a-z0-9.]+", r"\+[0-9]", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), "SECRET": (r"token = ", r"[0-9a-f]{32}"), "TABLE": (r" \| ",), "SHOUT": (r"[A-Z]{4,}!!", r"!!")}
 
 
-def _counts_sql(column: str, table: dict, limit: int) -> str:
-    return ", ".join("(" + " + ".join(f"CAST(regexp_matches(substr(coalesce({column}, ''), 1, {limit}), '{p}') AS INT)" for p in ps) + f") AS {k}" for k, ps in table.items())
+def _counts_sql(column: str, table: dict) -> str:
+    return ", ".join("(" + " + ".join(f"CAST(regexp_matches(coalesce({column}, ''), '{p}') AS INT)" for p in ps) + f") AS {k}" for k, ps in table.items())
 
 
-@query(f"""WITH c AS (SELECT doc_id, {_counts_sql("text", TEXT_PATTERNS, 100000)} FROM documents)
+@query(f"""WITH c AS (SELECT doc_id, {_counts_sql("text", TEXT_PATTERNS)} FROM documents)
   SELECT doc_id, CASE WHEN greatest(CONTACT, SECRET, "TABLE", SHOUT) < 1 THEN 'UNKNOWN' WHEN CONTACT = greatest(CONTACT, SECRET, "TABLE", SHOUT) THEN 'CONTACT' WHEN SECRET = greatest(CONTACT, SECRET, "TABLE", SHOUT) THEN 'SECRET'
     WHEN "TABLE" = greatest(CONTACT, SECRET, "TABLE", SHOUT) THEN 'TABLE' ELSE 'SHOUT' END AS label FROM c""".replace(") AS TABLE", ') AS "TABLE"'))
 def q_classify_documents(spark, sf_dir):
@@ -78,7 +78,7 @@ def q_classify_documents(spark, sf_dir):
 PAGE_PATTERNS = {"SCRIPT": ("<script",), "STYLE": ("<style",), "NAV": ("<nav", "<ul>"), "FRENCH": ('lang="fr"',), "ENTITY": ("&[a-z]+;",)}
 
 
-@query(f"""WITH c AS (SELECT page_id, {_counts_sql("html", PAGE_PATTERNS, 200000)} FROM pages)
+@query(f"""WITH c AS (SELECT page_id, {_counts_sql("html", PAGE_PATTERNS)} FROM pages)
   SELECT page_id, array_to_string([x FOR x IN [CASE WHEN SCRIPT > 0 THEN 'SCRIPT' END, CASE WHEN STYLE > 0 THEN 'STYLE' END, CASE WHEN NAV > 0 THEN 'NAV' END, CASE WHEN FRENCH > 0 THEN 'FRENCH' END, CASE WHEN ENTITY > 0 THEN 'ENTITY' END] IF x IS NOT NULL], ',') AS markers FROM c""")
 def q_detect_markers(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.array_join(classify.protocols_present(F.col("html"), PAGE_PATTERNS), ",").alias("markers"))
@@ -255,7 +255,7 @@ def q_premature(spark, sf_dir):
 @query(f"""WITH {SIG}, f AS (SELECT call_id, bool_or(message_type LIKE '503%') AS rej, bool_or(message_type = 'INVITE') AND bool_or(message_type = 'BYE') AND NOT bool_or(message_type = '200 OK') AS pre,
     bool_or(message_type = 'INVITE') AS i, bool_or(message_type = '180 Ringing') AS r, bool_or(message_type = '200 OK') AS o, bool_or(message_type = 'ACK') AS a, bool_or(message_type = 'BYE') AS b FROM sig GROUP BY call_id)
   SELECT call_id AS call_key, CASE WHEN rej THEN 'High' WHEN pre THEN 'Medium' WHEN (i AND NOT r AND NOT o) OR (i AND r AND NOT o AND NOT b) OR (i AND o AND NOT a) THEN 'Low' ELSE 'High' END AS confidence,
-    CASE WHEN rej THEN 'Call failed due to explicit signaling rejection: SIP failure response received: 503 Service Unavailable.' WHEN pre THEN '{evidence.PREMATURE_CAUSE}'
+    CASE WHEN rej THEN 'The call was rejected. SIP failure response received: 503 Service Unavailable.' WHEN pre THEN '{evidence.PREMATURE_CAUSE}'
       WHEN (i AND NOT r AND NOT o) OR (i AND r AND NOT o AND NOT b) OR (i AND o AND NOT a) THEN '{evidence.MISSING_CAUSE}' ELSE '{evidence.NORMAL_CAUSE}' END AS root_cause FROM f""")
 def q_verdict(spark, sf_dir):
     return evidence.call_verdicts(sdl_table(signal_events(spark, sf_dir))).select("call_key", "confidence", "root_cause")
@@ -304,19 +304,20 @@ def q_file_select(spark, sf_dir):
 
 
 # --- knowledge, masking, inventory ------------------------------------------------------------------------------------------
-@query("""WITH q AS (SELECT doc_id, [t FOR t IN regexp_extract_all(lower(substr(coalesce(text, ''), 1, 60)), '([\\p{L}\\p{N}_]+)', 1) IF length(t) > 2] AS ts FROM documents),
+@query("""WITH q AS (SELECT doc_id, [t FOR t IN regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{N}_]+)', 1) IF length(t) > 2] AS ts FROM documents),
   tok AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(ts) AS t FROM q) GROUP BY doc_id, t),
-  it AS (SELECT item_id, lower(substr(text, 1, 40)) AS title, lower(text) AS d FROM benchmark),
+  it AS (SELECT item_id, array_to_string([w FOR w IN regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1) IF length(w) > 8], ' ') AS title, lower(text) AS d FROM benchmark),
   hit AS (SELECT t, item_id, CASE WHEN contains(title, t) THEN 5.0 ELSE 0 END + CASE WHEN contains(d, t) THEN 2.0 ELSE 0 END AS s FROM (SELECT DISTINCT t FROM tok), it WHERE contains(d, t)),
   sc AS (SELECT doc_id, item_id, sum(n * s) AS score FROM tok JOIN hit USING (t) GROUP BY doc_id, item_id),
   emp AS (SELECT doc_id, item_id, 0.0 AS score FROM q, (SELECT item_id FROM it ORDER BY item_id LIMIT 3) WHERE len(ts) = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM (SELECT * FROM sc UNION ALL SELECT * FROM emp))
   SELECT doc_id AS query_id, CAST(item_id AS VARCHAR) AS id, CAST(score AS DOUBLE) AS score, rank FROM r WHERE rank <= 3""")
 def q_knowledge_topk(spark, sf_dir):
-    """The three best benchmark items for each document's opening words."""
-    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    """The three best benchmark items for each document; an item's long words are its title."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     b = _table(spark, sf_dir, "benchmark")
-    items = b.select(F.col("item_id").cast("string").alias("id"), F.col("item_id").alias("item_order"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("description"), F.lit("").alias("details"), F.array().cast("array<string>").alias("tags"))
+    title = F.array_join(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: F.length(w) > 8), " ")
+    items = b.select(F.col("item_id").cast("string").alias("id"), F.col("item_id").alias("item_order"), title.alias("title"), F.col("text").alias("description"), F.lit("").alias("details"), F.array().cast("array<string>").alias("tags"))
     return search.search_items(d, items, 3)
 
 

@@ -1,22 +1,26 @@
 """Trace files in and out: texts, lines, inventories, manifests, listings, knowledge, exports.
 
-A table of lines is ``(file_name, line_no, line)``, numbered from 1.
+A table of lines is ``(file_name, line_no, line)``, numbered from 1. ``file_name`` names one file: lines of files that are read here
+carry the whole path, since nodes give their files the same names.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calltrace.functions.columns import capture, split_lines
+from calltrace.functions.work import delete, rename
 
 
 def read_traces(spark: SparkSession, paths: str | list[str], newest: int | None = None) -> DataFrame:
     """``(path, file_name, content, size_bytes, modified)`` per file, folders read recursively, newest first if ``newest`` caps them.
 
-    ``.gz`` is decompressed and ``.gzo`` read as it is; ``.index`` files are left out; a corrupt file is skipped.
+    ``.gz`` is decompressed and ``.gzo`` read as it is; ``.index`` files are left out; a corrupt file is skipped, and
+    :func:`skipped_files` lists it.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
     files = reader.text(paths, wholetext=True).select(
@@ -26,19 +30,29 @@ def read_traces(spark: SparkSession, paths: str | list[str], newest: int | None
     return files if newest is None else files.orderBy(F.desc("modified"), "path").limit(newest)
 
 
-def trace_lines(files: DataFrame, text: str = "content", name: str = "file_name") -> DataFrame:
-    """The lines of whole texts."""
+def skipped_files(spark: SparkSession, paths: str | list[str], files: DataFrame) -> DataFrame:
+    """``(path, size_bytes, reason)`` of the files under ``paths`` that ``files`` has no row of; their contents are not read. Files of no
+    bytes hold nothing to read and are in neither table."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size_bytes"))
+    low = F.lower("path")
+    reason = F.when(low.endswith(".index"), "index file").otherwise("unreadable file")
+    return found.join(files.select("path"), "path", "left_anti").select("path", "size_bytes", reason.alias("reason"))
+
+
+def trace_lines(files: DataFrame, text: str = "content", name: str | None = None) -> DataFrame:
+    """The lines of whole texts, by ``name`` or else by ``path`` where there is one."""
+    name = name or ("path" if "path" in files.columns else "file_name")
     return files.select(F.col(name).alias("file_name"), F.posexplode(split_lines(F.col(text))).alias("pos", "line")).select("file_name", (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def read_trace_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The lines of large plain files, read in splits: ``line_no`` comes from each split's offset and its lines' counts."""
     rows = spark.read.text(paths).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+        F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
     )
     counts = rows.groupBy("file_name", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     starts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(starts, ["file_name", "block"]).select("file_name", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("line_no"), "line")
+    return rows.join(starts, ["file_name", "block"]).select("file_name", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def extraction_method(path: Column) -> Column:
@@ -58,6 +72,18 @@ def manifests(files: DataFrame, raw: DataFrame | None = None, node: str | None =
     return out
 
 
+def listed_manifests(rows: DataFrame, collected: str = "collection_timestamp", kind: str = "kind") -> DataFrame:
+    """Manifests newest first, without those that describe an analysis."""
+    order = [F.desc_nulls_last(c) for c in (collected, "modified") if c in rows.columns][:1]
+    own = rows.where(F.coalesce(F.col(kind), F.lit("")) != "analysis") if kind in rows.columns else rows
+    return own.orderBy(*order, "request_id")
+
+
+def manifest_of(rows: DataFrame, request_id: str) -> DataFrame:
+    """The manifest of one request."""
+    return rows.where(F.col("request_id") == request_id)
+
+
 def manifest_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), (F.sum("extracted_size") / 1048576).alias("total_mb"), F.max("modified").alias("latest"))
 
@@ -93,6 +119,8 @@ def unsafe_name(name: Column) -> Column:
     return F.coalesce((F.btrim(name) == "") | name.startswith("/") | name.startswith("\\") | name.rlike("^[A-Za-z]:") | name.rlike(r"(^|[/\\])\.\.([/\\]|$)"), F.lit(True))
 
 
+#: A larger knowledge file is no knowledge file.
+KNOWLEDGE_BYTES = 16 << 20
 #: Sections of a knowledge file, their categories and id prefixes. Fixed values.
 KNOWLEDGE = {"signals": ("signal", "signal_"), "processes": ("process", "proc_"), "identifiers": ("identifier", "ident_"), "failures": ("failure", "fail_"), "flows": ("callflow", "flow_")}
 
@@ -111,6 +139,36 @@ def knowledge_items(spark: SparkSession, sections: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "id string, category string, title string, description string, details string, confidence string, source_reference string, tags array<string>, item_order int")
 
 
+def read_knowledge(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Items of knowledge files, YAML or JSON by their names; a knowledge base is small and parsed on the driver, in the order of paths.
+
+    A file that can't be parsed, or that holds no mapping, gives no items.
+    """
+    files = read_traces(spark, paths).where(F.lower("file_name").rlike(r"\.(ya?ml|json)$")).where(F.col("size_bytes") <= KNOWLEDGE_BYTES)
+    documents = []
+    for row in files.orderBy("path").select("file_name", "content").toLocalIterator():
+        parsed = _parsed(row.file_name, row.content)
+        if isinstance(parsed, dict):
+            documents.append(parsed)
+    return knowledge_items(spark, documents)
+
+
+def _parsed(name: str, text: str):
+    if name.lower().endswith(".json"):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("PyYAML is needed to read knowledge files in YAML; JSON needs nothing") from e
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError:
+        return None
+
+
 def evidence_export(files: DataFrame, rows: DataFrame, generated: str) -> DataFrame:
     """``(path, value)``: a header of the manifest's fields and the whole text, one row per file."""
     head = F.format_string(
@@ -120,9 +178,14 @@ def evidence_export(files: DataFrame, rows: DataFrame, generated: str) -> DataFr
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as Parquet in a folder of its name."""
+    """Each table as Parquet in a folder of its name. It is written beside the old one, which it then replaces, so a table may be made
+    from the one that it replaces, and a failed write leaves the old one."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        spark = df.sparkSession
+        part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        df.write.parquet(part)
+        delete(spark, f"{folder}/{name}")
+        rename(spark, part, f"{folder}/{name}")
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:

@@ -76,6 +76,87 @@ def test_sdl_framing(spark, chunk):
     assert rows(framing.malformed_sdl(lines(spark, SDL), chunk), "line_no")[0]["text"] == "garbage before"
 
 
+SIP_LATE = SIP + """
+Received:
+*Sep 19 14:22:09.000: //124/A/SIP/Msg/ccsipDisplayMsg:
+BYE sip:1 SIP/2.0
+Call-ID: 2@h
+<---
+SIP/2.0 200 OK
+Call-ID: 2@h
+Sent:
+ACK sip:1 SIP/2.0
+Call-ID: 2@h"""
+MGCP_LATE = "noise\n<---\nnoise\nNTFY 7 a@b MGCP 0.1\n200 7 OK\nO: x\n" + MGCP + "\nMDCX 1004 S0@v MGCP 0.1\n<---\nend"
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7])
+def test_framing_in_chunks(spark, chunk):
+    """Chunks of a file give what the whole file gives, in all formats."""
+    x = lines(spark, ISDN + "\n" + ISDN, SIP_LATE, MGCP_LATE, "", "no message\nat all").cache()
+    for frame in (framing.frame_isdn, framing.frame_sip, framing.frame_mgcp, framing.frame_sdl):
+        whole, parts = (sorted(map(str, frame(x, chunk=c).collect())) for c in (None, chunk))
+        assert whole == parts and (len(whole) > 3 or frame is framing.frame_sdl)
+    s = rows(framing.frame_sip(x, chunk=chunk), "source_line")
+    assert [(r["header_line"].split(" SIP")[0], r["direction"]) for r in s] == [("INVITE sip:5001@10.1.1.10:5060", "INBOUND"), ("SIP/2.0 503 Service Unavailable", "OUTBOUND"), ("BYE sip:1", "INBOUND"), ("SIP/2.0 200 OK", "UNKNOWN"), ("ACK sip:1", "OUTBOUND")]
+
+
+def test_files_of_one_name(spark, tmp_path):
+    """Two nodes give their files the same name: records, lines and classes stay apart, and every event tells its file."""
+    for node, host in (("a", "NODE-A"), ("b", "NODE-B")):
+        (tmp_path / "in" / node).mkdir(parents=True)
+        (tmp_path / "in" / node / "SDL001.txt").write_text(SDL.replace("UCM15-HQ-PUB", host))
+    files = traces.read_traces(spark, str(tmp_path / "in"))
+    for x in (traces.trace_lines(files), traces.read_trace_lines(spark, [str(tmp_path / "in" / n) for n in "ab"])):
+        assert x.count() == 20 and {r["m"] for r in rows(x.groupBy("file_name").agg(F.max("line_no").alias("m")), "file_name")} == {10}
+        e = parsing.sdl_events(x)
+        assert e.count() == 10 and e.select("event_id").distinct().count() == 10
+        assert {(r.source_file.split("/")[-2], r.node) for r in e.select("source_file", "node").distinct().collect()} == {("a", "NODE-A"), ("b", "NODE-B")}
+        assert e.where("signal = 'INVITE'").select("source_line").distinct().count() == 1
+    got = rows(classify.classify(files), "file_name")
+    assert [(r["trace_type"], r["device_name"]) for r in got] == [("CUCM_SDL", "NODE-A"), ("CUCM_SDL", "NODE-B")]
+    voice = parsing.sdl_as_voice(parsing.sdl_events(traces.trace_lines(files)))
+    assert [r["event_count"] for r in rows(classify.inventory(files, classify.classify(files), voice), "file_name")] == [5, 5]
+
+
+def test_skipped_files(spark, tmp_path):
+    (tmp_path / "good.txt").write_text("a\nb")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "bad.txt.gz").write_bytes(b"\x1f\x8b\x08\x00broken")
+    (tmp_path / "x.index").write_text("1")
+    files = traces.read_traces(spark, str(tmp_path)).cache()
+    assert [r.file_name for r in files.collect()] == ["good.txt"]
+    got = {(r.path.split("/")[-1], r.reason) for r in traces.skipped_files(spark, str(tmp_path), files).collect()}
+    assert got == {("bad.txt.gz", "unreadable file"), ("x.index", "index file")}
+
+
+def test_knowledge_files(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("signals:\n  - name: CcSetupReq\n    description: opens a call\n    tags: [setup, 5]\n    layer: cc\nother:\n  - name: no\n")
+    (tmp_path / "b.json").write_text('{"failures": [{"code": 503, "title": "Unavailable"}]}')
+    (tmp_path / "c.yml").write_text("- a\n- list")
+    (tmp_path / "d.yaml").write_text("signals: [")
+    (tmp_path / "e.txt").write_text("signals:\n  - name: no\n")
+    pytest.importorskip("yaml")
+    got = rows(traces.read_knowledge(spark, str(tmp_path)), "item_order")
+    assert [(r["id"], r["title"], r["tags"], r["details"]) for r in got] == [("signal_CcSetupReq", "CcSetupReq", ["setup", "5"], '{"layer": "cc"}'), ("fail_Unavailable", "Unavailable", [], '{"code": 503}')]
+
+
+def test_tables_replace_themselves(spark, tmp_path):
+    folder = str(tmp_path)
+    traces.write_tables({"t": spark.range(5)}, folder)
+    for _ in range(2):
+        t = traces.read_table(spark, folder, "t", "id long")
+        traces.write_tables({"t": traces.without(t.withColumn("request_id", F.col("id")), spark.createDataFrame([(3,)], "request_id long")).select("id")}, folder)
+    assert sorted(r.id for r in traces.read_table(spark, folder, "t", "id long").collect()) == [0, 1, 2, 4]
+    assert traces.read_table(spark, folder, "missing", "id long").count() == 0
+
+
+def test_manifest_listing(spark):
+    m = spark.createDataFrame([("r1", "2026-01-01", "file"), ("r2", "2026-01-03", "file"), ("r3", "2026-01-04", "analysis"), ("r4", None, None)], "request_id string, collection_timestamp string, kind string")
+    assert [r.request_id for r in traces.listed_manifests(m).collect()] == ["r2", "r1", "r4"]
+    assert [r.collection_timestamp for r in traces.manifest_of(m, "r1").collect()] == ["2026-01-01"] and not traces.manifest_of(m, "zz").count()
+
+
 def test_sdl_events(spark):
     e = {r["source_line"]: r for r in rows(parsing.sdl_events(lines(spark, SDL)), "source_line")}
     assert e[3]["signal"] == "CcSetupReq" and e[3]["process"] == "Cdcc" and e[3]["ci"] == "33554432" and e[3]["cdcc"] == "1,100,224,1234567"
@@ -216,6 +297,48 @@ def test_search_masking_safety(spark):
     assert [r.is_safe for r in search.command_safety(t).collect()] == [True, False, True, False]
 
 
+def test_search_against_brute_force(spark):
+    """Tokens of any length, as parts of words, in all fields."""
+    import random
+    import re
+
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abé_1") for _ in range(rnd.choice([1, 2, 3, 4, 5, 30, 33, 50])))
+    pool = [word() for _ in range(40)]
+    text = lambda n: rnd.choice([" ", "-"]).join(rnd.choice(pool) for _ in range(n))
+    items = [(f"i{k}", k, text(2), text(6), text(3) if k % 3 else None, [text(1), text(2)] if k % 2 else None) for k in range(25)]
+    queries = [(k, text(rnd.randrange(0, 6)) if k % 10 else None) for k in range(60)]
+    queries += [(100 + k, "".join(pool[k])[1:40]) for k in range(20)]
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in search.search_items(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(items, "id string, item_order int, title string, description string, details string, tags array<string>"), 4).collect()}
+    want = {}
+    for q, t in queries:
+        tokens = [x for x in re.findall(r"\w+", (t or "").lower()) if len(x) > 2]
+        score = {}
+        for i, order, title, desc, details, tags in items:
+            s = sum(5.0 * (x in title) + 3.0 * any(x in g for g in tags or []) + 2.0 * (x in desc) + 1.0 * (x in (details or "")) for x in tokens)
+            if s > 0 or not tokens:
+                score[order, i] = s
+        for rank, (order, i) in enumerate(sorted(score, key=lambda v: (-score[v], v[0]))[:4], 1):
+            want[q, rank] = (i, score[order, i])
+    assert got == want
+
+
+def test_files_in_window_per_node(spark):
+    import random
+
+    rnd = random.Random(1)
+    files = [(f"f{k}", rnd.randrange(30), rnd.choice(["n1", "n2", "n3", None])) for k in range(60)]
+    df = spark.createDataFrame(files, "filename string, modified int, node string")
+    for node in (None, "node"):
+        want = set()
+        for group in {f[2] for f in files} if node else {0}:
+            own = sorted((m, n) for n, m, g in files if not node or g == group)
+            for (m, n), after in zip(own, [*own[1:], (None, None)], strict=True):
+                if 10 <= m <= 20 or (m < 10 and after[0] is not None and after[0] >= 10):
+                    want.add(n)
+        assert {r.filename for r in sessions.files_in_window(df, 10, 20, node=node).collect()} == want
+
+
 def test_listing_and_selection(spark):
     text = spark.createDataFrame([("19 Sep,2026 05:28:31           34  SDL001_100.index",), ("03 Sep,2026 23:59:59      385,759  SDL001_100_000001.txt.gz",), ("total 2",)], "line string")
     got = rows(traces.parse_listing(text), "modified")
