@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are taken in blocks of bounded size and cut into passages of at most ``ITEM_WORDS`` words; documents are
-read whole in overlapping windows of ``WINDOW`` words, so that every stretch of ``WINDOW - STRIDE`` words lies in one.
+Benchmark items are cut into passages of at most ``ITEM_WORDS`` words by Spark, and ``PASSAGES`` passages at a time meet all documents;
+documents are read whole in overlapping windows of ``WINDOW`` words, so that every stretch of ``WINDOW - STRIDE`` words lies in one.
 
 1. Document frequencies of the items' terms are counted over all windows of all documents.
 2. A randomised SVD of the TF-IDF matrix: each task adds every window's row, with a random sign, to one of ``SKETCH``
@@ -16,8 +16,9 @@ read whole in overlapping windows of ``WINDOW`` words, so that every stretch of
    weight: the sum over its distinct words of their inverse document frequency.
 
 Words are compared in lower case without outer punctuation. Terms in more than ``STOP`` of the windows, and in more than ``RARE``, carry no weight,
-except the rarest of each passage. Null and empty texts and items match nothing; rows repeated with one id are read one by
-one and give equal rows once. What grows with the corpus stays in Spark; only term counts and the sketch reach the driver.
+except the rarest of each passage. Null and empty texts and items match nothing, nor do items without an id; rows repeated with one id
+are read one by one and give equal rows once, and an item id may stand for several texts. An answer is a few words. What grows with the
+corpus stays in Spark; only a block's passages, their term counts and the sketch reach the driver.
 """
 
 from __future__ import annotations
@@ -36,35 +37,47 @@ ITEM_WORDS, WINDOW, STRIDE = 40, 64, 24
 SKETCH, RANK = 192, 96
 COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.8, 0.5, 0.8
 STOP, RARE = 0.02, 20
-ITEMS = 1000
+PASSAGES = 1200
 #: Share of a passage's weight that makes a window a candidate whatever the cosine.
 CUE = 0.25
 KEY_TERMS = 4
 
 
+def _passages(batches):
+    """``(item_id, t, k, words, answer)``: an item's passages in order, their words and those of the answer as hashes."""
+    for batch in batches:
+        rows = []
+        for item_id, t, text, answer in zip(*(batch.column(c).to_pylist() for c in ("item_id", "t", "text", "a")), strict=True):
+            w = plain_hashes(Words(pa.array([text], pa.string())))
+            a = plain_hashes(Words(pa.array([answer], pa.string()))).view(np.int64) if answer else None
+            rows += [(item_id, t, k, part.view(np.int64), a) for k, part in enumerate(np.array_split(w, max(1, -(-len(w) // ITEM_WORDS)))) if len(part)]
+        if rows:
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["item_id", "t", "k", "words", "answer"])
+
+
+def passage_table(benchmark: DataFrame) -> DataFrame:
+    """Passages of a benchmark ``(item_id, text)`` and, if there, ``answer``; rows repeated whole count once."""
+    answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.coalesce(answer, F.lit("")).alias("a")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    rows = given.withColumn("t", F.xxhash64("text", "a")).mapInArrow(_passages, "item_id long, t long, k int, words array<long>, answer array<long>")
+    return materialize(rows, "benchmark-passages")
+
+
 @dataclass
 class Passages:
-    """Item passages of one block, and the sorted term hashes they use."""
+    """The passages of one block, and the sorted term hashes they use."""
 
     item: list[int]
     words: list[np.ndarray]
     answers: list[np.ndarray | None]
     terms: np.ndarray
 
-
-def passages(rows: list[tuple]) -> Passages:
-    """``rows``: (item id, text, answer or None)."""
-    item, words, answers = [], [], []
-    for item_id, text, answer in rows:
-        w = plain_hashes(Words(pa.array([text or ""], pa.string())))
-        a = plain_hashes(Words(pa.array([answer], pa.string()))) if answer else None
-        parts = max(1, -(-len(w) // ITEM_WORDS))
-        for part in np.array_split(w, parts):
-            if len(part):
-                item.append(item_id)
-                words.append(part)
-                answers.append(a)
-    return Passages(item, words, answers, np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64))
+    @classmethod
+    def of(cls, rows: list) -> Passages:
+        words = [np.array(r.words, np.int64).view(np.uint64) for r in rows]
+        answers = [None if r.answer is None else np.array(r.answer, np.int64).view(np.uint64) for r in rows]
+        return cls([r.item_id for r in rows], words, answers, np.unique(np.concatenate(words)))
 
 
 class Finder:
@@ -258,23 +271,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
-    answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    given = materialize(benchmark.select(F.col("item_id"), F.col("text").alias("t"), F.coalesce(answer, F.lit("")).alias("a")).where("item_id IS NOT NULL AND t IS NOT NULL").distinct(), "benchmark-items")
+    given = passage_table(benchmark)
     schema = "id long, tid long, item_id long, passage long, share double, cosine double, told double, at int"
     found = None
     last, n_passages = None, 0
     while True:  # the stated query set against all rows, in blocks
         block = given
-        if last is not None:  # rows are distinct, so the whole row is the cursor
-            i, t, a = (F.col(c) for c in ("item_id", "t", "a"))
-            block = given.where((i > last.item_id) | ((i == last.item_id) & ((t > last.t) | ((t == last.t) & (a > last.a)))))
-        taken = block.orderBy("item_id", "t", "a").limit(ITEMS).collect()
+        if last is not None:  # rows are distinct in these three, which are the cursor
+            i, t, k = (F.col(c) for c in ("item_id", "t", "k"))
+            block = given.where((i > last.item_id) | ((i == last.item_id) & ((t > last.t) | ((t == last.t) & (k > last.k)))))
+        taken = block.orderBy("item_id", "t", "k").limit(PASSAGES).collect()
         if not taken:
             break
         last = taken[-1]
-        p = passages([(r.item_id, r.t, r.a) for r in taken])
-        if not len(p.terms):
-            continue
+        p = Passages.of(taken)
         shared = spark.sparkContext.broadcast(p.terms)
         counts = rows.mapInArrow(_document_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
         df = np.zeros(len(p.terms))
@@ -307,7 +317,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             q[k, t] = weight[t]
         q /= np.linalg.norm(q, axis=1, keepdims=True)
         shared = spark.sparkContext.broadcast((terms, weight))
-        lines = rows.mapInArrow(_sketch(shared), "r int, line binary").repartition("r").mapInArrow(_summed, "r int, line binary").collect()  # SKETCH rows
+        lines = rows.mapInArrow(_sketch(shared), "r int, line binary")
+        # summed in two levels, so that no task reads a line of every other
+        for keys_ in (["r", F.pmod(F.spark_partition_id(), F.lit(16))], ["r"]):
+            lines = lines.repartition(*keys_).mapInArrow(_summed, "r int, line binary")
+        lines = lines.collect()  # SKETCH rows
         sketch = np.stack([np.frombuffer(r.line, np.float32) for r in lines]) if lines else np.zeros((0, len(terms)), np.float32)
         scale = np.linalg.norm(sketch) / max(1.0, np.sqrt(len(sketch)))  # items weigh as much as the sketch's rows
         _, _, right = np.linalg.svd(np.vstack([sketch, q * max(scale, 1.0)]), full_matrices=False)
@@ -315,9 +329,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         latent = q @ basis
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         least = max(1, min(int(np.ceil(PARAPHRASE * 0.8 * len(t))) for t in numbers))
-        # everything here is bounded by ITEMS, ITEM_WORDS and RANK
+        # everything here is bounded by PASSAGES, ITEM_WORDS and RANK
         shared = spark.sparkContext.broadcast((terms, weight, basis, {"latent": latent.astype(np.float32), "least": least, "words": p.words, "item": p.item, **postings}, keys))
         part = materialize(rows.mapInArrow(_search(shared), schema).withColumn("passage", F.col("passage") + n_passages), "contaminated")
+        del q, right, basis, sketch, lines  # before the next block's are made
         n_passages += len(p.words)
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -228,7 +228,7 @@ def test_copies_beyond_the_latent_space(spark, monkeypatch):
 
 def test_benchmark_pages(spark, monkeypatch):
     """Items of more rows than a page, rows repeated whole, and items that cross a page's border: each row is searched."""
-    monkeypatch.setattr(decontamination, "ITEMS", 2)
+    monkeypatch.setattr(decontamination, "PASSAGES", 2)
     text = lambda k: " ".join(f"{w}{k}" for w in "ab cd ef gh ij kl mn op qr st".split())
     items = [(1, text(0)), *[(2, text(k)) for k in range(1, 6)], (2, text(1)), (2, text(1)), (3, text(6))]
     rows = [(k, f"before {text(k)} after") for k in range(7)] + [(100, " ".join(text(k) for k in range(1, 6)))] + [(i, f"nothing of it {i}") for i in range(200, 300)]
@@ -237,6 +237,49 @@ def test_benchmark_pages(spark, monkeypatch):
     assert got == {(0, 1): 1, (6, 3): 1, (100, 2): 5} | {(k, 2): 1 for k in range(1, 6)}
 
 
+@pytest.mark.parametrize("passages", [1200, 7])
+def test_contamination_against_all_pairs(spark, monkeypatch, passages):
+    """All pairs by brute force: every copy is found as such, everything found is at least a paraphrase in order, items of many passages
+    and rows repeated whole or in their id included."""
+    monkeypatch.setattr(decontamination, "PASSAGES", passages)
+    rnd = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    text = lambda n: [rnd.choice(common) if rnd.random() < 0.4 else f"w{rnd.randrange(4000)}" for _ in range(n)]
+    items = [(k, " ".join(text(rnd.choice([12, 20, 30, 95])))) for k in range(24)] + [(3, " ".join(text(25))), (None, " ".join(text(25)))]
+    items += [items[4], (900, None), (901, "")]
+    rows = []
+    for d in range(140):
+        w = text(rnd.randrange(30, 160))
+        if d % 3 == 0:
+            part = items[rnd.randrange(25)][1].split()
+            lo, noise = rnd.randrange(0, max(1, len(part) - 40)), rnd.choice([0, 0.1, 0.3, 0.6])
+            part = [f"x{d}y{i}" if rnd.random() < noise else v for i, v in enumerate(part[lo : lo + 60])]
+            at = rnd.randrange(len(w))
+            w = w[:at] + part + w[at:]
+        rows.append((d, " ".join(w)))
+    rows += [*rows[:20], (7, " ".join(text(50))), (None, "start " + items[0][1]), (500, None), (501, "")]
+
+    def best(a, b):
+        masks = {}
+        for i, w in enumerate(a):
+            masks[w] = masks.get(w, 0) | 1 << i
+        size = len(a) + len(a) // 2 + 2
+        return max(decontamination.lcs(masks, len(a), b[s : s + size]) for s in range(max(1, len(b) - size + 1))) / len(a)
+
+    passages_of = collections.defaultdict(list)
+    for i, t in items:
+        if i is not None and t:
+            w = t.split()
+            passages_of[i] += [list(p) for p in np.array_split(np.array(w), -(-len(w) // decontamination.ITEM_WORDS))]
+    share = {(d, i): max(best(p, t.split()) for p in ps) for d, t in set(rows) if t for i, ps in passages_of.items()}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench).collect()
+    got = {(r.doc_id, r.item_id): r for r in out}
+    copies = {k for k, v in share.items() if v >= decontamination.COPY}
+    assert len(copies) > 20 and copies <= set(got) and all(got[k].kind == "copy" for k in copies)
+    assert all(share[k] >= decontamination.PARAPHRASE for k in got) and all(got[k].lcs <= share[k] + 1e-9 for k in got)
+
+
 def test_answer_check(spark):
     text = " ".join(f"a{i}" for i in range(20))
     part = " ".join(f"a{i}" for i in range(20) if i % 3)
