@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltrace.functions.columns import split_lines
 from calltrace.operators import anomalies, classify, correlate, evidence, flow, framing, parsing, scored, search, sessions
-from calltrace.plans.rendered import SIG, rendered_lines, sdl_table, signal_events
+from calltrace.plans import listings, voice  # noqa: F401 - they register their queries
+from calltrace.plans.base import ORACLES, QUERIES, query  # noqa: F401
+from calltrace.plans.base import table as _table
+from calltrace.plans.rendered import SIG, rendered_lines, sdl_table, signal_events, voice_table
 from calltrace.sources import traces
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 def _ms(c: str):
     return F.unix_millis(c)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- framing and parsing ------------------------------------------------------------------------------------------------
 @query(f"""WITH {SIG} SELECT event_id, epoch_ms(ts) AS ts_ms, message_type AS signal, call_id, ci, calling_number, called_number, source AS source_file,
   CASE WHEN message_type = 'INVITE' THEN 'INBOUND' ELSE 'INTERNAL' END AS direction, 'SIP' AS protocol FROM sig""")
@@ -113,10 +97,7 @@ def q_proximity_islands(spark, sf_dir):
 
 
 def _voice(spark, sf_dir) -> DataFrame:
-    """Signalling events with the columns that scoring reads."""
-    null, empty = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
-    e = signal_events(spark, sf_dir)
-    return e.withColumns({c: null for c in ("call_reference", "transaction_id", "endpoint", "source_ip", "destination_ip", "cause_code", "device", "device_name", "device_type", "trace_type", "timestamp_raw")} | {"metadata": empty, "correlation_ids": empty, "raw": F.col("message_type")})
+    return voice_table(signal_events(spark, sf_dir))
 
 
 @query(f"""WITH {SIG}, p AS (SELECT a.event_id AS a, b.event_id AS b, CASE WHEN a.called_number = b.called_number THEN 0.55 ELSE -0.60 END AS num, abs(epoch_ms(a.ts) - epoch_ms(b.ts)) / 1000.0 AS gap

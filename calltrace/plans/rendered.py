@@ -40,6 +40,20 @@ def sdl_table(events: DataFrame) -> DataFrame:
     )
 
 
+def voice_table(events: DataFrame) -> DataFrame:
+    """Signalling events with the columns that scoring reads."""
+    null, empty = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
+    names = ("call_reference", "transaction_id", "endpoint", "source_ip", "destination_ip", "cause_code", "device", "device_name", "device_type", "trace_type", "timestamp_raw")
+    return events.withColumns({c: null for c in names} | {"metadata": empty, "correlation_ids": empty, "raw": F.col("message_type")})
+
+
+def numbered_lines(rows: DataFrame) -> DataFrame:
+    """``(file_name, line_no, line)`` of ``(file_name, ts, event_id, lines)``, a file's rows in that order."""
+    w = Window.partitionBy("file_name").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.withColumn("before", F.sum(F.size("lines")).over(w) - F.size("lines"))
+    return x.select("file_name", F.posexplode("lines").alias("pos", "line"), "before").select("file_name", (F.col("before") + F.col("pos") + 1).cast("int").alias("line_no"), "line")
+
+
 def rendered_lines(events: DataFrame) -> DataFrame:
     """``(file_name, line_no, line)``: a file a day, numbered from 1."""
     seq, time = F.format_string("%010d.000", "event_id"), F.date_format("ts", "HH:mm:ss.SSS")
@@ -49,16 +63,81 @@ def rendered_lines(events: DataFrame) -> DataFrame:
         F.format_string("From: <sip:%s@10.1.1.20>", "calling_number"), F.format_string("CI=%s", "ci"),
     )
     other = F.array(F.format_string("%s |%s |SdlSig |%s |active |SIPHandler(1,100,80,1) |SIPTcp(1,100,71,1) |1,100,14,1.%d |%s", seq, time, "message_type", "event_id", ids))
-    body = events.select("source", "ts", "event_id", F.when(F.col("message_type") == "INVITE", invite).otherwise(other).alias("lines"))
+    body = events.select(F.col("source").alias("file_name"), "ts", "event_id", F.when(F.col("message_type") == "INVITE", invite).otherwise(other).alias("lines"))
     day = F.to_date(F.substring("source", 5, 8), "yyyyMMdd")
     top = events.select("source").distinct().select(
-        "source", F.lit("1970-01-01").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("event_id"),
+        F.col("source").alias("file_name"), F.lit("1970-01-01").cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("event_id"),
         F.array(F.format_string("0000000000.000 |00:00:00.000 |FileHead |UTC:+00:00,Date: %s, AppName: CCM, HostName: NODE%s", F.date_format(day, "yyyy/MM/dd"), F.date_format(day, "dd"))).alias("lines"),
     )
-    x = body.unionByName(top)
-    before = F.sum(F.size("lines")).over(Window.partitionBy("source").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)) - F.size("lines")
-    x = x.withColumn("before", before)
-    return x.select(F.col("source").alias("file_name"), F.posexplode("lines").alias("pos", "line"), "before").select("file_name", (F.col("before") + F.col("pos") + 1).cast("int").alias("line_no"), "line")
+    return numbered_lines(body.unionByName(top))
+
+
+#: What each message is called in the other protocols.
+ISDN_WORDS = {"INVITE": "SETUP", "180 Ringing": "ALERTING", "200 OK": "CONNECT", "ACK": "CONNECT_ACK", "BYE": "DISCONNECT", "503 Service Unavailable": "RELEASE_COMP"}
+MGCP_WORDS = {"INVITE": "CRCX", "180 Ringing": "250 %d Connection deleted", "200 OK": "200 %d OK", "ACK": "MDCX", "BYE": "DLCX", "503 Service Unavailable": "510 %d Protocol error"}
+
+
+def named(words: dict[str, str], column: str = "message_type"):
+    return F.create_map(*[F.lit(x) for pair in words.items() for x in pair])[F.col(column)]
+
+
+def _file(prefix: str):
+    return F.concat(F.lit(prefix), F.date_format("ts", "yyyyMMdd"), F.lit(".txt")).alias("file_name")
+
+
+def _stamp():
+    return F.date_format("ts", "MMM d HH:mm:ss.SSS")
+
+
+def _user():
+    return F.col("calling_number").cast("long") - 1000
+
+
+def isdn_rows(events: DataFrame, prefix: str = "ISDN_") -> DataFrame:
+    """``(file_name, ts, event_id, lines)``: each event as a Q.931 message; its number is its channel."""
+    inbound = F.col("event_id") % 2 == 0
+    ref = F.format_string("0x%04x", (F.when(inbound, 0).otherwise(32768) + _user() % 32768).cast("long"))
+    head = F.format_string("*%s: ISDN Se0/2/0:23 Q931: %s %s pd = 8  callref = %s", _stamp(), F.when(inbound, "RX <-").otherwise("TX ->"), named(ISDN_WORDS), ref)
+    m = F.col("message_type")
+    cause = F.when(m == "BYE", "        Cause i = 0x8090 - Normal call clearing").when(m.startswith("503"), "        Cause i = 0x80A2 - No circuit available")
+    lines = F.array(
+        head, F.lit("        Channel ID i = 0xA98381"), F.format_string("                Exclusive, Channel %d", "event_id"), F.when(m == "INVITE", F.format_string("        Calling Party Number i = 0x0081, '%s'", "calling_number")),
+        F.when(m == "INVITE", F.format_string("        Called Party Number i = 0x80, '%s'", "called_number")), cause,
+    )
+    return events.select(_file(prefix), "ts", "event_id", F.filter(lines, lambda x: x.isNotNull()).alias("lines"))
+
+
+def sip_rows(events: DataFrame, prefix: str = "SIP_", always: bool = False) -> DataFrame:
+    """Each event as a SIP message whose CSeq is its number; two of three have a closing delimiter (``always``: all)."""
+    m = F.col("message_type")
+    request = m.isin("INVITE", "ACK", "BYE")
+    start = F.when(request, F.format_string("%s sip:%s@10.1.1.10:5060 SIP/2.0", m, "called_number")).otherwise(F.concat(F.lit("SIP/2.0 "), m))
+    lines = F.array(
+        F.format_string("*%s: //%d/A/SIP/Msg/ccsipDisplayMsg:", _stamp(), "event_id"), F.when(F.col("event_id") % 2 == 0, "Received:").otherwise("Sent:"), start, F.format_string("Via: SIP/2.0/UDP 10.1.1.%d:5060;branch=z9", _user() % 200),
+        F.concat(F.lit("Call-ID: "), "call_id"), F.format_string("CSeq: %d %s", "event_id", F.when(m.isin("ACK", "BYE"), m).otherwise("INVITE")), F.format_string("From: <sip:%s@10.1.1.20>;tag=1", "calling_number"),
+        F.format_string("To: <sip:%s@10.1.1.10>", "called_number"), F.when(m == "INVITE", "c=IN IP4 10.1.1.20"), F.when(m == "INVITE", F.format_string("m=audio %d RTP/AVP 0 8", F.col("event_id") % 1000 + 16384)),
+        F.when(m == "INVITE", "a=rtpmap:0 PCMU/8000"), F.when(m == "INVITE", "a=rtpmap:8 PCMA/8000"), F.when(F.lit(always) | (F.col("event_id") % 3 != 0), "<---"),
+    )
+    return events.select(_file(prefix), "ts", "event_id", F.filter(lines, lambda x: x.isNotNull()).alias("lines"))
+
+
+def mgcp_rows(events: DataFrame, prefix: str = "MGCP_", always: bool = False) -> DataFrame:
+    """Each event as an MGCP command or response whose transaction is its number."""
+    m = F.col("message_type")
+    word = named(MGCP_WORDS)
+    command = m.isin("INVITE", "ACK", "BYE")
+    lead = F.when(command, F.format_string("%s %d S0/SU0/DS1-0/%d@vg.example.com MGCP 0.1", word, "event_id", _user() % 24)).otherwise(F.format_string("%s %d %s", F.split(word, " ")[0], "event_id", F.regexp_replace(word, r"^\d+ %d ", "")))
+    lines = F.array(
+        F.format_string("*%s: MGCP Packet %s 10.2.%d.1:2427--->", _stamp(), F.when(F.col("event_id") % 2 == 0, "received from").otherwise("sent to"), _user() % 200), lead, F.when(command, F.format_string("C: D%d", _user())), F.format_string("I: %d", F.col("event_id") % 100),
+        F.when(F.lit(always) | (F.col("event_id") % 3 != 0), "<---"),
+    )
+    return events.select(_file(prefix), "ts", "event_id", F.filter(lines, lambda x: x.isNotNull()).alias("lines"))
+
+
+def whole_files(lines: DataFrame) -> DataFrame:
+    """``(file_name, content)``."""
+    text = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    return lines.groupBy("file_name").agg(F.array_join(text, "\n").alias("content"))
 
 
 #: The same events in DuckDB.
