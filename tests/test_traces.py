@@ -219,6 +219,52 @@ def test_mixed_and_scored_sessions(spark):
     assert v["root_cause"].startswith("Detected anomaly: ")
 
 
+def plain_clusters(rows, w):
+    """The greedy rule and the merging as they are stated: every event against every cluster, every cluster against every later one."""
+    def score(e, c):
+        fresh = scored._Cluster(0)
+        for x in c:
+            fresh.add(x)
+        return scored.affinity(e, fresh, w)[0]
+
+    out = []
+    for e in rows:
+        best = max(((score(e, c), -k) for k, c in enumerate(out)), default=(-1, 0))
+        if best[0] >= w.merge_threshold:
+            out[-best[1]].append(e)
+        elif e["seed"]:
+            out.append([e])
+    done, merged = set(), []
+    for i, base in enumerate(out):
+        if i in done:
+            continue
+        for j in range(i + 1, len(out)):
+            if j not in done and max(score(e, base) for e in out[j]) >= w.merge_threshold:
+                base += out[j]
+                done.add(j)
+        merged.append([e["id"] for e in base])
+    return merged
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_scored_clusters_against_all_pairs(seed):
+    """The index leaves out only clusters that can't be chosen: hot numbers, missing times, long silences, other weights."""
+    import random
+
+    rnd = random.Random(seed)
+    some = lambda values, share: rnd.choice(values) if rnd.random() < share else None
+    rows, t = [], 0.0
+    span, share = rnd.choice([1, 10, 40]), rnd.choice([0.1, 0.3, 0.6])
+    for k in range(90):
+        t += rnd.random() * span
+        e = {n: some([f"{n}{i}" for i in range(6)], share * 0.4) for n in ("call_id", "callref", "txn", "mgcp_cid", "own_cid", "conn")}
+        e |= {"calling": some(["5551000", "1 555 1000", "12", "3", "4"], 0.7), "called": some(["77", "88", "15550000"], 0.6), "endpoint": some(["a/1@g", "a/2@g", "b"], 0.2), "b_channel": some(["1", "2", "9"], 0.15)}
+        e |= {"tags": [f"t{rnd.randrange(8)}"] if rnd.random() < 0.1 else [], "ips": rnd.sample(["i1", "i2", "i3"], rnd.randrange(3)), "seed": rnd.random() < 0.8, "t": t if k < 80 else None, "id": k}
+        rows.append(e)
+    for w in (scored.Weights(), scored.Weights(merge_threshold=0.4), scored.Weights(merge_threshold=0.8, max_gap_seconds=5.0)):
+        assert [[e["id"] for e in c.events] for c in scored._clusters(rows, w)] == plain_clusters(rows, w)
+
+
 def test_classification(spark):
     files = spark.createDataFrame([("x1.txt", SDL), ("x2.txt", ISDN), ("x3.txt", SIP), ("sip_weak.txt", "hello"), ("x5.txt", " "), ("x6.txt", None), ("x7.txt", ISDN + "\n" + SIP)], "file_name string, content string")
     got = {r["file_name"]: r for r in rows(classify.classify(files), "file_name")}
