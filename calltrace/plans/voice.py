@@ -176,6 +176,35 @@ def q_rule_table(spark, sf_dir):
     return anomalies.apply_rules(c, [("REFUSED", "bad > 0", "ERROR", "concat(bad, ' refused')"), ("LONG", "n >= 8", "WARNING", "concat(n, ' events')")], "call_id")
 
 
+# --- scored correlation -------------------------------------------------------------------------------------------------------
+def _one_number(spark, sf_dir) -> DataFrame:
+    """Events whose called number is not told: of all that scoring sees, Call-IDs alone can tie them."""
+    e = voice_table(signal_events(spark, sf_dir)).withColumn("called_number", F.lit(None).cast("string"))
+    return e.withColumns({"seq_in_source": F.col("event_id"), "event_id": F.lpad(F.col("event_id").cast("string"), 12, "0")})
+
+
+@query(f"""WITH {SIG} SELECT event_id, first_value(event_id) OVER (PARTITION BY call_id ORDER BY ts, event_id) AS session_id FROM sig""")
+def q_scored_sessions(spark, sf_dir):
+    """The greedy correlation: sessions are named by their first event."""
+    x = scored.correlate_scored(_one_number(spark, sf_dir))
+    return x.select(F.col("event_id").cast("long").alias("event_id"), F.col("session_id").cast("long").alias("session_id"))
+
+
+@query(f"""WITH {SIG} SELECT event_id, min(event_id) OVER (PARTITION BY call_id) AS session_id FROM sig""")
+def q_pair_links(spark, sf_dir):
+    """Sessions as components of scored neighbours."""
+    x = scored.pair_links(_one_number(spark, sf_dir))
+    return x.select(F.col("event_id").cast("long").alias("event_id"), F.col("session_id").cast("long").alias("session_id"))
+
+
+@query(f"""WITH {SIG} SELECT call_id, 1::BIGINT AS n_blocks, count(*) AS n FROM sig GROUP BY call_id""")
+def q_scored_blocks(spark, sf_dir):
+    """Blocks of events that can be worked on by themselves hold each call whole."""
+    e = _one_number(spark, sf_dir)
+    b = scored.blocks(materialize(scored.prepared(e), "prepared"))
+    return e.select("event_id", "call_id").join(b, "event_id").groupBy("call_id").agg(F.count_distinct("block").alias("n_blocks"), F.count("*").alias("n"))
+
+
 # --- what is told of a call -------------------------------------------------------------------------------------------------
 @query(f"""WITH {SIG}, c AS (SELECT call_id, min(ts) AS s FROM sig GROUP BY call_id) SELECT event_id, call_id AS call_key, round((epoch_ms(ts) - epoch_ms(s)) / 1000.0, 3) AS offset_seconds FROM sig JOIN c USING (call_id)""")
 def q_timeline(spark, sf_dir):
