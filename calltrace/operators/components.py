@@ -34,4 +34,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels._work_path = new._work_path
         if new.where("moved").isEmpty():
             release(both)
-            return labels.withColumnRenamed("label", "component")
+            out = labels.withColumnRenamed("label", "component")
+            out._work_path = labels._work_path  # for release()
+            return out
