@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrace.functions.work import materialize
+from calltrace.functions.work import materialize, release
 from calltrace.llm.text import Words, blocks, bounded_batches, mix, plain_hashes, ranges
 
 ITEM_WORDS, WINDOW, STRIDE = 40, 64, 24
@@ -335,6 +335,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         del q, right, basis, sketch, lines  # before the next block's are made
         n_passages += len(p.words)
         found = part if found is None else found.unionByName(part)
+    release(given)
     if found is None:
         found = spark.createDataFrame([], schema)
     best = F.max(F.struct("share", "cosine", "told", "at"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrace.functions.work import materialize
+from calltrace.functions.work import materialize, release
 from calltrace.llm.text import Words, blocks, bounded_batches, mix, powers, ranges, runs, spans_hash
 from calltrace.operators.components import connected_components
 
@@ -257,6 +257,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     table = materialize(
         table.select("t1", "t2", "copies", "links", "link_docs", F.col("node.id").alias("text_id"), F.coalesce(F.col("component.id"), F.col("node.id")).alias("class_id")), "classes"
     )
+    release(texts, shared, size, members, found, groups, classes)
     out = signed.select("id", "tid", "t1", "t2").join(table, ["t1", "t2"])
     zero = F.lit(0).cast("long")
     out = out.select(F.col("id").alias("doc_id"), "tid", "class_id", "text_id", F.col("copies").alias("n_copies"), F.coalesce("links", zero).alias("n_links"), F.coalesce("link_docs", zero).alias("n_link_docs"))

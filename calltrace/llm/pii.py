@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrace.functions.work import materialize
+from calltrace.functions.work import materialize, release
 from calltrace.llm.text import blocks, bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -205,15 +205,17 @@ def confident_patterns(found: DataFrame, rounds: int = 3, support: int = 5, conf
     loose = graph.where("kind IS NULL AND instance IS NOT NULL").select("side", "word", "instance", "fits", "n")
     fit = F.array_contains(F.split("fits", ","), F.col("kind"))
     known = materialize(found.where("kind <> '' AND instance IS NOT NULL").where(fit).select("instance", "kind").distinct(), "pii-known")
-    size = known.count()
+    size, used = known.count(), [graph, totals, known]
     for _ in range(rounds):
         held = seeds.unionByName(loose.join(known, "instance").select("side", "word", "kind", "n"))
         good = held.groupBy("side", "word", "kind").agg(F.sum("n").alias("known")).join(totals, ["side", "word"])
         good = materialize(good.where((F.col("known") >= support) & (F.col("known") >= confidence * F.col("all"))).select("side", "word", "kind"), "pii-good")
         known = materialize(known.unionByName(loose.join(good, ["side", "word"]).where(fit).select("instance", "kind")).distinct(), "pii-known")
         size, before = known.count(), size
+        used += [good, known]
         if size == before:
             break
+    release(*(u for u in used if u is not good))
     return good
 
 

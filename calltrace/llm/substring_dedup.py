@@ -158,7 +158,7 @@ def _same(a: str, b: str):
 
 
 def covered(rows: DataFrame, window: int = 20, gram: int = GRAM) -> DataFrame:
-    """Repeated stretches of ``rows (id, tid, text)``: ``(id, tid, pos)``, ``pos`` = first window's word << 8 | number of windows."""
+    """Repeated stretches of ``rows (id, tid, text)``: ``(id, tid, at)``, written; ``at``: positions, each first window's word << 8 | number of windows."""
     if not gram < window <= 255:
         raise ValueError("gram < window <= 255 is needed")
     bounded_batches(rows.sparkSession)
@@ -167,17 +167,21 @@ def covered(rows: DataFrame, window: int = 20, gram: int = GRAM) -> DataFrame:
     anchors = materialize(fresh.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     live = materialize(fresh.join(anchors, "anchor", "left_semi"), "seeds-live")
     known = materialize(found.where("known").select("id", "tid", "pos"), "seeds-known")
-    release(found)
+    release(found, anchors)
     me = F.struct("id", "tid", "pos")
     groups = materialize(live.groupBy("anchor", "ext").agg(F.min(me).alias("first"), F.count("*").alias("n")), "extensions")
-    whole = live.join(groups.where("n > 1"), ["anchor", "ext"]).where(me != F.col("first")).select("id", "tid", "pos")
-    several = materialize(groups.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-several")
-    lead = groups.join(several, "anchor", "left_semi").groupBy("first.id", "first.tid").agg(F.collect_list("first.pos").alias("at"))
+    whole = materialize(live.join(groups.where("n > 1"), ["anchor", "ext"]).where(me != F.col("first")).select("id", "tid", "pos"), "repeats-whole")
+    release(live)
+    several = groups.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    lead = materialize(groups.join(several, "anchor", "left_semi").groupBy("first.id", "first.tid").agg(F.collect_list("first.pos").alias("at")), "leads")
+    release(groups)
     cut = rows.alias("r").join(lead.alias("l"), _same("r", "l")).select("r.id", "r.tid", "r.text", "l.at").dropDuplicates(["id", "tid"])
     windows = materialize(cut.mapInArrow(_window_rows(window), "id long, tid long, pos long, w1 long, w2 long"), "windows")
     firsts = materialize(windows.groupBy("w1", "w2").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "windows-first")
     single = windows.join(firsts, ["w1", "w2"]).where(me != F.col("first")).select("id", "tid", "pos")
-    return known.unionByName(whole).unionByName(single)
+    spans = materialize(known.unionByName(whole).unionByName(single).groupBy("id", "tid").agg(F.collect_list("pos").alias("at")), "repeats")
+    release(known, whole, lead, windows, firsts)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,7 +191,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = GRAM, doc_id:
     document, earlier start).
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
-    spans = covered(rows, window, gram).groupBy(F.col("id").alias("_ss_i"), F.col("tid").alias("_ss_t")).agg(F.collect_list("pos").alias("_ss_at"))
+    spans = covered(rows, window, gram).toDF("_ss_i", "_ss_t", "_ss_at")
     names, inner = docs.columns, [f"c{k}" for k in range(len(docs.columns))]
     added = [free_name(c, names) for c in ("n_words", "n_removed", "kept_text")]
     given = docs.select(*[F.col(c).alias(k) for c, k in zip(names, inner, strict=True)], F.col(text).alias("_ss_text"), F.xxhash64(text).alias("_ss_tid"), F.col(doc_id).cast("long").alias("_ss_id"))
