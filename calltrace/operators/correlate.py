@@ -37,13 +37,21 @@ def key_edges(events: DataFrame, keys: dict[str, str], node: str = "event_id") -
 def proximity_edges(events: DataFrame, seconds: float = 30.0, node: str = "event_id", ts: str = "ts", calling: str = "calling_number", called: str = "called_number") -> DataFrame:
     """Edges between events next to each other in time that share both party numbers, at most ``seconds`` apart.
 
-    All pairs within the gap need no edges: the events between them link them.
+    All pairs within the gap need no edges: the events between them link them. A number pair's events are ordered within stretches of
+    time, and the last event of each stretch is handed to the next, so a pair that calls all day is not in one task.
     """
-    w = Window.partitionBy("a", "b").orderBy(ts, node)
-    rows = events.where(F.col(calling).isNotNull() & F.col(called).isNotNull()).select(F.col(node), F.col(ts), F.btrim(calling).alias("a"), F.btrim(called).alias("b"))
-    gap = (F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))) / 1e6
-    rows = rows.withColumns({"dst": F.lag(node).over(w), "gap": gap}).where(F.col("gap") <= seconds)
-    return rows.select(F.col(node).alias("src"), "dst", F.format_string("number pair %s->%s (gap %.2fs)", "a", "b", "gap").alias("reason"))
+    width = max(3600.0, 10 * seconds)
+    rows = events.where(F.col(calling).isNotNull() & F.col(called).isNotNull()).select(F.col(node).alias("n"), F.col(ts).alias("t"), F.btrim(calling).alias("a"), F.btrim(called).alias("b"))
+    rows = rows.withColumn("part", F.floor(F.unix_micros("t") / (width * 1e6)))
+    me = F.struct("t", "n")
+    w = Window.partitionBy("a", "b", "part").orderBy("t", "n")
+    inside = rows.withColumn("p", F.lag(me).over(w))
+    ends = rows.groupBy("a", "b", "part").agg(F.max(me).alias("last")).withColumn("p", F.lag("last").over(Window.partitionBy("a", "b").orderBy("part")))
+    firsts = inside.where("p IS NULL").drop("p").join(ends.select("a", "b", "part", "p"), ["a", "b", "part"]).where("p IS NOT NULL")
+    both = inside.where("p IS NOT NULL").unionByName(firsts)
+    gap = (F.unix_micros("t") - F.unix_micros("p.t")) / 1e6
+    both = both.withColumn("gap", gap).where(F.col("gap") <= seconds)
+    return both.select(F.col("n").alias("src"), F.col("p.n").alias("dst"), F.format_string("number pair %s->%s (gap %.2fs)", "a", "b", "gap").alias("reason"))
 
 
 def link_events(events: DataFrame, keys: dict[str, str] | None = None, seconds: float | None = 30.0, node: str = "event_id", **columns) -> DataFrame:

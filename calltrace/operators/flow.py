@@ -100,50 +100,70 @@ def machine_name(protocols: Column) -> Column:
     return F.when(has("SIP"), "SIP").when(has("Q931", "ISDN"), "Q931").when(has("MGCP"), "MGCP").otherwise("SIP")
 
 
-def transitions(events: DataFrame, machine: str, key: str = "call_key", order: tuple[str, ...] = ORDER, signal: str = "signal", raw: str = "raw_text") -> DataFrame:
-    """``events`` with ``from_state``, ``to_state``, ``is_valid`` and ``reason`` of one machine: SIP, Q931 or MGCP."""
+def _moves(events: DataFrame, machine: str, key: str, order: tuple[str, ...], signal: str, raw: str) -> tuple[DataFrame, Column, Column, Column]:
+    """``events`` with working columns of a machine, and its from-state, to-state and reason."""
     w, before, upto = _windows(key, order)
+    name = lambda c: f"_{machine}_{c}"
+    c = F.col(name("c"))
     if machine == "MGCP":
-        x = events.withColumn("_c", mgcp_class(F.col(signal), F.col(raw))).withColumn("_n", F.row_number().over(w))
-        strong = _map(MGCP_STATES, F.col("_c"))
-        x = x.withColumns({"_s": F.last(strong, True).over(upto), "_sn": F.max(F.when(strong.isNotNull(), F.col("_n"))).over(upto), "_ok": F.max(F.when(F.col("_c") == "200", F.col("_n"))).over(upto), "_nt": F.max((F.col("_c") == "NTFY").cast("int")).over(upto)})
-        state = F.when(F.col("_s").isNull(), F.when(F.col("_nt") == 1, "CALL_START").otherwise("IDLE")).when((F.col("_s") == "DISCONNECT") & (F.col("_ok") > F.col("_sn")), "CALL_END").otherwise(F.col("_s"))
+        x = events.withColumn(name("c"), mgcp_class(F.col(signal), F.col(raw))).withColumn(name("n"), F.row_number().over(w))
+        strong = _map(MGCP_STATES, c)
+        n = F.col(name("n"))
+        x = x.withColumns({name("s"): F.last(strong, True).over(upto), name("sn"): F.max(F.when(strong.isNotNull(), n)).over(upto), name("ok"): F.max(F.when(c == "200", n)).over(upto), name("nt"): F.max((c == "NTFY").cast("int")).over(upto)})
+        s = F.col(name("s"))
+        state = F.when(s.isNull(), F.when(F.col(name("nt")) == 1, "CALL_START").otherwise("IDLE")).when((s == "DISCONNECT") & (F.col(name("ok")) > F.col(name("sn"))), "CALL_END").otherwise(s)
         valid: dict = {}
     else:
-        c = sip_class(F.col(signal), F.col(raw)) if machine == "SIP" else q931_class(F.col(signal))
-        x = events.withColumn("_c", c).withColumn("_p", F.last("_c", True).over(before))
-        to = _map(SIP_STATES if machine == "SIP" else Q931_STATES, F.col("_c"))
+        x = events.withColumn(name("c"), sip_class(F.col(signal), F.col(raw)) if machine == "SIP" else q931_class(F.col(signal)))
+        to = _map(SIP_STATES if machine == "SIP" else Q931_STATES, c)
         if machine == "SIP":
-            to = F.when((F.col("_c") == "OK") & (F.col("_p") == "BYE"), "CALL_END").otherwise(to)
-        x = x.withColumn("_t", to)
-        state = F.coalesce(F.last("_t", True).over(upto), F.lit("IDLE"))
+            x = x.withColumn(name("p"), F.last(c, True).over(before))
+            to = F.when((c == "OK") & (F.col(name("p")) == "BYE"), "CALL_END").otherwise(to)
+        x = x.withColumn(name("t"), to)
+        state = F.coalesce(F.last(name("t"), True).over(upto), F.lit("IDLE"))
         valid = SIP_FROM if machine == "SIP" else Q931_FROM
-    x = x.withColumn("to_state", state)
-    x = x.withColumn("from_state", F.coalesce(F.lag("to_state").over(w), F.lit("IDLE")))
+    x = x.withColumn(name("to"), state)
+    x = x.withColumn(name("from"), F.coalesce(F.lag(name("to")).over(w), F.lit("IDLE")))
+    came = F.col(name("from"))
     reason = F.lit(None).cast("string")
-    for c, (allowed, text) in valid.items():
-        reason = F.when((F.col("_c") == c) & ~F.col("from_state").isin(*allowed), F.format_string(text, "from_state")).otherwise(reason)
+    for k, (allowed, text) in valid.items():
+        reason = F.when((c == k) & ~came.isin(*allowed), F.format_string(text, came)).otherwise(reason)
     if machine == "SIP":
-        reason = F.when(F.col("_c") == "REJECT", "Call rejected or cancelled").otherwise(reason)
-    x = x.withColumn("reason", reason).withColumn("is_valid", F.col("reason").isNull() | (F.col("reason") == "Call rejected or cancelled"))
-    return x.select(*events.columns, "from_state", "to_state", "is_valid", "reason")
+        reason = F.when(c == "REJECT", "Call rejected or cancelled").otherwise(reason)
+    return x, came, F.col(name("to")), reason
 
 
-def call_transitions(events: DataFrame, key: str = "call_key", **columns) -> DataFrame:
-    """Transitions of every call by the machine that its protocols ask for."""
-    chosen = events.withColumn("_m", machine_name(F.collect_set("protocol").over(Window.partitionBy(key))))
-    out = None
+def _told(x: DataFrame, names: list[str], came: Column, to: Column, reason: Column) -> DataFrame:
+    valid = reason.isNull() | (reason == "Call rejected or cancelled")
+    return x.select(*names, came.alias("from_state"), to.alias("to_state"), valid.alias("is_valid"), reason.alias("reason"))
+
+
+def transitions(events: DataFrame, machine: str, key: str = "call_key", order: tuple[str, ...] = ORDER, signal: str = "signal", raw: str = "raw_text") -> DataFrame:
+    """``events`` with ``from_state``, ``to_state``, ``is_valid`` and ``reason`` of one machine: SIP, Q931 or MGCP."""
+    return _told(*(lambda x, *moves: (x, events.columns, *moves))(*_moves(events, machine, key, order, signal, raw)))
+
+
+def call_transitions(events: DataFrame, key: str = "call_key", order: tuple[str, ...] = ORDER, signal: str = "signal", raw: str = "raw_text") -> DataFrame:
+    """Transitions of every call by the machine that its protocols ask for; all machines run over one ordering of the events."""
+    x = events.withColumn("_m", machine_name(F.collect_set("protocol").over(Window.partitionBy(key))))
+    picked: list[Column | None] = [None, None, None]
     for m in ("SIP", "Q931", "MGCP"):
-        part = transitions(chosen.where(F.col("_m") == m), m, key, **columns).drop("_m")
-        out = part if out is None else out.unionByName(part)
-    return out
+        x, *moves = _moves(x, m, key, order, signal, raw)
+        picked = [F.when(F.col("_m") == m, v) if p is None else p.when(F.col("_m") == m, v) for p, v in zip(picked, moves, strict=True)]
+    return _told(x, events.columns, *picked)
+
+
+MOVES = 10_000
 
 
 def run_machine(rows: DataFrame, table: DataFrame, key: str, order: tuple[str, ...], symbol: str, start: str = "START") -> DataFrame:
     """``(key, n, final_state, states)``: a transition table ``(from_state, symbol, to_state)`` folded over each key's rows.
 
-    A pair that is not in the table leaves the state as it is. The table is collected into one map: it describes a machine.
+    A pair that is not in the table leaves the state as it is. The table is collected into one map: it describes a machine, and has at
+    most ``MOVES`` rows.
     """
+    if table.count() > MOVES:
+        raise ValueError(f"a machine of more than {MOVES} transitions")
     found = {(r.from_state, r.symbol): r.to_state for r in table.select("from_state", "symbol", "to_state").collect()}
     moves = F.create_map(*[F.lit(x) for (a, s), b in sorted(found.items()) for x in (f"{a}\x01{s}", b)]) if found else F.create_map().cast("map<string,string>")
     items = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(symbol).alias("_sym")))), lambda x: x["_sym"])

@@ -29,6 +29,25 @@ def simultaneous(sessions: DataFrame, seconds: float = 5.0, key: str = "session_
     return x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= seconds)).select("a", "b", F.round(F.abs(F.col("ta") - F.col("tb")), 3).alias("delta"))
 
 
+def simultaneous_counts(sessions: DataFrame, seconds: float = 5.0, key: str = "session_id", start: str = "start_time") -> DataFrame:
+    """``(key, n, nearest)``: how many other sessions start at most ``seconds`` away, and how far the nearest of all lies that does.
+
+    In place of the pairs, whose number grows with the square of a busy moment. Stretches of an hour are counted by themselves, with
+    the edges of their neighbours.
+    """
+    width = max(3600.0, 4 * seconds)
+    x = sessions.where(F.col(start).isNotNull()).select(F.col(key), (F.unix_micros(start)).alias("t"))
+    span = F.lit(int(seconds * 1e6))
+    part = lambda c: F.floor(c / (width * 1e6))
+    own = part(F.col("t"))
+    x = x.select("*", own.alias("own"), F.explode(F.array_distinct(F.array(part(F.col("t") - span), own, part(F.col("t") + span)))).alias("part"))
+    w = Window.partitionBy("part").orderBy("t")
+    near = w.rangeBetween(-int(seconds * 1e6), int(seconds * 1e6))
+    gaps = F.least(F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t"))
+    x = x.withColumns({"n": F.count("*").over(near) - 1, "gap": gaps}).where("part = own")
+    return x.select(key, "n", F.when(F.col("n") > 0, F.round(F.col("gap") / 1e6, 3)).alias("nearest"))
+
+
 def simultaneous_notes(pairs: DataFrame) -> DataFrame:
     """``(session_id, notes)`` for both sides of each pair."""
     text = lambda c: F.format_string("Simultaneous call %s active within %.1fs.", c, "delta")

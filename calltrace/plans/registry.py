@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calltrace.functions.columns import split_lines
@@ -100,13 +100,14 @@ def _voice(spark, sf_dir) -> DataFrame:
     return voice_table(signal_events(spark, sf_dir))
 
 
-@query(f"""WITH {SIG}, p AS (SELECT a.event_id AS a, b.event_id AS b, CASE WHEN a.called_number = b.called_number THEN 0.55 ELSE -0.60 END AS num, abs(epoch_ms(a.ts) - epoch_ms(b.ts)) / 1000.0 AS gap
-    FROM sig a JOIN sig b ON a.call_id = b.call_id AND a.event_id < b.event_id)
+@query(f"""WITH {SIG}, n AS (SELECT *, lag(event_id) OVER w AS a, lag(called_number) OVER w AS c, lag(ts) OVER w AS t FROM sig WINDOW w AS (PARTITION BY call_id ORDER BY ts, event_id)),
+  p AS (SELECT a, event_id AS b, CASE WHEN called_number = c THEN 0.55 ELSE -0.60 END AS num, abs(epoch_ms(ts) - epoch_ms(t)) / 1000.0 AS gap FROM n WHERE a IS NOT NULL)
   SELECT a, b, round(greatest(0, least(1, 0.65 + 0.55 + num + CASE WHEN gap <= 45 THEN 0.15 * (1 - gap / 45.0) ELSE -0.5 END)), 6) AS score FROM p""")
 def q_pair_score(spark, sf_dir):
-    """Affinity of the pairs of events of a call."""
+    """Affinity of each event and the one before it in its call."""
     rows = scored.prepared(_voice(spark, sf_dir))
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.call_id") == F.col("y.call_id")) & (F.col("x.event_id") < F.col("y.event_id")))
+    last = rows.select("event_id", F.lag("event_id").over(Window.partitionBy("call_id").orderBy("ts", "event_id")).alias("before")).where("before IS NOT NULL")
+    pairs = last.alias("p").join(rows.alias("x"), F.col("p.before") == F.col("x.event_id")).join(rows.alias("y"), F.col("p.event_id") == F.col("y.event_id"))
     return pairs.select(F.col("x.event_id").alias("a"), F.col("y.event_id").alias("b"), F.round(scored.pair_score("x", "y"), 6).alias("score"))
 
 
@@ -132,6 +133,14 @@ def q_simultaneous(spark, sf_dir):
     return sessions.simultaneous(s, 30.0)
 
 
+@query(f"""WITH {SIG}, s AS (SELECT call_id, epoch_ms(min(ts)) AS t FROM sig GROUP BY call_id), p AS (SELECT a.call_id AS session_id, abs(a.t - b.t) AS d FROM s a JOIN s b ON a.call_id <> b.call_id AND abs(a.t - b.t) <= 600000),
+  n AS (SELECT session_id, count(*) AS n, round(min(d) / 1000.0, 3) AS nearest FROM p GROUP BY session_id) SELECT call_id AS session_id, coalesce(n, 0) AS n, nearest FROM s LEFT JOIN n ON s.call_id = n.session_id""")
+def q_simultaneous_counts(spark, sf_dir):
+    """How many calls begin within ten minutes of each, without their pairs."""
+    s = signal_events(spark, sf_dir).groupBy(F.col("call_id").alias("session_id")).agg(F.min("ts").alias("start_time"))
+    return sessions.simultaneous_counts(s, 600.0)
+
+
 # --- searches -----------------------------------------------------------------------------------------------------------
 @query(f"""WITH {SIG}, c AS (SELECT call_id, min(ts) AS s, max(ts) AS e, arg_min(calling_number, (ts, event_id)) AS calling_number FROM sig GROUP BY call_id)
   SELECT call_id AS call_key, calling_number, epoch_ms(s) AS start_ms FROM c WHERE calling_number LIKE '%10%' AND e >= TIMESTAMP '2024-01-03' AND s <= TIMESTAMP '2024-01-20'""")

@@ -10,6 +10,7 @@ from calltrace.functions.work import materialize
 from calltrace.operators import anomalies, classify, correlate, evidence, flow, parsing, reports, scored, search, sessions
 from calltrace.plans.base import query
 from calltrace.plans.rendered import SIG, isdn_rows, mgcp_rows, numbered_lines, rendered_lines, sdl_table, signal_events, sip_rows, voice_table, whole_files
+from calltrace.streaming import ingest
 
 
 def _ms(c):
@@ -205,6 +206,14 @@ def q_scored_blocks(spark, sf_dir):
     return e.select("event_id", "call_id").join(b, "event_id").groupBy("call_id").agg(F.count_distinct("block").alias("n_blocks"), F.count("*").alias("n"))
 
 
+@query(f"""WITH {SIG}, g AS (SELECT *, lag(ts) OVER (PARTITION BY call_id ORDER BY ts) AS p FROM sig), i AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_ms(ts) - epoch_ms(p) >= 3600000 THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY ts, event_id) AS k FROM g)
+  SELECT call_id, epoch_ms(min(ts)) AS start_ms, epoch_ms(max(ts)) AS end_ms, count(*) AS event_count FROM i GROUP BY call_id, k""")
+def q_live_sessions(spark, sf_dir):
+    """Sessions by silence, as the stream builds them."""
+    s = ingest.live_sessions(signal_events(spark, sf_dir), gap="1 hour")
+    return s.select("call_id", _ms("start_time").alias("start_ms"), _ms("end_time").alias("end_ms"), "event_count")
+
+
 # --- what is told of a call -------------------------------------------------------------------------------------------------
 @query(f"""WITH {SIG}, c AS (SELECT call_id, min(ts) AS s FROM sig GROUP BY call_id) SELECT event_id, call_id AS call_key, round((epoch_ms(ts) - epoch_ms(s)) / 1000.0, 3) AS offset_seconds FROM sig JOIN c USING (call_id)""")
 def q_timeline(spark, sf_dir):

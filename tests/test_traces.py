@@ -405,3 +405,35 @@ def test_stream(spark, tmp_path):
     assert events.count() == 2
     s = live_sessions(events)
     assert s.count() == 1 and {r.category for r in session_feed(s).collect()} == {"CAUSE_CODE", "MISSING_MESSAGE"}
+
+
+def test_live_stream(spark, tmp_path):
+    """Live sessions and their anomalies as a stream: a call is told once its silence has passed, each once."""
+    from calltrace.streaming.ingest import anomaly_feed, live_sessions
+
+    schema = "event_id string, ts timestamp, call_id string, calling_number string, called_number string, protocol string, message_type string"
+    e = lambda n, t, call, m: (str(n), f"2026-01-01 10:{t}", call, "1", "2", "SIP", m)
+    parts = [[e(1, "00:00", "a", "INVITE"), e(2, "00:05", "b", "INVITE"), e(3, "00:20", "a", "180 Ringing")], [e(4, "00:40", "a", "503 Service Unavailable"), e(5, "03:00", None, "OPTIONS")], [e(6, "09:00", "c", "INVITE")], [e(7, "09:30", "c", "200 OK")]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame([(a, t, *rest) for a, t, *rest in part], schema.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for _ in range(2):  # started again from its checkpoint it adds nothing
+        anomaly_feed(live_sessions(stream), out, str(tmp_path / "cp")).awaitTermination()
+    found = {(r.session_id.split("@")[0], r.category) for r in spark.read.option("basePath", out).parquet(f"{out}/batch=*").collect()}
+    assert found == {("a", "CAUSE_CODE"), ("b", "MISSING_MESSAGE")}
+
+
+def test_busy_number_pair(spark):
+    """Proximity of a pair that calls over many stretches of time, against all neighbours."""
+    import random
+
+    rnd = random.Random(4)
+    data = [(k, rnd.randrange(40_000), rnd.choice(["1", "2", None]), "9") for k in range(500)] + [(1000 + k, 7199 + k, "3", "9") for k in range(4)]
+    e = spark.createDataFrame(data, "event_id int, s int, calling_number string, called_number string").withColumn("ts", F.timestamp_seconds(F.col("s")))
+    got = {(r.src, r.dst) for r in correlate.proximity_edges(e, 30.0).collect()}
+    want = set()
+    for number in ("1", "2", "3"):
+        own = sorted((s, k) for k, s, a, _ in data if a == number)
+        want |= {(b, a) for (s, a), (t, b) in zip(own, own[1:], strict=False) if t - s <= 30}
+    assert got == want and len(want) > 100
