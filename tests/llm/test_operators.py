@@ -516,6 +516,34 @@ def test_toxicity_learns_from_long_texts(spark):
     assert np.mean([(r.score >= 0.7) == (r.doc_id % 3 == 0) for r in got]) > 0.95
 
 
+def plain_score(net, text):
+    """The network word by word, without blocks."""
+    words = Words(pa.array([text], pa.string()))
+    x = [sum(net.emb[b] for b in row) for row in toxicity.features(words)]
+    top = []
+    for w, bank in net.filters.items():
+        for k in range(bank.shape[2]):
+            all_ = [sum(float(x[i + j] @ bank[j, :, k]) for j in range(w)) + float(net.bias[w][k]) for i in range(len(x) - w + 1)]
+            top.append(max([0.0, *all_]))
+    z = (float(np.array(top) @ net.out) + float(net.base)) * net.scale + net.shift
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_against_plain_network(spark, corpus):
+    """Scores of whole texts in blocks, empty and short ones among them, are those of the network applied to each text alone."""
+    net = toxicity.TextCnn(3)
+    rng = np.random.default_rng(5)
+    net.emb = rng.normal(0, 0.3, net.emb.shape).astype(np.float32)
+    net.bias = {w: rng.normal(0, 0.3, len(b)).astype(np.float32) for w, b in net.bias.items()}
+    net.scale, net.shift = 0.7, 0.2
+    rows = [(r[0], r[1]) for r in corpus if len(words(r[1])) < 200] + [(2000, "one"), (2001, "Two, WORDS!"), (2002, "a b c"), (None, "no id")]
+    model = toxicity.Model(net, {None: 0.7}, 0.5)
+    got = collections.defaultdict(list)
+    for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).collect():
+        got[r.doc_id].append(r.score)
+    assert all(np.allclose(got[d], plain_score(net, t or ""), atol=1e-4) for d, t in rows)
+
+
 def test_toxicity_pieces(monkeypatch):
     """A long text's score is that of its whole."""
     words = Words(pa.array([" ".join(f"w{i * 7919 % 1000}" for i in range(5000))]))
@@ -675,16 +703,63 @@ def test_token_counts_writers(spark):
 
 # --- pipeline ------------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, corpus, docs, empty, tmp_path):
+    """What each stage keeps, against brute force on what the one before it kept; all decisions meet in the token output."""
     import corpus_pipeline
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
 
-    d = str(tmp_path)
-    docs.drop("id", "tid").write.parquet(f"{d}/documents.parquet")
-    item = corpus[1][1]
+    d, rnd = str(tmp_path), random.Random(21)
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    clean = [list(r[:5]) for r in corpus]
+    bad = ["vilexx", "nastyqq", "horridzz"]
+    toxic = []
+    for i in range(1000, 1400):  # most rows are of one source
+        w = [rnd.choice(["plain", "words", "that", "mean", "no", "harm", f"u{rnd.randrange(500)}"]) for _ in range(40)]
+        if i % 4 == 0:
+            w[rnd.randrange(40)] = bad[i % 3]
+            toxic.append(i)
+        clean.append([i, " ".join([*w, f"end{i}", f"last{i}"]), "en", "hot", 0])
+    item = " ".join(f"bench{i} mark{i}" for i in range(15))
+    near = [f"copy{i}" for i in range(150)]
+    for i in range(12):
+        clean.append([2000 + i, " ".join(near[: 5 * i] + [f"new{i}"] + near[5 * i + 1 :]), "en", "hot", 0])
+    clean += [[3000, f"some words before {item} and after", "en", "s1", 0], [3001, "start " + " ".join(w for k, w in enumerate(item.split()) if k % 7) + " end", "fr", "s2", 0]]
+    spark.createDataFrame([tuple(r) for r in clean], "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality long, toxic long").write.parquet(f"{d}/labels.parquet")
-    out = corpus_pipeline.run(spark, d).collect()
-    ids = {r.doc_id for r in out}
-    assert 1 not in ids and len(ids) > 50 and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(1000, 1300)], "doc_id long, quality long, toxic long").write.parquet(f"{d}/labels.parquet")
+
+    at, kept = spark.read.parquet(f"{d}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, at, d)
+        assert k == 4 or out.columns == names
+        out.write.parquet(f"{d}/stage{k}")
+        at = spark.read.parquet(f"{d}/stage{k}")
+        kept[name] = at.collect()
+    ids = lambda name: {r.doc_id for r in kept[name]}
+    # toxicity: all that holds a toxic word goes, labelled or not, and nothing else
+    assert ids("toxicity") == {r[0] for r in clean} - set(toxic)
+    # near duplicates: one of each class, by all pairs
+    classes = brute_classes([(r.doc_id, r.text) for r in kept["toxicity"]])
+    assert ids("ngram_jaccard_join") == {i for i, v in classes.items() if v[0] == i} and len(kept["ngram_jaccard_join"]) < len(kept["toxicity"]) - 11
+    # decontamination: both texts with the item
+    assert ids("decontamination") == ids("ngram_jaccard_join") - {3000, 3001}
+    # mixing: words by source near their targets, no document more than twice, each a whole row of before
+    size = collections.Counter()
+    for r in kept["decontamination"]:
+        size[r.source] += len(words(r.text))
+    want, took = mixing.targets(size), collections.Counter()
+    for r in kept["mixing"]:
+        took[r.source] += len(words(r.text))
+    longest = max(len(words(r.text)) for r in kept["decontamination"])
+    assert all(abs(took[s] - want[s]) <= longest for s in want) and set(kept["mixing"]) <= set(kept["decontamination"])
+    assert max(collections.Counter(r.doc_id for r in kept["mixing"]).values()) == 2
+    # token output: each row's ids, end to end
+    model = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    ends = collections.Counter((r.doc_id, len(model.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in kept["mixing"])
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in kept["token_output"]) == ends
+    rows = sorted(kept["token_output"], key=lambda r: r.start)
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()] and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, d).collect()) == sorted(tuple(r) for r in rows)
     got = empty.drop("id", "tid")
     for _, stage in corpus_pipeline.STAGES:
         got = stage(spark, got, d)
