@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes the shuffle files of a query when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder. A local session without one gets a temporary folder; a cluster must name it."""
@@ -30,13 +35,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/calltrace/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of a write go as soon as it is done; otherwise they stay until the driver collects its garbage."""
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and, unlike a cached or checkpointed frame, keeps column pruning.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

@@ -151,6 +151,19 @@ def test_tables_replace_themselves(spark, tmp_path):
     assert traces.read_table(spark, folder, "missing", "id long").count() == 0
 
 
+def test_written_tables_leave_no_shuffle(spark):
+    """A written table can be read again and again, its frame too; the setting is as it was."""
+    from calltrace.functions.work import CLEAN, delete, materialize, release
+
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before = spark.conf.get(CLEAN)
+    t = materialize(df, "t")
+    assert spark.conf.get(CLEAN) == before
+    assert sorted(t.collect()) == sorted(df.collect()) == sorted(df.collect()) and sorted(materialize(df.join(t, "k", "left_semi"), "u").collect()) == sorted(t.collect())
+    release(t)
+    delete(spark, t._work_path)  # what is gone already is no error
+
+
 def test_manifest_listing(spark):
     m = spark.createDataFrame([("r1", "2026-01-01", "file"), ("r2", "2026-01-03", "file"), ("r3", "2026-01-04", "analysis"), ("r4", None, None)], "request_id string, collection_timestamp string, kind string")
     assert [r.request_id for r in traces.listed_manifests(m).collect()] == ["r2", "r1", "r4"]
