@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrace.functions.work import delete, materialize, new_path
+from calltrace.functions.work import delete, materialize, new_path, shuffles_end
 from calltrace.llm.text import free_name
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -53,7 +53,8 @@ class LineRuns:
         self.paths[name] = new_path(self.spark, "line-run")
         # dealt as it is bucketed, so a bucket is one sorted file
         dealt = rows.repartition(self.buckets, "h1", "h2")
-        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).format("parquet").saveAsTable(name)
+        with shuffles_end(self.spark):
+            dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).format("parquet").saveAsTable(name)
         return name
 
     def add(self, counts: DataFrame) -> None:

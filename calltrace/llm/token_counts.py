@@ -27,7 +27,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrace.functions.work import materialize, new_path
+from calltrace.functions.work import materialize, new_path, shuffles_end
 from calltrace.llm.text import blocks, bounded_batches, free_name
 from calltrace.llm.tokens import Encoder
 
@@ -127,7 +127,8 @@ class TokenRollup:
 
     def _write(self, delta: DataFrame) -> str:
         name = f"data/{uuid.uuid4().hex}"
-        delta.write.parquet(f"{self.folder}/{name}")
+        with shuffles_end(self.spark):
+            delta.write.parquet(f"{self.folder}/{name}")
         return name
 
     def _drop(self, name: str) -> None:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calltrace.functions.work import new_path, qualified
+from calltrace.functions.work import new_path, qualified, shuffles_end
 from calltrace.llm import pfor
 from calltrace.llm.text import blocks, bounded_batches
 from calltrace.llm.tokens import Encoder
@@ -86,7 +86,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", *order)
     rows = rows.repartitionByRange("doc_id", "tid", "row").sortWithinPartitions("doc_id", "tid", "row")
     manifest = rows.mapInArrow(write, "path string, n_ids long, n_docs long")
-    manifest.write.parquet(f"{folder}/manifest")
+    with shuffles_end(docs.sparkSession):
+        manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
 
