@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calltrace.functions.columns import display_duration, display_range, display_time, seconds_between
 from calltrace.functions.work import materialize
-from calltrace.operators import anomalies, classify, correlate, evidence, flow, parsing, reports, scored, search, sessions
+from calltrace.operators import anomalies, classify, correlate, evidence, flow, framing, parsing, reports, scored, search, sessions
 from calltrace.plans.base import query
 from calltrace.plans.rendered import SIG, isdn_rows, mgcp_rows, numbered_lines, rendered_lines, sdl_table, signal_events, sip_rows, voice_table, whole_files
 from calltrace.streaming import ingest
@@ -401,3 +401,157 @@ def q_session_reports(spark, sf_dir):
     arch = evidence.architecture(x)
     r = reports.session_reports(s, evidence.session_verdicts(s, found, arch), {"Summary": reports.summary(s, arch, found), "Events": reports.cross_protocol_text(s, x, first=1_000_000)})
     return r.select("session_id", F.regexp_extract("value", r"Confidence: (\w+)", 1).alias("confidence"), F.regexp_count("value", F.lit(r"(?m)^SIP .* in SDL_\d+\.txt$")).cast("long").alias("n_lines"))
+
+
+# --- several protocols in one session -----------------------------------------------------------------------------------------
+_ARCH = f"""{SIG}, p AS (SELECT call_id, CASE event_id % 5 WHEN 0 THEN 'ISDN' WHEN 1 THEN 'MGCP' WHEN 3 THEN 'CUCM' ELSE 'SIP' END AS p, event_id % 5 = 4 AS sdl FROM sig),
+  f AS (SELECT call_id, count(*) FILTER (WHERE p = 'ISDN') AS n_isdn, count(*) FILTER (WHERE p = 'MGCP') AS n_mgcp, count(*) FILTER (WHERE p = 'SIP') AS n_sip, bool_or(p = 'ISDN') AS i, bool_or(p = 'MGCP') AS m, bool_or(p = 'SIP') AS s, bool_or(sdl) AS c FROM p GROUP BY call_id),
+  k AS (SELECT *, CASE WHEN i AND m THEN 'ISDN_MGCP' WHEN i AND s THEN 'ISDN_SIP' WHEN s AND NOT m THEN 'DIRECT_SIP' WHEN m AND s THEN 'MGCP_SIP' WHEN m THEN 'MGCP_ONLY' ELSE 'UNKNOWN' END AS kind FROM f)"""
+
+
+def _several(spark, sf_dir) -> DataFrame:
+    """Events of four protocols in turn, some with a mark of call-manager records."""
+    k = F.col("event_id") % 5
+    e = voice_table(signal_events(spark, sf_dir)).withColumns({"session_id": F.col("call_id"), "protocol": F.when(k == 0, "ISDN").when(k == 1, "MGCP").when(k == 3, "CUCM").otherwise("SIP")})
+    return e.withColumns({"raw": F.when(k == 4, "x |SdlSig |y").otherwise("plain"), "event_id": F.col("event_id").cast("string")})
+
+
+@query(f"""WITH {_ARCH} SELECT call_id AS session_id, CASE WHEN kind LIKE 'MGCP%' THEN 'ISDN_MGCP' ELSE kind END AS architecture, n_isdn, n_mgcp, n_sip,
+  round(CASE WHEN kind = 'ISDN_MGCP' THEN 0.9 + CASE WHEN s THEN 0.05 ELSE 0 END + CASE WHEN c THEN 0.05 ELSE 0 END WHEN kind = 'ISDN_SIP' THEN 0.9 + CASE WHEN c THEN 0.05 ELSE 0 END WHEN kind = 'DIRECT_SIP' THEN CASE WHEN c THEN 0.85 ELSE 0.7 END
+    WHEN kind LIKE 'MGCP%' THEN CASE WHEN c THEN 0.7 ELSE 0.55 END ELSE 0.2 END, 2)::DOUBLE AS confidence_score,
+  CASE WHEN kind LIKE 'ISDN%' THEN 'High' WHEN kind = 'DIRECT_SIP' THEN CASE WHEN c THEN 'High' ELSE 'Medium' END WHEN kind LIKE 'MGCP%' AND c THEN 'Medium' ELSE 'Low' END AS confidence FROM k""")
+def q_architecture_mixed(spark, sf_dir):
+    """All architectures: which protocols a session's events have."""
+    return evidence.architecture(_several(spark, sf_dir)).select("session_id", "architecture", "n_isdn", "n_mgcp", "n_sip", "confidence_score", "confidence")
+
+
+@query(f"""WITH {_ARCH} SELECT call_id AS session_id, concat_ws(';', CASE WHEN i THEN 'show isdn status;show voice port summary' END, CASE WHEN m THEN 'show mgcp endpoint;show ccm-manager' END, CASE WHEN s THEN 'show sip-ua status;show sip-ua calls' END) AS commands FROM k""")
+def q_recommended_commands(spark, sf_dir):
+    s, _, found = _sessions(spark, sf_dir)
+    v = evidence.session_verdicts(s, found, evidence.architecture(_several(spark, sf_dir)))
+    return v.select("session_id", F.array_join("recommended_commands", ";").alias("commands"))
+
+
+@query(f"""WITH {_RULES} SELECT call_id AS session_id, concat_ws(';', CASE WHEN inv AND NOT prov AND NOT ok THEN '100 Trying or 180 Ringing' END, CASE WHEN bye AND NOT coalesce(l_ok > t_bye, false) THEN '200 OK' END, CASE WHEN inv AND ok AND NOT ack THEN 'ACK' END) AS missing FROM a WHERE anomalies > 0""")
+def q_missing_messages(spark, sf_dir):
+    s, x, found = _sessions(spark, sf_dir)
+    v = evidence.session_verdicts(s, found, evidence.architecture(x)).where("n_anomalies > 0")
+    return v.select("session_id", F.array_join("missing_messages", ";").alias("missing"))
+
+
+@query(f"""WITH {SIG} SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN message_type IN ('INVITE', 'BYE') THEN call_id ELSE 'Uncorrelated' END AS session, message_type FROM sig""")
+def q_event_json(spark, sf_dir):
+    """Events as JSON with their session."""
+    e = voice_table(signal_events(spark, sf_dir)).withColumn("event_id", F.col("event_id").cast("string"))
+    links = e.where("message_type IN ('INVITE', 'BYE')").select("event_id", F.col("call_id").alias("session_id"))
+    j = evidence.event_json(e, links)
+    return j.select("event_id", F.get_json_object("value", "$.related_session").alias("session"), F.get_json_object("value", "$.message_type").alias("message_type"))
+
+
+@query(f"""WITH {SIG}, n AS (SELECT *, row_number() OVER (PARTITION BY call_id, event_id % 5 = 0 ORDER BY ts, source, event_id) AS i FROM sig)
+  SELECT call_id AS session_id, event_id % 5 = 0 AS isdn, string_agg('- ' || strftime(ts, '%H:%M:%S.%g') || ' INTERNAL ' || message_type, chr(10) ORDER BY i) AS text FROM n WHERE i <= 2 GROUP BY ALL""")
+def q_protocol_digest(spark, sf_dir):
+    """The first messages of each protocol in a session, a line each."""
+    k = F.col("event_id") % 5
+    e = voice_table(signal_events(spark, sf_dir)).withColumns({"session_id": F.col("call_id"), "protocol": F.when(k == 0, "ISDN").otherwise("SIP"), "seq_in_source": F.col("event_id")})
+    return evidence.protocol_digest(e, first=2).select("session_id", (F.col("protocol") == "ISDN").alias("isdn"), "text")
+
+
+@query(f"""WITH {SIG}, l AS (SELECT *, event_id % 4 AS k, row_number() OVER (PARTITION BY call_id ORDER BY ts, source, event_id) AS step_number FROM sig)
+  SELECT call_id AS session_id, step_number, CASE k WHEN 0 THEN 'PSTN' WHEN 1 THEN 'Voice Gateway' WHEN 2 THEN 'CUCM' ELSE 'Voice Gateway' END AS actor_from, CASE k WHEN 0 THEN 'Voice Gateway' WHEN 1 THEN 'PSTN' WHEN 2 THEN 'Voice Gateway' ELSE 'CUCM' END AS actor_to,
+    CASE k WHEN 0 THEN '──────▶' WHEN 1 THEN '◀──────' WHEN 2 THEN '◀──────' ELSE '──────▶' END AS arrow FROM l""")
+def q_ladder_actors(spark, sf_dir):
+    """Who speaks to whom, by protocol and direction."""
+    k = F.col("event_id") % 4
+    e = voice_table(signal_events(spark, sf_dir)).withColumns({"session_id": F.col("call_id"), "protocol": F.when(k < 2, "ISDN").when(k == 2, "MGCP").otherwise("SIP"), "direction": F.when(k % 2 == 0, "RX").otherwise("TX"), "seq_in_source": F.col("event_id")})
+    return flow.ladder(e).select("session_id", "step_number", "actor_from", "actor_to", "arrow")
+
+
+@query(f"""WITH {SIG} SELECT call_id AS session_id, count(*) + 2 AS n_lines FROM sig GROUP BY call_id""")
+def q_ladder_text(spark, sf_dir):
+    """A session's diagram: a head of two lines and a line per step."""
+    _, x, _ = _sessions(spark, sf_dir)
+    t = flow.ladder_text(flow.ladder(x))
+    return t.select("session_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+# --- more of a call -------------------------------------------------------------------------------------------------------------
+@query(f"""WITH {SIG} SELECT call_id AS call_key, row_number() OVER (PARTITION BY call_id ORDER BY ts, source, event_id) AS step_number, 'INTERNAL ' || message_type || ' (' || calling_number || ' -> ' || called_number || ')' AS summary FROM sig""")
+def q_flow_steps(spark, sf_dir):
+    return flow.flow_steps(sdl_table(signal_events(spark, sf_dir))).select("call_key", "step_number", "summary")
+
+
+@query(f"""WITH {SIG}, g AS (SELECT *, (epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY call_id ORDER BY ts, source, event_id))) * 1.0 AS d FROM sig)
+  SELECT call_id AS call_key, count(*) AS n_steps, count(*) AS n_evidence, coalesce(max(d) FILTER (WHERE d > 4000), 0)::DOUBLE AS max_gap_ms, min(event_id) AS first_line, max(event_id) AS last_line FROM g GROUP BY call_id""")
+def q_evidence_packs(spark, sf_dir):
+    """Evidence of each call as nested columns: flow, cited records, largest gap, lines."""
+    e = sdl_table(signal_events(spark, sf_dir))
+    p = evidence.evidence_packs(correlate.build_calls(e), e)
+    return p.select("call_key", F.size("flow").cast("long").alias("n_steps"), F.size("evidence").cast("long").alias("n_evidence"), "timing.max_gap_ms", F.col("source_line_range.min_line").cast("long").alias("first_line"), F.col("source_line_range.max_line").cast("long").alias("last_line"))
+
+
+@query(f"""WITH {SIG}, n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY ts, source, event_id) AS i FROM sig), l AS (SELECT call_id, arg_max((i, message_type, ts, source, event_id), (ts, source, event_id)) AS v FROM n WHERE message_type = 'BYE' OR message_type LIKE '503%' GROUP BY call_id)
+  SELECT call_id AS call_key, 'Step ' || v[1] || ' (' || v[2] || ') at ' || strftime(v[3], '%H:%M:%S.%g') || ' in ' || v[4] || ':' || v[5] AS failure_point FROM l""")
+def q_failure_points(spark, sf_dir):
+    """The last record that clears or refuses a call."""
+    v = evidence.call_verdicts(sdl_table(signal_events(spark, sf_dir)))
+    return v.where(F.col("failure_point").startswith("Step ")).select("call_key", "failure_point")
+
+
+@query(f"""WITH {SIG}, l AS (SELECT call_id, count(*) AS n FROM sig GROUP BY call_id) SELECT call_id AS call_key, n AS n_steps FROM l""")
+def q_call_reports(spark, sf_dir):
+    """A report per call: its numbered steps."""
+    e = sdl_table(signal_events(spark, sf_dir))
+    r = evidence.call_reports(evidence.evidence_packs(correlate.build_calls(e), e), evidence.call_verdicts(e))
+    return r.select("call_key", F.regexp_count("value", F.lit(r"(?m)^\d+\. \[")).cast("long").alias("n_steps"))
+
+
+@query(f"""WITH {SIG}, c AS (SELECT call_id, min(ts) AS s, max(ts) AS e, arg_min(called_number, (ts, source, event_id)) AS called, arg_min(ci, (ts, source, event_id)) AS ci FROM sig GROUP BY call_id)
+  SELECT call_id AS call_key FROM c WHERE called LIKE '%3%' AND (CAST(s AS DATE) = DATE '2024-01-05' OR CAST(e AS DATE) = DATE '2024-01-05')""")
+def q_find_calls_of_day(spark, sf_dir):
+    """Calls by called number and day."""
+    return search.find_calls(correlate.build_calls(sdl_table(signal_events(spark, sf_dir))), called="3", date="2024-01-05").select("call_key")
+
+
+@query(f"""WITH {SIG} SELECT DISTINCT source AS file_name, 2::BIGINT AS line_no, 'garbage' AS text FROM sig""")
+def q_malformed_lines(spark, sf_dir):
+    """Lines before the first record of a file, blank ones left out."""
+    x = rendered_lines(signal_events(spark, sf_dir)).withColumn("line_no", F.col("line_no") + 3)
+    junk = x.select("file_name").distinct().select("file_name", F.posexplode(F.array(F.lit("  "), F.lit("garbage"), F.lit(""))).alias("pos", "line")).select("file_name", (F.col("pos") + 1).alias("line_no"), "line")
+    return framing.malformed_sdl(x.unionByName(junk), chunk=400).select("file_name", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+@query(f"""WITH {SIG} SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ISDN' WHEN 1 THEN 'SIP' ELSE 'MGCP' END AS protocol FROM sig""")
+def q_segments(spark, sf_dir):
+    """The protocol of each message by itself."""
+    e = signal_events(spark, sf_dir)
+    part = lambda k: e.where(F.col("event_id") % 3 == k)
+    x = isdn_rows(part(0)).unionByName(sip_rows(part(1))).unionByName(mgcp_rows(part(2)))
+    return x.select("event_id", classify.segment_protocol(F.array_join("lines", "\n")).alias("protocol"))
+
+
+@query(f"""WITH {SIG} SELECT event_id, array_to_string(list_sort(list_distinct(['0', 'x' || user_id, ci])), ',') AS plain, 'cdcc=x' || user_id || ',ci=' || ci AS named FROM sig""")
+def q_correlation_tags(spark, sf_dir):
+    """Tags of events, by value alone and with their kinds."""
+    e = voice_table(signal_events(spark, sf_dir))
+    user = F.concat(F.lit("x"), (F.col("calling_number").cast("long") - 1000).cast("string"))
+    e = e.withColumns({"metadata": F.create_map(F.lit("ci"), F.col("ci"), F.lit("other"), F.lit("z")), "correlation_ids": F.create_map(F.lit("cdcc"), user, F.lit("app_corr"), F.lit("0"))})
+    text = lambda compat: F.array_join(F.array_sort(scored.tags(compat)), ",")
+    return e.select("event_id", text(True).alias("plain"), text(False).alias("named"))
+
+
+@query(f"""WITH {SIG} SELECT event_id, message_type IN ('INVITE', '180 Ringing', '200 OK', 'BYE') AS seed FROM sig""")
+def q_seed_events(spark, sf_dir):
+    """Events that may begin a session by their message alone."""
+    null = F.lit(None).cast("string")
+    e = voice_table(signal_events(spark, sf_dir)).withColumns({"calling_number": null, "called_number": null, "call_id": null})
+    return e.select("event_id", scored.seed_candidate().alias("seed"))
+
+
+@query(f"""WITH {SIG} SELECT count(*) AS total_events, count(*) FILTER (WHERE event_id % 5 = 0) AS isdn_events, count(*) FILTER (WHERE event_id % 5 IN (2, 4)) AS sip_events, count(*) FILTER (WHERE event_id % 5 = 1) AS mgcp_events, count(*) FILTER (WHERE event_id % 5 = 3) AS cucm_events,
+  epoch_ms(min(ts)) AS earliest_ms, epoch_ms(max(ts)) AS latest_ms FROM sig""")
+def q_totals(spark, sf_dir):
+    """Totals of a table of events of four protocols, and its bounds."""
+    e = _several(spark, sf_dir)
+    s = sessions.statistics(e, e.limit(0).select("event_id", "session_id"))
+    return s.select("total_events", "isdn_events", "sip_events", "mgcp_events", "cucm_events", _ms("earliest").alias("earliest_ms"), _ms("latest").alias("latest_ms"))
