@@ -28,7 +28,8 @@ def normalised(text: Column) -> Column:
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_all: bool = False, prefix: int = PREFIX) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row.
 
-    ``text_sha256`` is null for a row that the length or prefix level has shown to be unique, unless ``hash_all``.
+    ``text_sha256`` is null for a row that the length or prefix level has shown to be unique, unless ``hash_all``: then every text is
+    hashed in full, because the result names every hash, and the levels save the grouping of the unique ones alone.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("tid", F.xxhash64("text"))
     norm = normalised(F.col("text"))
