@@ -311,6 +311,22 @@ def q_knowledge_topk(spark, sf_dir):
     return search.search_items(d, items, 3)
 
 
+@query("""WITH q AS (SELECT conv_id * 1000 + turn AS id, [t FOR t IN regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{N}_]+)', 1) IF length(t) > 2] AS ts FROM conversations),
+  tok AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(ts) AS t FROM q) GROUP BY id, t), it AS (SELECT item_id, lower(text) AS d, 'tag' || (item_id % 10) AS tag FROM benchmark WHERE item_id % 2 = 0 AND item_id % 3 <> 0),
+  hit AS (SELECT t, item_id, CASE WHEN contains(tag, t) THEN 3.0 ELSE 0 END + CASE WHEN contains(d, t) THEN 1.0 ELSE 0 END AS s FROM (SELECT DISTINCT t FROM tok), it WHERE contains(d, t) OR contains(tag, t)),
+  sc AS (SELECT id, item_id, sum(n * s) AS score FROM tok JOIN hit USING (t) GROUP BY id, item_id), emp AS (SELECT id, item_id, 0.0 AS score FROM q, (SELECT item_id FROM it ORDER BY item_id LIMIT 2) WHERE len(ts) = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, item_id) AS rank FROM (SELECT * FROM sc UNION ALL SELECT * FROM emp)) SELECT id AS query_id, CAST(item_id AS VARCHAR) AS item, CAST(score AS DOUBLE) AS score FROM r WHERE rank <= 2""")
+def q_knowledge_filtered(spark, sf_dir):
+    """The two best items of a category and a confidence for each turn of a conversation, by details and tags."""
+    c = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    k = F.col("item_id")
+    items = _table(spark, sf_dir, "benchmark").select(
+        k.cast("string").alias("id"), k.alias("item_order"), F.lit("").alias("title"), F.lit("").alias("description"), F.col("text").alias("details"), F.array(F.concat(F.lit("tag"), (k % 10).cast("string"))).alias("tags"),
+        F.when(k % 2 == 0, "Signal").otherwise("flow").alias("category"), F.when(k % 3 == 0, "draft").otherwise("Verified").alias("confidence"),
+    )
+    return search.search_items(c, items, 2, category="signal", confidence="verified").select("query_id", F.col("id").alias("item"), "score")
+
+
 @query("""SELECT doc_id, sha256(coalesce(text, '') || chr(10) || 'username admin password 7 ********' || chr(10) || 'snmp-server community ******** RO' || chr(10) || 'api_key=******** end') AS masked_sha256 FROM documents""")
 def q_mask_secrets(spark, sf_dir):
     """Secrets appended to each document, masked."""

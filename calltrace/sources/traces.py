@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,12 +190,18 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
         rename(spark, part, f"{folder}/{name}")
 
 
-def read_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """A written table; an empty one where it is missing."""
+def read_table(spark: SparkSession, folder: str, name: str, schema: str, strict: bool = False) -> DataFrame:
+    """A written table; an empty one where it is missing or, unless ``strict``, can't be read (all its files are opened to tell)."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/{name}")
+    out = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    if not strict:
+        try:
+            out.count()  # reads the files' footers
+        except (PySparkException, Py4JError):
+            return spark.createDataFrame([], schema)
+    return out
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:

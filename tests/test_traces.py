@@ -149,6 +149,11 @@ def test_tables_replace_themselves(spark, tmp_path):
         traces.write_tables({"t": traces.without(t.withColumn("request_id", F.col("id")), spark.createDataFrame([(3,)], "request_id long")).select("id")}, folder)
     assert sorted(r.id for r in traces.read_table(spark, folder, "t", "id long").collect()) == [0, 1, 2, 4]
     assert traces.read_table(spark, folder, "missing", "id long").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("not a table")
+    assert traces.read_table(spark, folder, "bad", "id long").count() == 0
+    with pytest.raises(Exception):  # noqa: B017
+        traces.read_table(spark, folder, "bad", "id long", strict=True).collect()
 
 
 def test_written_tables_leave_no_shuffle(spark):
