@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder of each local application that names no shared one.
+_OWN: dict[str, str] = {}
 #: Spark deletes the shuffle files of a query when it ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -19,8 +21,8 @@ def work_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-")
     return qualified(spark, found)
 
 
