@@ -1,7 +1,7 @@
 """Order within a call: steps, gaps, state machines, milestones, stage latencies, ladders.
 
 Events need a call key, a time, a signal and, for some operators, protocol and raw text. State machines are closed forms over
-windows; :func:`run_machine` folds any transition table.
+windows; :mod:`calltrace.operators.machines` runs any transition table.
 """
 
 from __future__ import annotations
@@ -153,26 +153,6 @@ def call_transitions(events: DataFrame, key: str = "call_key", order: tuple[str,
     return _told(x, events.columns, *picked)
 
 
-MOVES = 10_000
-
-
-def run_machine(rows: DataFrame, table: DataFrame, key: str, order: tuple[str, ...], symbol: str, start: str = "START") -> DataFrame:
-    """``(key, n, final_state, states)``: a transition table ``(from_state, symbol, to_state)`` folded over each key's rows.
-
-    A pair that is not in the table leaves the state as it is. The table is collected into one map: it describes a machine, and has at
-    most ``MOVES`` rows.
-    """
-    if table.count() > MOVES:
-        raise ValueError(f"a machine of more than {MOVES} transitions")
-    found = {(r.from_state, r.symbol): r.to_state for r in table.select("from_state", "symbol", "to_state").collect()}
-    moves = F.create_map(*[F.lit(x) for (a, s), b in sorted(found.items()) for x in (f"{a}\x01{s}", b)]) if found else F.create_map().cast("map<string,string>")
-    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(symbol).alias("_sym")))), lambda x: x["_sym"])
-    step = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(moves, F.concat_ws("\x01", F.element_at(acc, -1), x)), F.element_at(acc, -1))))
-    out = rows.groupBy(key).agg(items.alias("_items"))
-    states = F.aggregate("_items", F.array(F.lit(start)), step)
-    return out.select(key, F.size("_items").alias("n"), F.element_at(states, -1).alias("final_state"), F.slice(states, 2, F.size("_items")).alias("states"))
-
-
 def milestones(events: DataFrame, key: str = "call_key", signal: str = "signal", strict_connect: bool = False) -> DataFrame:
     """``(key, expected, missing)`` per call. ``strict_connect``: DISCONNECT does not count as CONNECT."""
     s = F.upper(F.coalesce(F.col(signal), F.col("protocol"), F.lit("UNKNOWN")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calltrace.functions.columns import split_lines
-from calltrace.operators import anomalies, classify, correlate, evidence, flow, framing, parsing, scored, search, sessions
+from calltrace.operators import anomalies, classify, correlate, evidence, flow, framing, machines, parsing, scored, search, sessions
 from calltrace.plans import listings, voice  # noqa: F401 - they register their queries
 from calltrace.plans.base import ORACLES, QUERIES, query  # noqa: F401
 from calltrace.plans.base import table as _table
@@ -178,10 +178,29 @@ _TURNS = [("START", "system", "PRIMED"), ("START", "user", "ASKED"), ("PRIMED",
 def q_state_turns(spark, sf_dir):
     """A user-defined machine over the turns of conversations; turns without a transition leave the state."""
     table = spark.createDataFrame(_TURNS, "from_state string, symbol string, to_state string")
-    x = flow.run_machine(_table(spark, sf_dir, "conversations"), table, "conv_id", ("turn", "role"), "role")
+    x = machines.run_machine(_table(spark, sf_dir, "conversations"), table, "conv_id", ("turn", "role"), "role")
     return x.select("conv_id", F.col("n").cast("long").alias("n"), F.when(F.col("final_state").isin("ASKED", "ANSWERED"), F.col("final_state")).alias("last_state"))
 
 
+#: A machine whose state depends on all that came before: a refused call is free only after a new call was answered.
+_LINE = [
+    ("FREE", "INVITE", "TRYING"), ("TRYING", "180 Ringing", "RINGING"), ("TRYING", "200 OK", "UP"), ("RINGING", "200 OK", "UP"), ("UP", "BYE", "FREE"), ("TRYING", "503 Service Unavailable", "REFUSED"), ("RINGING", "503 Service Unavailable", "REFUSED"),
+    ("REFUSED", "INVITE", "AGAIN"), ("AGAIN", "200 OK", "UP"), ("AGAIN", "BYE", "REFUSED"),
+]
+_MOVED = "coalesce(CASE {s} || '>' || {m} " + " ".join(f"WHEN '{a}>{b}' THEN '{c}'" for a, b, c in _LINE) + " END, {s})"
+
+
+@query(f"""WITH RECURSIVE {SIG}, s AS (SELECT event_id, k, message_type, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS i FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'trunk' ELSE calling_number END AS k FROM sig)),
+  r AS (SELECT event_id, k, i, 'FREE' AS from_state, {_MOVED.format(s="'FREE'", m="message_type")} AS to_state FROM s WHERE i = 1
+    UNION ALL SELECT s.event_id, s.k, s.i, r.to_state, {_MOVED.format(s="r.to_state", m="s.message_type")} FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1)
+  SELECT event_id, k AS line, from_state, to_state FROM r""")
+def q_machine_rows(spark, sf_dir):
+    """Every event's state before and after it; one line carries a third of all events."""
+    e = signal_events(spark, sf_dir).select("event_id", "ts", "message_type", F.when(F.col("event_id") % 3 == 0, "trunk").otherwise(F.col("calling_number")).alias("line"))
+    table = spark.createDataFrame(_LINE, "from_state string, symbol string, to_state string")
+    return machines.machine_states(e, table, "line", ("ts", "event_id"), "message_type", "FREE").select("event_id", "line", "from_state", "to_state")
+
+
 @query(f"""WITH {SIG}, g AS (SELECT *, row_number() OVER w AS step, lag(message_type) OVER w AS prior, (epoch_ms(ts) - epoch_ms(lag(ts) OVER w)) * 1.0 AS gap FROM sig WINDOW w AS (PARTITION BY call_id ORDER BY ts, event_id))
   SELECT call_id AS call_key, step, prior AS prior_event, message_type AS current_event, gap AS gap_ms FROM g WHERE gap > 4000""")
 def q_flow_gaps(spark, sf_dir):
