@@ -178,18 +178,18 @@ def command_audit(rows: DataFrame, most: int = 200, limit_bytes: int = 65536) ->
 
 
 def truncated(text: Column, limit_bytes: int = 65536, compat: bool = False) -> Column:
-    """Text of at most so many bytes and a mark. ``compat``: tests bytes but keeps as many characters."""
+    """Text of at most so many bytes, cut between characters, and a mark. ``compat``: tests bytes but keeps as many characters."""
     mark = F.lit("\n... [OUTPUT TRUNCATED]")
-    kept = F.substring(text, 1, limit_bytes) if compat else F.decode(F.substring(F.encode(text, "UTF-8"), 1, limit_bytes), "UTF-8")
+    if compat:
+        kept = F.substring(text, 1, limit_bytes)
+    else:
+        data = F.encode(F.make_valid_utf8(text), "UTF-8")
+        inside = lambda n: F.hex(F.substring(data, n + 1, 1)).between("80", "BF")  # noqa: E731 - whether a character goes on after n bytes
+        ends = F.coalesce(*[F.when(~inside(n), n) for n in range(limit_bytes, max(limit_bytes - 4, 0), -1)], F.lit(0))
+        kept = F.decode(F.substring(data, F.lit(1), ends), "UTF-8")
     return F.when(F.octet_length(text) > limit_bytes, F.concat(kept, mark)).otherwise(text)
 
 
-def command_file_name(command: Column, host: Column, stamp: Column) -> Column:
-    """``host_command_stamp.txt`` with runs of other characters as dashes."""
-    name = F.btrim(F.regexp_replace(F.lower(command), "[^a-zA-Z0-9]+", "-"), F.lit("-"))
-    return F.concat_ws("_", host, F.substring(name, 1, 40), F.concat(stamp, F.lit(".txt")))
-
-
 def version_of(output: Column) -> Column:
     """The active version in a command's output."""
     return F.nullif(F.regexp_extract(output, r"(?i)(?:Active Master Version|version)\s*[:=]?\s*([0-9]+(?:\.[0-9]+)+(?:-[0-9]+)?)", 1), F.lit(""))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from calltrace.functions.work import new_path
 from calltrace.operators import evidence, reports, search, sessions
 from calltrace.plans.base import query, table
 from calltrace.plans.rendered import SIG, signal_events, voice_table
 from calltrace.sources import traces
+from calltrace.sources.versioned import VersionedTable
 
 # --- listings and manifests -------------------------------------------------------------------------------------------------
 _LISTED = f"""WITH {SIG}, l AS (SELECT event_id, 1000 + event_id * 37 AS size, ts, CASE event_id % 4 WHEN 0 THEN 'SDL001_' || event_id || '.txt.gz' WHEN 1 THEN 'SDL001_' || event_id || '.index' WHEN 2 THEN 'sdl_' || event_id || '.gzo' ELSE 'other_' || event_id || '.txt' END AS filename FROM sig),
@@ -79,6 +81,21 @@ def q_manifests_left(spark, sf_dir):
     return traces.without(m, gone).select("doc_id")
 
 
+@query("""SELECT doc_id, strlen(coalesce(text, '')) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS extracted_size FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) OR doc_id % 5 = 0""")
+def q_manifest_versions(spark, sf_dir):
+    """A versioned table of manifests: two appends, deletes that the first reader sees, rows put back in a revised form, and a fold."""
+    m = _manifests(spark, sf_dir)[1].select("doc_id", "request_id", "extracted_size")
+    gone = table(spark, sf_dir, "labels").select("doc_id").unionByName(m.where("doc_id % 5 = 0").select("doc_id"))
+    t = VersionedTable(spark, new_path(spark, "manifest-table"))
+    t.append(m.where("doc_id % 2 = 0"))
+    t.append(m.where("doc_id % 2 = 1"), batch="odd")
+    t.append(m.where("doc_id % 2 = 1"), batch="odd")  # a repeated batch adds nothing
+    t.delete(gone, "doc_id")
+    t.append(m.where("doc_id % 5 = 0").withColumn("extracted_size", F.col("extracted_size") + 1))
+    t.compact()
+    return t.read().select("doc_id", "extracted_size")
+
+
 @query("""SELECT '/n1/' || doc_id AS path, true AS there FROM documents WHERE doc_id IN (SELECT doc_id * 2 FROM labels) UNION ALL SELECT DISTINCT '/n1/' || (doc_id * 2), false FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)""")
 def q_selected_files(spark, sf_dir):
     """Files of chosen manifests, and the chosen ones that have no file."""
@@ -121,10 +138,12 @@ def q_command_audit(spark, sf_dir):
     return search.command_audit(rows, most=2_000_000_000).select("entry_id", "status", "output")
 
 
-@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, strlen(t) > 1000 AS cut, CASE WHEN strlen(t) > 1000 THEN sha256(t[1:1000] || chr(10) || '... [OUTPUT TRUNCATED]') ELSE sha256(t) END AS sha FROM t WHERE strlen(t) = length(t)""")
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  k AS (SELECT *, list_max(list_filter(range(990, 1001), lambda b: strlen(t[1 : b - 990 + c]) <= 1000)) - 990 + c AS k FROM (SELECT *, list_max(list_filter(range(200, 1001, 10), lambda n: strlen(t[1 : n]) <= 1000)) AS c FROM t))
+  SELECT doc_id, strlen(t) > 1000 AS cut, CASE WHEN strlen(t) > 1000 THEN sha256(t[1 : k] || chr(10) || '... [OUTPUT TRUNCATED]') ELSE sha256(t) END AS sha FROM k""")
 def q_truncated(spark, sf_dir):
-    """Output of at most so many bytes, for texts of one-byte characters."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(F.octet_length("t") == F.length("t"))
+    """Output of at most so many bytes, cut between characters."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     return d.select("doc_id", (F.octet_length("t") > 1000).alias("cut"), F.sha2(F.encode(search.truncated(F.col("t"), 1000), "UTF-8"), 256).alias("sha"))
 
 

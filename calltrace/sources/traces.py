@@ -7,7 +7,6 @@ carry the whole path, since nodes give their files the same names.
 from __future__ import annotations
 
 import json
-import uuid
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calltrace.functions.columns import capture, split_lines
-from calltrace.functions.work import delete, rename
+from calltrace.sources.versioned import VersionedTable
 
 
 def read_traces(spark: SparkSession, paths: str | list[str], newest: int | None = None) -> DataFrame:
@@ -121,8 +120,6 @@ def unsafe_name(name: Column) -> Column:
     return F.coalesce((F.btrim(name) == "") | name.startswith("/") | name.startswith("\\") | name.rlike("^[A-Za-z]:") | name.rlike(r"(^|[/\\])\.\.([/\\]|$)"), F.lit(True))
 
 
-#: A larger knowledge file is no knowledge file.
-KNOWLEDGE_BYTES = 16 << 20
 #: Sections of a knowledge file, their categories and id prefixes. Fixed values.
 KNOWLEDGE = {"signals": ("signal", "signal_"), "processes": ("process", "proc_"), "identifiers": ("identifier", "ident_"), "failures": ("failure", "fail_"), "flows": ("callflow", "flow_")}
 
@@ -142,11 +139,11 @@ def knowledge_items(spark: SparkSession, sections: list[dict]) -> DataFrame:
 
 
 def read_knowledge(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Items of knowledge files, YAML or JSON by their names; a knowledge base is small and parsed on the driver, in the order of paths.
+    """Items of knowledge files, YAML or JSON by their names; parsed on the driver one file after the other, in the order of paths, whatever their sizes.
 
     A file that can't be parsed, or that holds no mapping, gives no items.
     """
-    files = read_traces(spark, paths).where(F.lower("file_name").rlike(r"\.(ya?ml|json)$")).where(F.col("size_bytes") <= KNOWLEDGE_BYTES)
+    files = read_traces(spark, paths).where(F.lower("file_name").rlike(r"\.(ya?ml|json)$"))
     documents = []
     for row in files.orderBy("path").select("file_name", "content").toLocalIterator():
         parsed = _parsed(row.file_name, row.content)
@@ -180,28 +177,25 @@ def evidence_export(files: DataFrame, rows: DataFrame, generated: str) -> DataFr
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as Parquet in a folder of its name. It is written beside the old one, which it then replaces, so a table may be made
-    from the one that it replaces, and a failed write leaves the old one."""
+    """Each table as the next version of a :class:`VersionedTable` in a folder of its name. A table may be made from the one that it replaces, and
+    a writer that is lost at any step leaves the old version."""
     for name, df in tables.items():
-        spark = df.sparkSession
-        part = f"{folder}/.{name}-{uuid.uuid4().hex}"
-        df.write.parquet(part)
-        delete(spark, f"{folder}/{name}")
-        rename(spark, part, f"{folder}/{name}")
+        VersionedTable(df.sparkSession, f"{folder}/{name}").replace(df)
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: str, strict: bool = False) -> DataFrame:
-    """A written table; an empty one where it is missing or, unless ``strict``, can't be read (all its files are opened to tell)."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    """A written table, or plain Parquet files in a folder of its name; an empty table where there is none. Unless ``strict``, all columns are read
+    once to tell whether they can be, and a table with a corrupt footer or page is an empty one."""
+    stored = VersionedTable(spark, f"{folder}/{name}")
+    try:
+        out = stored.read(schema) if stored.exists() else spark.read.schema(schema).parquet(stored.folder) if stored.has_files() else spark.createDataFrame([], schema)
+        if not strict:
+            out.agg(F.max(F.xxhash64(*out.columns))).collect()
+        return out
+    except (PySparkException, Py4JError):
+        if strict:
+            raise
         return spark.createDataFrame([], schema)
-    out = spark.read.schema(schema).parquet(f"{folder}/{name}")
-    if not strict:
-        try:
-            out.count()  # reads the files' footers
-        except (PySparkException, Py4JError):
-            return spark.createDataFrame([], schema)
-    return out
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
