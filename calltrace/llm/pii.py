@@ -1,15 +1,18 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of what they miss.
 
-Base entities (e-mail, IPv4, card, phone) come from fixed patterns and are seeds. Each seed induces lexical patterns: its
-kind with the word before it, and its kind with the word after it. Other identifier-like tokens (those with a digit or an
-``@`` that no base span covers) are candidates and meet the same contexts. Spark scores the bipartite graph of patterns
-and instances for ``rounds`` rounds: a pattern's confidence is the share of its occurrences that known instances hold,
-an instance is known once a confident pattern with enough support extracts one of its mentions and it fits the kind, and
-is then known in all its contexts, which can make further patterns confident. Confident patterns add the spans of the
-candidates they extract; a known instance's mention that no confident pattern extracts is evidence only.
-
-The graph holds one row per (pattern, instance) with a count, made by partial aggregation in each task; candidates that fit no
-kind are one row per pattern. Instances and patterns meet in joins, so nothing grows with a hot context in one task. Texts are read whole;
+Base entities (e-mail, IPv4, card, phone) come from fixed patterns and are seeds. Each seed induces patterns of its kind: the word before
+it and the word after it, the two words before and the two after, all in lower case without outer punctuation, and its own form (its digits
+as 9, runs of letters as a, white space as a blank, and whether card digits have a right check digit). Candidates are other identifier-like tokens
+(those with a digit or an ``@`` that no base span covers) and what can be cut out of base matches that failed: numbers that stand side by side, and
+phones broken by other white space than a blank. They meet the same patterns. Spark scores the bipartite graph of patterns
+and instances for ``rounds`` rounds: a pattern's confidence is the share of its distinct instances that are known, so copies of a
+document count once. An instance is known once a confident pattern with enough support extracts one of its mentions and it fits the kind, and
+is then known in all its contexts, which can make further patterns confident. Forms are judged by seeds alone: a form that candidates
+brought in would extract all that looks like them. Confident patterns add the spans of the candidates they extract; a known instance's mention that
+no confident pattern extracts is evidence only.
+
+The graph holds one row per (pattern, instance), made distinct by partial aggregation in each task. Instances and patterns meet in joins,
+so nothing grows with a hot context in one task. Texts are read whole;
 null counts as empty; a text without entities returns one row with no spans. Every input row is a row of the result, whether its
 id is null or repeated. A candidate that confident patterns give several kinds has the first of them in the order of ``KINDS``.
 All base patterns are searched with anchors that make them linear in the text's length, and a context word ends where the
@@ -40,6 +43,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])(?:[(]?[0-9][0-9().-]*(?:\x20[(]?[0-9][0-9().-]*)+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*)")
 _OPENS = re.compile("[0-9A-Za-z+(@]")
+_GROUP = re.compile("[0-9]+")
+#: A phone over any white space.
+_WIDE = re.compile(r"\+[0-9][\x20\x09-\x0D().0-9-]+[0-9]")
 _CLOSES = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _GAP = frozenset("\x20\x09\x0a\x0b\x0c\x0d")
 #: Longer context words are named by their hash.
@@ -98,44 +104,116 @@ def fits(token: str) -> str:
     return ",".join(k for k in KINDS if could[k])
 
 
-def instance(token: str, could: str) -> bytes | None:
-    """Key of the identifier that a token names: in lower case, numbers but addresses by their digits; null where it could be of no kind."""
-    if not could:
-        return None
+def instance(token: str, could: str) -> bytes:
+    """Key of the identifier that a token names: in lower case, numbers but addresses by their digits."""
     plain = "".join(c for c in token if c.isdigit()) if could in ("card", "phone", "card,phone") else token.lower()
     return hashlib.blake2b(f"{could}:{plain}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def form(token: str) -> str:
+    """An identifier's own form, with the check of card digits."""
+    digits = "".join(c for c in token if c in "0123456789")
+    checked = ("+luhn" if luhn(digits) else "-luhn") if 16 <= len(digits) <= 19 and not re.search("[A-Za-z@]", token) else ""
+    return _named(re.sub("[^\\W\\d_]+", "a", re.sub("[0-9]", "9", re.sub("[\\x20\\x09-\\x0D]+", " ", token))) + checked)
+
+
 def _named(word: str) -> str:
     word = word.lower()
     return word if len(word) <= _NAMED else "#" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str]]:
-    """For each span the word before and the word after it, in lower case; empty at a text's ends and where another span comes first."""
+def _bare(word: str) -> str:
+    """A context word without outer punctuation."""
+    a, b = 0, len(word)
+    while a < b and not word[a].isalnum():
+        a += 1
+    while b > a and not word[b - 1].isalnum():
+        b -= 1
+    return _named(word[a:b])
+
+
+def _around(text: str, spans: list[tuple[int, int]], most: int) -> list[tuple[list[str], list[str]]]:
+    """For each span up to ``most`` words before and after it, the nearest first; none beyond a neighbouring span."""
     starts, ends = sorted(s for s, _ in spans), sorted(e for _, e in spans)
     out = []
     for s, e in spans:
         at = bisect_right(ends, s)
         low = ends[at - 1] if at else 0
-        b = s
-        while b > low and text[b - 1] in _GAP:
-            b -= 1
-        a = b
-        while a > low and text[a - 1] not in _GAP:
-            a -= 1
+        before, b = [], s
+        while len(before) < most:
+            while b > low and text[b - 1] in _GAP:
+                b -= 1
+            if b == low:
+                break
+            a = b
+            while a > low and text[a - 1] not in _GAP:
+                a -= 1
+            before.append(_bare(text[a:b]))
+            b = a
         at = bisect_left(starts, e)
         high = starts[at] if at < len(starts) else len(text)
-        c = e
-        while c < high and text[c] in _GAP:
-            c += 1
-        d = c
-        while d < high and text[d] not in _GAP:
-            d += 1
-        out.append((_named(text[a:b]), _named(text[c:d])))
+        after, c = [], e
+        while len(after) < most:
+            while c < high and text[c] in _GAP:
+                c += 1
+            if c == high:
+                break
+            d = c
+            while d < high and text[d] not in _GAP:
+                d += 1
+            after.append(_bare(text[c:d]))
+            c = d
+        out.append((before, after))
+    return out
+
+
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """For each span the word before and the word after it; empty at a text's ends and where another span comes first."""
+    return [((before or [""])[0], (after or [""])[0]) for before, after in _around(text, spans, 1)]
+
+
+def patterns_of(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[str, str]]]:
+    """For each span the patterns it meets: ``(side, words)`` and its form."""
+    out = []
+    for (s, e), (before, after) in zip(spans, _around(text, spans, 2), strict=True):
+        own = [("form", form(text[s:e]))]
+        for side, words in (("before", before), ("after", after)):
+            if words and words[0]:
+                own.append((side, words[0]))
+                if len(words) == 2 and words[1]:
+                    own.append((side, f"{words[1]} {words[0]}" if side == "before" else f"{words[0]} {words[1]}"))
+        out.append(own)
     return out
 
 
+def cut_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What base matches that failed may hold: single card numbers, or four groups of four, with a right check digit; phones over other white space."""
+    taken = sorted((s, e) for _, s, e in base)
+    out = []
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() < 17 or len(groups := list(_GROUP.finditer(text, *m.span()))) < 2:
+            continue
+        k = 0
+        while k < len(groups):
+            for n in (1, 4):
+                part = groups[k : k + n]
+                digits = "".join(g.group() for g in part)
+                if len(part) == n and (n == 1 and 16 <= len(digits) <= 19 or n == 4 and all(len(g.group()) == 4 for g in part)) and luhn(digits):
+                    out.append((part[0].start(), part[-1].end()))
+                    k += n - 1
+                    break
+            k += 1
+    if "+" in text:
+        out += [m.span() for m in _WIDE.finditer(text) if re.search("[\\x09-\\x0D]", m.group()) and 8 <= sum(c.isdigit() for c in m.group()) <= 15]
+    kept, last = [], 0
+    for s, e in sorted(out):
+        at = bisect_left(taken, (s,))
+        if s >= last and not (at < len(taken) and taken[at][0] < e) and not (at and taken[at - 1][1] > s):
+            kept.append((s, e))
+            last = e
+    return kept
+
+
 def candidate_spans(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
     """Identifier-like tokens, without outer punctuation, that touch no span of ``taken``."""
     bounds = sorted((s, e) for _, s, e in taken)
@@ -157,24 +235,31 @@ def candidate_spans(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tu
             yield s, e
 
 
-_MENTIONS = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string()), ("fits", pa.string()), ("instance", pa.binary())]
-)
+_MET = pa.list_(pa.struct([("side", pa.string()), ("word", pa.string())]))
+_MENTIONS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("met", _MET), ("fits", pa.string()), ("instance", pa.binary())])
+
+
+def found_in(text: str) -> list[tuple]:
+    """``(kind, start, end, met, fits, instance)`` of a text's base spans and, with no kind, of its candidates."""
+    base = base_spans(text)
+    cut = cut_spans(text, base)
+    found = [*base, *((None, s, e) for s, e in cut), *((None, s, e) for s, e in candidate_spans(text, [*base, *((None, s, e) for s, e in cut)]))]
+    out = []
+    for (kind, s, e), met in zip(found, patterns_of(text, [x[1:] for x in found]), strict=True):
+        could = fits(text[s:e])
+        out.append((kind, s, e, met, could, instance(text[s:e], could)))
+    return out
 
 
 def _mentions(batches):
-    """Base spans with their kind, and candidates with a null kind, each with contexts, the kinds it fits and its instance; one row without a span for a text that has none."""
+    """All that :func:`found_in` finds; one row without a span for a text that has none."""
     for block in blocks(batches):
         rows = []
         for row, doc_id, text in zip(*(block.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-            text = text or ""
-            base = base_spans(text)
-            found = [*base, *((None, s, e) for s, e in candidate_spans(text, base))]
-            for (kind, s, e), around in zip(found, contexts(text, [x[1:] for x in found]), strict=True):
-                could = fits(text[s:e])
-                rows.append((row, doc_id, kind, s, e, *around, could, instance(text[s:e], could)))
+            found = found_in(text or "")
+            rows += [(row, doc_id, kind, s, e, [{"side": a, "word": w} for a, w in met], could, key) for kind, s, e, met, could, key in found]
             if not found:
-                rows.append((row, doc_id, "", 0, 0, "", "", "", None))
+                rows.append((row, doc_id, "", 0, 0, [], "", None))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MENTIONS, strict=True)], schema=_MENTIONS)
 
 
@@ -182,33 +267,29 @@ def mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """All mentions, with the number ``row`` of the input row that holds them; write it before it is read twice."""
     bounded_batches(docs.sparkSession)
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _mentions, "row long, doc_id long, kind string, start int, end int, before string, after string, fits string, instance binary"
+        _mentions, "row long, doc_id long, kind string, start int, end int, met array<struct<side:string,word:string>>, fits string, instance binary"
     )
 
 
 def confident_patterns(found: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
-    """``(side, word, kind)``: contexts whose occurrences are known instances of one kind.
+    """``(side, word, kind)``: patterns whose distinct instances are known ones of one kind.
 
-    ``found`` comes from :func:`mentions`. A pattern is a context word on one side. In each round its confidence for a
-    kind is known occurrences / all occurrences; those with at least ``support`` known occurrences and at least
-    ``confidence`` make every candidate in them that fits the kind an instance of it, which counts as known in all its
+    ``found`` comes from :func:`mentions`. In each round a pattern's confidence for a
+    kind is its known instances / all its instances; those with at least ``support`` known instances and at least
+    ``confidence`` make every candidate they meet that fits the kind an instance of it, which counts as known in all its
     contexts from then on. Rounds end early when one adds no instance.
     """
-    sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word"))))
-    graph = materialize(
-        found.where("kind IS NULL OR kind <> ''").select(sides.alias("c"), "instance", "fits", "kind").select("c.side", "c.word", "instance", "fits", "kind")
-        .where("word <> ''").groupBy("side", "word", "instance", "fits", "kind").agg(F.count("*").alias("n")),
-        "pii-graph",
-    )
-    totals = materialize(graph.groupBy("side", "word").agg(F.sum("n").alias("all")), "pii-totals")
-    seeds = graph.where("kind IS NOT NULL").select("side", "word", "kind", "n")
-    loose = graph.where("kind IS NULL AND instance IS NOT NULL").select("side", "word", "instance", "fits", "n")
+    met = found.where("kind IS NULL OR kind <> ''").select(F.explode("met").alias("p"), "instance", "fits", "kind")
+    graph = materialize(met.select("p.side", "p.word", "instance", "fits", "kind").distinct(), "pii-graph")
+    totals = materialize(graph.select("side", "word", "instance").distinct().groupBy("side", "word").agg(F.count("*").alias("all")), "pii-totals")
+    seeds = graph.where("kind IS NOT NULL").select("side", "word", "instance", "kind")
+    loose = graph.where("kind IS NULL AND fits <> ''").select("side", "word", "instance", "fits")
     fit = F.array_contains(F.split("fits", ","), F.col("kind"))
-    known = materialize(found.where("kind <> '' AND instance IS NOT NULL").where(fit).select("instance", "kind").distinct(), "pii-known")
+    known = materialize(found.where("kind <> ''").where(fit).select("instance", "kind").distinct(), "pii-known")
     size, used = known.count(), [graph, totals, known]
     for _ in range(rounds):
-        held = seeds.unionByName(loose.join(known, "instance").select("side", "word", "kind", "n"))
-        good = held.groupBy("side", "word", "kind").agg(F.sum("n").alias("known")).join(totals, ["side", "word"])
+        held = seeds.unionByName(loose.where("side <> 'form'").join(known, "instance").select("side", "word", "instance", "kind")).distinct()
+        good = held.groupBy("side", "word", "kind").agg(F.count("*").alias("known")).join(totals, ["side", "word"])
         good = materialize(good.where((F.col("known") >= support) & (F.col("known") >= confidence * F.col("all"))).select("side", "word", "kind"), "pii-good")
         known = materialize(known.unionByName(loose.join(good, ["side", "word"]).where(fit).select("instance", "kind")).distinct(), "pii-known")
         size, before = known.count(), size
@@ -223,9 +304,8 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """``(doc_id, base, spans)`` per input row: arrays of ``(rank, start, end, kind)``, sorted; ``spans`` holds base spans and those the patterns add."""
     found = materialize(mentions(docs, doc_id, text), "pii-mentions")
     patterns = confident_patterns(found, **scoring)
-    sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))).alias("c")
-    loose = found.where("kind IS NULL AND instance IS NOT NULL").select("row", "doc_id", "start", "end", "fits", sides)
-    added = loose.select("row", "doc_id", "start", "end", "fits", "c.side", "c.word").join(patterns, ["side", "word"]).where(F.array_contains(F.split("fits", ","), F.col("kind")))
+    loose = found.where("kind IS NULL AND fits <> ''").select("row", "doc_id", "start", "end", "fits", F.explode("met").alias("p"))
+    added = loose.select("row", "doc_id", "start", "end", "fits", "p.side", "p.word").join(patterns, ["side", "word"]).where(F.array_contains(F.split("fits", ","), F.col("kind")))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     added = added.groupBy("row", "doc_id", "start", "end").agg(F.min_by("kind", rank).alias("kind"))
     span = F.struct(rank.alias("rank"), "start", "end", "kind")

@@ -646,6 +646,57 @@ def test_pii_later_rounds(spark):
         assert all(later[30 + i] for i in range(6)) and [tuple(x) for x in later[40]] == [(1, 8, 18, "email")] and not later[41] and not later[42]
 
 
+def bootstrapped(texts, rounds, support=5, confidence=0.8):
+    """The method as it is stated, over all texts at once."""
+    found = [(i, *f) for i, t in enumerate(texts) for f in pii.found_in(t or "")]
+    all_, known, good = collections.defaultdict(set), {(x[6], x[1]) for x in found if x[1] and x[1] in x[5].split(",")}, set()
+    for _, _, _, _, met, _, key in found:
+        for p in met:
+            all_[p].add(key)
+    for _ in range(rounds):
+        held = collections.defaultdict(set)
+        for _, kind, _, _, met, could, key in found:
+            for p in met:
+                for k in [kind] if kind else [k for k in pii.KINDS if could and (key, k) in known and p[0] != "form"]:
+                    held[p, k].add(key)
+        good = {(p, k) for (p, k), v in held.items() if len(v) >= support and len(v) >= confidence * len(all_[p])}
+        known |= {(x[6], k) for x in found if not x[1] for p in x[4] for k in pii.KINDS if (p, k) in good and k in x[5].split(",")}
+    out = collections.defaultdict(set)
+    for i, kind, s, e, met, could, _ in found:
+        kinds = [kind] if kind else [k for k in pii.KINDS if any((p, k) in good for p in met) and k in could.split(",")]
+        if kinds:
+            out[i].add((kinds[0], s, e))
+    return out
+
+
+def test_pii_against_brute_force(spark):
+    """Numbers side by side, broken phones, contexts of one and two words with punctuation, copies that count once."""
+    rnd = random.Random(12)
+
+    def card():
+        d = [rnd.randrange(10) for _ in range(15)]
+        return "".join(map(str, d)) + str(-sum(x if k % 2 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10)
+
+    def phone(gap=" "):
+        return f"+1{gap}({rnd.randrange(200, 999)}){gap}555-{rnd.randrange(1000, 9999)}"
+
+    w = lambda: rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split())
+    texts = []
+    for i in range(150):
+        kind = i % 10
+        body = {0: card(), 1: f"{card()} {card()}" if i % 50 == 1 else card(), 2: phone(), 3: phone("\n") if i % 20 == 3 else phone(), 4: f"u{i}@mail.org", 5: f"Call me: {phone()}", 6: f"call, me 030 {1000 + i} 99" if i % 50 == 6 else f"Call me {phone()}", 7: f"order {rnd.randrange(10**15, 10**16)}", 8: f"{card()[:4]}", 9: "v 2.0"}[kind]
+        texts.append(f"{w()} {w()}! {body} {w()}, {w()}.")
+    texts += ["copied word: 4111 222 3334 end"] * 9 + [None, ""]
+    planted = {i for i, t in enumerate(texts) if t and (i % 50 in (1, 6) or i % 20 == 3) and i < 150}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for rounds in (1, 3):
+        got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in pii.find_personal_data(docs, rounds=rounds).collect()}
+        want = bootstrapped(texts, rounds)
+        assert got == {i: want[i] for i in range(len(texts))}
+    added = {i for i, t in enumerate(texts) if len(got[i]) > len(pii.base_spans(t or ""))}
+    assert added == planted
+
+
 def test_token_counts(spark, docs, corpus, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
