@@ -1,18 +1,17 @@
 """Mixing sources to target weights by minimum-cost flow.
 
 A document may belong to several sources. Documents are aggregated by membership pattern (the set of their sources), and
-the small graph of patterns and sources is solved on the driver: a pattern offers its words once at no cost, a second time
+the graph of patterns and sources is solved: a pattern offers its words once at no cost, a second time
 at cost 1, and so on (convex costs of repetition), and may send them to any of its sources; each source takes its target.
 The flow says how many words of each pattern the mix takes. Documents of a pattern are then ordered by a seeded hash and
 taken in that order, the order starting anew for repetitions, until the pattern's flow is used up.
 
+Sources that no document ties, directly or over others, don't meet in the flow, so each connected part of the graph is a group of its own in
+a Spark job; the task that solves it holds its patterns (not its documents). The driver holds a number per source, for the targets.
+
 All paths of the flow's graph have one edge with a cost, that from the start to a pattern, so successive shortest paths are
 maximum flows over first uses, then over second uses, and so on; each is found by blocking flows.
 
-Up to ``MAX_PATTERNS`` patterns, those with the most words, are routed freely. The words of any others go to the one of their
-sources that is shortest of words for its target: each such pattern joins the pattern of that source alone. No document is left
-out by it, and the graph stays bounded by ``MAX_PATTERNS`` and the number of sources.
-
 Sizes are words ``[^\\x20\\x09-\\x0D]+`` of whole texts; null and empty texts have size 0 and are taken as 0 words. A null
 source is a source of its own, last in order. The running sums of the seeded order are two-level (sums of hash ranges, then
 rows within a range), so a source that holds a third of all rows is spread over its ranges. Rows repeated with one id are
@@ -30,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calltrace.functions.work import materialize
+from calltrace.operators.components import connected_components
 
 #: Hash ranges of each pattern's seeded order.
 RANGES = 4096
-MAX_PATTERNS = 50_000
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -117,6 +116,38 @@ def _pattern(given: Column) -> Column:
     return F.to_json(given)
 
 
+def pattern_flows(groups: DataFrame, want: dict[str | None, float], repeats: int) -> DataFrame:
+    """``(pattern, flow)`` of ``groups`` ``(pattern, sources, size)``: the words the mix takes of each."""
+    spark = groups.sparkSession
+    name = lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null"))
+    lead = name(F.get("sources", F.lit(0)))
+    edges = groups.where("size(sources) > 1").select(F.explode(F.slice("sources", 2, F.size("sources"))).alias("s"), lead.alias("dst")).select(name(F.col("s")).alias("src"), "dst").distinct()
+    tied = groups.select("pattern", "sources", "size", lead.alias("lead"))
+    if edges.isEmpty():
+        parts = tied.withColumn("part", F.col("lead"))
+    else:
+        parts = tied.join(connected_components(edges), F.col("lead") == F.col("node"), "left").withColumn("part", F.coalesce("component", "lead"))
+    shared = spark.sparkContext.broadcast({s: int(t) for s, t in want.items()})  # a number per source
+
+    def solve(pdf):
+        import pandas as pd
+
+        out = []
+        for _, g in pdf.groupby("part", sort=False):
+            g = g.sort_values("pattern")
+            members = {p: list(s) for p, s in zip(g["pattern"], g["sources"], strict=True)}
+            own = {s: shared.value[s] for s in sorted({s for m in members.values() for s in m}, key=lambda s: (s is None, s or ""))}
+            total = dict.fromkeys(members, 0)
+            for (p, _), f in min_cost_flow({p: int(n) for p, n in zip(g["pattern"], g["size"], strict=True)}, members, own, repeats).items():
+                total[p] += f
+            out += total.items()
+        return pd.DataFrame(out, columns=["pattern", "flow"])
+
+    # parts of one pattern are many, and share a group
+    dealt = parts.select("pattern", "sources", "size", "part", F.pmod(F.xxhash64("part"), F.lit(1 << 10)).alias("bin"))
+    return materialize(dealt.groupBy("bin").applyInPandas(solve, "pattern string, flow long"), "mix-flows")
+
+
 def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, tid, given, pattern, size, source_size, target, taken, copies)`` for every row.
 
@@ -134,34 +165,18 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: Sequence[float]
     )
     groups = materialize(rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")), "mix-patterns")
     by_source = groups.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
-    if by_source.count() > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sources to set targets for")
-    sizes = {r.source: r["size"] for r in by_source.collect()}  # at most MAX_PATTERNS
+    sizes = {r.source: r["size"] for r in by_source.collect()}  # a row per source
     want = targets(sizes, weights, share, float(repeats))
-    if groups.count() > MAX_PATTERNS:
-        # the smaller patterns join the pattern of one source each
-        free = groups.orderBy(F.desc("size"), "pattern").limit(MAX_PATTERNS).select("pattern", F.lit(True).alias("free"))
-        scarce = [(s, want[s] / max(1, sizes[s])) for s in sizes]
-        need = F.broadcast(spark.createDataFrame(scarce, "name string, need double"))  # a row per source
-        each = groups.join(free, "pattern", "left_anti").select("pattern", F.explode("sources").alias("s")).join(need, F.col("s").eqNullSafe(F.col("name")))
-        only = each.groupBy("pattern").agg(F.max_by(F.struct("s"), F.struct("need", "s")).alias("one")).select("pattern", F.array("one.s").alias("only"))
-        rows = rows.join(only, "pattern", "left").withColumn("sources", F.coalesce("only", "sources")).drop("only")
-        rows = materialize(rows.withColumn("pattern", _pattern(F.col("sources"))), "mix-rows")
-        groups = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"))
-    found = groups.collect()  # at most MAX_PATTERNS and one per source
-    supply, members = {r.pattern: r["size"] for r in found}, {r.pattern: list(r.sources) for r in found}
-    flow = min_cost_flow(supply, members, {s: int(t) for s, t in want.items()}, repeats)
-    total = dict.fromkeys(supply, 0)
-    for (p, _), f in flow.items():
-        total[p] += f
-    of = {p: (sizes[names[0]], want[names[0]]) if names else (0, 0.0) for p, names in members.items()}
-    plan = spark.createDataFrame([(p, supply[p], total[p], *of[p]) for p in supply], "pattern string, supply long, flow long, source_size long, target double")
+    of_source = spark.createDataFrame([(s, sizes[s], float(want[s])) for s in sizes], "name string, source_size long, target double")
+    flows = pattern_flows(groups, want, repeats)
+    plan = groups.select("pattern", F.get("sources", F.lit(0)).alias("s"), F.size("sources").alias("n"), F.col("size").alias("supply")).join(of_source, (F.col("n") > 0) & F.col("s").eqNullSafe(F.col("name")), "left")
+    plan = plan.join(flows, "pattern").select("pattern", "supply", "flow", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
     part = F.shiftright("h", 52)
     rows = rows.withColumn("part", part)
     sums = rows.groupBy("pattern", "part").agg(F.sum("size").alias("n"))
-    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("pattern").orderBy("part")) - F.col("n")).drop("n")
+    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("pattern").orderBy("part")) - F.col("n")).drop("n").join(plan, "pattern")
     inside = F.sum("size").over(Window.partitionBy("pattern", "part").orderBy("h", "doc_id", "tid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    at = rows.join(before, ["pattern", "part"]).withColumn("at", F.col("before") + inside).join(F.broadcast(plan), "pattern")  # at most MAX_PATTERNS rows
+    at = rows.join(before, ["pattern", "part"]).withColumn("at", F.col("before") + inside)
     taken, copies = F.lit(0), F.lit(0)
     for k in range(repeats):
         left = F.col("flow") - k * F.col("supply") - F.col("at")

@@ -7,9 +7,8 @@ with the lowest hash of the id, half of it toxic rows at most) and minimises the
 step touching only the words that won a maximum. Embeddings start from smoothed log odds of the training rows.
 
 The sample meets in one task, not in the driver, and passes through it twice: once for the log odds, which count every word,
-once for the features, held as integers. Of a training text of more than ``MAX_WORDS`` words the ``MAX_WORDS`` that the log
-odds tell most about are held, each with its neighbours in the width of the filters, wherever in the text they are. So the
-task holds at most ``max_train * MAX_WORDS`` words, and no labelled text is left out or cut off.
+once for the features, integers that lie in a file of the task's own while it trains. So all words of all sampled texts train, and memory
+holds the texts of one step.
 
 Scores are calibrated on a held-out fifth of the training rows. A threshold per language is chosen there as well: the one
 with the best F-beta of that language's rows, or the common one where a language has too few toxic rows. Language, source
@@ -24,6 +23,7 @@ keep their names and values; where one has the name of an output column, that ge
 from __future__ import annotations
 
 import pickle
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +39,6 @@ DIM = 4
 WIDTHS = {1: 8, 2: 4, 3: 4}
 PARTS = 5
 MAX_TRAIN = 12_000
-#: Words held of a training text.
-MAX_WORDS = 1024
 #: Words whose responses are held at once when texts are scored.
 PIECE_WORDS = 1 << 16
 #: The score at which all languages together are best divided.
@@ -61,17 +59,6 @@ def features(words: Words) -> np.ndarray:
     return out
 
 
-def told_most(feats: np.ndarray, odds: np.ndarray, most: int) -> np.ndarray:
-    """The rows of ``feats`` to hold for training: all, or those of the ``most`` words with the largest log odds either way and their neighbours."""
-    if len(feats) <= most:
-        return feats
-    reach = max(WIDTHS) - 1
-    strength = np.abs(odds[feats].sum(axis=1))
-    best = np.argsort(-strength, kind="stable")[: most // (2 * reach + 1)]
-    near = (best[:, None] + np.arange(-reach, reach + 1)).ravel()
-    return feats[np.unique(near[(near >= 0) & (near < len(feats))])]
-
-
 class TextCnn:
     """The network: ``emb`` (BUCKETS, DIM); per width ``w`` a filter bank (w, DIM, n) and bias; output weights and bias."""
 
@@ -270,7 +257,8 @@ def _fit_rows(options: dict):
 
     def run(batches):
         have, rows, odds = np.zeros((2, BUCKETS), np.float32), np.zeros(2), None
-        feats, y, langs, held = [], [], [], []
+        ends, y, langs, held = [0], [], [], []
+        kept = tempfile.TemporaryFile()  # this task's alone
         for block in blocks(batches):
             words = Words(block.column("text"))
             f = features(words)
@@ -285,11 +273,15 @@ def _fit_rows(options: dict):
                     continue
                 if odds is None:
                     odds = log_odds(have, rows)
-                feats.append(told_most(own, odds, MAX_WORDS).copy())
+                kept.write(np.ascontiguousarray(own).data)
+                ends.append(ends[-1] + len(own))
                 y.append(label)
                 langs.append(lang)
                 held.append(hold)
         y, held = np.array(y, np.int64), np.array(held, bool)
+        kept.flush()
+        every = np.memmap(kept, np.int32, "r", shape=(ends[-1], PARTS)) if ends[-1] else np.zeros((0, PARTS), np.int32)
+        feats = [every[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         if not len(y) or y.min() == y.max():
             model = Model(None, {None: CUT}, float(y.mean()) if len(y) else 0.0)
         else:
@@ -345,11 +337,12 @@ def without_toxic(docs: DataFrame, model: Model, lang: str = "lang", **options)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``threshold`` and ``rejected`` tell what the calibrated threshold of a document's language says; ``predicted`` uses 0.7 for all."""
+    """``threshold`` and ``rejected`` tell what the calibrated threshold of a document's language says; ``predicted`` uses 0.7 for all.
+    A row without an id is not held out, and no label is its."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(part != 1)
     model = train(docs, labels)
     limit = threshold(model.thresholds, F.col("lang"))
     out = score_documents(docs, model)
-    return out.select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))
+    return out.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))

@@ -160,8 +160,8 @@ def test_flow_costs_least():
     assert sum(got.values()) == 250_000
 
 
-def test_mixing_overlapping_sources(spark, docs, corpus, repeated, monkeypatch):
-    """Documents of several sources reach the mix, with every pattern free and with most patterns bound to one source."""
+def test_mixing_overlapping_sources(docs, corpus, repeated):
+    """Documents of several sources reach the mix, every pattern is free."""
     both = F.when(F.col("doc_id") % 3 == 0, F.array("source", F.concat(F.lit("t"), (F.col("doc_id") % 5).cast("string")))).when(F.col("doc_id") % 50 == 1, F.array().cast("array<string>")).otherwise(F.array("source"))
     member = {r[0]: {r[3], f"t{r[0] % 5}"} if r[0] % 3 == 0 else set() if r[0] % 50 == 1 else {r[3]} for r in corpus}
     size = {r[0]: len(words(r[1])) for r in corpus}
@@ -170,19 +170,44 @@ def test_mixing_overlapping_sources(spark, docs, corpus, repeated, monkeypatch):
         for s in names:
             by_source[s] += size[d]
     want = mixing.targets(by_source)
-    for most in (50_000, 12):
-        monkeypatch.setattr(mixing, "MAX_PATTERNS", most)
-        rows = mixing.mix(docs, sources=both).collect()
-        assert len(rows) == len(corpus) and all(r.taken <= 2 * r.size for r in rows) and all(r.taken == 0 for r in rows if not member[r.doc_id])
-        assert sum(r.taken for r in rows) > 0.8 * min(sum(want.values()), 2 * sum(size.values())) and len({r.pattern for r in rows}) <= 40
-        kept = mixing.mixed_documents(docs, sources=both).collect()
-        copies = collections.Counter(r.doc_id for r in kept)
-        assert {r.doc_id: r.copies for r in rows if r.copies} == dict(copies) and any(len(member[d]) == 2 for d in copies)
+    rows = mixing.mix(docs, sources=both).collect()
+    assert len(rows) == len(corpus) and all(r.taken <= 2 * r.size for r in rows) and all(r.taken == 0 for r in rows if not member[r.doc_id])
+    assert sum(r.taken for r in rows) > 0.8 * min(sum(want.values()), 2 * sum(size.values())) and len({r.pattern for r in rows}) <= 40
+    kept = mixing.mixed_documents(docs, sources=both).collect()
+    copies = collections.Counter(r.doc_id for r in kept)
+    assert {r.doc_id: r.copies for r in rows if r.copies} == dict(copies) and any(len(member[d]) == 2 for d in copies)
     odd = repeated.withColumns({"p_n": F.lit("x"), "copy": F.lit("y")}).drop("source")
     out = mixing.mixed_documents(odd, sources=F.array(F.lit("one")))
     assert out.columns == odd.columns and {(r.p_n, r.copy) for r in out.collect()} == {("x", "y")}
 
 
+def test_mixing_parts_equal_one_flow(spark):
+    """Connected parts solved by themselves give the flow of the whole graph; many sources, null among them."""
+    rnd = random.Random(2)
+    rows = []
+    for i in range(400):
+        p = rnd.randrange(60)
+        mine = [None if p == 7 else f"s{p}"] + ([f"s{p + 60}"] if i % 3 == 0 else []) + ([f"s{(p // 10) * 10}"] if i % 7 == 0 else [])
+        rows.append((i, " ".join(["w"] * rnd.randrange(9)), mine))
+    df = spark.createDataFrame(rows, "doc_id long, text string, many array<string>")
+    got = mixing.mix(df, sources=F.col("many")).collect()
+    supply, members, by = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        supply[r.pattern] += r["size"]
+        members[r.pattern] = sorted(set(rows[r.doc_id][2]), key=lambda s: (s is not None, s or ""))
+        for s in members[r.pattern]:
+            by[s] += r["size"]
+    want = mixing.targets(by)
+    flow = mixing.min_cost_flow(supply, members, {s: int(t) for s, t in want.items()}, 2)
+    assert sum(r.taken for r in got) == sum(flow.values())
+    taken = collections.Counter()
+    for r in got:
+        taken[r.pattern] += r.taken
+    # the least cost: as many words as can be are taken once before any is taken twice
+    once = mixing.min_cost_flow(supply, members, {s: int(t) for s, t in want.items()}, 1)
+    assert sum(min(taken[p], n) for p, n in supply.items()) == sum(once.values())
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------------
 def test_decontamination(spark, docs, corpus, empty):
     clean = corpus[12][1].split()
