@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltrace.functions.columns import has_any
+from calltrace.operators.ranks import ranked
 
 ORDER = ("ts", "source_file", "source_line")
 
@@ -306,3 +307,8 @@ def timeline(events: DataFrame, start: DataFrame, key: str = "call_key") -> Data
     """Events with ``offset_seconds`` from their call's start, in order; those without a time last."""
     x = events.join(start.select(key, "start_time"), key)
     return x.withColumn("offset_seconds", F.round((F.unix_micros("ts") - F.unix_micros("start_time")) / 1e6, 3)).orderBy(F.col("ts").asc_nulls_last(), *[c for c in ORDER[1:] if c in events.columns])
+
+
+def unified_timeline(events: DataFrame, order: tuple[str, ...] = ("source_file", "source_line")) -> DataFrame:
+    """All events with their ``rank`` in time over all calls, those without a time last; no task holds the whole order."""
+    return ranked(events, None, [F.col("ts").asc_nulls_last(), *order])

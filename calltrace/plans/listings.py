@@ -172,6 +172,16 @@ def q_versions(spark, sf_dir):
 
 
 # --- observations ---------------------------------------------------------------------------------------------------------------
+@query(f"""WITH {SIG}, o AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'STATION' WHEN 1 THEN 'GENERIC' ELSE 'MGCP' END AS kind, row_number() OVER (ORDER BY ts, source, event_id) AS n FROM sig)
+  SELECT event_id, kind FROM o WHERE kind <> 'GENERIC' OR n <= 500""")
+def q_observations_ranked(spark, sf_dir):
+    """Observations of a whole table: generic ones only among the first 500 of all kinds."""
+    k = F.col("event_id") % 3
+    raw = F.concat(F.format_string("%d |", "event_id"), F.when(k == 0, "x StationInit y").when(k == 1, "x |SdlSig |y").otherwise("x MGCPHandler y"))
+    e = voice_table(signal_events(spark, sf_dir)).withColumn("raw", raw)
+    return evidence.sdl_observations(e, most=500).select("event_id", "kind")
+
+
 @query(f"""WITH {SIG}, k AS (SELECT *, event_id % 4 AS k, strftime(ts, '%H:%M:%S.%g') AS clock FROM sig WHERE event_id % 4 <> 3),
   n AS (SELECT *, CASE k WHEN 0 THEN 'MGCPHandler' WHEN 1 THEN message_type ELSE 'DeviceEventReceiptMonitoringTimer' END AS event_name, CASE k WHEN 0 THEN 'MGCPManager/MGCPHandler' WHEN 1 THEN 'SIPD' ELSE 'StationInit' END AS process_name,
     row_number() OVER (PARTITION BY call_id, clock, k, event_id ORDER BY ts) AS rn FROM k) SELECT call_id AS session_id, clock AS timestamp, event_name, process_name, count(*) AS n FROM n WHERE rn = 1 GROUP BY ALL""")

@@ -10,7 +10,7 @@ from calltrace.functions.work import materialize
 from calltrace.operators import anomalies, classify, correlate, evidence, flow, framing, parsing, reports, scored, search, sessions
 from calltrace.plans.base import query
 from calltrace.plans.rendered import SIG, isdn_rows, mgcp_rows, numbered_lines, rendered_lines, sdl_table, signal_events, sip_rows, voice_table, whole_files
-from calltrace.streaming import ingest
+from calltrace.streaming import ingest, monitor
 
 
 def _ms(c):
@@ -214,6 +214,16 @@ def q_live_sessions(spark, sf_dir):
     return s.select("call_id", _ms("start_time").alias("start_ms"), _ms("end_time").alias("end_ms"), "event_count")
 
 
+@query(f"""WITH {SIG}, e AS (SELECT call_id, epoch_us(ts) AS us, CASE WHEN message_type = 'BYE' OR message_type LIKE '503%' THEN 'finish' WHEN message_type LIKE '180%' THEN 'ring' WHEN message_type = '200 OK' THEN 'answer' END AS sign FROM sig),
+  g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY call_id ORDER BY us) > 1800000000, true)::INT AS new FROM e), i AS (SELECT *, sum(new) OVER (PARTITION BY call_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS k FROM g),
+  s AS (SELECT call_id, min(us) AS a, max(us) AS b, count(*) AS n, min(us) FILTER (WHERE sign = 'ring') AS ring, min(us) FILTER (WHERE sign = 'answer') AS answer, min(us) FILTER (WHERE sign = 'finish') AS finish FROM i GROUP BY call_id, k)
+  SELECT call_id AS key, 'CLOSED' AS kind, b + 1800000000 AS at, n AS events FROM s
+  UNION ALL SELECT call_id, 'NO_ANSWER', ring + 600000000, n FROM s WHERE ring IS NOT NULL AND NOT coalesce(answer <= ring + 600000000, false) AND NOT coalesce(finish <= ring + 600000000, false)""")
+def q_call_findings(spark, sf_dir):
+    """What the timers of the watched stream tell, of the whole table: sessions that closed, and calls that rang without an answer."""
+    return monitor.session_findings(signal_events(spark, sf_dir), wait=600.0, gap=1800.0).select("key", "kind", "at", "events")
+
+
 # --- what is told of a call -------------------------------------------------------------------------------------------------
 @query(f"""WITH {SIG}, c AS (SELECT call_id, min(ts) AS s FROM sig GROUP BY call_id) SELECT event_id, call_id AS call_key, round((epoch_ms(ts) - epoch_ms(s)) / 1000.0, 3) AS offset_seconds FROM sig JOIN c USING (call_id)""")
 def q_timeline(spark, sf_dir):
@@ -221,6 +231,13 @@ def q_timeline(spark, sf_dir):
     return flow.timeline(e, e.groupBy("call_key").agg(F.min("ts").alias("start_time"))).select(F.col("event_id").cast("long").alias("event_id"), "call_key", "offset_seconds")
 
 
+@query(f"""WITH {SIG} SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 50 <> 0 THEN ts END NULLS LAST, source, event_id) AS rank FROM sig""")
+def q_unified_timeline(spark, sf_dir):
+    """The place of every event among all events of all calls; those without a time come last."""
+    e = sdl_table(signal_events(spark, sf_dir)).withColumn("ts", F.when(F.col("event_id").cast("long") % 50 != 0, F.col("ts")))
+    return flow.unified_timeline(e).select(F.col("event_id").cast("long").alias("event_id"), "rank")
+
+
 _IST = "strftime({} + INTERVAL 330 MINUTE, '%d-%b-%Y %H:%M:%S{}') || ' IST'"
 
 
