@@ -22,19 +22,38 @@ def word_list(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The sorted distinct values of a binary array, and each value's symbol (1 for the first)."""
     coded = words.dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy(zero_copy_only=False)
-    rank = np.empty(len(order) + 1, np.int64)
+    rank = np.empty(len(order) + 1, np.int32)
     rank[order] = np.arange(1, len(order) + 1)
     return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def sort_rows(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in order, with the sums of their weights."""
+def sort_rows(rows: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, with the sums of their weights, or with their numbers. Rows whose symbols fit into 64 bits are sorted as one number."""
     if not len(rows):
-        return rows, weights
-    order = np.lexsort(rows.T[::-1])
-    rows, weights = rows[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-    return rows[first], np.add.reduceat(weights, first)
+        return rows, np.zeros(0, np.int64)
+    bits = max(1, int(rows.max()).bit_length())
+    if bits * rows.shape[1] <= 64:
+        key = np.zeros(len(rows), np.uint64)
+        for k in range(rows.shape[1]):
+            key = key << np.uint64(bits) | rows[:, k].astype(np.uint64)
+        if weights is None:
+            key.sort()
+        else:
+            order = np.argsort(key, kind="stable")
+            key, weights = key[order], weights[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key = key[first]
+        out = np.empty((len(key), rows.shape[1]), rows.dtype)
+        for k in range(rows.shape[1] - 1, -1, -1):
+            out[:, k] = key & np.uint64((1 << bits) - 1)
+            key = key >> np.uint64(bits)
+    else:
+        order = np.lexsort(rows.T[::-1])
+        out = rows[order]
+        weights = None if weights is None else weights[order]
+        first = np.flatnonzero(np.concatenate([[True], (out[1:] != out[:-1]).any(axis=1)]))
+        out = out[first]
+    return out, np.diff(np.append(first, len(rows))) if weights is None else np.add.reduceat(weights, first)
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -50,17 +69,20 @@ class Automaton:
     @classmethod
     def build(cls, words: pa.Array, rows: np.ndarray, weights: np.ndarray) -> Automaton:
         """From distinct sorted rows of symbols. Words that no row has are left out."""
-        used = np.unique(rows)
-        used = used[used > 0]
-        names = np.zeros(len(words) + 1, np.int64)
+        seen = np.zeros(len(words) + 1, bool)
+        seen[rows] = True
+        used = np.flatnonzero(seen[1:]) + 1
+        names = np.zeros(len(words) + 1, np.int32)
         names[used] = np.arange(1, len(used) + 1)
         rows, words = names[rows], words.take(pa.array(used - 1))
         levels: list = []
         target = weights.astype(np.int64)
         for level in range(rows.shape[1] - 1, -1, -1):
             symbol = rows[:, level]
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, :level] != rows[:-1, :level]).any(axis=1)
+            new = np.zeros(len(rows), bool)
+            new[:1] = True
+            for k in range(level):
+                new[1:] |= rows[1:, k] != rows[:-1, k]
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(rows)))
             state, keep = _equal_states(symbol, target, first, count)
@@ -87,7 +109,7 @@ class Automaton:
         """Per length: the prefixes in order, and the summed weights of all strings that begin so, of those with a sum of ``least``. The first and the last
         prefix of a length are always there; their strings may go on in another range."""
         out: list = []
-        state, rows = np.zeros(min(1, len(self.levels[0][0]) - 1), np.int64), np.zeros((1, 0), np.int64)
+        state, rows = np.zeros(min(1, len(self.levels[0][0]) - 1), np.int64), np.zeros((1, 0), np.int32)
         for (first, symbol, target), total in zip(self.levels, self.totals(), strict=True):
             count = first[state + 1] - first[state]
             arcs = ranges(first[state], count)
@@ -104,21 +126,21 @@ class Automaton:
         return self.prefixes()[-1]
 
     def dump(self) -> bytes:
-        self_words = self.words
-        length = pc.binary_length(self_words).to_numpy(zero_copy_only=False) if len(self_words) else np.zeros(0, np.int64)
-        arrays = [np.frombuffer(b"".join(self_words.to_pylist()), np.uint8), length]
+        words = self.words.cast(pa.large_binary())
+        at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        arrays = [np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]] if len(words) else np.zeros(0, np.uint8), np.diff(at)]
         for first, symbol, target in self.levels:
             arrays += [np.diff(first), symbol, target]
         out = []
         for a in map(_small, arrays):
             out += [struct.pack("<BQ", a.itemsize, len(a)), a.tobytes()]
         plain = b"".join(out)
-        return struct.pack("<Q", len(plain)) + pa.compress(plain, codec="zstd", asbytes=True)
+        return struct.pack("<Q", len(plain)) + pa.compress(plain, codec="lz4", asbytes=True)
 
     @classmethod
     def load(cls, blob: bytes) -> Automaton:
         (size,) = struct.unpack_from("<Q", blob)
-        plain = pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True)
+        plain = pa.decompress(blob[8:], decompressed_size=size, codec="lz4", asbytes=True)
         arrays, at = [], 0
         while at < size:
             item, n = struct.unpack_from("<BQ", plain, at)
@@ -126,7 +148,7 @@ class Automaton:
             at += 9 + item * n
         offsets = np.concatenate([[0], np.cumsum(arrays[1].astype(np.int64))])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(arrays[0].tobytes())])
-        levels = [(np.concatenate([[0], np.cumsum(c.astype(np.int64))]), s.astype(np.int64), t.astype(np.int64)) for c, s, t in zip(*[iter(arrays[2:])] * 3, strict=True)]
+        levels = [(np.concatenate([[0], np.cumsum(c.astype(np.int64))]), s.astype(np.int32), t.astype(np.int64)) for c, s, t in zip(*[iter(arrays[2:])] * 3, strict=True)]
         return cls(words, levels)
 
 
@@ -138,7 +160,7 @@ def _equal_states(symbol: np.ndarray, target: np.ndarray, first: np.ndarray, cou
     for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
         arc = mix(symbol.astype(np.uint64) * np.uint64(salt) + mix(target.astype(np.uint64) + np.uint64(salt >> 1)))
         keys.append(np.add.reduceat(arc, first) + count.astype(np.uint64) * np.uint64(salt))
-    order = np.lexsort(keys)
+    order = np.argsort(keys[0], kind="stable")  # different states whose first hashes are equal may keep equal ones apart; that costs a state
     a, b = keys[0][order], keys[1][order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     state = np.empty(len(first), np.int64)
@@ -152,7 +174,7 @@ def union(parts: list[Automaton]) -> Automaton:
     sorted_words, symbol = word_list(words)
     rows, weights, at = [], [], 0
     for p in parts:
-        own = np.concatenate([[0], symbol[at : at + len(p.words)]])
+        own = np.concatenate([np.zeros(1, symbol.dtype), symbol[at : at + len(p.words)]])
         at += len(p.words)
         r, w = p.strings()
         rows.append(own[r])

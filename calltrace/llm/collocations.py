@@ -30,7 +30,8 @@ from calltrace.functions.work import materialize, release
 from calltrace.llm.automata import Automaton, compose, sort_rows, union, word_list
 from calltrace.llm.text import blocks, bounded_batches, raw
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
+RANGE_BYTES = 6 << 20
 #: Phrases of a shard of the look-ups.
 LOOKUP_ROWS = 200_000
 #: Of a sampled string so many bytes are read.
@@ -55,7 +56,7 @@ def _places(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     inside[1:] = kind == 0
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    piece = np.cumsum(kind == 2)[start]
+    piece = np.cumsum(kind == 2, dtype=np.int32)[start]
     text = np.searchsorted(offs[1:] + np.arange(len(texts)), start)
     at = np.concatenate([[0], np.cumsum(end - start)])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(full[kind == 0].tobytes())])
@@ -64,7 +65,7 @@ def _places(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _windows(symbol: np.ndarray, piece: np.ndarray, longest: int) -> np.ndarray:
     """From each word the string of up to ``longest`` symbols that its piece holds, filled with 0."""
-    out = np.zeros((len(symbol), longest), np.int64)
+    out = np.zeros((len(symbol), longest), np.int32)
     for k in range(min(longest, len(symbol))):
         out[: len(symbol) - k, k] = np.where(piece[k:] == piece[: len(piece) - k], symbol[k:], 0)
     return out
@@ -153,7 +154,7 @@ def _transducers(edges, longest: int, shard_bytes: int):
                 mine = rows[own == k]
                 if not len(mine):
                     continue
-                strings, weights = sort_rows(mine, np.ones(len(mine), np.int64))
+                strings, weights = sort_rows(mine)
                 first, cuts = start(lang)
                 bounds = [0, *_cuts(strings, listed, cuts).tolist(), len(strings)]
                 for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -180,7 +181,7 @@ def _summed(least: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text: str = "text", lang: str = "lang", range_bytes: int = SHARD_BYTES, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text: str = "text", lang: str = "lang", range_bytes: int = RANGE_BYTES, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, words, n)`` of all phrases of up to ``longest`` words that occur ``least`` times, and ``(lang, n)``: all words."""
     bounded_batches(docs.sparkSession)
     only = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
@@ -197,7 +198,7 @@ def _acceptor(strings: list[tuple[str, str]], weights: np.ndarray, depth: int) -
     cut = [[lang.encode(), *phrase.encode().split(b" ")] for lang, phrase in strings]
     words, symbol = word_list(pa.array([w for s in cut for w in s], pa.large_binary()))
     size = np.array([len(s) for s in cut], np.int64)
-    rows = np.zeros((len(cut), depth), np.int64)
+    rows = np.zeros((len(cut), depth), np.int32)
     rows[np.repeat(np.arange(len(cut)), size), np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size)] = symbol
     return Automaton.build(words, *sort_rows(rows, weights))
 
