@@ -135,12 +135,12 @@ class Automaton:
         for a in map(_small, arrays):
             out += [struct.pack("<BQ", a.itemsize, len(a)), a.tobytes()]
         plain = b"".join(out)
-        return struct.pack("<Q", len(plain)) + pa.compress(plain, codec="lz4", asbytes=True)
+        return struct.pack("<Q", len(plain)) + pa.Codec("zstd", compression_level=1).compress(plain, asbytes=True)
 
     @classmethod
     def load(cls, blob: bytes) -> Automaton:
         (size,) = struct.unpack_from("<Q", blob)
-        plain = pa.decompress(blob[8:], decompressed_size=size, codec="lz4", asbytes=True)
+        plain = pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True)
         arrays, at = [], 0
         while at < size:
             item, n = struct.unpack_from("<BQ", plain, at)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calltrace.functions.work import materialize, release
+from calltrace.functions.work import materialize
 from calltrace.llm.automata import Automaton, compose, sort_rows, union, word_list
 from calltrace.llm.text import blocks, bounded_batches, raw
 
@@ -172,7 +172,7 @@ def _text(words: list[bytes], row: list[int]) -> str:
 def _summed(least: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         whole = union([Automaton.load(b) for b in pdf["blob"]])
-        words, out = whole.words.to_pylist(), []
+        words, out = whole.words.to_pylist(), [(key[0], "", 0, int(pdf["n"].sum()))]
         for k, (rows, total) in enumerate(whole.prefixes(least), 1):
             full = rows[:, -1] > 0  # a string that ended earlier is none of this length
             out += [(key[0], _text(words, r), k, n) for r, n in zip(rows[full].tolist(), total[full].tolist(), strict=True)]
@@ -186,11 +186,10 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text: str
     bounded_batches(docs.sparkSession)
     only = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     edges = range_edges(only, range_bytes, longest)
-    shards = materialize(only.mapInArrow(_transducers(edges, longest, shard_bytes), "lang string, range long, n long, blob binary"), "phrase-transducers")
+    shards = only.mapInArrow(_transducers(edges, longest, shard_bytes), "lang string, range long, n long, blob binary")
     parts = shards.groupBy("lang", "range").applyInPandas(_summed(least), "lang string, phrase string, words int, n long")
-    counts = materialize(parts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-counts")
-    totals = materialize(shards.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    release(shards)
+    told = materialize(parts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0)), "phrase-counts")
+    counts, totals = told.where("words > 0"), told.where("words = 0").select("lang", "n")
     return counts, totals
 
 
