@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calltrace.functions.columns import split_lines
+from calltrace.functions.work import new_path
 from calltrace.operators import anomalies, classify, correlate, evidence, flow, framing, machines, parsing, scored, search, sessions
 from calltrace.plans import listings, voice  # noqa: F401 - they register their queries
 from calltrace.plans.base import ORACLES, QUERIES, query  # noqa: F401
 from calltrace.plans.base import table as _table
-from calltrace.plans.rendered import SIG, rendered_lines, sdl_table, signal_events, voice_table
-from calltrace.sources import traces
+from calltrace.plans.rendered import SIG, rendered_lines, sdl_table, signal_events, voice_table, whole_files
+from calltrace.sources import trace_source, traces
 
 
 def _ms(c: str):
@@ -38,6 +39,17 @@ def q_frame_multiline(spark, sf_dir):
     return x.select("file_name", F.col("source_line").cast("long").alias("source_line"), F.size(split_lines(F.col("raw_text"))).cast("long").alias("n_lines"))
 
 
+@query(f"""WITH {SIG} SELECT source AS file_name, event_id, CASE WHEN message_type = 'INVITE' THEN 5 ELSE 1 END::BIGINT AS n_lines, 'record' AS kind FROM sig""")
+def q_source_records(spark, sf_dir):
+    """Rendered traces written as files and read back by the trace source in ranges of 64 KB."""
+    folder = new_path(spark, "trace-files")
+    whole = whole_files(rendered_lines(signal_events(spark, sf_dir)))
+    whole.select("file_name", F.col("content").alias("value")).write.partitionBy("file_name").text(folder)
+    trace_source.register(spark)
+    r = spark.read.format("calltrace").option("split_bytes", 65536).load(folder).where(~F.col("record").contains("|FileHead |"))
+    return r.select(F.regexp_extract("path", "file_name=([^/]+)/", 1).alias("file_name"), F.substring_index("record", ".", 1).cast("long").alias("event_id"), "n_lines", "kind")
+
+
 @query(f"""WITH {SIG} SELECT source AS file_name, 'NODE' || substr(source, 11, 2) AS node, substr(source, 5, 4) || '-' || substr(source, 9, 2) || '-' || substr(source, 11, 2) AS base_date, count(*) + 1 AS n FROM sig GROUP BY source""")
 def q_filehead_ffill(spark, sf_dir):
     """Date and node of the FileHead, carried to every record of its file."""
