@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calltrace.functions.columns import display_duration, display_range, display_time, seconds_between
 from calltrace.functions.work import materialize
-from calltrace.operators import anomalies, classify, correlate, evidence, flow, framing, parsing, reports, scored, search, sessions
+from calltrace.operators import anomalies, classify, correlate, evidence, flow, framing, parsing, reports, scored, search, sessions, slices
 from calltrace.plans.base import query
 from calltrace.plans.rendered import SIG, isdn_rows, mgcp_rows, numbered_lines, rendered_lines, sdl_table, signal_events, sip_rows, voice_table, whole_files
 from calltrace.streaming import ingest, monitor
@@ -214,6 +214,33 @@ def q_live_sessions(spark, sf_dir):
     return s.select("call_id", _ms("start_time").alias("start_ms"), _ms("end_time").alias("end_ms"), "event_count")
 
 
+def _numbered(spark, sf_dir) -> DataFrame:
+    """Events that numbers and time alone can tie: each has a calling and one of two called numbers, in a time that runs 4,000 times as fast."""
+    e = voice_table(signal_events(spark, sf_dir)).withColumns({"ts": F.expr("timestamp_micros(unix_micros(ts) div 4000)"), "called_number": (F.col("called_number").cast("int") % 2).cast("string"), "call_id": F.lit(None).cast("string")})
+    return e.withColumns({"seq_in_source": F.col("event_id"), "event_id": F.lpad(F.col("event_id").cast("string"), 12, "0")})
+
+
+#: Both numbers weigh 0.55 and time up to 0.15; another called number counts 0.60 against.
+_BY_NUMBERS = f"""WITH {SIG}, e AS (SELECT event_id, source, calling_number AS a, called_number::INT % 2 AS b, (epoch_us(ts) // 4000) / 1e6 AS t FROM sig),
+  g AS (SELECT *, 0.55::DOUBLE + 0.15::DOUBLE * (1 - (t - lag(t) OVER w) / 45.0::DOUBLE) >= 0.65::DOUBLE AS tied FROM e WINDOW w AS (PARTITION BY a, b ORDER BY t, source, event_id)),
+  i AS (SELECT *, sum(CASE WHEN coalesce(tied, false) THEN 0 ELSE 1 END) OVER (PARTITION BY a, b ORDER BY t, source, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT event_id, first_value(event_id) OVER (PARTITION BY a, b, k ORDER BY t, source, event_id) AS session_id FROM i"""
+
+
+@query(_BY_NUMBERS)
+def q_scored_numbers(spark, sf_dir):
+    """The greedy correlation where weights decide: numbers agree or conflict, and time takes a pair over the threshold or not."""
+    x = scored.correlate_scored(_numbered(spark, sf_dir))
+    return x.select(F.col("event_id").cast("long").alias("event_id"), F.col("session_id").cast("long").alias("session_id"))
+
+
+@query(_BY_NUMBERS)
+def q_scored_slices(spark, sf_dir):
+    """The same in slices of time, 24 events of a block at once."""
+    x = slices.correlate_sliced(_numbered(spark, sf_dir), size=24)
+    return x.select(F.col("event_id").cast("long").alias("event_id"), F.col("session_id").cast("long").alias("session_id"))
+
+
 @query(f"""WITH {SIG}, e AS (SELECT call_id, epoch_us(ts) AS us, CASE WHEN message_type = 'BYE' OR message_type LIKE '503%' THEN 'finish' WHEN message_type LIKE '180%' THEN 'ring' WHEN message_type = '200 OK' THEN 'answer' END AS sign FROM sig),
   g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY call_id ORDER BY us) > 1800000000, true)::INT AS new FROM e), i AS (SELECT *, sum(new) OVER (PARTITION BY call_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS k FROM g),
   s AS (SELECT call_id, min(us) AS a, max(us) AS b, count(*) AS n, min(us) FILTER (WHERE sign = 'ring') AS ring, min(us) FILTER (WHERE sign = 'answer') AS answer, min(us) FILTER (WHERE sign = 'finish') AS finish FROM i GROUP BY call_id, k)
