@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from calltrace.functions.columns import display_duration, display_time
+
 
 def scoped_events(events: DataFrame, links: DataFrame, bounds: DataFrame, seconds: int = 30, key: str = "session_id", event: str = "event_id", ts: str = "ts") -> DataFrame:
     """``(key, event, own)``: a session's events, and those of no session inside its bounds widened by ``seconds``.
@@ -79,6 +81,23 @@ def summaries(events: DataFrame, key: str = "session_id", order: tuple[str, ...]
     )
 
 
+def session_summaries(built: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The 25 summary fields of each row of :func:`scored.build_sessions`; ``found``: anomalies with a ``session_id``. Names, some of them twice, are fixed values."""
+    n = found.groupBy("session_id").agg(F.count("*").alias("_n")) if found is not None else built.select("session_id", F.lit(0).cast("long").alias("_n"))
+    x = built.join(n, "session_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    number = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
+    start, end = display_time(F.col("start_time"), fallback="Unknown"), display_time(F.col("end_time"), fallback="Unknown")
+    known = F.col("start_time").isNotNull() & F.col("end_time").isNotNull()
+    named = F.array_join(F.array_sort(F.filter(F.array(*[F.when(F.col(p.lower()) > 0, p) for p in ("ISDN", "MGCP", "SIP", "CUCM")]), lambda p: p.isNotNull())), ", ")
+    sources = F.coalesce(F.nullif(F.array_join("trace_sources", ", "), F.lit("")), F.lit("N/A"))
+    return x.select(
+        "session_id", F.col("session_id").alias("call_id"), "architecture", number("calling_number").alias("calling"), number("calling_number").alias("calling_number"), number("called_number").alias("called"), number("called_number").alias("called_number"),
+        start.alias("start"), start.alias("start_time_ist"), end.alias("end"), end.alias("end_time_ist"), display_duration(F.when(known, F.col("duration_seconds"))).alias("duration"), F.coalesce("duration_seconds", F.lit(0.0)).alias("duration_seconds"), named.alias("protocols"),
+        sources.alias("trace_sources"), "confidence_level", "isdn", "mgcp", "sip", "cucm", "event_count", F.format_string("%d%%", F.floor(F.col("correlation_confidence") * 100).cast("long")).alias("confidence"), F.col("_n").cast("long").alias("anomalies"),
+        F.when(F.col("_n") > 0, "Anomalous").otherwise("Normal").alias("status"), F.size("ambiguity_notes").cast("long").alias("ambiguities"),
+    )
+
+
 def distinct_messages(events: DataFrame, group: str = "protocol", name: str = "message_type", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """``(group, messages)``: distinct messages in the order they are first seen."""
     first = events.where(F.col(name).isNotNull()).groupBy(group, name).agg(F.min(F.struct(*order)).alias("at"))

@@ -281,6 +281,39 @@ def q_display_durations(spark, sf_dir):
     return e.select("event_id", display_duration(F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 500) / 100.0)).alias("text"))
 
 
+_SECONDS = "printf('%d.%02ds', ((epoch_ms({b}) - epoch_ms({a}) + 5) // 10) // 100, ((epoch_ms({b}) - epoch_ms({a}) + 5) // 10) % 100)"
+
+
+@query(f"""WITH {SIG}, n AS (SELECT *, row_number() OVER w AS i, epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS d, CASE message_type WHEN 'INVITE' THEN 'CALL_SETUP' WHEN '180 Ringing' THEN 'ALERTING' WHEN 'ACK' THEN 'ACTIVE' WHEN 'BYE' THEN 'DISCONNECT' WHEN '200 OK' THEN CASE WHEN lag(message_type) OVER w = 'BYE' THEN 'CALL_END' ELSE 'CONNECT' END ELSE 'CALL_END' END AS state
+    FROM sig WINDOW w AS (PARTITION BY call_id ORDER BY ts, source, event_id))
+  SELECT call_id AS call_key, sha256('### CALL METADATA' || chr(10) || '- Calling Party: ' || arg_min(calling_number, i) || chr(10) || '- Called Party: ' || arg_min(called_number, i) || chr(10) || '- Start Time (IST): ' || {_IST.format("min(ts)", "")} || chr(10) || '- End Time (IST): ' || {_IST.format("max(ts)", "")}
+    || chr(10) || '- Duration: ' || {_SECONDS.format(a="min(ts)", b="max(ts)")} || chr(10) || '- CUCM Node(s): NODE1' || chr(10) || '- Protocol(s): SIP' || chr(10) || '- Device(s): None' || chr(10) || chr(10) || '### CORRELATED IDENTIFIERS' || chr(10) || '- CI: ' || arg_min(ci, i) || chr(10) || '- Call-ID: ' || call_id
+    || chr(10) || chr(10) || '### CHRONOLOGICAL CALL FLOW' || chr(10) || string_agg('Step ' || i || ': [' || state || '] ' || message_type || ' (INTERNAL) (' || CASE WHEN i > 1 THEN '+' || d || 'ms' ELSE 'start' END || ') - ' || source || ':' || event_id, chr(10) ORDER BY i)
+    || chr(10) || chr(10) || '### DETERMINISTIC ANOMALIES OBSERVED' || chr(10) || '- None detected.' || chr(10) || chr(10) || '### SUPPORTING RAW SDL EVIDENCE (EXACT TRACE LINES)' || chr(10)
+    || string_agg('[' || source || ':' || event_id || ' @ ' || {_IST.format("ts", ".%g")} || '] Signal: ' || message_type || chr(10) || '```' || chr(10) || CASE WHEN message_type LIKE '503%' THEN 'SIP/2.0 ' ELSE '' END || message_type || chr(10) || '```', chr(10) ORDER BY i)) AS sha FROM n GROUP BY call_id""")
+def q_pack_text(spark, sf_dir):
+    """Whole texts of evidence packs, by their hashes; their anomalies, which other queries check, are left out here."""
+    e = sdl_table(signal_events(spark, sf_dir))
+    p = evidence.evidence_packs(correlate.build_calls(e), e).withColumn("anomalies", F.slice("anomalies", 1, 0))
+    return evidence.pack_text(p, e).select("call_key", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
+
+
+@query(f"""WITH {SIG}, e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'SIP' WHEN event_id % 3 = 1 THEN 'ISDN' ELSE 'MGCP' END AS p FROM sig),
+  s AS (SELECT call_id, arg_min(calling_number, (ts, source, event_id)) AS a, arg_min(called_number, (ts, source, event_id)) AS b, min(ts) AS t0, max(ts) AS t1, count(*) AS n, count(*) FILTER (WHERE p = 'SIP') AS sip, count(*) FILTER (WHERE p = 'ISDN') AS isdn, count(*) FILTER (WHERE p = 'MGCP') AS mgcp,
+    string_agg(DISTINCT p, ', ' ORDER BY p) AS protocols, min(source) AS source, count(*) FILTER (WHERE message_type = 'BYE') AS found FROM e GROUP BY call_id)
+  SELECT call_id AS session_id, call_id, CASE WHEN isdn > 0 AND mgcp > 0 THEN 'ISDN_MGCP' WHEN isdn > 0 AND sip > 0 THEN 'ISDN_SIP' WHEN sip > 0 AND mgcp = 0 THEN 'DIRECT_SIP' ELSE 'UNKNOWN' END AS architecture, a AS calling, a AS calling_number, b AS called, b AS called_number,
+    {_IST.format("t0", "")} AS start, {_IST.format("t0", "")} AS start_time_ist, {_IST.format("t1", "")} AS "end", {_IST.format("t1", "")} AS end_time_ist, CASE WHEN epoch_ms(t1) - epoch_ms(t0) < 1000 THEN (epoch_ms(t1) - epoch_ms(t0)) || 'ms' ELSE {_SECONDS.format(a="t0", b="t1")} END AS duration,
+    round((epoch_ms(t1) - epoch_ms(t0)) / 1000.0, 3) AS duration_seconds, protocols, source AS trace_sources, CASE WHEN sip + mgcp > 0 THEN 'High' ELSE 'Medium' END AS confidence_level, isdn, mgcp, sip, 0::BIGINT AS cucm, n AS event_count, '90%' AS confidence, found AS anomalies,
+    CASE WHEN found > 0 THEN 'Anomalous' ELSE 'Normal' END AS status, 0::BIGINT AS ambiguities FROM s""")
+def q_session_summaries(spark, sf_dir):
+    """All summary fields of sessions of three protocols."""
+    k = F.col("event_id") % 3
+    e = voice_table(signal_events(spark, sf_dir)).withColumn("protocol", F.when(k == 0, "SIP").when(k == 1, "ISDN").otherwise("MGCP"))
+    e = e.withColumns({"event_id": F.col("event_id").cast("string"), "seq_in_source": F.col("event_id")})
+    links = e.select("event_id", F.col("call_id").alias("session_id"), F.lit(0.9).alias("confidence"), F.array(F.lit("one Call-ID")).alias("evidence"))
+    return sessions.session_summaries(scored.build_sessions(e, links), e.join(links, "event_id").where("message_type = 'BYE'").select("session_id"))
+
+
 @query(f"""WITH {SIG} SELECT call_id AS call_key, event_id AS source_line, message_type AS signal, {_IST.format("ts", ".%g")} AS timestamp_ist FROM sig""")
 def q_key_evidence(spark, sf_dir):
     return evidence.key_evidence(sdl_table(signal_events(spark, sf_dir))).select("call_key", F.col("source_line").cast("long").alias("source_line"), "signal", "timestamp_ist")
