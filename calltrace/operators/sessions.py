@@ -11,16 +11,19 @@ from calltrace.functions.columns import display_duration, display_time
 def scoped_events(events: DataFrame, links: DataFrame, bounds: DataFrame, seconds: int = 30, key: str = "session_id", event: str = "event_id", ts: str = "ts") -> DataFrame:
     """``(key, event, own)``: a session's events, and those of no session inside its bounds widened by ``seconds``.
 
-    Times are cut into buckets of at least the window's width, so the interval join is an equi join on few buckets.
+    Time is cut into buckets on levels of doubling width. A session lies on the level whose buckets are as wide as it is long, so it takes two or
+    three of them however long it is, and an event is looked up once on each level that has a session (at most some 40).
     """
     own = links.select(key, event).withColumn("own", F.lit(True))
     free = events.join(links.select(event), event, "left_anti").where(F.col(ts).isNotNull())
-    width = max(60, 2 * seconds)
-    sec = lambda c: F.unix_micros(c) / 1e6
-    free = free.select(event, sec(F.col(ts)).alias("t")).withColumn("bucket", F.floor(F.col("t") / width))
-    lo, hi = sec(F.col("start_time")) - seconds, sec(F.col("end_time")) + seconds
-    spans = bounds.where("start_time IS NOT NULL").select(key, lo.alias("lo"), hi.alias("hi")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    near = free.join(spans, "bucket").where("t BETWEEN lo AND hi").select(key, event, F.lit(False).alias("own"))
+    width, pad = 60_000_000, int(seconds * 1e6)
+    spans = bounds.where("start_time IS NOT NULL").select(key, (F.unix_micros("start_time") - pad).alias("lo"), (F.unix_micros("end_time") + pad).alias("hi"))
+    spans = spans.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2((F.col("hi") - F.col("lo")) / width))).cast("int"))
+    place = lambda t: F.expr(f"cast(floor({t} / ({width}D * shiftleft(1L, level))) as long)")
+    levels = sorted(r.level for r in spans.select("level").distinct().collect() if r.level is not None)  # a number per level
+    spans = spans.withColumn("bucket", F.explode(F.sequence(place("lo"), place("hi"))))
+    free = free.select(event, F.unix_micros(F.col(ts)).alias("t"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level")).withColumn("bucket", place("t"))
+    near = free.join(spans, ["level", "bucket"]).where("t BETWEEN lo AND hi").select(key, event, F.lit(False).alias("own"))
     return own.unionByName(near)
 
 
