@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from calltrace.functions.work import materialize, release
 from calltrace.operators import scored
 from calltrace.operators.ranks import ranked
-from calltrace.operators.scored import NUMBERS, STRONG, Weights, _bridged, _channel_of, _Cluster, _greedy, _keys_needed, _number, _records
+from calltrace.operators.scored import NUMBERS, STRONG, Weights, _bridged, _channel_of, _Cluster, _greedy, _keys_needed, _parts
 
 _FIELDS = ["event_id", "protocol", "source", "seq", "call_id", "callref", "txn", "mgcp_cid", "own_cid", "conn", "calling", "called", "endpoint", "b_channel", "tags", "seed", "ips", "t", "rank"]
 _FACTS = "block string, cluster long, kind string, value string, t double"
@@ -42,10 +42,10 @@ def _facts_of(c: _Cluster, since: dict) -> list[tuple[str, str | None]]:
     return [f for f in out if f not in since] + [("last", None)]
 
 
-def _held(pdf: pd.DataFrame) -> dict[int, _Cluster]:
+def _held(facts: list[tuple]) -> dict[int, _Cluster]:
     """Clusters from their facts. Events come in order of time, so of a cluster's times the last is enough."""
     out: dict[int, _Cluster] = {}
-    for number, kind, value, t in pdf[["cluster", "kind", "value", "t"]].itertuples(index=False):
+    for number, kind, value, t in facts:
         c = out.setdefault(int(number), _Cluster(int(number)))
         if kind in NUMBERS:
             c.parties[kind].add(value)
@@ -65,14 +65,18 @@ def _held(pdf: pd.DataFrame) -> dict[int, _Cluster]:
 
 def _one_slice(w: Weights):
     def run(key: tuple, events: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        held = _held(facts)
-        since = {n: set(_facts_of(c, {})) for n, c in held.items()}
-        rows = _records(events.sort_values("rank")[_FIELDS])
-        clusters = _greedy(rows, w, held, "rank")
-        out = [(e["event_id"], key[0], e["cluster"], e["score"], e["why"], None, None, None) for e in rows if "cluster" in e]
-        for c in clusters:
-            if c.events:
-                out += [(None, key[0], c.number, None, None, kind, value, c.times[-1] if c.times else None) for kind, value in _facts_of(c, since.get(c.number, {}))]
+        known: dict[str, list[tuple]] = {}
+        for block, *fact in facts[["block", "cluster", "kind", "value", "t"]].itertuples(index=False):
+            known.setdefault(block, []).append(tuple(fact))
+        out = []
+        for block, rows in _parts(events[[*_FIELDS, "block"]], "block", ("rank",)):
+            held = _held(known.get(block, []))
+            since = {n: set(_facts_of(c, {})) for n, c in held.items()}
+            clusters = _greedy(rows, w, held, "rank")
+            out += [(e["event_id"], block, e["cluster"], e["score"], e["why"], None, None, None) for e in rows if "cluster" in e]
+            for c in clusters:
+                if c.events:
+                    out += [(None, block, c.number, None, None, kind, value, c.times[-1] if c.times else None) for kind, value in _facts_of(c, since.get(c.number, {}))]
         return pd.DataFrame(out, columns=["event_id", "block", "cluster", "score", "why", "kind", "value", "t"])
 
     return run
@@ -87,9 +91,12 @@ def greedy_slices(rows: DataFrame, size: int, w: Weights) -> DataFrame:
     number = F.col("kind").isin(*NUMBERS)
     last_asked = materialize(asks.where(~number).groupBy("block", "kind", "value").agg(F.max("slice").alias("until")), "keys-asked-until")
     begins = materialize(x.groupBy("block", "slice").agg(F.min("t").alias("begin")), "slice-begins")
+    sizes = {r.slice: r.n for r in x.groupBy("slice").agg(F.count("*").alias("n")).collect()}  # a number per slice
     frontier = materialize(spark.createDataFrame([], _FACTS), "frontier")
     links = []
-    for i in range((x.agg(F.max("slice")).first()[0] or 0) + 1):
+    for i in range(max(sizes, default=0) + 1):
+        # small blocks share a group, as in scored.correlate_scored
+        bin_of = F.pmod(F.xxhash64("block"), F.lit(max(1, sizes.get(i, 0) // scored.GROUP))).alias("bin")
         events = x.where(F.col("slice") == i)
         wanted = asks.where(F.col("slice") == i)
         last = frontier.where("kind = 'last'").select("block", "cluster", F.col("t").alias("active"))
@@ -100,7 +107,7 @@ def greedy_slices(rows: DataFrame, size: int, w: Weights) -> DataFrame:
         fit = hit.where(~number | near).select("block", "cluster").distinct()
         loaded = frontier.join(fit, ["block", "cluster"], "left_semi")
         made = materialize(
-            events.groupBy("block").cogroup(loaded.groupBy("block")).applyInPandas(_one_slice(w), f"{_LINKS}, kind string, value string, t double"), "slice-result"
+            events.groupBy(bin_of).cogroup(loaded.groupBy(bin_of)).applyInPandas(_one_slice(w), f"{_LINKS}, kind string, value string, t double"), "slice-result"
         )
         links.append(materialize(made.where("event_id IS NOT NULL").select("event_id", "block", "cluster", "score", "why"), "slice-links"))
         facts = frontier.unionByName(made.where("kind IS NOT NULL").select("block", "cluster", "kind", "value", "t"))
@@ -131,19 +138,15 @@ def merged_clusters(rows: DataFrame, links: DataFrame, w: Weights) -> DataFrame:
     y = x.join(groups.withColumnRenamed("block", "bridge"), "event_id")
     y = y.withColumn("bin", F.pmod(F.xxhash64("bridge"), F.lit(max(1, links.count() // scored.GROUP))))
 
-    def one(pdf: pd.DataFrame) -> list[tuple]:
-        clusters = []
-        for e in _records(pdf.sort_values(["t", "source", "seq", "event_id"], na_position="last", kind="stable")):
-            e["why"] = list(e["why"])
-            clusters.append(e)
+    def one(events: list[dict]) -> list[tuple]:
         made: dict[tuple, _Cluster] = {}
-        for key in sorted({(e["block"], e["cluster"]) for e in clusters}):
+        for key in sorted({(e["block"], e["cluster"]) for e in events}):
             made[key] = _Cluster(len(made))
-        for e in clusters:
+        for e in events:
             c = made[e["block"], e["cluster"]]
             c.add(e)
             c.scores.append(e["score"])
-            c.evidence += e["why"]
+            c.evidence += list(e["why"])
         out = []
         for c in _bridged(list(made.values()), w):
             notes = list(dict.fromkeys(c.evidence))
@@ -151,7 +154,7 @@ def merged_clusters(rows: DataFrame, links: DataFrame, w: Weights) -> DataFrame:
         return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [r for _, g in pdf.groupby("bridge", sort=False) for r in one(g)]
+        out = [r for _, g in _parts(pdf, "bridge") for r in one(g)]
         return pd.DataFrame(out, columns=["event_id", "session_id", "confidence", "evidence"])
 
     names = [*[f for f in _FIELDS if f != "rank"], "block", "cluster", "score", "why", "bridge"]

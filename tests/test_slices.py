@@ -81,3 +81,23 @@ def test_ranks(spark, batch, tasks):
     for k in {r[0] for r in data}:
         assert [own[r[2]] for r in sorted((r for r in data if r[0] == k), key=lambda r: r[1:3])] == list(range(1, sum(r[0] == k for r in data) + 1))
     assert ranked(df.limit(0), "k", ["v"]).count() == 0
+
+
+def test_small_blocks_are_sorted_and_read_together():
+    import pandas as pd
+
+    from calltrace.operators import scored
+
+    rows = [(f"e{i:03d}", f"b{i % 40:02d}", None if i % 7 == 0 else float(i * 31 % 17), "f", i % 3, [], [f"10.0.0.{i}"]) for i in range(400)]
+    pdf = pd.DataFrame(rows, columns=["event_id", "block", "t", "source", "seq", "tags", "ips"])
+    sorts, before = [], pd.DataFrame.sort_values
+    pd.DataFrame.sort_values = lambda self, *a, **k: (sorts.append(1), before(self, *a, **k))[1]
+    try:
+        parts = dict(scored._parts(pdf, "block"))
+    finally:
+        pd.DataFrame.sort_values = before
+    assert len(sorts) == 1 and len(parts) == 40
+    for block, events in parts.items():
+        own = [r for r in rows if r[1] == block]
+        own.sort(key=lambda r: (r[2] is None, r[2] or 0.0, r[3], r[4], r[0]))
+        assert [(e["event_id"], e["t"]) for e in events] == [(r[0], r[2]) for r in own]
