@@ -74,7 +74,9 @@ def protocol_view(events: DataFrame, protocol: str, most: int = 50) -> DataFrame
 
 
 def newest(files: DataFrame, modified: str = "modified") -> DataFrame:
-    return files.agg(F.max_by(F.struct(*files.columns), modified).alias("f")).select("f.*")
+    """The files modified last: all of them, where several share that time."""
+    last = files.agg(F.max(modified).alias("_newest"))  # one row
+    return files.join(F.broadcast(last), F.col(modified) == F.col("_newest")).select(*files.columns)
 
 
 #: Tokens are words of at least so many characters, and the index holds pieces of words up to so many.

@@ -37,3 +37,12 @@ def test_session_rows_in_the_join(spark):
     while width < hi - lo:
         width *= 2
     assert hi // width - lo // width + 1 <= 3
+
+
+def test_all_files_of_the_last_time_are_the_newest(spark):
+    from calltrace.operators import search
+
+    rows = [("a", "2024-01-01 00:00:00"), ("b", "2024-01-02 00:00:00"), ("c", "2024-01-02 00:00:00"), ("d", None)]
+    files = spark.createDataFrame(rows, "filename string, modified string").withColumn("modified", F.col("modified").cast("timestamp"))
+    assert sorted(r.filename for r in search.newest(files).collect()) == ["b", "c"]
+    assert search.newest(files.where("modified IS NULL")).count() == 0
