@@ -107,18 +107,18 @@ def frame_sip(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     the last marker, which a closing delimiter resets.
     """
     s = F.btrim("line")
-    x = lines.withColumn("s", s).withColumn("head", s.rlike(P.SIP_REQUEST) | s.rlike(P.SIP_STATUS))
+    x = lines.withColumn("head", s.rlike(P.SIP_REQUEST) | s.rlike(P.SIP_STATUS))
     x = _running(x, chunk, {"block": F.col("head")}, {})
-    x = x.withColumn("cut", (F.col("block") > 0) & ~F.col("head") & (F.col("s").startswith("<---") | F.col("s").startswith("---")))
+    x = x.withColumn("cut", (F.col("block") > 0) & ~F.col("head") & (s.startswith("<---") | s.startswith("---")))
     inside = Window.partitionBy("file_name", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("live", (F.col("block") > 0) & ~F.coalesce(F.max("cut").over(inside), F.lit(False)))
-    marker = F.when(F.col("s").startswith("Received:") | F.col("s").contains("RX"), "INBOUND").when(F.col("s").startswith("Sent:") | F.col("s").contains("TX"), "OUTBOUND")
+    marker = F.when(s.startswith("Received:") | s.contains("RX"), "INBOUND").when(s.startswith("Sent:") | s.contains("TX"), "OUTBOUND")
     mark = F.when(F.col("cut") & F.col("live"), "UNKNOWN").otherwise(marker)
     x = _running(x, chunk, {}, {"direction": mark, "stamp": F.when(F.col("line").rlike(P.SIP_BANNER), capture(F.col("line"), P.SIP_BANNER))})
     x = x.withColumn("direction", F.coalesce("direction", F.lit("UNKNOWN")))
     # a start line's own direction is that before any reset, which only a delimiter makes
     return x.where("live").groupBy("file_name", "block").agg(
-        F.min("line_no").alias("source_line"), F.min_by("s", "line_no").alias("header_line"), F.min_by("stamp", "line_no").alias("timestamp_raw"), F.min_by("direction", "line_no").alias("direction"), _text().alias("raw")
+        F.min("line_no").alias("source_line"), F.min_by(s, "line_no").alias("header_line"), F.min_by("stamp", "line_no").alias("timestamp_raw"), F.min_by("direction", "line_no").alias("direction"), _text().alias("raw")
     )
 
 
