@@ -53,13 +53,25 @@ def simultaneous_counts(sessions: DataFrame, seconds: float = 5.0, key: str = "s
     return x.select(key, "n", F.when(F.col("n") > 0, F.round(F.col("gap") / 1e6, 3)).alias("nearest"))
 
 
+def _note(other, delta):
+    return F.format_string("Simultaneous call %s active within %.1fs.", other, delta)
+
+
 def simultaneous_notes(pairs: DataFrame) -> DataFrame:
     """``(session_id, notes)`` for both sides of each pair."""
-    text = lambda c: F.format_string("Simultaneous call %s active within %.1fs.", c, "delta")
-    both = pairs.select(F.col("a").alias("session_id"), text("b").alias("n")).unionByName(pairs.select(F.col("b").alias("session_id"), text("a").alias("n")))
+    both = pairs.select(F.col("a").alias("session_id"), _note("b", "delta").alias("n")).unionByName(pairs.select(F.col("b").alias("session_id"), _note("a", "delta").alias("n")))
     return both.groupBy("session_id").agg(F.array_sort(F.collect_list("n")).alias("notes"))
 
 
+def noted(sessions: DataFrame, seconds: float = 5.0, key: str = "session_id", start: str = "start_time") -> DataFrame:
+    """:func:`simultaneous_notes` of the pairs of :func:`simultaneous`, which are not shuffled: all partners of a session meet it in its own bucket, and its notes are made there."""
+    x = sessions.where(F.col(start).isNotNull()).select(F.col(key).alias("a"), (F.unix_micros(start) / 1e6).alias("ta")).withColumn("bucket", F.floor(F.col("ta") / seconds))
+    y = x.select(F.col("a").alias("b"), F.col("ta").alias("tb"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    gap = F.abs(F.col("ta") - F.col("tb"))
+    near = x.join(y.hint("merge"), "bucket").where((F.col("a") != F.col("b")) & (gap <= seconds)).select("bucket", "a", _note("b", F.round(gap, 3)).alias("n"))
+    return near.groupBy("bucket", "a").agg(F.array_sort(F.collect_list("n")).alias("notes")).select(F.col("a").alias("session_id"), "notes")
+
+
 def number_pairs(left: DataFrame, right: DataFrame, a: str = "calling_number", b: str = "calling_number") -> DataFrame:
     """Rows of two tables whose party numbers match, found by equal text or the last seven digits."""
     from calltrace.operators.scored import digits, numbers_match

@@ -46,3 +46,31 @@ def test_all_files_of_the_last_time_are_the_newest(spark):
     files = spark.createDataFrame(rows, "filename string, modified string").withColumn("modified", F.col("modified").cast("timestamp"))
     assert sorted(r.filename for r in search.newest(files).collect()) == ["b", "c"]
     assert search.newest(files.where("modified IS NULL")).count() == 0
+
+
+def test_noted_equals_the_notes_of_pairs_and_shuffles_none(spark):
+    rng = random.Random(5)
+    rows = [(f"s{i:02d}", BASE + datetime.timedelta(milliseconds=rng.randrange(60_000))) for i in range(60)]
+    x = spark.createDataFrame([*rows, ("none", None)], "session_id string, start_time timestamp")
+    want = {r.session_id: r.notes for r in sessions.simultaneous_notes(sessions.simultaneous(x, 4.0)).collect()}
+    got = sessions.noted(x, 4.0)
+    assert {r.session_id: r.notes for r in got.collect()} == want
+    # sessions are shuffled on both sides of the join, pairs nowhere
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+
+
+def test_lines_of_a_file_are_numbered_over_its_minutes(spark):
+    from calltrace.plans.rendered import numbered_lines
+
+    rng = random.Random(6)
+    rows = [(f"f{i % 3}", BASE + datetime.timedelta(seconds=rng.randrange(900)), i, [f"{i}-{k}" for k in range(rng.randrange(1, 4))]) for i in range(300)]
+    out = numbered_lines(spark.createDataFrame(rows, "file_name string, ts timestamp, event_id long, lines array<string>"))
+    got = {(r.file_name, r.line_no): r.line for r in out.collect()}
+    want = {}
+    for f in ("f0", "f1", "f2"):
+        lines = [x for r in sorted((r for r in rows if r[0] == f), key=lambda r: (r[1], r[2])) for x in r[3]]
+        want |= {(f, n): x for n, x in enumerate(lines, 1)}
+    assert got == want
+    # a file is not one task's
+    windows = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Window [" in x and "event_id" in x]
+    assert windows and all("_part" in x for x in windows)
