@@ -45,11 +45,11 @@ def infer_direction(header: Column, text: Column) -> Column:
     return F.when(header.contains("[R:") | low.contains("received msg from"), "INBOUND").when(header.contains("[T:") | low.contains("send msg") | low.contains("sending msg"), "OUTBOUND").otherwise("INTERNAL")
 
 
-def identifiers(text: Column) -> dict[str, Column]:
-    """Correlation identifiers, party numbers, device and first address in a record."""
+def identifiers(text: Column, ci: str = P.CI) -> dict[str, Column]:
+    """Correlation identifiers, party numbers, device and first address in a record; ``ci``: the pattern of its CI."""
     return {
         "call_id": capture(text, P.CALL_ID),
-        "ci": capture(text, P.CI),
+        "ci": capture(text, ci),
         "cdcc": first_capture(text, (P.CDCC, P.CDCC_PROCESS)),
         "calling_number": first_capture(text, P.CALLING),
         "called_number": first_capture(text, P.CALLED),
@@ -61,7 +61,7 @@ def identifiers(text: Column) -> dict[str, Column]:
     }
 
 
-def parse_sdl(records: DataFrame) -> DataFrame:
+def parse_sdl(records: DataFrame, ci: str = P.CI) -> DataFrame:
     """``sdl_events`` from :func:`framing.frame_sdl`."""
     text, kind, rest = F.col("raw_text"), F.col("type"), F.col("rest")
     parts = F.split(rest, "\\|")
@@ -75,7 +75,7 @@ def parse_sdl(records: DataFrame) -> DataFrame:
     process = F.when(sig, F.substring_index(part(2), "(", 1)).when(app, token).when(head | stat, "TraceService").otherwise(kind)
     x = records.withColumns({"signal": signal, "process": process})
     only = lambda i: F.when(sig, part(i))
-    found = identifiers(text)
+    found = identifiers(text, ci)
     return x.select(
         event_id(F.col("file_name"), F.col("source_line")).alias("event_id"), sdl_timestamp(F.col("time"), F.col("base_date"), F.col("offset")).alias("ts"), "node", "process", "signal",
         infer_direction(F.col("header_line"), text).alias("direction"), *[found[k].alias(k) for k in ("call_id", "ci", "cdcc", "calling_number", "called_number", "device", "ip_address")],
@@ -85,8 +85,8 @@ def parse_sdl(records: DataFrame) -> DataFrame:
     )
 
 
-def sdl_events(lines: DataFrame, **options) -> DataFrame:
-    return parse_sdl(framing.frame_sdl(lines, **options))
+def sdl_events(lines: DataFrame, ci: str = P.CI, **options) -> DataFrame:
+    return parse_sdl(framing.frame_sdl(lines, **options), ci)
 
 
 def bad_timestamps(records: DataFrame) -> DataFrame:
@@ -199,15 +199,15 @@ def sdl_as_voice(events: DataFrame) -> DataFrame:
     return events.select(*[given[c].alias(c) if c in given else F.lit(None).cast("int" if c in _INTS else "string").alias(c) for c in VOICE_COLUMNS])
 
 
-def log_events(lines: DataFrame) -> DataFrame:
+def log_events(lines: DataFrame, ci: str = P.CI) -> DataFrame:
     """Call-manager logs line by line: every non-blank line is an event."""
     line = F.btrim("line")
     parts = F.split(line, "\\|")
     part = lambda i: F.nullif(F.btrim(F.get(parts, F.lit(i))), F.lit(""))
-    ci = capture(line, P.CI)
+    found = capture(line, ci)
     given = {
         "event_id": event_id(F.concat(F.col("file_name"), F.lit("/CUCM")), F.col("line_no")), "ts": trace_timestamp(part(1), reference_date=F.lit("2026-09-20")), "timestamp_raw": part(1), "protocol": F.when(line.rlike(P.SEGMENT["ISDN"]), "ISDN").otherwise("CUCM"),
-        "direction": short_direction(infer_direction(line, line)), "source": F.col("file_name"), "message_type": F.coalesce(part(3), part(2), F.lit("LOG")), "call_id": F.when(ci.isNotNull(), F.concat(F.lit("CI_"), ci)),
+        "direction": short_direction(infer_direction(line, line)), "source": F.col("file_name"), "message_type": F.coalesce(part(3), part(2), F.lit("LOG")), "call_id": F.when(found.isNotNull(), F.concat(F.lit("CI_"), found)),
         "calling_number": first_capture(line, P.CALLING), "called_number": first_capture(line, P.CALLED), "raw": F.col("line"), "correlation_ids": F.create_map().cast("map<string,string>"),
         "metadata": F.create_map().cast("map<string,string>"), "codecs": F.lit(None).cast("array<string>"), "seq_in_source": F.col("line_no").cast("long"),
     }
