@@ -121,19 +121,24 @@ def search_items(queries: DataFrame, items: DataFrame, k: int = 5, query_id: str
     if confidence:
         scored = scored.where(F.lower("confidence") == confidence.lower())
     index, long = token_index(scored)
-    index = materialize(index, "token-index")
-    small = index.count() <= INDEX_ROWS
-    near = F.broadcast if small else lambda df: df
     q = queries.select(F.col(query_id), _words(F.col(text)).alias("tokens"))
-    # one row per (query, distinct token), with how often the query has it
-    each = q.select(query_id, F.explode("tokens").alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("n"))
-    hits = each.where(F.length("token") <= PIECE).join(near(index), "token").select(query_id, "id", "item_order", (F.col("n") * F.col("s")).alias("s"))
-    over = each.where(F.length("token") > PIECE).withColumn("head", F.substring("token", 1, PIECE)).join(long, "head").where(F.col("word").contains(F.col("token")))
-    over = over.select(query_id, "token", "n", "id", "item_order", "field", "w").distinct().select(query_id, "id", "item_order", (F.col("n") * F.col("w")).alias("s"))
-    found = hits.unionByName(over).groupBy(query_id, "id", "item_order").agg(F.sum("s").alias("score"))
-    first = q.where(F.size("tokens") == 0).select(query_id).join(F.broadcast(scored.orderBy("item_order").limit(k).select("id", "item_order"))).withColumn("score", F.lit(0.0))  # k rows
+    if not long.isEmpty():
+        # the few query tokens that are longer than the index's pieces become rows of the index themselves
+        over = q.select(F.explode("tokens").alias("token")).where(F.length("token") > PIECE).distinct().withColumn("head", F.substring("token", 1, PIECE))
+        over = over.join(long, "head").where(F.col("word").contains(F.col("token"))).groupBy("token", "id", "item_order", "field").agg(F.first("w").alias("w"))
+        index = index.unionByName(over.groupBy("token", "id", "item_order").agg(F.sum("w").alias("s")))
+    # the index holds no token longer than a piece but those
+    index = materialize(index, "token-index")
+    near = F.broadcast if index.count() <= INDEX_ROWS else lambda df: df
+    # all that is done for a query is done where its text went: tokens are counted, scored and ranked without another shuffle; a given
+    # number of partitions is not coalesced, as their size says little of the hits that come of them
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = q.repartition(parts, query_id).select(query_id, F.explode("tokens").alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("n"))
+    found = each.join(near(index), "token").groupBy(query_id, "id", "item_order").agg(F.sum(F.col("n") * F.col("s")).alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), "item_order")
-    return found.unionByName(first).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "id", "score", "rank")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "id", "score", "rank")
+    first = scored.orderBy("item_order").limit(k).select("id", F.lit(0.0).alias("score"), F.row_number().over(Window.orderBy("item_order")).alias("rank"))  # k rows
+    return best.unionByName(q.where(F.size("tokens") == 0).select(query_id).join(F.broadcast(first)))
 
 
 #: Commands that are not run. Fixed values.
