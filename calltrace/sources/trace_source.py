@@ -26,6 +26,10 @@ from calltrace.functions import patterns as P
 HEADER = P.SDL_HEADER
 SCHEMA = "path string, offset long, kind string, record string, n_lines long, error string"
 READ_BYTES = 1 << 20
+#: How far a range is read past its end at first, for its last record.
+PAST_BYTES = 4 << 10
+#: About so many tasks share all ranges, until each has so many bytes.
+TASKS, TASK_BYTES = 256, 64 << 20
 BATCH_BYTES = 4 << 20
 #: First bytes of compressed files. Fixed values.
 CODECS = {b"\x1f\x8b": "gzip", b"\x28\xb5\x2f\xfd": "zstd"}
@@ -36,6 +40,13 @@ class Range(InputPartition):
         self.path, self.start, self.end, self.codec = path, start, end, codec
 
 
+class Pack(InputPartition):
+    """The ranges of one task."""
+
+    def __init__(self, ranges: tuple[Range, ...]):
+        self.ranges = ranges
+
+
 def _opened(path: str):
     from pyarrow import fs
 
@@ -74,10 +85,23 @@ def ranges_of(files: list[tuple[int, str, int]], split: int) -> list[Range]:
     return out
 
 
-def _lines(f, offset: int) -> Iterator[tuple[int, bytes]]:
-    """Lines from where ``f`` stands, with their offsets."""
+def packed(ranges: list[Range]) -> list[Pack]:
+    """Ranges in order, as many to a task that about ``TASKS`` tasks take all, and each no more than ``TASK_BYTES`` but for its last range."""
+    want = min(sum(r.end - r.start for r in ranges) // TASKS, TASK_BYTES)
+    out, held, size = [], [], 0
+    for r in ranges:
+        held.append(r)
+        size += r.end - r.start
+        if size >= want:
+            out.append(Pack(tuple(held)))
+            held, size = [], 0
+    return out + ([Pack(tuple(held))] if held else [])
+
+
+def _lines(f, offset: int, size: int = READ_BYTES) -> Iterator[tuple[int, bytes]]:
+    """Lines from where ``f`` stands, with their offsets, read ``size`` bytes at once."""
     rest, at = b"", offset
-    while data := f.read(READ_BYTES):
+    while data := f.read(size):
         parts = (rest + data).split(b"\n")
         rest = parts.pop()
         for line in parts:
@@ -103,7 +127,7 @@ def records_of(part: Range, header: str) -> Iterator[tuple]:
             else:
                 f, at = whole, max(part.start - 1, 0)
                 f.seek(at)
-            lines = _lines(f, at)
+            lines = _lines(f, at, READ_BYTES if part.codec else min(READ_BYTES, part.end - at + PAST_BYTES))
             if part.start and not part.codec:
                 next(lines, None)  # the line that the range before began, or its line end alone
             for at, line in lines:
@@ -155,12 +179,12 @@ class TraceReader(DataSourceReader):
         self.options = _Options(options)
 
     def partitions(self):
-        # of no files one empty range, for Spark plans at least one
-        return ranges_of(listed(self.options.path), self.options.split) or [Range("", 0, 0, None)]
+        # of no files one empty pack, for Spark plans at least one
+        return packed(ranges_of(listed(self.options.path), self.options.split)) or [Pack(())]
 
     def read(self, partition):
-        if partition.path:
-            yield from batches_of(partition, self.options.header)
+        for part in partition.ranges:
+            yield from batches_of(part, self.options.header)
 
 
 class TraceStreamReader(DataSourceStreamReader):
@@ -183,10 +207,11 @@ class TraceStreamReader(DataSourceStreamReader):
             return m < int(offset["modified"]) or m == int(offset["modified"]) and p in offset["paths"]
 
         files = [f for f in listed(self.options.path) if up_to(f[0], f[1], end) and not up_to(f[0], f[1], start)]
-        return ranges_of(files, self.options.split)
+        return packed(ranges_of(files, self.options.split))
 
     def read(self, partition):
-        yield from batches_of(partition, self.options.header)
+        for part in partition.ranges:
+            yield from batches_of(part, self.options.header)
 
     def commit(self, end):
         pass

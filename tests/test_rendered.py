@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from calltrace.plans import registry
+from calltrace.plans import registry, rendered
 
 ODD = ['{"k": "76"}', '{"k": 7}', '{"k": null}', '{"k": 76.0}', '{"k": 76.5}', '{"k": 77.5}', '{"k": true}', '{"k": 12345}', '{"k": " 7"}', '{"k": -5}']
 NAMES = "q_calls q_correlation_tags q_link_reasons q_log_events q_pack_text q_parse_roundtrip q_rules_txn q_sdl_as_voice".split()
@@ -31,3 +31,11 @@ def test_identifiers_of_odd_props(spark, odd, name):
     got = registry.QUERIES[name](spark, folder)
     want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and want
+
+
+def test_whole_files_in_chunks(spark):
+    """A file's text is the same whatever the chunk; no file's lines are collected by one task alone."""
+    rows = [(f, i, f"{f} line {i}" if i % 7 else "") for f in "ab" for i in range(1, 60)]
+    lines = spark.createDataFrame(rows[::-1], "file_name string, line_no int, line string")
+    want = {f: "\n".join(t for g, _, t in rows if g == f) for f in "ab"}
+    assert all({r.file_name: r.content for r in rendered.whole_files(lines, n).collect()} == want for n in (1, 10, 59, 10_000))

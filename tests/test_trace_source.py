@@ -79,3 +79,37 @@ def test_header_option(source, tmp_path):
     assert [(r.record, r.n_lines) for r in source(tmp_path, header="^== ", split_bytes=4).orderBy("offset").collect()] == [("== a\n1", 2), ("== b\n2\n3", 3)]
     with pytest.raises(Exception, match="(?i)no such file|FileNotFound|not"):
         source(tmp_path / "missing").filter(F.lit(True)).count()
+
+
+def test_many_ranges_share_tasks():
+    """Small ranges of many files come in some hundred tasks, each range once and in order; few ranges have a task each."""
+    ranges = [trace_source.Range(f"f{i // 100}", i % 100 * 65536, (i % 100 + 1) * 65536, None) for i in range(20_000)]
+    packs = trace_source.packed(ranges)
+    assert 200 < len(packs) <= 257 and [r for p in packs for r in p.ranges] == ranges
+    assert [len(p.ranges) for p in trace_source.packed(ranges[:9])] == [1] * 9 and trace_source.packed([]) == []
+
+
+def test_a_range_reads_little_past_its_end(tmp_path):
+    """A range of a large file reads about its own bytes."""
+    line = "0000000001.000 |10:00:00.000 |SdlSig |x |y"
+    (tmp_path / "a.txt").write_text("\n".join([line] * 20_000))
+    asked = []
+
+    class Opened:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n):
+            asked.append(n)
+            return self.f.read(n)
+
+    with open(tmp_path / "a.txt", "rb") as f:
+        f.seek(4300)
+        assert len([at for at, _ in trace_source._lines(Opened(f), 4300, 8192)]) == 19_900
+    asked.clear()
+    kept, trace_source._lines = trace_source._lines, lambda f, at, size=trace_source.READ_BYTES: (asked.append(size), kept(f, at, size))[1]
+    try:
+        rows = list(trace_source.records_of(trace_source.Range(str(tmp_path / "a.txt"), 4300, 8600, None), trace_source.HEADER))
+    finally:
+        trace_source._lines = kept
+    assert len(rows) == 100 and asked[0] < 16_384
