@@ -74,3 +74,17 @@ def test_lines_of_a_file_are_numbered_over_its_minutes(spark):
     # a file is not one task's
     windows = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Window [" in x and "event_id" in x]
     assert windows and all("_part" in x for x in windows)
+
+
+def test_pairs_of_a_busy_day_are_made_in_many_tasks(spark):
+    """Small tables make many pairs: what a task gets goes by slots of time, not by bytes."""
+    rng = random.Random(6)
+    at = lambda s: BASE + datetime.timedelta(seconds=s)
+    spans = [(f"s{k}", a, a + rng.choice([0, 30, 3600, 20_000])) for k in range(1500) for a in [rng.randrange(40_000)]]
+    events = [(i, rng.randrange(60_000)) for i in range(1500)]
+    e = spark.createDataFrame([(i, at(t)) for i, t in events], "event_id int, ts timestamp")
+    bounds = spark.createDataFrame([(k, at(a), at(b)) for k, a, b in spans], "session_id string, start_time timestamp, end_time timestamp")
+    got = sessions.scoped_events(e, spark.createDataFrame([], "session_id string, event_id int"), bounds, 60).withColumn("task", F.spark_partition_id()).collect()
+    want = sorted((k, i) for k, a, b in spans for i, t in events if a - 60 <= t <= b + 60)
+    assert sorted((r.session_id, r.event_id) for r in got) == want
+    assert len({r.task for r in got}) >= 6
