@@ -16,6 +16,9 @@ from calltrace.llm.text import Words, ranges
 
 #: Distinct pieces a worker keeps; beyond that it starts anew. Bounds memory, changes no result.
 CACHE = 400_000
+#: What Python takes for white space in ASCII.
+WHITE = np.zeros(256, bool)
+WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 
 
 class Encoder:
@@ -34,6 +37,8 @@ class Encoder:
         self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.plain = Tokenizer.from_file(public_tokenizers.path(name))  # for pieces
         self.plain.encode_special_tokens = True
+        # byte-level tokens write a space as this letter
+        self.spaced = np.fromiter(((self.model.id_to_token(i) or "").startswith("\u0120") for i in range(self.model.get_vocab_size())), bool)
         self._clear()
 
     def _clear(self) -> None:
@@ -69,28 +74,43 @@ class Encoder:
             left = np.setdiff1d(left, put, assume_unique=True)
             at[left] = (at[left] + 1) % len(self.keys)
 
-    def _learn(self, pieces: list[str]) -> None:
-        first, n = self.known, len(pieces)
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encode new distinct pieces, given by their bytes; none is empty."""
+        first, n = self.known, len(start)
         while len(self.start) < first + n:
             self.start, self.count, self.open, self.shut = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count, self.open, self.shut))
-        body = [p[1:] if p[:1] == " " else p for p in pieces]
-        self.open[first : first + n] = [not p or p[0].isspace() for p in body]
-        self.shut[first : first + n] = [not p or p[-1].isspace() for p in body]
+        text = lambda i: data[start[i] : end[i]].tobytes().decode("utf-8", "replace")
+        led = data[start] == 0x20
+        top, last = data[np.minimum(start + led, end - 1)], data[end - 1]
+        bare = end - start == led
+        opens, shuts = bare | WHITE[top], bare | WHITE[last]
+        # white space beyond ASCII begins with one of four bytes and has two or three
+        far = (data[np.maximum(end - 2, 0)] == 0xC2) | np.isin(data[np.maximum(end - 3, 0)], (0xE1, 0xE2, 0xE3))
+        for i in np.flatnonzero(np.isin(top, (0xC2, 0xE1, 0xE2, 0xE3)) | (last >= 0x80) & far).tolist():
+            body = text(i)[int(led[i]) :]
+            opens[i], shuts[i] = not body or body[0].isspace(), not body or body[-1].isspace()
+        self.open[first : first + n], self.shut[first : first + n] = opens, shuts
         # pieces that start with a space and have no other at their ends can be encoded end to end, which is faster
-        plain = ~(self.open[first : first + n] | self.shut[first : first + n])
-        plain &= np.fromiter((p[:1] == " " for p in pieces), bool, n)
+        plain = led & ~opens & ~shuts
         rest = np.flatnonzero(~plain)
         if len(rest):
-            got = [e.ids for e in self.plain.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+            got = [e.ids for e in self.plain.encode_batch_fast([text(i) for i in rest.tolist()], add_special_tokens=False)]
             self._keep(first + rest, np.fromiter(map(len, got), np.int64, len(got)), np.fromiter((i for g in got for i in g), np.int64))
         plain = np.flatnonzero(plain)
         for lo in range(0, len(plain), 4000):
             which = plain[lo : lo + 4000]
-            part = [pieces[i] for i in which]
-            got = self.plain.encode("".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(p) for p in part])
-            at = np.fromiter((s for s, _ in got.offsets), np.int64, len(got))
-            self._keep(first + which, np.diff(np.searchsorted(at, starts)), np.array(got.ids, np.int64))
+            size = end[which] - start[which]
+            body = data[ranges(start[which], size)]
+            whole = body.tobytes().decode("utf-8", "replace")
+            ids = np.array(self.plain.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.int64)
+            # each piece has one space, its first byte, so its first id is the one that starts with a space
+            tops = np.flatnonzero(self.spaced[ids])
+            if len(tops) != len(which) or tops[0]:
+                got = self.plain.encode(whole, add_special_tokens=False)
+                ids = np.array(got.ids, np.int64)
+                starts = np.append(0, np.cumsum([len(text(i)) for i in which.tolist()]))[:-1]
+                tops = np.searchsorted(np.fromiter((s for s, _ in got.offsets), np.int64, len(got)), starts)
+            self._keep(first + which, np.diff(tops, append=len(ids)), ids)
         self.known += n
 
     def _keep(self, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
@@ -130,9 +150,8 @@ class Encoder:
         new = np.flatnonzero(which < 0)
         if len(new):
             fresh, one = np.unique(h[new], return_index=True)
-            body = data.tobytes()
             first = self.known
-            self._learn([body[s:e].decode("utf-8", "replace") for s, e in zip(start[new[one]].tolist(), end[new[one]].tolist(), strict=True)])
+            self._learn(data, start[new[one]], end[new[one]])
             self._store(fresh, first)
             which[new] = self._find(h[new])
         counts = self.count[which].astype(np.int64)

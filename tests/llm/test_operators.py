@@ -840,3 +840,25 @@ def test_pipeline(spark, corpus, docs, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         got = stage(spark, got, d)
     assert got.count() == 0
+
+
+def test_pieces_are_learned_without_offsets_and_give_the_model_s_ids():
+    """White space of any kind at a piece's ends, and no character offsets, which cost as much as the ids."""
+    import pyarrow as pa
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from calltrace.llm.tokens import Encoder
+
+    rnd, model, encoder = random.Random(8), Tokenizer.from_file(path("byte_bpe_50k.json")), Encoder("byte_bpe_50k.json")
+
+    class NoOffsets:
+        def __init__(self, inner):
+            self.encode_batch_fast = inner.encode_batch_fast
+
+    encoder.plain = NoOffsets(encoder.plain)
+    parts = [" ", "  ", " ", "\u0085", " ", " ", " ", " ", "　", "\x1c", "\n", "\t", "é", "©", "ß", "€", "日", "x", "Word", "12", "!?", " an", "Ġ", "'s"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(12))) for _ in range(4000)]
+    ids, ends = encoder.encode(pa.array(texts))
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and np.diff(ends, prepend=0).tolist() == list(map(len, want))
