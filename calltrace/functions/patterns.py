@@ -176,6 +176,21 @@ PRIMARY = {
         r"(?i)\|SdlSig\s*\|", r"(?i)\|AppInfo\s*\|", r"(?i)\|FileHead\s*\|", r"(?i)AppName:\s*CCM", r"(?i)AppId:\s*100",
     ),
 }
+#: What every match of a pattern of the tables holds, in lower case; a text without it needs no search by pattern.
+NEEDLES = {
+    r"(?i)\|FileHead\s*\|": "|filehead", r"(?i)\|SdlSig\s*\|": "|sdlsig", r"(?i)\|AppInfo\s*\|": "|appinfo", r"(?i)AppName:\s*CCM": "appname:", r"(?i)CUCM Install=": "cucm install=", r"(?i)StationInit\(": "stationinit(",
+    r"(?i)SIPCdpc\(": "sipcdpc(", r"(?i)Cdcc\(": "cdcc(", r"(?i)SdlTimerService\(": "sdltimerservice(", r"(?i)DbObjectCacheTimer": "dbobjectcachetimer",
+    r"(?i)\bQ931:": "q931:", r"(?i)Q931:": "q931:", r"(?i)ISDN\s+\S+\s+Q931": "q931", r"(?i)\bcallref\s*=\s*0x[0-9a-fA-F]+": "callref", r"(?i)callref\s*=\s*0x[0-9a-fA-F]+": "callref", r"(?i)Bearer Capability\s+i\s*=": "bearer capability",
+    r"(?i)Channel ID\s+i\s*=": "channel id", r"(?i)Calling Party Number\s+i\s*=": "calling party number", r"(?i)Called Party Number\s+i\s*=": "called party number", r"(?i)Cause\s+i\s*=\s*0x[0-9a-fA-F]+": "cause",
+    r"(?i)\b(SETUP|CALL PROCEEDING|ALERTING|CONNECT|DISCONNECT|RELEASE|RELEASE COMPLETE)\s+pd\s*=\s*\d+": "pd",
+    r"(?i)\bSIP/2\.0\b": "sip/2.0", r"(?i)SIP/2\.0": "sip/2.0", r"(?i)\bccsipDisplayMsg\b": "ccsipdisplaymsg", r"(?i)ccsipDisplayMsg": "ccsipdisplaymsg", r"(?i)\bdebug\s+ccsip\b": "debug", r"(?i)debug\s+ccsip": "debug",
+    r"(?i)\bCall-ID:\s*\S+": "call-id:", r"(?i)Call-ID:\s*\S+": "call-id:", r"(?i)\bCSeq:\s*\d+\s+[A-Z]+": "cseq:", r"(?i)CSeq:\s*\d+\s+[A-Z]+": "cseq:", r"(?i)\bINVITE\s+sip:": "sip:", r"(?i)INVITE\s+sip:": "sip:",
+    r"(?i)\bv=0\s+o=.*IN\s+IP4": "v=0", r"(?i)v=0\s+o=.*IN\s+IP4": "v=0", r"(?i)\bVia:\s*SIP/2\.0/": "via:",
+    r"(?i)\bMGCP\s+Packet\b": "mgcp", r"(?i)MGCP\s+Packet": "mgcp", r"(?i)\bdebug\s+mgcp\b": "debug", r"(?i)debug\s+mgcp": "debug", r"(?i)\b(?:CRCX|MDCX|DLCX|RQNT|AUEP|AUCX|RSIP)\s+\d+\s+\S+@\S+\s+MGCP": "mgcp",
+    r"(?i)(?:CRCX|MDCX|DLCX|RQNT|AUEP|AUCX|RSIP)\s+\d+\s+\S+@\S+\s+MGCP": "mgcp", r"(?i)\bMGCP\s+(?:0\.1|1\.0)\b": "mgcp", r"(?i)MGCP\s+(?:0\.1|1\.0)": "mgcp", r"(?m)^\s*C:\s*[a-zA-Z0-9]+": "c:", r"(?m)^\s*I:\s*[a-zA-Z0-9]+": "i:",
+    r"(?i)\bcc_api_\S+": "cc_api_", r"(?i)\bcc_call_setup": "cc_call_setup", r"(?i)\bccapi_\S+": "ccapi_", r"(?i)\bccCallSetupRequest": "cccallsetuprequest",
+    r"(?i)\|StationInit": "|stationinit", r"(?i)\|CC\|": "|cc|", r"(?i)Layer3NL::msgData": "layer3nl::msgdata", r"(?i)Digit Analysis:": "digit analysis:", r"(?i)StationD:": "stationd:", r"(?i)SDL_Process": "sdl_process", r"(?i)AppId:\s*100": "appid:",
+}
 SEGMENT = {
     "ISDN": r"(?i)Q931:|ISDN\s+\S+\s+Q931|callref\s*=\s*0x",
     "MGCP": r"(?i)MGCP\s+Packet|(?:CRCX|MDCX|DLCX|RQNT|AUEP|AUCX|RSIP)\s+\d+|[1-5]\d{2}\s+\d+\s+OK|MGCP\s+[0-9\.]+",

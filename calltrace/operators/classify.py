@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,16 @@ from calltrace.functions.columns import capture
 SAMPLE = 150_000
 PRIVATE_IP = r"\b(10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[0-1])\.\d{1,3}\.\d{1,3})\b"
 
+#: Patterns of a file's address and name, first ones first, and the characters that the reference reads for each.
+DEVICE_IP = (
+    (10000, r"HostIPAddress:\s*(?:::ffff:)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"),
+    (50000, r"(?:Sent:|Received:).*?to\s+(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}):\d+"),
+    (20000, PRIVATE_IP),
+)
+DEVICE_NAME = ((10000, r"HostName:\s*([^\s,]+)"), (30000, r"@([A-Za-z0-9_-]+)\.[A-Za-z0-9_.-]+\.cisco\.com"), (20000, r"\n([A-Za-z0-9_-]{3,15})[#>]"))
+#: Lines of a piece of a file, and how many lines with text a match of the tables' patterns may span.
+PIECE, SPAN = 2_000, 4
+
 
 def labels(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
     """Labels of the patterns found, each once, in the table's order."""
@@ -21,18 +33,12 @@ def labels(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
 def device_ip(text: Column, compat: bool = False) -> Column:
     """``compat``: only the beginning is read, as far as the reference does."""
     head = lambda n: F.substring(text, 1, n) if compat else text
-    return F.coalesce(
-        capture(head(10000), r"HostIPAddress:\s*(?:::ffff:)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"),
-        capture(head(50000), r"(?:Sent:|Received:).*?to\s+(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}):\d+"),
-        capture(head(20000), PRIVATE_IP),
-    )
+    return F.coalesce(*[capture(head(n), p) for n, p in DEVICE_IP])
 
 
 def device_name(text: Column, compat: bool = False) -> Column:
     head = lambda n: F.substring(text, 1, n) if compat else text
-    return F.coalesce(
-        capture(head(10000), r"HostName:\s*([^\s,]+)"), capture(head(30000), r"@([A-Za-z0-9_-]+)\.[A-Za-z0-9_.-]+\.cisco\.com"), capture(head(20000), r"\n([A-Za-z0-9_-]{3,15})[#>]")
-    )
+    return F.coalesce(*[capture(head(n), p) for n, p in DEVICE_NAME])
 
 
 def _key(files: DataFrame) -> str:
@@ -48,12 +54,73 @@ def classify(files: DataFrame, text: str = "content", name: str | None = None, a
     tables = tables or P.CLASSES
     sample = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE) if compat else F.coalesce(F.col(text), F.lit(""))
     x = files.select(F.col(name or _key(files)).alias("file_name"), F.col(text).alias("_text"), sample.alias("_sample")).withColumns({f"_{k.lower()}": labels(F.col("_sample"), t) for k, t in tables.items()})
+    x = x.withColumns({"_blank": F.btrim(F.coalesce("_text", F.lit(""))) == "", "_cube": F.lower("_sample").contains("cube"), "_ip": device_ip(F.col("_text"), compat), "_host": device_name(F.col("_text"), compat)})
+    return _classes(x, as_of)
+
+
+def _by_file(lines: DataFrame, flags: dict[str, Callable[[Column, Column], Column]], firsts: dict[str, str], size: int = PIECE) -> DataFrame:
+    """``(file_name, flags, firsts, pieces)`` of files given by their lines: whether a flag holds anywhere (it is given a text and the text in lower case), and
+    what the first match of a pattern captures.
+
+    A file is read in pieces of ``size`` lines, each by itself; where two pieces meet, the last lines with text of one and the first of the next are a
+    piece too. So a match is found if it lies in one piece, or over at most ``SPAN`` lines with text, whatever the blank lines between them.
+    """
+    few = rf"\A(?:\s*\S[^\n]*\n?){{1,{SPAN}}}"
+    first = lambda p, at: F.when(F.regexp_extract("text", p, 1) != "", F.struct(at.alias("at"), F.regexp_extract("text", p, 1).alias("value")))
+    texts = lines.groupBy("file_name", F.floor((F.col("line_no") - 1) / size).cast("double").alias("piece")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    texts = texts.withColumns({"low": F.lower("text"), "top": F.regexp_extract("text", few, 0), "end": F.reverse(F.regexp_extract(F.reverse("text"), few, 0))})
+    side = F.struct("piece", "top", "end", (F.length("top") >= F.length(F.rtrim("text"))).alias("short"))
+    own = texts.select("file_name", "piece", side.alias("side"), *[f(F.col("text"), F.col("low")).alias(k) for k, f in flags.items()], *[first(p, F.col("piece")).alias(k) for k, p in firsts.items()])
+    own = own.groupBy("file_name").agg(
+        *[F.max(k).alias(k) for k in flags], *[F.min(k).alias(k) for k in firsts], F.count("*").alias("pieces"), F.array_sort(F.collect_list(F.when(F.col("side.top") != "", F.col("side")))).alias("sides")
+    )
+
+    def seam(i: Column) -> Column:
+        at = lambda k: F.get("sides", i + k)
+        here, near = at(0), at(1)
+        after = [near["top"], F.when(near["short"], at(2)["top"]), F.when(near["short"] & at(2)["short"], at(3)["top"])]
+        return F.struct((here["piece"] + 0.5).alias("at"), F.concat_ws("\n", here["end"], *after).alias("text"))
+
+    n = F.size("sides")
+    seams = own.select("file_name", "pieces", *flags, *firsts, F.explode_outer(F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), seam))).alias("seam"))
+    seams = seams.withColumns({"text": F.coalesce("seam.text", F.lit("")), "low": F.lower(F.coalesce("seam.text", F.lit("")))})
+    out = seams.groupBy("file_name").agg(
+        *[F.max(F.col(k) | f(F.col("text"), F.col("low"))).alias(k) for k, f in flags.items()], *[F.min(F.least(F.col(k), first(p, F.col("seam.at")))).alias(k) for k, p in firsts.items()], F.max("pieces").alias("pieces")
+    )
+    return out.select("file_name", *flags, *[F.col(f"{k}.value").alias(k) for k in firsts], "pieces")
+
+
+def _found(pattern: str) -> Callable[[Column, Column], Column]:
+    needle = P.NEEDLES.get(pattern)
+    return lambda text, low: text.rlike(pattern) if needle is None else low.contains(needle) & text.rlike(pattern)
+
+
+def classify_lines(lines: DataFrame, as_of: str = "20260920_000000", tables: dict | None = None, size: int = PIECE) -> DataFrame:
+    """:func:`classify` of the files that ``(file_name, line_no, line)`` make up, without a file's whole text in any row; see :func:`_by_file`."""
+    tables = tables or P.CLASSES
+    flags = {f"{k}_{i}": _found(p) for k, t in tables.items() for i, (p, _) in enumerate(t)} | {"_cube": lambda text, low: low.contains("cube"), "_marked": lambda text, low: F.btrim(text) != ""}
+    firsts = {f"_{k}_{i}": p for k, ps in (("ip", DEVICE_IP), ("host", DEVICE_NAME)) for i, (_, p) in enumerate(ps)}
+    x = _by_file(lines, flags, firsts, size)
+    named = {f"_{k.lower()}": F.filter(F.array(*[F.when(F.col(f"{k}_{i}"), F.lit(name)) for i, (_, name) in enumerate(t)]), lambda e: e.isNotNull()) for k, t in tables.items()}
+    x = x.withColumns(named | {"_blank": ~F.col("_marked") & (F.col("pieces") == 1), "_ip": F.coalesce(*[f"_ip_{i}" for i in range(len(DEVICE_IP))]), "_host": F.coalesce(*[f"_host_{i}" for i in range(len(DEVICE_NAME))])})
+    return _classes(x, as_of)
+
+
+def protocols_of_lines(lines: DataFrame, table: dict[str, tuple[str, ...]] | None = None, size: int = PIECE) -> DataFrame:
+    """``(file_name, protocol)``: :func:`protocols_present` of the files that ``(file_name, line_no, line)`` make up, a row each."""
+    table = table or P.PRIMARY
+    x = _by_file(lines, {f"{k}_{i}": _found(p) for k, ps in table.items() for i, p in enumerate(ps)}, {}, size)
+    some = F.array(*[F.when(F.greatest(F.lit(False), *[F.col(f"{k}_{i}") for i in range(len(ps))]), k) for k, ps in table.items()])
+    return x.select("file_name", F.explode(F.filter(some, lambda e: e.isNotNull())).alias("protocol"))
+
+
+def _classes(x: DataFrame, as_of: str) -> DataFrame:
+    """The rules of :func:`classify` over what was found in each file."""
     sdl, isdn, sip, mgcp, ccapi = (F.col(f"_{k}") for k in ("cucm_sdl", "isdn_q931", "sip", "mgcp", "ccapi"))
     some = lambda found, marks: F.exists(found, lambda e: e.rlike("|".join(marks)))
     low = F.lower(F.element_at(F.split("file_name", r"[/\\\\]"), -1))
     active = sum(((F.size(c) >= 2).cast("int") for c in (isdn, sip, mgcp)), F.lit(0))
-    blank = F.btrim(F.coalesce("_text", F.lit(""))) == ""
-    cube = low.contains("cube") | F.lower("_sample").contains("cube")
+    blank, cube = F.col("_blank"), low.contains("cube") | F.col("_cube")
     graded = lambda found: F.least(F.lit(0.99), F.round(0.85 + 0.03 * F.size(found), 2))
     weak = lambda words: F.array(F.lit(f"Weak content indicator; matched filename token '{words}'"))
     # Condition, trace type, device type, default name, confidence, evidence, name and address for the suggested file name
@@ -70,7 +137,7 @@ def classify(files: DataFrame, text: str = "content", name: str | None = None, a
         (low.contains("sip"), "SIP", F.lit("VOICE_GATEWAY"), None, F.lit(0.60), weak("sip"), None),
         (F.lit(True), "UNKNOWN", F.lit("UNKNOWN"), None, F.lit(0.20), F.array(F.lit("No recognizable Cisco voice signaling markers found")), None),
     ]
-    ip, host = device_ip(F.col("_text"), compat), device_name(F.col("_text"), compat)
+    ip, host = F.col("_ip"), F.col("_host")
     null = F.lit(None).cast("string")
 
     def case(pick):

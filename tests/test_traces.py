@@ -455,3 +455,21 @@ def test_busy_number_pair(spark):
         own = sorted((s, k) for k, s, a, _ in data if a == number)
         want |= {(b, a) for (s, a), (t, b) in zip(own, own[1:], strict=False) if t - s <= 30}
     assert got == want and len(want) > 30
+
+
+def test_files_by_their_lines_are_classified_as_whole_texts(spark):
+    """Pieces of a few lines and where they meet give what whole texts give; matches may go over lines and blank lines."""
+    import random
+
+    rnd = random.Random(3)
+    words = ["debug", "ccsip", "mgcp", "v=0", "o=x", "a IN", "IP4", "ISDN", "Se0", "Q931", "callref", "=", "0x12", "Cause", "i", "CRCX", "12", "a@b", "MGCP", "SETUP", "pd", "8", "200", "OK", "C:", "I:", "x9", "Call-ID:", "HostName:", "vg1", "gw7#", "Sent:", "to", "10.2.3.4:50", "10.1.1.1", "cc_api_x", "CUBE"]
+    files = {f"f{k}.txt": [rnd.choice(["", " ", "\t", *[" ".join(rnd.choices(words, k=rnd.choice([1, 1, 2, 3])))] * 6]) for _ in range(rnd.randrange(1, 25))] for k in range(150)} | {"one": [" "], "two": ["", ""], "sip.txt": [""], "SDL1": ["a |FileHead |b"]}
+    lines = spark.createDataFrame([(f, i + 1, x) for f, ls in files.items() for i, x in enumerate(ls)], "file_name string, line_no int, line string")
+    whole = spark.createDataFrame([(f, "\n".join(ls)) for f, ls in files.items()], "file_name string, content string")
+    want = sorted(map(tuple, classify.classify(whole).drop("device_ip", "recommended_filename", "device_name").collect()))
+    protocols = sorted(map(tuple, whole.select("file_name", F.explode(classify.protocols_present(F.col("content")))).collect()))
+    for size in (1, 3, 1000):
+        assert sorted(map(tuple, classify.classify_lines(lines, size=size).drop("device_ip", "recommended_filename", "device_name").collect())) == want
+        assert sorted(map(tuple, classify.protocols_of_lines(lines, size=size).collect())) == protocols
+    names = sorted(map(tuple, classify.classify(whole).select("file_name", "device_name", "device_ip").collect()))
+    assert sorted(map(tuple, classify.classify_lines(lines, size=5).select("file_name", "device_name", "device_ip").collect())) == names
