@@ -41,20 +41,6 @@ def _running(lines: DataFrame, chunk: int | None, sums: dict[str, Column], lasts
     return rows.select(*lines.columns, *sums, *lasts)
 
 
-def _previous(lines: DataFrame, chunk: int | None, flag: Column) -> DataFrame:
-    """``lines`` with ``previous``: the flag of the line before; false at a file's first line."""
-    x = lines.withColumn("_flag", flag)
-    if chunk is None:
-        return x.withColumn("previous", F.coalesce(F.lag("_flag").over(_file()), F.lit(False))).drop("_flag")
-    x = x.withColumn("_chunk", F.floor((F.col("line_no") - 1) / chunk))
-    ends = x.groupBy("file_name", "_chunk").agg(F.max_by("_flag", "line_no").alias("_end"))
-    ends = ends.select("file_name", "_chunk", F.lag("_end").over(Window.partitionBy("file_name").orderBy("_chunk")).alias("_end"))
-    inside = F.lag("_flag").over(Window.partitionBy("file_name", "_chunk").orderBy("line_no"))
-    first = F.row_number().over(Window.partitionBy("file_name", "_chunk").orderBy("line_no")) == 1
-    x = x.join(ends, ["file_name", "_chunk"]).withColumn("previous", F.coalesce(F.when(first, F.col("_end")).otherwise(inside), F.lit(False)))
-    return x.select(*lines.columns, "previous")
-
-
 def _sdl_lines(lines: DataFrame, chunk: int | None) -> DataFrame:
     line = F.regexp_replace("line", r"[\r\n]+$", "")
     x = lines.withColumn("line", line).withColumn("head", F.col("line").rlike(P.SDL_HEADER))
@@ -122,21 +108,44 @@ def frame_sip(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     )
 
 
+def _segments(lines: DataFrame, chunk: int | None) -> DataFrame:
+    """Lines with ``segment``, ``v`` (verbs so far), ``led`` (a banner begins the segment) and ``before`` (verbs before the segment).
+
+    All of it is carried from chunk to chunk in one row a chunk, so that lines are put into their chunks once and not for each running value.
+    """
+    x = lines.withColumn("_chunk", F.floor((F.col("line_no") - 1) / chunk) if chunk else F.lit(0).cast("long"))
+    at = Window.partitionBy("file_name", "_chunk").orderBy("line_no")
+    # a chunk's first line may also be opened by the chunk before
+    x = x.withColumns({"_opens": F.col("banner") | F.coalesce(F.lag("shut").over(at), F.lit(False)), "_first": F.row_number().over(at) == 1, "_v": F.sum("verb").over(at)})
+    opened = F.when(F.col("_opens"), F.col("line_no"))
+    heads = x.groupBy("file_name", "_chunk").agg(
+        F.sum(F.col("_opens").cast("int")).alias("n"), F.sum("verb").alias("v"), F.max_by("shut", "line_no").alias("shut"), F.max(F.col("_first") & F.col("_opens")).alias("own"),
+        F.max_by("banner", opened).alias("led"), F.max_by(F.col("_v") - F.col("verb"), opened).alias("before"),
+    )
+    w = Window.partitionBy("file_name").orderBy("_chunk")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumns({"_given": F.coalesce(F.lag("shut").over(w), F.lit(False)), "_vs": F.coalesce(F.sum("v").over(past), F.lit(0))})
+    more = F.col("_given") & ~F.col("own")
+    heads = heads.withColumns({"led": F.when(F.col("n") > 0, F.col("led")).when(more, F.lit(False)), "before": F.when(F.col("n") > 0, F.col("_vs") + F.col("before")).when(more, F.col("_vs")), "n": F.col("n") + more.cast("int")})
+    heads = heads.select("file_name", "_chunk", "_given", "_vs", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_ns"), F.last("led", True).over(past).alias("_led"), F.last("before", True).over(past).alias("_before"))
+    x = x.join(heads, ["file_name", "_chunk"]).withColumns({"_opens": F.col("_opens") | (F.col("_first") & F.col("_given")), "v": F.col("_vs") + F.col("_v")})
+    return x.select(
+        *lines.columns, "v", (F.col("_ns") + F.sum(F.col("_opens").cast("int")).over(at)).alias("segment"), F.coalesce(F.last(F.when(F.col("_opens"), F.col("banner")), True).over(at), F.col("_led")).alias("led"),
+        F.coalesce(F.last(F.when(F.col("_opens"), F.col("v") - F.col("verb")), True).over(at), F.col("_before")).alias("before"),
+    )
+
+
 def frame_mgcp(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """``(file_name, block, source_line, timestamp_raw, direction, peer_ip, peer_port, raw)``.
 
     A banner, or the line after a closing delimiter, begins a segment; each further command or response line in a segment
     begins a block without stamp and direction. Lines before a segment's first command count only after a banner.
     """
-    x = lines.withColumns({"banner": F.col("line").rlike(P.MGCP_BANNER), "verb": (F.btrim("line").rlike(P.MGCP_COMMAND) | F.btrim("line").rlike(P.MGCP_RESPONSE))})
-    x = x.withColumn("verb", F.col("verb") & ~F.col("banner"))
-    x = _previous(x, chunk, F.btrim("line").startswith("<---")).withColumn("opens", F.col("banner") | F.col("previous"))
-    # a banner always opens a segment, so a segment has one if its first line is one
-    x = _running(x, chunk, {"segment": F.col("opens"), "v": F.col("verb")}, {"led": F.when(F.col("opens"), F.col("banner"))})
-    x = _running(x, chunk, {}, {"before": F.when(F.col("opens"), F.col("v") - F.col("verb").cast("int"))})
+    x = lines.withColumns({"banner": F.col("line").rlike(P.MGCP_BANNER), "verb": (F.btrim("line").rlike(P.MGCP_COMMAND) | F.btrim("line").rlike(P.MGCP_RESPONSE)), "shut": F.btrim("line").startswith("<---")})
+    x = _segments(x.withColumn("verb", (F.col("verb") & ~F.col("banner")).cast("int")), chunk)
     x = x.withColumn("k", F.col("v") - F.coalesce("before", F.lit(0))).where("k > 0 OR led")
     block = F.struct("segment", F.greatest("k", F.lit(1)).alias("k"))
-    out = x.groupBy("file_name", block.alias("b")).agg(F.min("line_no").alias("source_line"), F.max(F.when(F.col("banner"), F.col("line"))).alias("banner"), F.max("verb").alias("some"), _text().alias("raw")).where("some")
+    out = x.groupBy("file_name", block.alias("b")).agg(F.min("line_no").alias("source_line"), F.max(F.when(F.col("banner"), F.col("line"))).alias("banner"), F.max("verb").alias("some"), _text().alias("raw")).where("some > 0")
     text = F.col("banner")
     return out.select(
         "file_name", (F.col("b.segment") * 1000000 + F.col("b.k")).alias("block"), "source_line", capture(text, P.MGCP_BANNER).alias("timestamp_raw"),

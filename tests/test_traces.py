@@ -473,3 +473,17 @@ def test_files_by_their_lines_are_classified_as_whole_texts(spark):
         assert sorted(map(tuple, classify.protocols_of_lines(lines, size=size).collect())) == protocols
     names = sorted(map(tuple, classify.classify(whole).select("file_name", "device_name", "device_ip").collect()))
     assert sorted(map(tuple, classify.classify_lines(lines, size=5).select("file_name", "device_name", "device_ip").collect())) == names
+
+
+def test_mgcp_lines_are_put_into_chunks_once(spark):
+    """Any chunk gives what whole files give, and running values take no shuffle each."""
+    import random
+
+    rnd = random.Random(9)
+    kinds = ["*Sep 19 10:15:22.632: MGCP Packet received from 10.2.1.1:2427--->", "CRCX 12 S0@vg MGCP 0.1", "200 12 OK", "<---", "I: 4", "", "text"]
+    rows = [(f"f{k}", i + 1, rnd.choice(kinds)) for k in range(40) for i in range(rnd.randrange(1, 60))]
+    lines = spark.createDataFrame(rows, "file_name string, line_no int, line string")
+    want = sorted(map(str, framing.frame_mgcp(lines, None).collect()))
+    assert all(sorted(map(str, framing.frame_mgcp(lines, n).collect())) == want for n in (1, 2, 7)) and len(want) > 100
+    plan = framing.frame_mgcp(lines, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5
