@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from calltrace.functions.columns import display_duration, display_time
 
@@ -77,23 +83,57 @@ def simultaneous_counts(sessions: DataFrame, seconds: float = 5.0, key: str = "s
     return x.select(key, "n", F.when(F.col("n") > 0, F.round(F.col("gap") / 1e6, 3)).alias("nearest"))
 
 
-def _note(other, delta):
-    return F.format_string("Simultaneous call %s active within %.1fs.", other, delta)
+def _told(other: str) -> Column:
+    return F.concat(F.lit("Simultaneous call "), F.col(other).cast("string"), F.lit(" active within "))
 
 
 def simultaneous_notes(pairs: DataFrame) -> DataFrame:
     """``(session_id, notes)`` for both sides of each pair."""
-    both = pairs.select(F.col("a").alias("session_id"), _note("b", "delta").alias("n")).unionByName(pairs.select(F.col("b").alias("session_id"), _note("a", "delta").alias("n")))
+    note = lambda other: F.concat(_told(other), F.format_string("%.1fs.", "delta")).alias("n")
+    both = pairs.select(F.col("a").alias("session_id"), note("b")).unionByName(pairs.select(F.col("b").alias("session_id"), note("a")))
     return both.groupBy("session_id").agg(F.array_sort(F.collect_list("n")).alias("notes"))
 
 
 def noted(sessions: DataFrame, seconds: float = 5.0, key: str = "session_id", start: str = "start_time") -> DataFrame:
-    """:func:`simultaneous_notes` of the pairs of :func:`simultaneous`, which are not shuffled: all partners of a session meet it in its own bucket, and its notes are made there."""
-    x = sessions.where(F.col(start).isNotNull()).select(F.col(key).alias("a"), (F.unix_micros(start) / 1e6).alias("ta")).withColumn("bucket", F.floor(F.col("ta") / seconds))
-    y = x.select(F.col("a").alias("b"), F.col("ta").alias("tb"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    gap = F.abs(F.col("ta") - F.col("tb"))
-    near = x.join(y.hint("merge"), "bucket").where((F.col("a") != F.col("b")) & (gap <= seconds)).select("bucket", "a", _note("b", F.round(gap, 3)).alias("n"))
-    return near.groupBy("bucket", "a").agg(F.array_sort(F.collect_list("n")).alias("notes")).select(F.col("a").alias("session_id"), "notes")
+    """:func:`simultaneous_notes` of the pairs of :func:`simultaneous`, which are neither shuffled nor sorted as rows: the sessions of a bucket meet the starts of it and the two beside it
+    as lists, and :data:`BLOCK` pairs at once are made there. Lists are in the order of their texts, so notes are nearly sorted when they are made."""
+    spark, rows = sessions.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= 512:
+        spark.conf.set(rows, "512")  # a row is a bucket with its lists
+    x = sessions.where(F.col(start).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("a"), (F.unix_micros(start) / 1e6).alias("ta")).withColumn("bucket", F.floor(F.col("ta") / seconds))
+    y = x.select(F.struct(_told("a").alias("text"), F.col("ta").alias("tb")).alias("other"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    own = x.groupBy("bucket").agg(F.collect_list(F.struct("a", "ta", _told("a").alias("told"))).alias("own"))
+    others = y.groupBy("bucket").agg(F.sort_array(F.collect_list("other")).alias("others"))
+    met = own.join(others.hint("merge"), "bucket").select("own.a", "own.ta", "own.told", "others.text", "others.tb")
+    notes = met.mapInArrow(_notes(seconds, BLOCK), StructType([StructField("session_id", x.schema["a"].dataType), StructField("notes", ArrayType(StringType()))]))
+    return notes.select("session_id", F.sort_array("notes").alias("notes"))
+
+
+#: Pairs of sessions that a task of :func:`noted` holds at once.
+BLOCK = 500_000
+
+
+def _notes(seconds: float, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = pa.array([f"{t // 10}.{t % 10}s." for t in range(int(seconds * 10) + 2)])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, ta, told, text, tb = (batch.column(c)[i].values for c in ("a", "ta", "told", "text", "tb"))
+                ta, tb, names = ta.to_numpy(), tb.to_numpy(), text.unique()
+                me, them = (pc.index_in(c, value_set=names).to_numpy() for c in (told, text))
+                step = max(1, block // len(tb))
+                for k in range(0, len(ta), step):
+                    gap = np.abs(ta[k : k + step, None] - tb)
+                    near = (gap <= seconds) & (me[k : k + step, None] != them)
+                    # halves up, to three places and then to one
+                    tenths = (np.floor(gap[near] * 1000 + 0.5).astype(np.int64) + 50) // 100
+                    notes = pc.binary_join_element_wise(text.take(pa.array(near.nonzero()[1])), said.take(pa.array(tenths)), "")
+                    n = near.sum(1)
+                    some = n.nonzero()[0]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, n[some].cumsum()), pa.int32()), notes)
+                    yield pa.RecordBatch.from_arrays([a.take(pa.array(some + k)), lists], ["session_id", "notes"])
+
+    return run
 
 
 def number_pairs(left: DataFrame, right: DataFrame, a: str = "calling_number", b: str = "calling_number") -> DataFrame:

@@ -59,6 +59,19 @@ def test_noted_equals_the_notes_of_pairs_and_shuffles_none(spark):
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
 
 
+def test_notes_are_made_without_sorting_pairs(spark, monkeypatch):
+    """Neither the join nor what follows it has a row for a pair, so none is sorted or spilled."""
+    rows = [(f"s{i:03d}", BASE + datetime.timedelta(milliseconds=7 * i)) for i in range(300)]
+    monkeypatch.setattr(sessions, "BLOCK", 1000)  # several blocks a bucket
+    got = sessions.noted(spark.createDataFrame(rows, "session_id string, start_time timestamp"), 1.0)
+    want = {a: sorted(f"Simultaneous call {b} active within {abs(i - k) * 7 // 100 / 10 + (0.1 if abs(i - k) * 7 % 100 >= 50 else 0):.1f}s." for k, (b, _) in enumerate(rows) if k != i and abs(i - k) * 7 <= 1000) for i, (a, _) in enumerate(rows)}
+    assert {r.session_id: r.notes for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    join, = (k for k, x in enumerate(plan.splitlines()) if "SortMergeJoin" in x)
+    above = plan.splitlines()[:join]
+    assert not any(w in x for x in above for w in ("Sort ", "Aggregate", "Exchange", "Generate"))
+
+
 def test_lines_of_a_file_are_numbered_over_its_minutes(spark):
     from calltrace.plans.rendered import numbered_lines
 
