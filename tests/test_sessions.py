@@ -101,3 +101,13 @@ def test_pairs_of_a_busy_day_are_made_in_many_tasks(spark):
     want = sorted((k, i) for k, a, b in spans for i, t in events if a - 60 <= t <= b + 60)
     assert sorted((r.session_id, r.event_id) for r in got) == want
     assert len({r.task for r in got}) >= 6
+
+
+def test_pairs_come_in_runs_of_a_session(spark):
+    """Files of pairs are as large as their columns change: a slot's events follow one another in the same order for each of its sessions."""
+    at = lambda s: BASE + datetime.timedelta(seconds=s)
+    e = spark.createDataFrame([(i, at(2 * i)) for i in range(3600)], "event_id int, ts timestamp")
+    bounds = spark.createDataFrame([(f"s{k}", at(10 * k), at(7100 - 10 * k)) for k in range(40)], "session_id string, start_time timestamp, end_time timestamp")
+    got = sessions.scoped_events(e, spark.createDataFrame([], "session_id string, event_id int"), bounds, 0).collect()
+    assert sorted((r.session_id, r.event_id) for r in got) == sorted((f"s{k}", i) for k in range(40) for i in range(3600) if 10 * k <= 2 * i <= 7100 - 10 * k)
+    assert sum(a.session_id != b.session_id for a, b in zip(got, got[1:])) * 50 < len(got)
